@@ -62,7 +62,7 @@ def mod_97(iban: Column) -> Column:
         value = F.when(c.between("0", "9"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
         return (rest * F.when(value > 9, 100).otherwise(10) + value) % 97
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, "(?<=.)(?=.)"), F.lit(0), step) == 1
 
 
 def _confirmed(kind: str, found: Column) -> Column:

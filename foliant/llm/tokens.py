@@ -16,11 +16,12 @@ import unicodedata
 
 import numpy as np
 
+#: Characters below this have their lower case below 0x2B0, up to where the classes go.
 LIMIT = 0x230
 #: Words kept in a worker's memo; beyond, it starts anew.
 MEMO_WORDS = 300_000
-_LETTERS = "".join(re.escape(chr(c)) for c in range(LIMIT) if unicodedata.category(chr(c))[0] == "L")
-_NUMBERS = "".join(re.escape(chr(c)) for c in range(LIMIT) if unicodedata.category(chr(c))[0] == "N")
+_LETTERS = "".join(re.escape(chr(c)) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
+_NUMBERS = "".join(re.escape(chr(c)) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 #: How the two known kinds of files cut words (fixed values of those files).
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"

@@ -63,10 +63,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     keyed = keyed.withColumn("digest", F.sha2("rule", 256))
     keyed = keyed.withColumn("short", F.substring("digest", 1, PREFIX_DIGITS))
-    seen = pages.select(F.col(url).alias("seen")).where(F.col("seen").contains("://")).distinct()
-    wanted = seen.select("seen", F.explode(expressions(host_of(F.col("seen")), path_of(F.col("seen")), bounds["labels"], bounds["depth"])).alias("expression"))
-    wanted = wanted.select("seen", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
+    seen = pages.select(F.col(url).alias("_url")).where(F.col("_url").contains("://")).distinct()
+    wanted = seen.select("_url", F.explode(expressions(host_of(F.col("_url")), path_of(F.col("_url")), bounds["labels"], bounds["depth"])).alias("expression"))
+    wanted = wanted.select("_url", F.sha2("expression", 256).alias("full")).withColumn("short", F.substring("full", 1, PREFIX_DIGITS))
     hits = join_small(wanted, keyed, "short", "inner", bounds["n"]).where(F.col("full") == F.col("digest"))
-    best = hits.groupBy("seen").agg(F.max(F.struct(F.length("rule").alias("size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("best"))
-    out = judged.join(best, F.col(url) == F.col("seen"), "left")
-    return out.withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce(F.col("best.verdict"), F.lit(default))}).drop("seen", "best")
+    best = hits.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("size"), (F.col("verdict") == "block").alias("block"), "rule", "verdict")).alias("_best"))
+    out = judged.join(best, F.col(url) == F.col("_url"), "left")
+    return out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default))}).drop("_url", "_best")
