@@ -34,8 +34,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
         tokenizer, end = word_tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
         for b in batches:
             rows: list[tuple] = []
-            for i, doc in enumerate(b.column(0).to_pylist()):
-                data = tokenizer.ids([b.column(1)[i].as_py()])[0] + end
+            for doc, ids in zip(b.column(0).to_pylist(), tokenizer.ids(b.column(1).to_pylist()), strict=True):
+                data = ids + end
                 for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part)))

@@ -2,7 +2,7 @@
 
 Both vocabularies used here cut a text into words before they merge anything, so a text's ids are its words' ids
 one after the other. Where all characters of a text lie in a range whose tables are fixed (below U+0230, but for
-U+0130), the words are cut by `re` and each distinct word goes through the library once; any other text, any
+U+0130), the words are cut by a pattern and each distinct word goes through the library once; any other text, any
 that holds a special token and any other tokenizer goes through the library whole.
 """
 
@@ -13,21 +13,28 @@ import json
 import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters below this have their lower case below 0x2B0, up to where the classes go.
 LIMIT = 0x230
 #: Words kept in a worker's memo; beyond, it starts anew.
-MEMO_WORDS = 300_000
-_LETTERS = "".join(re.escape(chr(c)) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
-_NUMBERS = "".join(re.escape(chr(c)) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
+MEMO_WORDS = 500_000
+#: Characters of text that are cut and looked up together.
+TOGETHER = 8_000_000
+_LETTERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
+_NUMBERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
 #: How the two known kinds of files cut words (fixed values of those files).
 _ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_WORDS = re.compile(f"{_ENDINGS}| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_SPACES}{_LETTERS}{_NUMBERS}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-_END_WORDS = re.compile(f"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_OUTSIDE = re.compile(f"[^\x00-{chr(LIMIT - 1)}]|İ")
+#: \x1c to \x1f are white space to Python only.
+_OUTSIDE = f"[^\\x00-{chr(LIMIT - 1)}]|[\\x1c-\\x1f]|İ"
+#: For RE2.
+_END_WORDS = f"{_ENDINGS}|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+"
 
 
 class WordTokenizer:
@@ -43,6 +50,10 @@ class WordTokenizer:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.words, self.lower = self._cutter(spec)
         self.memo: dict[str, bytes] = {}
+        if self.lower:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
 
     @staticmethod
     def _cutter(spec: dict):
@@ -58,24 +69,69 @@ class WordTokenizer:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _memorize(self, words: set[str]) -> None:
+        """Puts the words that the memo lacks through the library."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        new = list(words.difference(self.memo))
+        if not self.lower:
+            self.memo.update(zip(new, self._whole(new), strict=True))
+            return
+        for i in range(0, len(new), 500):  # many at once: each word's last token is marked as an end
+            part = new[i : i + 500]
+            data = self._whole([" ".join(part)])[0]
+            stops = (4 * np.flatnonzero(self.ends[np.frombuffer(data, "<u4")]) + 4).tolist()
+            if len(stops) == len(part):
+                self.memo.update(zip(part, [data[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+            else:
+                self.memo.update(zip(part, self._whole(part), strict=True))
+
+    def _by_columns(self, texts: pa.Array) -> list[bytes]:
+        """For the kind that drops white space: words are cut, coded and looked up as columns, each distinct word once,
+        and their ids are laid end to end by arrays of places."""
+        apart = pc.replace_substring_regex(pc.utf8_lower(texts), _END_WORDS, "\\0 ")
+        words = pc.utf8_split_whitespace(apart)
+        coded = words.flatten().dictionary_encode()
+        named = coded.dictionary.to_pylist()
+        self._memorize(set(named))
+        known = [self.memo[w] for w in named]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        flat = np.frombuffer(b"".join(known), "<u4")
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        lengths = sizes[codes]
+        ends = np.cumsum(lengths)
+        firsts = (np.cumsum(sizes) - sizes)[codes]
+        ids = flat[np.repeat(firsts - ends + lengths, lengths) + np.arange(lengths.sum())]
+        stops = np.concatenate(([0], ends))[words.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        cut = [self.words.findall(x) for x in texts]
+        self._memorize(set(chain.from_iterable(cut)))
+        memo = self.memo
+        return [b"".join([memo[w] for w in words]) for words in cut]
+
     def ids(self, texts) -> list[bytes]:
+        texts = [x or "" for x in texts]
         out: list[bytes] = []
-        for text in texts:
-            text = text or ""
-            if self.words is None or any(s in text for s in self.special) or not text.isascii() and _OUTSIDE.search(text):
-                out += self._whole([text])
-                continue
-            words, memo = self.words.findall(text.lower() if self.lower else text), self.memo
-            try:
-                out.append(b"".join([memo[w] for w in words]))
-            except KeyError:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                new = [w for w in set(words) if w not in memo]
-                memo.update(zip(new, self._whole(new), strict=True))
-                out.append(b"".join([memo[w] for w in words]))
+        first = size = 0
+        for i, x in enumerate(texts):
+            size += len(x)
+            if size >= TOGETHER or i + 1 == len(texts):
+                out += self._ids(texts[first : i + 1])
+                first, size = i + 1, 0
         return out
 
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        column = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(column, _OUTSIDE)
+        for s in self.special:
+            whole = pc.or_(whole, pc.match_substring(column, s))
+        marks = [True] * len(texts) if self.words is None else whole.to_pylist()
+        simple = column.filter(pa.array([not w for w in marks]))
+        fast = iter(self._by_columns(simple) if self.lower else self._by_words(simple.to_pylist()))
+        return [self._whole([x])[0] if w else next(fast) for x, w in zip(texts, marks, strict=True)]
+
 
 _loaded: dict[str, WordTokenizer] = {}
 
