@@ -441,22 +441,46 @@ DISPATCH: dict[str, Callable[[], Pieces]] = {
     "sidebar": _placeholder("Sidebar"), "shop": _placeholder("Shop"), "contact_form": _form, "contact_field": _field, "signup": _signup,
 }
 
-#: Top-level elements that text is cut into, where it consists of nothing else; anything else stays one html block.
-_SIMPLE = r"(?is)^(?:\s*(?:<p\b[^>]*>(?:(?!</?p\b).)*+</p>|<h[1-6]\b[^>]*>(?:(?!</?h[1-6]\b).)*+</h[1-6]>|<hr\b[^>]*>|<pre\b[^>]*>(?:(?!</?pre\b).)*+</pre>))++\s*$"
+#: The elements that loose text is cut into at its top level, where it consists of nothing else: one pattern each, of an
+#: element without another of its kind (for lists, without any list) inside. Text with anything else stays one html block.
+_ELEMENTS = {
+    "paragraph": r"<p\b[^>]*>(?:(?!</?p\b).)*+</p>",
+    "heading": r"<h([1-6])\b[^>]*>(?:(?!</?h[1-6]\b).)*+</h[1-6]>",
+    "separator": r"<hr\b[^>]*>",
+    "preformatted": r"<pre\b[^>]*>(?:(?!</?pre\b).)*+</pre>",
+    "list": r"<[uo]l>\s*(?:<li>(?:(?!</?(?:li|ul|ol)\b).)*+</li>\s*)++</[uo]l>",
+    "quote": r"<blockquote\b[^>]*>(?:(?!</?(?:blockquote|ul|ol|table|pre|h[1-6]|div)\b).)*+</blockquote>",
+    "table": r"<table>(?:(?!</?table\b|<caption\b|<(?:tbody|thead|tfoot|tr)\s).)*+</table>",
+}
+_SIMPLE = "(?is)^(?:\\s*(?:" + "|".join(p.replace("([1-6])", "[1-6]") for p in _ELEMENTS.values()) + "))++\\s*$"
+_BLOCK_TAGS = r"(?i)<(?:p|h[1-6]|ul|ol|table|blockquote|pre|hr|div|section|article|iframe|embed|object|video|form|script|style|figure)\b"
+
+
+def _embedded(text: Column) -> Column:
+    """A block for text that is one iframe: an embed on a known video host, else html."""
+    src = F.regexp_extract(text, r"""(?i)^<iframe\b[^>]*\bsrc=["']([^"']+)["']""", 1)
+    host = S.video_provider(src)
+    html = _cat('<figure class="wp-block-embed is-type-video is-provider-', host["provider"], " wp-block-embed-", host["provider"], '"><div class="wp-block-embed__wrapper">\n', host["watch"], "\n</div></figure>")
+    return F.when(host["watch"] != "", block("embed", html, F.struct(host["watch"].alias("url"), F.lit("video").alias("type"), host["provider"].alias("providerNameSlug")))).otherwise(block("html", text))
 
 
 def text_blocks(text: Column) -> Column:
-    """Loose text as blocks: a paragraph if it holds no block element; paragraphs, headings, rules and preformatted text one
-    by one; block delimiters taken out of comments; whatever else verbatim, as html."""
-    plain = ~text.rlike(r"(?i)<(?:p|h[1-6]|ul|ol|table|blockquote|pre|hr|div|section|article|iframe|embed|object|video|form|script|style|figure)\b")
-    free = F.regexp_replace(text, r"(?s)<!--\s*/?wp:.*?-->", "")
-    cut = F.regexp_replace(free, r"(?is)(<p\b[^>]*>(?:(?!</?p\b).)*+</p>)", "<!-- wp:paragraph -->\n$1\n<!-- /wp:paragraph -->\n\n")
-    for level in range(1, 7):
-        cut = F.regexp_replace(cut, rf"(?is)(<h{level}\b[^>]*>(?:(?!</?h{level}\b).)*+</h{level}>)", f'<!-- wp:heading {{"level":{level}}} -->\n$1\n<!-- /wp:heading -->\n\n')
-    cut = F.regexp_replace(cut, r"(?is)<hr\b[^>]*>", '<!-- wp:separator -->\n<hr class="wp-block-separator has-alpha-channel-opacity"/>\n<!-- /wp:separator -->\n\n')
-    cut = F.regexp_replace(cut, r"(?is)<pre\b[^>]*>((?:(?!</?pre\b).)*+</pre>)", '<!-- wp:preformatted -->\n<pre class="wp-block-preformatted">$1\n<!-- /wp:preformatted -->\n\n')
-    bare = F.btrim(free, F.lit(S.BLANKS))
-    return F.when(bare == "", "").when(plain, block("paragraph", _cat("<p>", bare, "</p>"))).when(free.rlike(_SIMPLE), F.regexp_replace(cut, r"^\s+", "")).otherwise(block("html", bare))
+    """Loose text as blocks: a paragraph if it holds no block element; paragraphs, headings, rules, preformatted text, flat
+    lists, quotes and plain tables one by one; block delimiters taken out, other comments kept; div, section and article
+    unwrapped where nothing else is left; a video's iframe as an embed; whatever else verbatim, as html."""
+    free = F.btrim(F.regexp_replace(text, r"(?s)<!--\s*/?wp:.*?-->", ""), F.lit(S.BLANKS))
+    open_ = F.btrim(F.regexp_replace(free, r"(?i)</?(?:div|section|article)>", ""), F.lit(S.BLANKS))
+    cut = F.regexp_replace(open_, "(?is)" + _ELEMENTS["paragraph"] + r"(?!\s*(?:</blockquote>|<cite|<p\b(?:(?!</blockquote>|<blockquote).)*+</blockquote>))", "<!-- wp:paragraph -->\n$0\n<!-- /wp:paragraph -->\n\n")
+    cut = F.regexp_replace(cut, "(?is)" + _ELEMENTS["heading"], '<!-- wp:heading {"level":$1} -->\n$0\n<!-- /wp:heading -->\n\n')
+    cut = F.regexp_replace(cut, "(?is)" + _ELEMENTS["separator"], '<!-- wp:separator -->\n<hr class="wp-block-separator has-alpha-channel-opacity"/>\n<!-- /wp:separator -->\n\n')
+    cut = F.regexp_replace(cut, r"(?is)<pre\b[^>]*>((?:(?!</?pre\b).)*+)</pre>", '<!-- wp:preformatted -->\n<pre class="wp-block-preformatted">$1</pre>\n<!-- /wp:preformatted -->\n\n')
+    listed = F.regexp_replace(cut, r"(?is)<li>((?:(?!</?(?:li|ul|ol)\b).)*+)</li>", "<!-- wp:list-item -->\n<li>$1</li>\n<!-- /wp:list-item -->\n\n")
+    listed = F.regexp_replace(listed, r"(?is)<ul>\s*(<!-- wp:list-item(?:(?!<ul>).)*?)</ul>", '<!-- wp:list -->\n<ul class="wp-block-list">\n$1</ul>\n<!-- /wp:list -->\n\n')
+    listed = F.regexp_replace(listed, r"(?is)<ol>\s*(<!-- wp:list-item(?:(?!<ol>).)*?)</ol>", '<!-- wp:list {"ordered":true} -->\n<ol class="wp-block-list">\n$1</ol>\n<!-- /wp:list -->\n\n')
+    quoted = F.regexp_replace(listed, r"(?is)<blockquote\b[^>]*>\s*((?:(?!</?blockquote\b).)*+)</blockquote>", '<!-- wp:quote -->\n<blockquote class="wp-block-quote">\n$1</blockquote>\n<!-- /wp:quote -->\n\n')
+    rows = F.regexp_replace(quoted, r"(?is)<table>\s*(<tr\b(?:(?!</?t(?:able|body|head|foot)\b).)*+)</table>", "<table><tbody>$1</tbody></table>")
+    tabled = F.regexp_replace(rows, r"(?is)<table>((?:(?!</?table\b).)*+)</table>", '<!-- wp:table -->\n<figure class="wp-block-table"><table>$1</table></figure>\n<!-- /wp:table -->\n\n')
+    return F.when(free == "", "").when(~free.rlike(_BLOCK_TAGS), block("paragraph", _cat("<p>", free, "</p>"))).when(open_.rlike(_SIMPLE), tabled).when(free.rlike(r"(?is)^<iframe\b[^>]*>\s*</iframe>$"), _embedded(free)).otherwise(block("html", free))
 
 
 def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "") -> DataFrame:

@@ -95,6 +95,25 @@ def test_warnings(spark, converted):
     assert {(2, "et_pb_weird"), (4, "et_pb_image"), (5, "et_pb_counter"), (5, "et_pb_slider")} <= found and not any(i == 1 for i, _ in found)
 
 
+def test_loose_html(spark):
+    from pyspark.sql import functions as F
+
+    cases = {
+        "a <b>b</b>": ["paragraph"], "<p>a</p>\n<h3 class='x'>b</h3><hr>": ["paragraph", "heading", "separator"], "<ul><li>a</li><li>b</li></ul>": ["list", "list-item", "list-item"], "<ol>\n<li>a</li></ol>": ["list", "list-item"],
+        "<ul><li>a<ul><li>b</li></ul></li></ul>": ["html"], "<blockquote><p>a</p></blockquote>": ["quote", "paragraph"], "<table><tr><td>a</td></tr></table>": ["table"], "<table border='1'><tr><td>a</td></tr></table>": ["html"], "<div><p>a</p></div>": ["paragraph"],
+        "<form>x</form>": ["html"], "<!-- wp:x -->": [], '<iframe src="https://player.vimeo.com/video/12"></iframe>': ["embed"], "<pre>a  b</pre>": ["preformatted"], "": [],
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "id long, t string").select("id", render.text_blocks(F.col("t")).alias("markup"))
+    names = {k: [] for k in range(len(cases))}
+    for r in sorted(validate.block_comments(rows).collect(), key=lambda r: (r["id"], r["ordinal"])):
+        if not r["closing"]:
+            names[r["id"]].append(r["name"])
+    got = dict(zip(cases, names.values(), strict=True))
+    loose = {"<blockquote><p>a</p></blockquote>": ["quote"]}
+    assert {k: v for k, v in got.items() if v not in (cases[k], loose.get(k))} == {}
+    assert [r for r in validate.problems(rows).collect() if r["id"] != 5] == []
+
+
 def test_every_module_is_dispatched():
     assert set(render.DISPATCH) == set(documents.MODULES)
 
