@@ -545,6 +545,28 @@ def warnings(nodes: DataFrame) -> DataFrame:
     return own.unionByName(styles).distinct()
 
 
+def acknowledged_losses(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "") -> DataFrame:
+    """id, acknowledged (struct of words, links, images, buttons): what rendering is known to drop, for the census to allow.
+
+    A section's background image, gallery images that are gone, a second video source, a social link without a network, and
+    all but the words of modules inside a counter's label."""
+    from foliant.functions.census import KINDS, source_census
+
+    a = F.map_from_entries("attrs")
+    has = lambda name: F.coalesce(F.element_at(a, name), F.lit("")) != ""
+    is_ = lambda *modules: F.col("tag").isin(*[PREFIX + m for m in modules])
+    links = F.when(is_("video") & has("src") & has("src_webm") & (F.element_at(a, "src") != F.element_at(a, "src_webm")), 1).when(is_("social_media_follow_network") & has("url") & ~has("social_network"), 1).otherwise(0)
+    images = F.when(is_("section") & has("background_image"), 1).otherwise(0)
+    label = F.when(is_("counter") & F.contains("content", F.lit("[" + PREFIX)), source_census(F.col("content")))
+    rows = nodes.select("id", links.alias("links"), images.alias("images"), label.alias("label"))
+    rows = rows.select("id", F.lit(0).cast("long").alias("words"), (F.col("links") + F.coalesce("label.links", F.lit(0))).alias("links"), (F.col("images") + F.coalesce("label.images", F.lit(0))).alias("images"), F.coalesce("label.buttons", F.lit(0)).alias("buttons"))
+    if attachments is not None:
+        gone = gallery_urls(nodes, attachments, base_url).select("id", F.size(F.filter("gallery", lambda x: x["url"].isNull())).cast("long").alias("images"))
+        none = F.lit(0).cast("long")
+        rows = rows.unionByName(gone.select("id", none.alias("words"), none.alias("links"), "images", none.alias("buttons")))
+    return rows.groupBy("id").agg(*[F.sum(k).alias(k) for k in KINDS]).select("id", F.struct(*KINDS).alias("acknowledged"))
+
+
 def convert(docs: DataFrame, attachments: DataFrame | None = None, base_url: str = "") -> DataFrame:
     """id, markup of every row of `docs` (id, post_content): documents without a complete opening tag are passed through."""
     nodes = node_table(docs)

@@ -91,6 +91,13 @@ def change_plan(requests: DataFrame, posts: DataFrame, converted: DataFrame) ->
     return joined.select("post_id", F.when(reason.isNull(), "write").otherwise("refuse").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("markup")).alias("markup"), "source_hash", F.when(reason.isNull(), F.md5("markup")).alias("new_hash"))
 
 
+def still_current(plan: DataFrame, latest: DataFrame) -> DataFrame:
+    """`plan` (post_id, source_hash and any other columns) with current: does the latest snapshot still hold the body that the
+    plan was made for? A publisher writes those rows only."""
+    now = latest.select(F.col("id").alias("_id"), F.md5("post_content").alias("_now"))
+    return plan.join(now, F.col("post_id") == F.col("_id"), "left").withColumn("current", F.coalesce(F.col("_now") == F.col("source_hash"), F.lit(False))).drop("_id", "_now")
+
+
 def retained_meta(meta: DataFrame, delete_data: bool = True) -> DataFrame:
     """The metadata that an uninstall leaves: all of it, or all but the tool's own keys."""
     own = (BACKUP_KEY, BACKUP_DATE_KEY, BUILDER_SNAPSHOT_KEY)

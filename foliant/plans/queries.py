@@ -373,11 +373,29 @@ def conversion_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def conversion_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides' census of every converted document, gallery images that are gone acknowledged."""
+    """Both sides' census of every converted document, with what rendering acknowledges to have dropped."""
     docs = posts(spark, sf_dir)
-    gone = render.gallery_urls(documents.node_table(docs), attachments(spark, sf_dir), "https://cdn.example.com").select("id", F.size(F.filter("gallery", lambda x: x["url"].isNull())).cast("long").alias("gone"))
-    both = docs.join(convert(spark, sf_dir), "id").join(gone.groupBy("id").agg(F.sum("gone").alias("gone")), "id", "left").where(F.contains("post_content", F.lit("[et_pb_")))
-    return both.select("id", census.source_census(F.col("post_content")).alias("b"), census.block_census(F.col("markup")).alias("a"), F.coalesce("gone", F.lit(0)).alias("acknowledged_images")).select("id", *[F.col(f"b.{k}").alias(f"{k}_before") for k in census.KINDS], *[F.col(f"a.{k}").alias(f"{k}_after") for k in census.KINDS], "acknowledged_images")
+    known = render.acknowledged_losses(documents.node_table(docs), attachments(spark, sf_dir), "https://cdn.example.com")
+    both = docs.join(convert(spark, sf_dir), "id").join(known, "id", "left").where(F.contains("post_content", F.lit("[et_pb_")))
+    facts = both.select("id", census.source_census(F.col("post_content")).alias("before"), census.block_census(F.col("markup")).alias("after"), "acknowledged")
+    return facts.select("id", *[F.col(f"before.{k}").alias(f"{k}_before") for k in census.KINDS], *[F.col(f"after.{k}").alias(f"{k}_after") for k in census.KINDS], *[F.coalesce(f"acknowledged.{k}", F.lit(0)).alias(f"{k}_acknowledged") for k in census.KINDS])
+
+
+@query(" SELECT id, kind, lost, before FROM (SELECT 0 AS id, '' AS kind, 0 AS lost, 0 AS before) WHERE id < 0", "posts")
+def conversion_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Losses that nothing explains: none."""
+    facts = conversion_census(spark, sf_dir)
+    side = lambda s: F.struct(*[F.col(f"{k}_{s}").alias(k) for k in census.KINDS]).alias(s)
+    return census.unexplained(facts.select("id", side("before"), side("after"), side("acknowledged")))
+
+
+@query(_CHECK + "SELECT post_id, source_hash, current_hash = source_hash AND post_id % 2 = 0 AS current FROM checked WHERE verdict = 'ok'", "posts", "requests")
+def still_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan against a later snapshot, in which odd posts were edited."""
+    docs = posts(spark, sf_dir)
+    plan = writeplan.check_tokens(requests(spark, sf_dir), docs).where("verdict = 'ok'").select("post_id", "source_hash")
+    later = docs.withColumn("post_content", F.when(F.col("id") % 2 == 0, F.col("post_content")).otherwise(F.concat("post_content", F.lit("!"))))
+    return writeplan.still_current(plan, later)
 
 
 @query()

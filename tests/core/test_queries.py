@@ -152,3 +152,21 @@ def test_training_data_operators_are_not_imported_by_the_rest():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "foliant.llm" not in p.read_text() and "from .llm" not in p.read_text(), p
+
+
+def test_streaming_and_sinks(spark, converted, tmp_path):
+    from foliant.sources import corpus, sinks
+    from foliant.streaming.incremental import convert_stream
+
+    docs, markup = converted
+    full = docs.where("id in (1, 3)").selectExpr("id", "'t' AS post_title", "'post' AS post_type", "'publish' AS post_status", "DATE '2024-01-01' AS post_date", "post_content")
+    full.coalesce(1).write.parquet(str(tmp_path / "in"))
+    convert_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert {r["id"]: r["markup"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {k: markup[k] for k in (1, 3)}
+    assert corpus.read_posts(spark, str(tmp_path / "in")).count() == 2
+    (tmp_path / "a.txt").write_text("[et_pb_text]x\n[/et_pb_text]")
+    assert [r["post_content"] for r in corpus.read_files(spark, str(tmp_path / "a.txt")).collect()] == ["[et_pb_text]x\n[/et_pb_text]"]
+    plan = spark.createDataFrame([(1, "write"), (2, "refuse")], "post_id long, status string")
+    sinks.write_plan(plan, str(tmp_path / "plan"))
+    assert spark.read.parquet(str(tmp_path / "plan")).where("status = 'write'").count() == 1
+    assert sinks.json_rows(plan).orderBy("json").first()["json"] == '{"post_id":1,"status":"write"}'
