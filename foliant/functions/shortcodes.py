@@ -13,6 +13,7 @@ from typing import NamedTuple
 #: Levels of nesting beyond which tags are stripped and their text is kept.
 MAX_DEPTH = 32
 TEXT = "__text__"
+COLUMN_TAGS = ("et_pb_column", "et_pb_column_inner")
 BLANKS = " \t\n\r\0\x0b"
 _QUOTE = "&(?:quot|#0?34);"
 _TAG = re.compile(
@@ -35,7 +36,8 @@ class Span(NamedTuple):
 
 class Node(NamedTuple):
     """One row of a document's tree, in document order. parent_id is None at the top; ordinal counts siblings from 0;
-    last_id is the last node of the subtree, the node itself if it has no children."""
+    last_id is the last node of the subtree, the node itself if it has no children. own_text is a module's content without
+    its modules: all of it if it has none, else its own text parts, joined by line feeds. columns counts child columns."""
 
     node_id: int
     parent_id: int | None
@@ -45,6 +47,8 @@ class Node(NamedTuple):
     attrs: list[tuple[str, str]]
     content: str
     last_id: int
+    own_text: str
+    columns: int
 
 
 def tag_spans(content: str) -> list[Span]:
@@ -93,9 +97,16 @@ def nodes(content: str) -> list[Node]:
         return None
 
     def add(parent: int | None, ordinal: int, depth: int, tag: str, attrs, text: str) -> int:
-        out.append(Node(len(out), parent, ordinal, depth, tag, attrs, text, len(out)))
+        out.append(Node(len(out), parent, ordinal, depth, tag, attrs, text, len(out), text.strip(BLANKS), 0))
         return len(out) - 1
 
+    def settle(me: int) -> None:
+        """What a module learns from its children."""
+        children = [n for n in out[me + 1 :] if n.parent_id == me]
+        modules = [n.tag for n in children if n.tag != TEXT]
+        own = "\n".join(n.content for n in children if n.tag == TEXT) if modules else out[me].own_text
+        out[me] = out[me]._replace(last_id=len(out) - 1, own_text=own, columns=sum(t in COLUMN_TAGS for t in modules))
+
     def walk(lo: int, hi: int, k: int, parent: int | None, depth: int) -> int:
         """Adds the nodes of content[lo:hi], whose first span is k or later; returns how many there are at this level."""
         n = 0
@@ -119,7 +130,7 @@ def nodes(content: str) -> list[Node]:
             me = add(parent, n, depth, s.tag, attributes(s.attrs_str), content[s.end : end])
             n += 1
             if not s.self_closing and walk(s.end, end, k + 1, me, depth + 1):
-                out[me] = out[me]._replace(last_id=len(out) - 1)
+                settle(me)
             if not s.self_closing and j is None:
                 return n
             at = spans[j].end if j is not None else s.end

@@ -15,7 +15,7 @@ from foliant.functions.shortcodes import TEXT
 from foliant.operators.inventory import SHORTCODE
 
 SPANS = "id long, ordinal int, tag string, start int, end int, attrs_str string, closing boolean, self_closing boolean"
-NODES = "id long, node_id int, parent_id int, ordinal int, depth int, tag string, attrs array<struct<name:string,value:string>>, content string, last_id int"
+NODES = "id long, node_id int, parent_id int, ordinal int, depth int, tag string, attrs array<struct<name:string,value:string>>, content string, last_id int, own_text string, columns int"
 
 #: Every module tag that the source format defines, without its prefix (fixed values).
 MODULES = (
@@ -71,10 +71,10 @@ def node_table(docs: DataFrame) -> DataFrame:
         pair = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
         for b in batches:
             rows = [(i, *n) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n in shortcodes.nodes(text)]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
+            columns = list(zip(*rows, strict=True)) or [()] * 11
             columns[6] = [[{"name": k, "value": v} for k, v in attrs] for attrs in columns[6]]
-            kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pair, pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "node_id", "parent_id", "ordinal", "depth", "tag", "attrs", "content", "last_id"])
+            kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pair, pa.string(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "node_id", "parent_id", "ordinal", "depth", "tag", "attrs", "content", "last_id", "own_text", "columns"])
 
     return _bodies(docs).mapInArrow(each, NODES)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import sanitize as S
 from foliant.functions.shortcodes import TEXT
-from foliant.operators.documents import PREFIX, inner_content, node_table, style_losses
+from foliant.operators.documents import PREFIX, node_table, style_losses
 
 #: Modules whose text is a label or verbatim code: nodes inside them aren't rendered on their own.
 SWALLOWING = ("code", "fullwidth_code", "counter", "pricing_item", "image", "fullwidth_image", "contact_field", "map_pin", "gallery", "audio", "blog", "menu", "fullwidth_menu", "search", "portfolio", "filterable_portfolio", "fullwidth_portfolio", "divider", "button", "number_counter", "circle_counter", "post_title", "comments", "login", "sidebar", "shop")
@@ -201,7 +201,7 @@ def _section() -> Pieces:
 
 def _row() -> Pieces:
     style, classes, css = _wrapper()
-    columns = F.col("column_children") > 0
+    columns = F.col("columns") > 0
     return F.when(columns, _cat(_open("columns", F.struct(style.alias("style"))), '<div class="wp-block-columns', classes, '"', _style_attr(css), ">\n")).otherwise(""), F.when(columns, _cat("\n</div>", _close("columns"))).otherwise("")
 
 
@@ -484,12 +484,11 @@ def text_blocks(text: Column) -> Column:
 
 
 def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "") -> DataFrame:
-    """id, at, side, inner, piece: the opening (side 0) and closing (side 1) markup of every node, with its place."""
-    swallowed = nodes.where(F.col("tag").isin(*[PREFIX + m for m in SWALLOWING]) & (F.col("last_id") > F.col("node_id"))).select(F.col("id").alias("_id"), F.col("node_id").alias("_from"), F.col("last_id").alias("_to"))
-    inside = (F.col("id") == F.col("_id")) & (F.col("node_id") > F.col("_from")) & (F.col("node_id") <= F.col("_to"))
-    rows = nodes.join(swallowed, inside, "left_anti").join(inner_content(nodes).withColumnRenamed("text", "own_text"), ["id", "node_id"], "left")
-    columns = nodes.where(F.col("tag").isin(PREFIX + "column", PREFIX + "column_inner")).groupBy("id", F.col("parent_id").alias("node_id")).agg(F.count(F.lit(1)).alias("column_children"))
-    rows = rows.join(columns, ["id", "node_id"], "left").fillna({"column_children": 0, "own_text": ""})
+    """id, module, at, side, inner, piece: the opening (side 0) and closing (side 1) markup of every node, with its place, and
+    whether the node is a module."""
+    before = Window.partitionBy("id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("tag").isin(*[PREFIX + m for m in SWALLOWING]), F.col("last_id"))).over(before)
+    rows = nodes.withColumn("_swallowed_to", F.coalesce(reach, F.lit(-1))).where(F.col("node_id") > F.col("_swallowed_to"))
     siblings = Window.partitionBy("id", "parent_id").orderBy("ordinal")
     rows = rows.withColumn("a", F.map_from_entries("attrs"))
     network = Window.partitionBy("id", "parent_id", "tag", F.coalesce(_a("social_network"), F.lit(""))).orderBy(F.desc("ordinal"))
@@ -511,7 +510,7 @@ def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str
         F.struct(F.col("node_id").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("inner"), opening.alias("piece")),
         F.struct(F.col("last_id").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("inner"), closing.alias("piece")),
     )
-    return rows.select("id", F.explode(sides).alias("s")).select("id", "s.*").where("piece <> ''")
+    return rows.select("id", (F.col("tag") != TEXT).alias("module"), F.explode(sides).alias("s")).select("id", "module", "s.*")
 
 
 def gallery_urls(nodes: DataFrame, attachments: DataFrame, base_url: str) -> DataFrame:
@@ -569,9 +568,8 @@ def acknowledged_losses(nodes: DataFrame, attachments: DataFrame | None = None,
 
 def convert(docs: DataFrame, attachments: DataFrame | None = None, base_url: str = "") -> DataFrame:
     """id, markup of every row of `docs` (id, post_content): documents without a complete opening tag are passed through."""
-    nodes = node_table(docs)
-    parts = pieces(nodes, attachments, base_url)
-    joined = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "side", "inner", "piece"))), lambda x: x["piece"]), "").alias("markup"))
-    opened = nodes.where(F.col("tag") != TEXT).select("id").distinct().withColumn("_opened", F.lit(True))
+    parts = pieces(node_table(docs), attachments, base_url)
+    said = F.when(F.col("piece") != "", F.struct("at", "side", "inner", "piece"))  # a list leaves nulls out
+    joined = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["piece"]), "").alias("markup"), F.max("module").alias("_opened"))
     tidy = F.btrim(F.regexp_replace(F.coalesce("markup", F.lit("")), r"\n{3,}", "\n\n"), F.lit(S.BLANKS))
-    return docs.select("id", "post_content").join(opened, "id", "left").join(joined, "id", "left").select("id", F.when(F.col("_opened"), tidy).otherwise(F.col("post_content")).alias("markup"))
+    return docs.select("id", "post_content").join(joined, "id", "left").select("id", F.when(F.col("_opened"), tidy).otherwise(F.col("post_content")).alias("markup"))
