@@ -24,7 +24,7 @@ LIMIT = 0x230
 #: Words kept in a worker's memo; beyond, it starts anew.
 MEMO_WORDS = 500_000
 #: Characters of text that are cut and looked up together.
-TOGETHER = 8_000_000
+TOGETHER = 3_000_000
 _LETTERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
