@@ -51,5 +51,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str) -> DataF
         if n > FEW_MISSES:
             texts = texts.join(missing, "content", "left_semi")
         texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    # written, so that the last join reads plain rows on both sides and adaptive execution can split a content that very
+    # many documents share
+    counts = materialize(read_cache(spark, cache_path).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return keyed.select("doc_id", "n_bytes", "content").join(counts, "content", "left").select("doc_id", "n_bytes", "n_tokens")
