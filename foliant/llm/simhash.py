@@ -2,7 +2,7 @@
 
 Two uses share the parts. `link_fingerprints` links 64-bit fingerprints of three-word shingles at two or fewer
 differing bits, exactly. `near_duplicates`, for the pipeline, finds texts whose five-word shingles have a Jaccard
-similarity of about 0.8 or more; such texts differ in some 150 of 1,024 bits, too many for blocks of the same
+similarity of about 0.8 or more; such texts differ in some 15 bits of a hundred, too many for blocks of the same
 fingerprint to be selective, so the blocks are cut from a second one, of word pairs, which an edit changes less.
 Documents with one fingerprint are one class throughout, so copies are never paired.
 """
@@ -32,9 +32,9 @@ BLOCKS, CHOSEN, BLOCK_BITS, DISTANCE = 4, 2, 16, 2
 #: Fingerprints of a bucket whose pairs are checked; larger buckets take the exact way of `_by_midpoints`.
 BUCKET = 48
 
-WIDE_BITS, WIDE_BLOCK_BYTES = 1_024, 3
-#: Differing bits of 1,024 at a Jaccard similarity of 0.8 (an angle of arccos(1.6 / 1.8)), and half a deviation.
-WIDE_DISTANCE = 161
+PAIR_BITS, FIVE_BITS, WIDE_BLOCK_BYTES = 1_024, 2_048, 3
+#: Differing bits of 2,048 at a Jaccard similarity of 0.8 (an angle of arccos(1.6 / 1.8)), and half a deviation.
+WIDE_DISTANCE = 319
 #: Members of a bucket that are compared in one task; of larger buckets, every two chunks meet in a task of their own.
 MEMBERS = 512
 
@@ -129,16 +129,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(word_hashes: np.ndarray, words: int) -> bytes:
-    """1,024 bits over the distinct shingles of `words` words (the whole sequence, if shorter), from the words' hashes."""
+def wide_fingerprint(word_hashes: np.ndarray, words: int, bits: int) -> bytes:
+    """`bits` bits over the distinct shingles of `words` words (the whole sequence, if shorter), from the words' hashes."""
     n = len(word_hashes)
     words = max(1, min(words, n))
     shingles = np.zeros(max(0, n - words + 1), np.uint64)
     for i in range(words):
         shingles = _mix(shingles + _SALTS[i] + word_hashes[i : n - words + 1 + i])
     shingles = np.unique(shingles)
-    lanes = np.arange(1, WIDE_BITS // 64 + 1, dtype=np.uint64) * _GAMMA
-    counts = np.zeros(WIDE_BITS, np.int64)
+    lanes = np.arange(1, bits // 64 + 1, dtype=np.uint64) * _GAMMA
+    counts = np.zeros(bits, np.int64)
     for i in range(0, len(shingles), 2 * 255):
         counts += bit_counts(_mix(shingles[i : i + 2 * 255, None] + lanes))
     return majority(counts, len(shingles))
@@ -155,8 +155,8 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
             for x in b.column(2):
                 words = x.as_py().encode().lower().split()
                 hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-                twos.append(wide_fingerprint(hashes, 2))
-                fives.append(wide_fingerprint(hashes, 5))
+                twos.append(wide_fingerprint(hashes, 2, PAIR_BITS))
+                fives.append(wide_fingerprint(hashes, 5, FIVE_BITS))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(twos, pa.binary()), pa.array(fives, pa.binary())], names=["doc_id", "content", "pairs", "fives"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text"))
@@ -210,14 +210,16 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     prints = materialize(wide_fingerprints(docs), "wide-prints")
     classes = prints.groupBy("pairs", "fives").agg(F.count(F.lit(1)).alias("rows"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    cut = F.array(*[F.substring("pairs", WIDE_BLOCK_BYTES * i + 1, WIDE_BLOCK_BYTES) for i in range(WIDE_BITS // 8 // WIDE_BLOCK_BYTES)])
-    keyed = classes.select("cid", "fives", F.posexplode(cut).alias("way", "block"))
+    cut = F.array(*[F.substring("pairs", WIDE_BLOCK_BYTES * i + 1, WIDE_BLOCK_BYTES) for i in range(PAIR_BITS // 8 // WIDE_BLOCK_BYTES)])
+    keyed = classes.select("cid", F.posexplode(cut).alias("way", "block"))
     sizes = keyed.groupBy("way", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
     held = keyed.join(sizes, ["way", "block"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
     # a chunk meets itself and every other chunk of its bucket once
     met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    dealt = held.select("way", "block", F.explode(met).alias("ij"), F.struct("cid", "chunk", "fives").alias("member"))
+    dealt = held.select("cid", "way", "block", "chunk", F.explode(met).alias("ij"))
+    # only members of a bucket with another take their fingerprint along
+    dealt = dealt.join(classes.select("cid", "fives"), "cid").select("way", "block", "ij", F.struct("cid", "chunk", "fives").alias("member"))
     buckets = dealt.groupBy("way", "block", "ij").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
     found = components(_bucket_links(buckets))
     roots = classes.join(found, classes["cid"] == found["node"], "left").select("pairs", "fives", F.coalesce("component", "cid").alias("root"))
