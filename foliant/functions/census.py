@@ -6,6 +6,8 @@ same rules on the source side and on the block side, so the two can be compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +35,10 @@ def visible_text(content: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Tokens between Unicode white space that have a letter or digit and are no web address."""
-    tokens = F.split(text, r"(?U)\s+")
-    return F.size(F.filter(tokens, lambda t: t.rlike(r"[\p{L}\p{N}]") & ~t.rlike(r"(?i)(?:^\w+://|^www\.)"))).cast("long")
+    """Tokens between Unicode white space that have a letter or digit and are no web address: one pass of one pattern, which
+    can start only where a token starts and takes it whole."""
+    token = r"(?U)(?<!\S)(?=\S*?[\p{L}\p{N}])(?!(?i:[a-z0-9_]+://|www\.))\S++"
+    return F.regexp_count(text, F.lit(token)).cast("long")
 
 
 def normal_url(url: Column) -> Column:
@@ -69,12 +72,17 @@ def _distinct(urls: Column, images: bool) -> Column:
 def source_census(content: Column) -> Column:
     """struct<words,links,images,buttons> of a shortcode document. Gallery images are counted as often as they are listed."""
     c = straight_quotes(F.coalesce(content, F.lit("")))
-    urls = F.concat(attribute_urls(c), html_urls(c))
+    urls = F.when(F.contains(c, F.lit("=")) | F.contains(c, F.lit(":")), F.concat(attribute_urls(c), html_urls(c))).otherwise(F.array().cast("array<string>"))
     lists = _all(c, r"""(?i)\bgallery_ids\s*=\s*["']([^"']*)["']""")
     listed = F.size(F.filter(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda i: F.btrim(i, F.lit(BLANKS)) != "")).cast("long")
     words = word_count(visible_text(F.regexp_replace(c, TAG, " ")))
     buttons = F.regexp_count(c, F.lit(r"(?i)\[et_pb_(?:fullwidth_)?button\b")).cast("long")
-    return F.struct(words.alias("words"), _distinct(urls, False).alias("links"), (_distinct(urls, True) + listed).alias("images"), buttons.alias("buttons"))
+    return _once(urls, lambda u: F.struct(words.alias("words"), _distinct(u, False).alias("links"), (_distinct(u, True) + listed).alias("images"), buttons.alias("buttons")))
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def block_census(content: Column) -> Column:
