@@ -1,9 +1,11 @@
 """SimHash near-duplicates: fingerprints, pigeonhole blocks, verified Hamming distances, components.
 
 Two uses share the parts. `link_fingerprints` links 64-bit fingerprints of three-word shingles at two or fewer
-differing bits, exactly. `near_duplicates`, for the pipeline, finds texts whose five-word shingles have a Jaccard
-similarity of about 0.8 or more; such texts differ in some 15 bits of a hundred, too many for blocks of the same
-fingerprint to be selective, so the blocks are cut from a second one, of word pairs, which an edit changes less.
+differing bits, exactly. `near_duplicate_classes`, for the pipeline, groups texts whose sets of five-word shingles have
+a Jaccard similarity of 0.8 or more. Such texts differ in up to 15 bits of a hundred, so that blocks of SimHash bits that
+miss few of them (355 of 24 bits for one in a thousand) would bring together too many others; the blocks are minima of
+the same shingles instead, which agree as often as the sets do, whatever the edit. SimHash distances sift the pairs of
+a bucket, and every link is confirmed on the sets themselves.
 Documents with one fingerprint are one class throughout, so copies are never paired.
 """
 
@@ -32,9 +34,15 @@ BLOCKS, CHOSEN, BLOCK_BITS, DISTANCE = 4, 2, 16, 2
 #: Fingerprints of a bucket whose pairs are checked; larger buckets take the exact way of `_by_midpoints`.
 BUCKET = 48
 
-PAIR_BITS, FIVE_BITS, WIDE_BLOCK_BYTES = 1_024, 2_048, 3
-#: Differing bits of 2,048 at a Jaccard similarity of 0.8 (an angle of arccos(1.6 / 1.8)), and half a deviation.
-WIDE_DISTANCE = 319
+FIVE_BITS = 2_048
+#: A block is ROWS minima, each equal with a probability of the Jaccard similarity: a pair at 0.8 shares none of the
+#: WAYS blocks with (1 - 0.8 ** 5) ** 30 = 7e-6, one at 0.85 with 5e-8.
+ROWS, WAYS = 5, 30
+#: Two texts are near at a Jaccard similarity of NEAR[0] / NEAR[1].
+NEAR = (4, 5)
+#: Pairs with more differing bits of 2,048 aren't confirmed: at 0.8 the mean is 310 at most and this is seven deviations
+#: more. Sets of under SIFTED shingles, for which the bits follow the angle less well, are never sifted.
+FAR, SIFTED = 424, 100
 #: Members of a bucket that are compared in one task; of larger buckets, every two chunks meet in a task of their own.
 MEMBERS = 512
 
@@ -129,14 +137,26 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_fingerprint(word_hashes: np.ndarray, words: int, bits: int) -> bytes:
-    """`bits` bits over the distinct shingles of `words` words (the whole sequence, if shorter), from the words' hashes."""
-    n = len(word_hashes)
+_TURNS = (_mix(np.arange(1, ROWS * WAYS + 1, dtype=np.uint64) * _GAMMA) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_WAYS = np.arange(1, WAYS + 1, dtype=np.uint64) * _GAMMA
+
+
+def shingle_set(text: str, words: int = 5) -> np.ndarray:
+    """Distinct shingles of `words` words (the whole text, if shorter), as sorted 64-bit hashes."""
+    from xxhash import xxh64_intdigest
+
+    found = text.encode().lower().split()
+    n = len(found)
+    hashes = np.fromiter(map(xxh64_intdigest, found), np.uint64, n)
     words = max(1, min(words, n))
     shingles = np.zeros(max(0, n - words + 1), np.uint64)
     for i in range(words):
-        shingles = _mix(shingles + _SALTS[i] + word_hashes[i : n - words + 1 + i])
-    shingles = np.unique(shingles)
+        shingles = _mix(shingles + _SALTS[i] + hashes[i : n - words + 1 + i])
+    return np.unique(shingles)
+
+
+def wide_fingerprint(shingles: np.ndarray, bits: int = FIVE_BITS) -> bytes:
+    """SimHash of a set, each shingle once."""
     lanes = np.arange(1, bits // 64 + 1, dtype=np.uint64) * _GAMMA
     counts = np.zeros(bits, np.int64)
     for i in range(0, len(shingles), 2 * 255):
@@ -144,86 +164,118 @@ def wide_fingerprint(word_hashes: np.ndarray, words: int, bits: int) -> bytes:
     return majority(counts, len(shingles))
 
 
+def min_blocks(shingles: np.ndarray) -> np.ndarray:
+    """WAYS block keys of a set: a hash of the way and of its ROWS minima."""
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(ROWS * WAYS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), CHUNK // 16):
+        np.minimum(least, (low[i : i + CHUNK // 16, None] * _TURNS).min(axis=0), out=least)
+    keys = _WAYS
+    for row in least.reshape(ROWS, WAYS).astype(np.uint64):
+        keys = _mix(keys + row)
+    return keys
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, content (SHA-256 of the text), pairs and fives: fingerprints of two-word and of five-word shingles."""
+    """doc_id, content (SHA-256 of the text), and of its five-word shingles: how many, their SimHash and their blocks."""
 
     def each(batches):
-        from xxhash import xxh64_intdigest
-
         for b in batches:
-            twos, fives = [], []
-            for x in b.column(2):
-                words = x.as_py().encode().lower().split()
-                hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
-                twos.append(wide_fingerprint(hashes, 2, PAIR_BITS))
-                fives.append(wide_fingerprint(hashes, 5, FIVE_BITS))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(twos, pa.binary()), pa.array(fives, pa.binary())], names=["doc_id", "content", "pairs", "fives"])
+            sets = [shingle_set(x.as_py()) for x in b.column(2)]
+            fives = pa.array(map(wide_fingerprint, sets), pa.binary())
+            keys = pa.array([min_blocks(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), fives, keys], names=["doc_id", "content", "size", "fives", "blocks"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text"))
-    return rows.mapInArrow(each, "doc_id long, content string, pairs binary, fives binary")
+    return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, blocks array<long>")
+
+
+def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, shingles (8 bytes each) of the classes `wanted` (cid, content)."""
+
+    def each(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((shingle_set(x.as_py()).tobytes() for x in b.column(1)), pa.binary())], names=["cid", "shingles"])
+
+    texts = docs.select(F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text")).join(wanted, "content")
+    return texts.groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, shingles binary")
+
 
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b whose sets are near, by counting."""
+
+    def each(batches):
+        for b in batches:
+            near = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                small, large = (one, two) if len(one) <= len(two) else (two, one)
+                at = np.searchsorted(large, small)
+                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
+                near.append(NEAR[1] * both >= NEAR[0] * (len(one) + len(two) - both))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    held = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
+    return held.select("a", "b", "one", "two").mapInArrow(each, "a long, b long")
 
-def _bucket_links(buckets: DataFrame) -> DataFrame:
-    """Links among the members of each row's list (cid, chunk, fives), by a matrix of Hamming distances; for a row that
-    pairs two chunks, only links between them."""
+
+def _bucket_pairs(buckets: DataFrame) -> DataFrame:
+    """Pairs a < b of different parts among the members of each row's list (cid, part, chunk, size, fives) that aren't far
+    by their Hamming distance; for a row that pairs two chunks, only those between them."""
 
     def each(batches):
         for b in batches:
-            found: list[tuple[int, int]] = []
             for members in b.column(0).to_pylist():
-                cids = [m["cid"] for m in members]
+                cids, parts, chunks, sizes = (np.array([m[k] for m in members], np.int64) for k in ("cid", "part", "chunk", "size"))
                 bits = np.frombuffer(b"".join(m["fives"] for m in members), np.uint64).reshape(len(members), -1)
-                chunks = np.array([m["chunk"] for m in members])
                 across = len(set(chunks.tolist())) > 1
+                found = [np.zeros((0, 2), np.int64)]
                 for i in range(len(members) - 1):
-                    near = np.bitwise_count(bits[i + 1 :] ^ bits[i]).sum(axis=1) <= WIDE_DISTANCE
+                    open_ = parts[i + 1 :] != parts[i]
                     if across:
-                        near &= chunks[i + 1 :] != chunks[i]
-                    found += [(cids[i], cids[j]) for j in (np.flatnonzero(near) + i + 1).tolist()]
-            a, c = zip(*_forest(found), strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["a", "b"])
-
-    return buckets.select("members").mapInArrow(each, "a long, b long")
+                        open_ &= chunks[i + 1 :] != chunks[i]
+                    other = np.flatnonzero(open_) + i + 1
+                    near = (np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= FAR) | (np.minimum(sizes[other], sizes[i]) < SIFTED)
+                    other = other[near]
+                    found.append(np.stack([np.minimum(cids[other], cids[i]), np.maximum(cids[other], cids[i])], axis=1))
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
+    return buckets.select("members").mapInArrow(each, "a long, b long").distinct()
 
-def _forest(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The links without those that close a circle: as many as nodes at most, with the same components."""
-    root: dict[int, int] = {}
 
-    def find(x: int) -> int:
-        while (up := root.get(x, x)) != x:
-            root[x] = root.get(up, up)
-            x = up
-        return x
-
-    kept = []
-    for a, b in links:
-        x, y = find(a), find(b)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
-    return kept
+def _open_pairs(held: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of members of a bucket (block, cid) that the components `parts` leave apart."""
+    held = held.join(parts, held["cid"] == parts["node"], "left").select("block", "cid", F.coalesce("component", "cid").alias("part"))
+    mixed = held.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
+    chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
+    rest = held.join(mixed.select("block", "n"), "block").withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
+    # a chunk meets itself and every other chunk of its bucket once
+    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
+    dealt = rest.select("cid", "part", "block", "chunk", F.explode(met).alias("ij"))
+    dealt = dealt.join(classes.select("cid", "size", "fives"), "cid").select("block", "ij", F.struct("cid", "part", "chunk", "size", "fives").alias("member"))
+    return _bucket_pairs(dealt.groupBy("block", "ij").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1))
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, content, root of every row of `docs`: rows with one root are one group of near-duplicates."""
+    """doc_id, content, root of every row of `docs`: rows with one root are one group of near-duplicates.
+
+    First each member of a bucket is held against the bucket's least one; only members that the components of these
+    links leave apart are then paired with each other, so a group of near copies costs as many pairs as members.
+    """
     prints = materialize(wide_fingerprints(docs), "wide-prints")
-    classes = prints.groupBy("pairs", "fives").agg(F.count(F.lit(1)).alias("rows"))
+    classes = prints.groupBy("fives").agg(F.min("content").alias("content"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    cut = F.array(*[F.substring("pairs", WIDE_BLOCK_BYTES * i + 1, WIDE_BLOCK_BYTES) for i in range(PAIR_BITS // 8 // WIDE_BLOCK_BYTES)])
-    keyed = classes.select("cid", F.posexplode(cut).alias("way", "block"))
-    sizes = keyed.groupBy("way", "block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    held = keyed.join(sizes, ["way", "block"]).withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
-    # a chunk meets itself and every other chunk of its bucket once
-    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    dealt = held.select("cid", "way", "block", "chunk", F.explode(met).alias("ij"))
-    # only members of a bucket with another take their fingerprint along
-    dealt = dealt.join(classes.select("cid", "fives"), "cid").select("way", "block", "ij", F.struct("cid", "chunk", "fives").alias("member"))
-    buckets = dealt.groupBy("way", "block", "ij").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    found = components(_bucket_links(buckets))
-    roots = classes.join(found, classes["cid"] == found["node"], "left").select("pairs", "fives", F.coalesce("component", "cid").alias("root"))
-    return prints.join(roots, ["pairs", "fives"]).select("doc_id", "content", "root")
+    keyed = classes.select("cid", F.explode("blocks").alias("block"))
+    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("low")).where("n > 1")
+    held = materialize(keyed.join(sizes, "block").select("block", "cid", "low"), "near-buckets")
+    sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "content")), "shingle-sets")
+    stars = materialize(held.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct(), "star-pairs")
+    links = materialize(_confirmed(stars, sets), "star-links")
+    rest = _open_pairs(held, components(links), classes).join(stars, ["a", "b"], "left_anti")
+    found = components(links.unionByName(_confirmed(rest, sets)))
+    roots = classes.join(found, classes["cid"] == found["node"], "left").select("fives", F.coalesce("component", "cid").alias("root"))
+    return prints.join(roots, "fives").select("doc_id", "content", "root")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:

@@ -292,6 +292,49 @@ def test_near_duplicates(spark, odd):
     assert simhash.drop_near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_by_kind_of_edit(spark):
+    """One contiguous passage more or less, with similarities closely around 0.8, against brute force."""
+    rng = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(5000)]
+    rows, shingles = [], []
+    for g in range(240):
+        base = rng.choice(words, rng.integers(60, 400)).tolist()
+        m = len(base) - 4
+        share = rng.uniform(0.76, 0.86)
+        more, less = rng.choice(words, round(m / share) - m).tolist(), round(m * (1 - share))
+        copy = [base + more, more + base, base[: len(base) - less], base[less:], [*base[: m // 2], *more, *base[m // 2 :]]][g % 5]
+        for text in (base, copy):
+            rows.append((len(rows), " ".join(text), "en", "s", 1))
+            shingles.append({tuple(text[i : i + 5]) for i in range(len(text) - 4)})
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    gone = {i for i in range(1, len(rows), 2) if 5 * len(shingles[i] & shingles[i - 1]) >= 4 * len(shingles[i] | shingles[i - 1])}
+    assert 80 < len(gone) < 200
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()} == set(range(len(rows))) - gone
+
+
+def test_near_duplicates_across_stars(spark, monkeypatch):
+    """Chains and crowds: the components are those of all pairs at 0.8, also where a bucket's least member is near to few."""
+    monkeypatch.setattr(simhash, "MEMBERS", 8)
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(5000)]
+    template = rng.choice(words, 200).tolist()
+    texts = [[*template, *rng.choice(words, 45).tolist()] for _ in range(12)]  # about 0.68 to each other
+    for t in list(texts):
+        for _ in range(3):
+            texts.append([*t[:245], *rng.choice(words, rng.integers(20, 60)).tolist()])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 12 <= len(set(root)) < len(texts)
+    rows = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()} == set(root)
+
+
 def plain_pii(text):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
