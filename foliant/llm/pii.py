@@ -20,7 +20,8 @@ _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 @dataclass(frozen=True)
 class Kind:
     """hint: a cheap pattern or string without which no match is possible; score: what the pattern alone is worth;
-    confirmed: what a passed checksum or shape adds; words: context that adds CONTEXT_SCORE."""
+    confirmed: what a passed checksum or shape adds; words: context that adds CONTEXT_SCORE. The pattern of an IBAN
+    matches its first four characters and looks ahead at what may follow; see `_iban_spans`."""
 
     name: str
     pattern: str
@@ -36,10 +37,15 @@ KINDS = (
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+", r"[0-9]\.[0-9]", 0.3, 0.5, "ip|address|host|server"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9]{2}|[0-9][\x20-][0-9]", 0.1, 0.7, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.3, 0.4, "phone|call|tel|mobile"),
-    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Z0-9])", r"[A-Z]{2}[0-9]{2}", 0.1, 0.7, "iban|account|bank|konto"),
+    Kind("iban", r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,31}+))", r"[A-Z]{2}[0-9]{2}", 0.1, 0.7, "iban|account|bank|konto"),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]", 0.1, 0.2, "ssn|social security|tax"),
 )
 BASE_KINDS = ("email", "ip", "card", "phone")
+#: Lengths of the countries' IBANs (fixed values of the public registry).
+IBAN_LENGTHS = {country: int(size) for size, countries in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU"
+).split()) for country in countries.split(",")}
 CONTEXT_CHARS, CONTEXT_SCORE, THRESHOLD = 40, 0.3, 0.6
 
 
@@ -80,6 +86,25 @@ def _confirmed(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _iban(run: Column) -> Column:
+    """The IBAN at the start of a run of capitals, digits and single spaces, null without one: it ends where a word does
+    and passes mod 97; of several the one of its country's length, else the longest."""
+    parts = F.split(run, " ")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), " "))
+    size = lambda x: F.length(F.replace(x, F.lit(" "), F.lit("")))
+    passed = F.filter(starts, lambda x: F.when(size(x).between(15, 34), _confirmed("iban", x)).otherwise(False))
+    usual = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    return F.coalesce(F.get(F.filter(passed, lambda x: size(x) == F.try_element_at(usual, F.substring(x, 1, 2))), F.lit(0)), F.get(passed, F.size(passed) - 1))
+
+
+def _iban_spans(heads: Column, runs: Column) -> Column:
+    """The spans of `heads`, each to the end of the IBAN that it and its run hold; the leftmost that don't overlap."""
+    tried = F.zip_with(heads, runs, lambda h, r: F.struct(_iban(F.concat(h["found"], r)).alias("found"), h["start"].alias("start")))
+    whole = F.transform(F.filter(tried, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["found"].alias("found"), x["start"].alias("start"), (x["start"] + F.length(x["found"])).alias("end")))
+    free = lambda done, x: x["start"] >= F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
+    return F.aggregate(whole, F.array().cast("array<struct<found:string,start:int,end:int>>"), lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done))
+
+
 def kind_spans(kind: Kind, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of one kind, in order: matches lie between the pieces that a split by the
     same pattern leaves, so their places are sums of lengths (code points)."""
@@ -95,7 +120,10 @@ def kind_spans(kind: Kind, text: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(x["found"].alias("found"), start.alias("start"), end.alias("end")))).alias("spans"))
 
     placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state), place, lambda x: x["spans"])
-    confirmed = F.filter(placed, lambda x: _confirmed(kind.name, x["found"]))
+    if kind.name == "iban":
+        confirmed = _iban_spans(placed, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)))
+    else:
+        confirmed = F.filter(placed, lambda x: _confirmed(kind.name, x["found"]))
 
     def score(x: Column) -> Column:
         low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
@@ -113,7 +141,8 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataF
     """`docs` with one array a kind named _<kind>, and `out`: all spans, by kind and then by start.
 
     Null and empty texts have none. Kinds are looked for by themselves, so spans of two kinds may overlap; within a
-    kind they are the leftmost that don't. A match that its check refuses is dropped and not tried again shorter.
+    kind they are the leftmost that don't. A match that its check refuses is dropped and not tried again shorter, but for
+    IBANs, which may end at any word.
     """
     docs = docs.withColumns({f"_{k.name}": kind_spans(k, whole_text(text)) for k in KINDS})
     return docs.withColumn(out, F.concat(*[F.col(f"_{k.name}") for k in KINDS]))

@@ -366,6 +366,18 @@ def test_pii(spark, docs):
     assert "<iban>, <iban>" in clean[10_012]
 
 
+def test_iban_before_other_capitals_and_digits(spark):
+    one, spaced, other = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    cases = [(f"{iban}{after}", [iban]) for iban in (one, spaced, other) for after in (" I paid", " The rest", " 2024-01-01", " COBADEFFXXX", " 100 EUR", " BIC COBADEFFXXX ON 1 MAY 2024 AND MUCH MORE", "", ".")]
+    cases += [(f"{one} {other}", [one, other]), (f"BE12 {spaced} {spaced} X", [spaced, spaced]), (f"NO93 8601 1117 947 {one}", ["NO93 8601 1117 947", one]), (f"{one}A", []), (f"A{one}", []), (one[:-1] + "1 I paid", []), ("AA11 " * 5000, [])]
+    frame = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    spans = {r["doc_id"]: [t for t in r["s"].split(",") if t.startswith("iban")] for r in pii.with_spans(frame).select("doc_id", pii.span_string(F.col("spans")).alias("s")).collect()}
+    for k, (text, want) in enumerate(cases):
+        assert [text[int(x.split(":")[1]) : int(x.split(":")[2])] for x in spans[k]] == want, text[:60]
+    clean = {r["doc_id"]: r["text"] for r in pii.redact(frame).collect()}
+    assert clean[0] == "<iban> I paid" and clean[24] == "<iban> <iban>"
+
+
 def test_licenses(spark, odd, docs):
     def plain(text, template):
         """The same alignment by recursion."""
