@@ -12,7 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, materialize, running_offsets, whole_text
@@ -107,18 +107,28 @@ def _estimates(sums: DataFrame) -> DataFrame:
 def fit_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, least_rows: int = 100) -> tuple[DataFrame, DataFrame]:
     """(stats with grp, estimates by grp). Rows that fail the base rules don't shape the estimates.
 
-    A language and source with fewer than least_rows rows is judged with the other such sources of its language; a
-    language that has fewer still has no estimate, and none of its rows are outliers.
+    A language and source with fewer than least_rows rows is judged by its whole language, and a language with fewer by
+    all rows, however few they are: every row that passes the base rules has an estimate. Rows shape each estimate
+    that they belong to.
     """
-    fine, coarse = F.to_json(F.struct("_lang", "_source")), F.to_json(F.struct("_lang"))
+    fine, coarse, whole = F.concat(F.lit("1"), F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"})), F.concat(F.lit("2"), F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"})), F.lit("3")
     sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.select("_lang", "_source", F.when(F.col("n") < least_rows, coarse).otherwise(fine).alias("grp"), "n")
-    sizes = materialize(sizes, "quality-groups")
+    sizes = sizes.withColumn("in_lang", F.sum("n").over(Window.partitionBy("_lang")))
+    sizes = sizes.withColumn("grp", F.when(F.col("n") >= least_rows, fine).when(F.col("in_lang") >= least_rows, coarse).otherwise(whole)).withColumn("levels", F.array(fine, coarse, whole))
+    sizes = materialize(sizes.select("_lang", "_source", "grp", "levels", "n"), "quality-groups")
     groups = sizes.count()
-    lang, source = stats["_lang"].eqNullSafe(sizes["_lang"]), stats["_source"].eqNullSafe(sizes["_source"])
-    known = join_small(stats, sizes, lang & source, "left", groups).drop(sizes["_lang"], sizes["_source"], sizes["n"])
-    large = sizes.groupBy("grp").agg(F.sum("n").alias("n")).where(F.col("n") >= least_rows)
-    base = join_small(known.where(~F.col("base_failed")), large, "grp", "inner", groups)
+    needed = sizes.select("grp").distinct()
+    parts = sizes.select("_lang", "_source", "n", F.explode("levels").alias("grp"))
+    parts = join_small(parts, needed, "grp", "left_semi", groups)
+    large = parts.groupBy("grp").agg(F.sum("n").alias("n"))
+
+    def in_groups(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
+        same = rows["_lang"].eqNullSafe(named["_lang"]) & rows["_source"].eqNullSafe(named["_source"])
+        return join_small(rows, named, same, how, groups).drop(named["_lang"], named["_source"])
+
+    known = in_groups(stats, sizes.select("_lang", "_source", "grp"), "left")
+    base = in_groups(stats.where(~F.col("base_failed")), parts.select("_lang", "_source", "grp"), "inner")
+    base = join_small(base, large, "grp", "inner", groups)
 
     zs = [F.col(f"z{i}") for i in range(DIMENSIONS)]
     # the start: coordinate-wise medians and quartiles
@@ -139,7 +149,8 @@ def fit_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, least_ro
 
 
 def judge_quality(docs: DataFrame, *keep: Column, cutoff: float = 60.0) -> DataFrame:
-    """Columns `keep` (as _k0, _k1, ...), the statistics, base_failed, distance (null without an estimate) and kept of every row.
+    """Columns `keep` (as _k0, _k1, ...), the statistics, base_failed, distance (null only where no row of a failed row's
+    language and source passes the base rules) and kept of every row.
 
     A document is kept if it passes the base rules (50 words, at most half of them in repeated windows of three) and
     its squared distance from its group is at most `cutoff`. Null texts count as empty and fail; null languages and

@@ -216,6 +216,25 @@ def test_outliers_against_plain_concentration(spark):
     assert np.allclose(near.mean(0), est[0]["mean"], atol=0.05)
 
 
+def test_small_sources_and_rare_languages_are_judged(spark):
+    """Sources of a few rows beside a large one, a rare language, and a whole table of a few rows: each row has a distance,
+    and junk goes whatever its group's size."""
+    rng = np.random.default_rng(6)
+    kinds = "_lang string, _source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long, z4 long"
+
+    def rows(lang, source, n, junk=0):
+        z = np.rint(rng.normal([5, 1.6, 1, 0.4, 0.4], [1, 0.5, 1, 0.2, 0.2], (n, 5)) * quality.UNIT).astype(int)
+        z[:junk] += np.array([8, 6, 9, 3, 3]) * quality.UNIT
+        return [(lang, source, False, *map(int, v)) for v in z]
+
+    table = rows("en", "hot", 1500) + rows("en", "small", 20, 6) + rows("en", None, 20, 6) + rows("fi", "hot", 20, 6) + rows(None, None, 20, 6) + [("xx", "failed", True, 0, 0, 0, 0, 0)]
+    for cases, junk in ((table, 24), (rows("en", "only", 20, 3), 3)):
+        known, estimates = quality.fit_outliers(spark.createDataFrame(cases, kinds))
+        judged = known.join(estimates, "grp", "left").withColumn("distance", quality._distance()).where("not base_failed").collect()
+        assert len(judged) == sum(not r[2] for r in cases) and all(r["distance"] is not None for r in judged)
+        assert sum(r["distance"] > 60 for r in judged) == junk
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 
