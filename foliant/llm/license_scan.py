@@ -23,8 +23,15 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
-RESULT = "doc_id long, n_words long, license string, coverage double, aligned long, first_word long, last_word long"
+FOUND = "license string, coverage double, aligned long, first_word long, last_word long"
+RESULT = f"doc_id long, n_words long, {FOUND}, licenses array<struct<{', '.join(x.replace(' ', ':') for x in FOUND.split(', '))}>>"
+#: Words of the longest n-grams that are tried where no single word is unique to both sides.
+GRAMS = 5
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -32,13 +39,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _anchors(text: list[str], a: int, b: int, template: list[str], c: int, d: int) -> list[tuple[int, int]]:
-    """Places (in text, in template) of words that stand once in text[a:b] and once in template[c:d], thinned to the
-    longest sequence that increases in both."""
-    wanted: dict[str, int] = {}
+def _anchors(text: list[str], a: int, b: int, template: list[str], c: int, d: int, n: int = 1) -> list[tuple[int, int]]:
+    """Places (in text, in template) of words (n-grams) that stand once in text[a:b] and once in template[c:d], thinned to
+    the longest sequence that increases in both."""
+    if n > 1:
+        text, template = ([tuple(x[k : k + n]) for k in range(z)] for x, z in ((text, b), (template, d)))
+        b, d = b - n + 1, d - n + 1
+    wanted: dict = {}
     for j in range(c, d):
         wanted[template[j]] = -1 if template[j] in wanted else j
-    places: dict[str, int] = {}
+    places: dict = {}
     for i in range(a, b):
         if wanted.get(text[i], -1) >= 0:
             places[text[i]] = -1 if text[i] in places else i
@@ -61,8 +71,9 @@ def _anchors(text: list[str], a: int, b: int, template: list[str], c: int, d: in
     return out[::-1]
 
 
-def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
-    """Aligned places (in text, in template), increasing in both; equal words at a gap's ends are aligned as well."""
+def align(text: list[str], template: list[str], grams: int = 1) -> list[tuple[int, int]]:
+    """Aligned places (in text, in template), increasing in both; equal words at a gap's ends are aligned as well. A gap
+    without a unique word is anchored on unique n-grams of up to `grams` words."""
     found: list[tuple[int, int]] = []
     gaps = [(0, len(text), 0, len(template), False)]
     while gaps:
@@ -76,7 +87,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
                 found.append((b, d))
         if a == b or c == d:
             continue
-        marks = _anchors(text, a, b, template, c, d)
+        marks = next((m for n in range(1, grams + 1) if (m := _anchors(text, a, b, template, c, d, n))), [])
         found += marks
         if marks:
             for (i, j), (m, n) in zip([(a - 1, c - 1), *marks], [*marks, (b, d)], strict=True):
@@ -84,26 +95,61 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-def best_license(text: str, templates: dict[str, list[str]], least: float) -> tuple:
-    """(n_words, license, coverage, aligned, first_word, last_word) of the template with the most coverage, then the most
-    words; license and what follows are null below `least`."""
+def occurrences(text: list[str], template: list[str], least: float) -> list[list[tuple[int, int]]]:
+    """Alignments of each place of the text that covers `least` of the template, in order.
+
+    Where enough template words lie on close diagonals, that stretch of text is aligned by itself, so that a notice is
+    found however often it or its words recur elsewhere; what lies between such places is then aligned whole.
+    """
+    n, need = len(template), least * len(template)
+    at: dict[str, list[int]] = {}
+    for j, w in enumerate(template):
+        at.setdefault(w, []).append(j)
+    hits = sorted((i - j, i, j) for i, w in enumerate(text) for j in at.get(w, ()))
+    width, end, k, found = max(2, n // 4), 0, 0, []
+    seen: dict[int, int] = {}
+    for first in range(len(hits)):
+        low = hits[first][0]
+        while k < len(hits) and hits[k][0] <= low + width:
+            seen[hits[k][2]] = seen.get(hits[k][2], 0) + 1
+            k += 1
+        if len(seen) >= need and low + width + n > end:
+            start = max(low, end)
+            part = align(text[start : low + width + n], template, GRAMS)
+            if len(part) >= need:
+                found.append([(i + start, j) for i, j in part])
+                end = found[-1][-1][0] + 1
+        j = hits[first][2]
+        seen[j] -= 1
+        if not seen[j]:
+            del seen[j]
+    cuts = [(0, 0), *((x[0][0], x[-1][0] + 1) for x in found), (len(text), 0)]
+    for (_, a), (b, _) in zip(cuts, cuts[1:]):
+        part = align(text[a:b], template, GRAMS) if b - a >= need else []
+        if len(part) >= need:
+            found.append([(i + a, j) for i, j in part])
+    return sorted(found)
+
+
+def find_licenses(text: str, templates: dict[str, list[str]], least: float) -> tuple:
+    """(n_words, license, coverage, aligned, first_word, last_word, licenses): every place that covers a template to
+    `least`, by place, and before them the one with the most coverage, then the most words; nulls without any."""
     words = words_of(text)
     there = set(words)
-    best: tuple = ()
+    found = []
     for name, template in templates.items():
         if sum(w in there for w in template) < least * len(template):  # no alignment could reach it
             continue
-        found = align(words, template)
-        if len(found) >= least * len(template):
-            best = max(best, (len(found) / len(template), len(found), name, found[0][0], found[-1][0]))
-    if not best:
-        return (len(words), *[None] * 5)
-    return len(words), best[2], best[0], best[1], best[3], best[4]
+        found += [(name, len(x) / len(template), len(x), x[0][0], x[-1][0]) for x in occurrences(words, template, least)]
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    best = max(found, key=lambda x: (x[1], x[2], x[0], -x[3]), default=(None,) * 5)
+    return len(words), *best, [dict(zip(names, x, strict=True)) for x in sorted(found, key=lambda x: (x[3], x[4], x[0]))]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): n_words, and license, coverage, aligned words and their first and
-    last place in the text for the template covered best, nulls where none is covered to `least`.
+    last place in the text for the template covered best, nulls where none is covered to `least`; licenses has the same of
+    every place of every template that is, so repeated notices and further licenses too.
 
     Words are runs of a-z and 0-9 after lower-casing. Null and empty texts have no license; repeated rows and null ids
     are kept; other columns are ignored; an empty table gives an empty result. Whole texts are aligned.
@@ -111,9 +157,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     wanted = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
 
     def each(batches):
-        kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("aligned", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
         for b in batches:
-            columns = list(zip(*[best_license(x.as_py(), wanted, least) for x in b.column(1)], strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[x.split()[0] for x in RESULT.split(", ")])
+            columns = list(zip(*[find_licenses(x.as_py(), wanted, least) for x in b.column(1)], strict=True)) or [()] * 7
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", *(x.split()[0] for x in FOUND.split(", ")), "licenses"])
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(each, RESULT)

@@ -441,6 +441,22 @@ def test_licenses(spark, odd, docs):
     assert scan_rows(license_scan.scan_licenses(odd)) == [None] * len(ODD) and license_scan.scan_licenses(odd.limit(0)).count() == 0
 
 
+def test_every_license_and_repeated_notices():
+    t = license_scan.TEMPLATES
+    wanted = {k: license_scan.words_of(v) for k, v in t.items()}
+    filler = " ".join(f"the software w{k} is released under a license of mit or any copy" for k in range(300))
+
+    def found(text):
+        return [(x["license"], x["first_word"]) for x in license_scan.find_licenses(text, wanted, 0.8)[6]]
+
+    for name in ("MIT-line", "MIT", "GPL-3.0-notice", "BSD", "Unlicense"):
+        n, m = len(wanted[name]), len(license_scan.words_of(filler))
+        for text, places in ((f"{t[name]} {t[name]}", [0, n]), (f"{t[name]} {filler} {t[name]}", [0, n + m]), (f"{filler} {t[name]} {filler}", [m])):
+            assert [i for x, i in found(text) if x == name] == places, (name, text[:40])
+    assert {"MIT", "ISC"} <= {x for x, _ in found(t["MIT"] + " or, at your choice: " + t["ISC"])}
+    assert found(filler) == []
+
+
 def scan_rows(df):
     return [r["license"] for r in df.collect()]
 
