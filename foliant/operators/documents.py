@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.functions import sanitize
+from foliant.functions import places, sanitize
 from foliant.functions.shortcodes import TEXT
 from foliant.operators.inventory import SHORTCODE
 
@@ -157,15 +157,15 @@ def style_losses(nodes: DataFrame, mapped: DataFrame | None = None) -> DataFrame
 
 def strip_shortcodes(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """id, stripped: the documents without their tags, closers included, cut by the spans' places."""
-    places = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    joined = docs.select("id", "post_content").join(places, "id", "left")
-    gap = lambda at, until: F.substring("post_content", at + 1, until - at)
-    state = "struct<at:int,out:array<string>>"
-    cut = F.aggregate(
-        "spans", F.struct(F.lit(0).alias("at"), F.array().alias("out")).cast(state), lambda done, s: F.struct(s["end"].alias("at"), F.concat(done["out"], F.array(gap(done["at"], s["start"]))).alias("out")),
-        lambda done: F.concat(F.array_join(done["out"], ""), gap(done["at"], F.length("post_content"))),
-    )
-    return joined.select("id", F.when(F.col("spans").isNull(), F.col("post_content")).otherwise(cut).alias("stripped"))
+    found = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = docs.select("id", "post_content").join(found, "id", "left")
+
+    def kept(cut: Column) -> Column:
+        gaps = F.transform("spans", lambda s, i: places.between(cut, F.when(i == 0, 0).otherwise(F.get(F.col("spans"), i - 1)["end"]), s["start"]))
+        return F.concat(F.array_join(gaps, ""), places.between(cut, F.element_at("spans", -1)["end"], F.length("post_content")))
+
+    stripped = places.once(places.chunks(F.col("post_content")), kept)
+    return joined.select("id", F.when(F.col("spans").isNull(), F.col("post_content")).otherwise(stripped).alias("stripped"))
 
 
 def skeleton(spans: DataFrame) -> DataFrame:
