@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, LOWER, whole_text
+from foliant.functions.places import between, chunks, match_places, once, running_maxima
+
+from .common import LOWER, UPPER, whole_text
 
 _LOCAL, _LABEL = "A-Za-z0-9._%+-", "A-Za-z0-9-"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -98,51 +100,40 @@ def _iban(run: Column) -> Column:
 
 
 def _iban_spans(heads: Column, runs: Column) -> Column:
-    """The spans of `heads`, each to the end of the IBAN that it and its run hold; the leftmost that don't overlap."""
+    """The spans of `heads`, each to the end of the IBAN that it and its run hold."""
     tried = F.zip_with(heads, runs, lambda h, r: F.struct(_iban(F.concat(h["found"], r)).alias("found"), h["start"].alias("start")))
-    whole = F.transform(F.filter(tried, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["found"].alias("found"), x["start"].alias("start"), (x["start"] + F.length(x["found"])).alias("end")))
-    free = lambda done, x: x["start"] >= F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0))
-    return F.aggregate(whole, F.array().cast("array<struct<found:string,start:int,end:int>>"), lambda done, x: F.when(free(done, x), F.concat(done, F.array(x))).otherwise(done))
+    return F.transform(F.filter(tried, lambda x: x["found"].isNotNull()), lambda x: F.struct(x["found"].alias("found"), x["start"].alias("start"), (x["start"] + F.length(x["found"])).alias("end")))
 
 
 def kind_spans(kind: Kind, text: Column) -> Column:
-    """array<struct<kind, start, end, score>> of one kind, in order: matches lie between the pieces that a split by the
-    same pattern leaves, so their places are sums of lengths (code points)."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pieces = F.split(text, kind.pattern, -1)
-    gaps = F.transform(F.slice(pieces, 1, F.size(found)), F.length)
-    pairs = F.arrays_zip(found.alias("found"), gaps.alias("gap"))
-    state = "struct<at:int,spans:array<struct<found:string,start:int,end:int>>>"
-
-    def place(done: Column, x: Column) -> Column:
-        start = done["at"] + x["gap"]
-        end = start + F.length(x["found"])
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(x["found"].alias("found"), start.alias("start"), end.alias("end")))).alias("spans"))
-
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().alias("spans")).cast(state), place, lambda x: x["spans"])
+    """array<struct<kind, start, end, score>> of one kind, in order (code points)."""
+    found = match_places(text, kind.pattern)
     if kind.name == "iban":
-        confirmed = _iban_spans(placed, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)))
+        found = _iban_spans(found, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1)))
     else:
-        confirmed = F.filter(placed, lambda x: _confirmed(kind.name, x["found"]))
+        found = F.filter(found, lambda x: _confirmed(kind.name, x["found"]))
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
+
+    def scored(cut: Column, spans: Column) -> Column:
+        def score(x: Column) -> Column:
+            near = F.concat(between(cut, F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0)), x["start"]), F.lit(" "), between(cut, x["end"], x["end"] + CONTEXT_CHARS))
+            known = F.translate(near, UPPER, LOWER).rlike(rf"(?<![a-z])(?:{kind.words})")
+            return F.round(F.lit(kind.score + kind.confirmed) + F.when(known, F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0)), 2)
 
-    def score(x: Column) -> Column:
-        low = F.greatest(x["start"] - CONTEXT_CHARS, F.lit(0))
-        near = F.translate(F.concat(F.substring(text, low + 1, x["start"] - low), F.lit(" "), F.substring(text, x["end"] + 1, F.lit(CONTEXT_CHARS))), UPPER, LOWER)
-        near = F.when(near.rlike(rf"(?<![a-z])(?:{kind.words})"), F.lit(CONTEXT_SCORE)).otherwise(F.lit(0.0))
-        return F.round(F.lit(kind.score + kind.confirmed) + near, 2)
+        return F.filter(F.transform(spans, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score"))), lambda x: x["score"] >= THRESHOLD)
 
-    spans = F.transform(confirmed, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score(x).alias("score")))
     possible = text.contains(kind.hint) if kind.hint in "@+" else text.rlike(kind.hint)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,score:double>>")
-    return F.when(possible, F.filter(spans, lambda x: x["score"] >= THRESHOLD)).otherwise(none)
+    return F.when(possible, once(found, lambda spans: F.when(F.size(spans) == 0, none).otherwise(once(chunks(text), lambda cut: scored(cut, spans))))).otherwise(none)
 
 
 def with_spans(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
-    """`docs` with one array a kind named _<kind>, and `out`: all spans, by kind and then by start.
+    """`docs` with one array a kind named _<kind>, and `out`: all spans, by kind and then by start. Columns of docs with
+    these names are replaced.
 
-    Null and empty texts have none. Kinds are looked for by themselves, so spans of two kinds may overlap; within a
-    kind they are the leftmost that don't. A match that its check refuses is dropped and not tried again shorter, but for
-    IBANs, which may end at any word.
+    Null and empty texts have none; repeated rows and null ids are rows like any other; an empty table gives an empty
+    result. Kinds are looked for by themselves, so spans of two kinds may overlap; within a kind they are the leftmost that
+    don't, but for IBANs, which are tried from every place where one may start. A match that its check refuses is dropped
+    and not tried again shorter, but for IBANs, which may end at any word.
     """
     docs = docs.withColumns({f"_{k.name}": kind_spans(k, whole_text(text)) for k in KINDS})
     return docs.withColumn(out, F.concat(*[F.col(f"_{k.name}") for k in KINDS]))
@@ -153,18 +144,24 @@ def span_string(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with its spans (not none; in order of start, then the longer first) replaced."""
+    reach = running_maxima(F.transform(spans, lambda x: x["end"]))  # how far the spans up to each reach
+
+    def pieces(cut: Column, reach: Column) -> Column:
+        def part(x: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(reach, i - 1))
+            return F.when(x["start"] < before, F.lit("")).otherwise(F.concat(between(cut, before, x["start"]), F.lit("<"), x["kind"], F.lit(">")))
+
+        return F.concat(F.array_join(F.transform(spans, part), ""), between(cut, F.element_at(reach, -1), F.length(text)))
+
+    return once(chunks(text), lambda cut: once(reach, lambda r: pieces(cut, r)))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with each span of its text replaced by its kind in angle brackets; overlapping spans become one, named by
-    the first. Null texts stay null; rows without a span are left as they are."""
+    the first. Null texts stay null; rows without a span are left as they are; columns named _spans or _<kind> go."""
     docs = with_spans(docs, text, "_spans")
-    ordered = F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind"))))
-    state = "struct<at:int,out:string>"
-
-    def put(done: Column, x: Column) -> Column:
-        end = -x["less"]
-        part = F.when(x["start"] < done["at"], F.lit("")).otherwise(F.concat(F.substring(text, done["at"] + 1, x["start"] - done["at"]), F.lit("<"), x["kind"], F.lit(">")))
-        return F.struct(F.greatest(done["at"], end).alias("at"), F.concat(done["out"], part).alias("out"))
-
-    clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")).cast(state), put, lambda x: F.concat(x["out"], F.substring(text, x["at"] + 1, F.length(F.col(text)))))
-    docs = docs.withColumn(text, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text)))
+    ordered = F.transform(F.array_sort(F.transform("_spans", lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["kind"].alias("kind")))), lambda x: F.struct(x["start"].alias("start"), (-x["less"]).alias("end"), x["kind"].alias("kind")))
+    docs = docs.withColumn(text, F.when(F.size("_spans") > 0, once(ordered, lambda spans: _redacted(F.col(text), spans))).otherwise(F.col(text)))
     return docs.drop("_spans", *[f"_{k.name}" for k in KINDS])
