@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,22 +11,37 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the character class of the word definition `[^\x20\x09-\x0D]+`.
 WORD = "[^\\x20\\x09-\\x0D]+"
+#: Bits of the filters of `maybe_in` and `without`: 8 MB in all, whatever the corpus.
+FILTER_BITS, SEGMENT_BITS = 1 << 26, 1 << 15
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one, but only where
+    driver and executors are one process (tests); elsewhere executors would each write to a disk of their own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir() or named
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="foliant-"))
+        named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that no other table has."""
-    return f"{shared_dir(spark)}/foliant/{label}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_intermediates(spark: SparkSession) -> None:
+    """Deletes the tables that this application's operators wrote to cut lineage: for a job to call once the results that
+    depend on them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -61,3 +77,28 @@ def running_offsets(counts: DataFrame, group: list[str], order: list[str], value
 
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return counts.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)))
+
+
+def _flagged(rows: DataFrame, digests: DataFrame, column: str) -> DataFrame:
+    """`rows` with _maybe: may `column` (hex digits, eight or more) be among `digests` (the same column)? Never false for one
+    that is; true for others about as often as bits are set. The set bits are broadcast, in FILTER_BITS / SEGMENT_BITS rows
+    of 4 KB at most."""
+    bit = F.conv(F.substring(column, 1, 8), 16, 10).cast("long") % FILTER_BITS
+    segment, within = F.floor(bit / SEGMENT_BITS), bit % SEGMENT_BITS
+    filled = digests.groupBy(segment.alias("_segment")).agg(F.bitmap_construct_agg(within).alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.join(F.broadcast(filled), segment == F.col("_segment"), "left")
+    return found.withColumn("_maybe", F.coalesce(F.getbit(byte, (within % 8).cast("int")) == 1, F.lit(False))).drop("_segment", "_bits")
+
+
+def maybe_in(rows: DataFrame, digests: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` may be among `digests`: a sieve before a join, so that most of the others never move."""
+    return _flagged(rows, digests, column).where("_maybe").drop("_maybe")
+
+
+def without(rows: DataFrame, digests: DataFrame, column: str) -> DataFrame:
+    """The rows whose `column` is not among `digests`: an anti-join in which only rows that may be among them move. `rows` is
+    read twice."""
+    flagged = _flagged(rows, digests, column)
+    doubtful = flagged.where("_maybe").join(digests.select(column), column, "left_anti")
+    return flagged.where("not _maybe").unionByName(doubtful).drop("_maybe")

@@ -6,13 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, utf8_size, whole_text
+from .common import materialize, maybe_in, utf8_size, whole_text
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
-#: Digests of misses are broadcast up to this many (64 hex digits each), else joined by a shuffle.
-FEW_MISSES = 100_000
-
-
 def read_cache(spark, path: str) -> DataFrame:
     """The cache's table; empty where nothing was ever appended. Asks Spark's own file system, as a path may be remote."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,12 +40,11 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str) -> DataF
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
     if n:
+        # texts that the cache knows don't move; those that it may not know meet the misses and their equals in one shuffle
         texts = keyed.select("content", "text")
-        if n <= FEW_MISSES:  # a warm cache: texts that are known are not shuffled
-            texts = texts.join(F.broadcast(missing), "content", "left_semi")
-        texts = texts.groupBy("content").agg(F.first("text").alias("text"))
-        if n > FEW_MISSES:
-            texts = texts.join(missing, "content", "left_semi")
+        if not known.isEmpty():
+            texts = maybe_in(texts, missing, "content")
+        texts = texts.join(missing, "content", "left_semi").groupBy("content").agg(F.first("text").alias("text"))
         texts.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     # written, so that the last join reads plain rows on both sides and adaptive execution can split a content that very
     # many documents share
