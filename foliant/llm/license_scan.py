@@ -27,11 +27,23 @@ TEMPLATES = {
     "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "GPL-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+    "CC-BY-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 FOUND = "license string, coverage double, aligned long, first_word long, last_word long"
 RESULT = f"doc_id long, n_words long, {FOUND}, licenses array<struct<{', '.join(x.replace(' ', ':') for x in FOUND.split(', '))}>>"
 #: Words of the longest n-grams that are tried where no single word is unique to both sides.
 GRAMS = 5
+#: Least share of aligned words in the stretch of text from the first to the last: words of a template that lie scattered
+#: over a text are no notice.
+DENSITY = 0.6
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -95,6 +107,18 @@ def align(text: list[str], template: list[str], grams: int = 1) -> list[tuple[in
     return sorted(found)
 
 
+def dense(part: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The alignment without words at its ends that lie too far off: while fewer than DENSITY of the words from the first to
+    the last are aligned, the end with the wider gap goes."""
+    a, b = 0, len(part)
+    while b - a > 1 and b - a < DENSITY * (part[b - 1][0] - part[a][0] + 1):
+        if part[a + 1][0] - part[a][0] > part[b - 1][0] - part[b - 2][0]:
+            a += 1
+        else:
+            b -= 1
+    return part[a:b]
+
+
 def occurrences(text: list[str], template: list[str], least: float) -> list[list[tuple[int, int]]]:
     """Alignments of each place of the text that covers `least` of the template, in order.
 
@@ -115,7 +139,7 @@ def occurrences(text: list[str], template: list[str], least: float) -> list[list
             k += 1
         if len(seen) >= need and low + width + n > end:
             start = max(low, end)
-            part = align(text[start : low + width + n], template, GRAMS)
+            part = dense(align(text[start : low + width + n], template, GRAMS))
             if len(part) >= need:
                 found.append([(i + start, j) for i, j in part])
                 end = found[-1][-1][0] + 1
@@ -125,7 +149,7 @@ def occurrences(text: list[str], template: list[str], least: float) -> list[list
             del seen[j]
     cuts = [(0, 0), *((x[0][0], x[-1][0] + 1) for x in found), (len(text), 0)]
     for (_, a), (b, _) in zip(cuts, cuts[1:]):
-        part = align(text[a:b], template, GRAMS) if b - a >= need else []
+        part = dense(align(text[a:b], template, GRAMS)) if b - a >= need else []
         if len(part) >= need:
             found.append([(i + a, j) for i, j in part])
     return sorted(found)
@@ -133,7 +157,8 @@ def occurrences(text: list[str], template: list[str], least: float) -> list[list
 
 def find_licenses(text: str, templates: dict[str, list[str]], least: float) -> tuple:
     """(n_words, license, coverage, aligned, first_word, last_word, licenses): every place that covers a template to
-    `least`, by place, and before them the one with the most coverage, then the most words; nulls without any."""
+    `least`, by place, and before them the one with the most coverage, then the most words, then the later name, then the
+    earlier place; nulls without any."""
     words = words_of(text)
     there = set(words)
     found = []
@@ -151,7 +176,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     last place in the text for the template covered best, nulls where none is covered to `least`; licenses has the same of
     every place of every template that is, so repeated notices and further licenses too.
 
-    Words are runs of a-z and 0-9 after lower-casing. Null and empty texts have no license; repeated rows and null ids
+    Aligned words must be at least DENSITY of the stretch that they span. Words are runs of a-z and 0-9 after lower-casing. Null and empty texts have no license; repeated rows and null ids
     are kept; other columns are ignored; an empty table gives an empty result. Whole texts are aligned.
     """
     wanted = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
