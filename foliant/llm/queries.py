@@ -36,7 +36,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(table(spark, sf_dir, "documents"))).drop("tile")
+    """Of the NPY tile its size and digest."""
+    found = media.media_features(media.text_media(table(spark, sf_dir, "documents")))
+    return found.withColumns({"tile_bytes": F.octet_length("tile").cast("long"), "tile_sha256": F.sha2("tile", 256)}).drop("tile")
 
 
 def op5_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +68,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs, WEIGHTS)
+    docs = mixing.keyed(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+    mixed = mixing.take(docs, WEIGHTS)
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
 
 
