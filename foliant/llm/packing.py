@@ -1,28 +1,34 @@
 """Best-fit packing of token sequences, bulk-synchronous.
 
-Documents and gaps are ordered by size and held as runs of equal size, so a superstep's state has one row a
-distinct length (at most the capacity) however many documents there are. A superstep takes the longest documents
-still unplaced, sweeps the gaps for their successors (the smallest gap that holds them, then the next), resolves
-the contest for a gap by the documents' ranks within their length, updates the gaps, and repeats; where no gap is
-left, new sequences are opened. A superstep's outcome is an interval of ranks, a run of sequences and an offset;
-the documents find theirs by a join on length and rank.
+Documents are taken in classes of falling length, each from over half a bound up to the bound. A superstep range-sorts
+the class's documents together with slots of the gaps (a gap offers a slot of the bound for each time it holds it, and
+one of its remainder) by falling size and sweeps the ranges side by side: a document takes the last slot before it that
+no longer document has taken, which is its successor, the smallest slot left that holds it. Within a range that is a
+stack; what a range leaves open is resolved across ranges by rank: free slots and unplaced documents are numbered like
+brackets, and a document meets the slot of its own depth. Then the gaps are updated, sequences are opened for what
+surely finds no room, and the next superstep begins; documents of half the bound follow once none of the class is left.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, running_offsets, whole_text
+from .common import join_small, materialize, new_path, running_offsets, whole_text
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-MOVES = "length long, first_rank long, end_rank long, each long, first_sequence long, first_offset long"
-#: Rows whose ranks within one length are counted by one task.
-RANKED_ROWS = 2_048
+#: What a superstep leaves: a document with the sequence that it goes to, or null if it found none.
+PLACED = "row long, length long, sequence long"
+SWEPT = "part int, place long, is_doc boolean, row long, length long, sequence long, open boolean"
+#: Documents and slots of one range of a sweep.
+RANGE_ROWS = 65_536
+#: The share of the gaps' room that a class is expected to fill before sequences are opened for it. With 1 or 0.9 the
+#: sequences are as few as the tokens allow on the test tables; less takes fewer supersteps.
+FILLED = 0.9
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
@@ -45,74 +51,127 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(cut, PIECES)
 
 
-def best_fit_moves(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
-    """The supersteps over runs: (length, first_rank, end_rank, each, first_sequence, first_offset).
-
-    Documents of `length` with ranks from first_rank to before end_rank go, `each` to a sequence, to the sequences
-    from first_sequence on, side by side from first_offset on.
-    """
-    gaps: dict[int, list[tuple[int, int]]] = {}  # room -> runs of sequences (first, how many)
-    sizes: list[int] = []  # rooms that have a run, ascending
-    moves, opened = [], 0
-
-    def put(room: int, first: int, n: int) -> None:
-        if room and n:
-            if room not in gaps:
-                gaps[room] = []
-                insort(sizes, room)
-            gaps[room].append((first, n))
-
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            at = bisect_left(sizes, length)
-            if at < len(sizes):  # the successor among the gaps
-                room = sizes[at]
-                first, n = gaps[room].pop()
-                if not gaps[room]:
-                    del gaps[room], sizes[at]
-            else:  # no gap holds it: new sequences
-                room, first = capacity, opened
-                n = -(-left // (capacity // length))
-                opened += n
-            each = room // length
-            full, rest = min(n, left // each), 0
-            if full:
-                moves.append((length, rank, rank + full * each, each, first, capacity - room))
-                rank, left = rank + full * each, left - full * each
-                put(room - each * length, first, full)
-            if left and full < n:  # fewer than a sequence takes
-                moves.append((length, rank, rank + left, left, first + full, capacity - room))
-                put(room - left * length, first + full, 1)
-                rest, left = 1, 0
-            put(room, first + full + rest, n - full - rest)
-    return moves
-
-
-def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
+def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range, sorted by falling size: matches documents with the slots before them, last in, first out. What stays open
+    is numbered in order from 1: documents that no slot was left for, and slots that no document took."""
+    names = [x.split()[0] for x in SWEPT.split(", ")]
+    part, free, unplaced = 0, [], 0
+    for b in batches:
+        table = b.to_pydict()
+        rows = []
+        for part, is_doc, row, length, sequence in zip(table["part"], table["is_doc"], table["row"], table["size"], table["sequence"], strict=True):
+            if not is_doc:
+                free.append(sequence)
+            elif free:
+                rows.append((part, None, True, row, length, free.pop(), False))
+            else:
+                unplaced += 1
+                rows.append((part, unplaced, True, row, length, None, True))
+        yield _batch(rows, names)
+    yield _batch([(part, i, False, None, None, s, True) for i, s in enumerate(free, 1)], names)
+
+
+def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def superstep(docs: DataFrame, slots: DataFrame, rows: int, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """PLACED of every document of `docs` (row, length), given `slots` (sequence, size, room); `rows` are both together."""
+    none = F.lit(None).cast("long")
+    events = slots.select("size", F.lit(False).alias("is_doc"), "room", none.alias("row"), "sequence").unionByName(docs.select(F.col("length").alias("size"), F.lit(True).alias("is_doc"), none.alias("room"), "row", none.alias("sequence")))
+    # of equal slots the one of the smallest gap comes last and so is taken first
+    order = [F.desc("size"), F.asc("is_doc"), F.desc("room"), F.asc_nulls_first("sequence"), F.asc_nulls_first("row")]
+    ranges = -(-rows // range_rows)
+    ranged = events.repartitionByRange(ranges, *order) if ranges > 1 else events.coalesce(1)
+    swept = ranged.sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()).select("part", "size", "is_doc", "row", "sequence").mapInArrow(sweep, SWEPT)
+    if ranges <= 1:
+        return swept.where("is_doc").select("row", "length", "sequence")
+    swept = materialize(swept, "swept")
+    counts = swept.where("open").groupBy("part").agg(F.count_if("is_doc").alias("docs"), F.count_if(~F.col("is_doc")).alias("slots"))
+    depths = running_offsets(counts.withColumn("net", F.col("slots") - F.col("docs")), [], ["part"], "net", "depth").select("part", "docs", "depth")  # one row a range
+    ranked = join_small(swept.where("open"), depths, "part", "inner", ranges)
+    level = F.when(F.col("is_doc"), F.col("depth") - F.col("place") + 1).otherwise(F.col("depth") - F.col("docs") + F.col("place"))
+    # a depth has at most a document and a slot of each range, and they alternate
+    before = Window.partitionBy("level").orderBy("part", F.desc("is_doc"))
+    crossed = ranked.withColumn("level", level).withColumn("taken", F.lag("sequence").over(before)).where("is_doc").select("row", "length", F.col("taken").alias("sequence"))
+    return swept.where("is_doc and not open").select("row", "length", "sequence").unionByName(crossed)
+
+
+def _offers(gaps: DataFrame, rooms: dict[int, int], bound: int, wanted: int, stuck: bool) -> tuple[DataFrame, int]:
+    """(slots: sequence, size, room; about how many) for `wanted` documents of over half `bound` up to it: those of the
+    smallest gaps, up to a room at which there is a slot of the whole bound for each document. Of that room's gaps, where
+    there are far more than needed, a share chosen by hash is offered, but all where the last sweep placed none."""
+    last, full, offered, thin = 0, 0, 0, 1
+    for room in sorted(r for r in rooms if 2 * r > bound):
+        last, each = room, room // bound
+        if each and full + each * rooms[room] >= wanted:
+            thin = 1 if stuck else max(1, rooms[room] // (4 * -(-(wanted - full) // each)))
+            offered += (each + 1) * rooms[room] // thin
+            break
+        full, offered = full + each * rooms[room], offered + (each + 1) * rooms[room]
+    fit = gaps.where((2 * F.col("room") > bound) & ((F.col("room") < last) | (F.col("room") == last) & (F.pmod(F.xxhash64("sequence"), F.lit(thin)) == 0)))
+    each, rest = F.floor(F.col("room") / bound).cast("int"), (F.col("room") % bound).cast("long")
+    sizes = F.concat(F.array_repeat(F.lit(bound).cast("long"), each), F.when(2 * rest > bound, F.array(rest)).otherwise(F.array().cast("array<long>")))
+    return fit.select("sequence", F.explode(sizes).alias("size"), "room"), offered
+
+
+def _missing(rooms: dict[int, int], bound: int, docs: int, tokens: int, capacity: int, stuck: bool) -> int:
+    """How many sequences to open for a class: none while the gaps offer a slot for each document, else as many as the
+    tokens need beyond FILLED of the room; enough for all tokens where the gaps have no slot or the last sweep placed none."""
+    slots = sum(n * (room // bound) for room, n in rooms.items())
+    if slots >= docs:
+        return 0
+    if bound >= capacity:  # two of these never share a sequence
+        return docs
+    room = 0 if stuck or not slots else FILLED * sum(n * r for r, n in rooms.items() if 2 * r > bound)
+    return max(0, int(-(-(tokens - room) // capacity)))
+
+
+def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`pieces` with sequence_id and offset. Needs the column length (1 to capacity); carries all others.
 
-    Equal lengths are ranked by a hash of a row id that is fixed when the pieces are written to the shared folder,
-    in buckets of about RANKED_ROWS rows, so that one very common length is no single task's. An empty table gives
-    an empty result.
+    Rows have ids that are fixed when the pieces are written to the shared folder. Pieces of the whole capacity are
+    sequences by themselves. The driver sees counts of lengths and of rooms only, at most `capacity` each. An empty table
+    gives an empty result.
     """
     spark = pieces.sparkSession
     held = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    buckets = max(1, -(-held.count() // RANKED_ROWS))
-    held = held.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
-    counts = held.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    runs = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    if any(not 1 <= x <= capacity for x in runs):
+    lengths = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if any(not 1 <= x <= capacity for x in lengths):
         raise ValueError("a piece is empty or longer than the capacity")
-    moves = best_fit_moves(runs, capacity)
-    starts = running_offsets(counts, ["length"], ["_bucket"], "n", "before").drop("n")
-    ranked = held.withColumn("_in_bucket", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_row")) - 1)
-    ranked = ranked.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("before") + F.col("_in_bucket"))
-    plan = spark.createDataFrame(moves, MOVES).withColumnRenamed("length", "_length")
-    on = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank"))
-    placed = join_small(ranked, plan, on, "inner", len(moves))
-    step = F.col("_rank") - F.col("first_rank")
-    return placed.select(*[F.col(f"`{c}`") for c in pieces.columns], (F.col("first_sequence") + F.floor(step / F.col("each"))).cast("long").alias("sequence_id"), (F.col("first_offset") + step % F.col("each") * F.col("length")).alias("offset"))
+    base = new_path(spark, "placed")
+    full = held.where(F.col("length") == capacity).select(F.col("_row").alias("row"), F.col("length").cast("long"), (-1 - F.col("_row")).alias("sequence"))
+    full.write.parquet(f"{base}/step=0")
+    gaps = spark.createDataFrame([], "sequence long, room long")
+    rooms: dict[int, int] = {}
+    opened, step, bound = 0, 0, capacity
+    while bound:
+        mine = {x: n for x, n in lengths.items() if bound < 2 * x and x <= bound and x < capacity}
+        docs = held.where((F.col("length") * 2 > bound) & (F.col("length") <= bound) & (F.col("length") < capacity)).select(F.col("_row").alias("row"), F.col("length").cast("long"))
+        left, tokens, stuck = sum(mine.values()), sum(x * n for x, n in mine.items()), False
+        while left:
+            if new := _missing(rooms, bound, left, tokens, capacity, stuck):
+                gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
+                rooms[capacity] = rooms.get(capacity, 0) + new
+                opened += new
+            step += 1
+            slots, offered = _offers(gaps, rooms, bound, left, stuck)
+            superstep(docs, slots, left + offered, range_rows).write.parquet(f"{base}/step={step}")
+            placed = spark.read.schema(PLACED).parquet(f"{base}/step={step}")
+            docs = placed.where("sequence is null").select("row", "length")
+            taken = placed.where("sequence is not null").select("sequence", (-F.col("length")).alias("room"))
+            gaps = materialize(gaps.unionByName(taken).groupBy("sequence").agg(F.sum("room").alias("room")).where("room > 0"), "gaps")
+            known = gaps.groupBy("room").agg(F.count(F.lit(1)).alias("n")).unionByName(docs.agg((-F.coalesce(F.sum("length"), F.lit(0)) - 1).alias("room"), F.count(F.lit(1)).alias("n"))).collect()
+            rooms = {r["room"]: r["n"] for r in known if r["room"] > 0}
+            before, (tokens, left) = left, next((-r["room"] - 1, r["n"]) for r in known if r["room"] < 0)
+            stuck = left == before
+        bound //= 2
+    rows = spark.read.schema(PLACED + ", step int").parquet(base).where("sequence is not null")
+    inside = Window.partitionBy("sequence").orderBy("step", F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select(F.col("row").alias("_row"), F.col("sequence").alias("sequence_id"), F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset"))
+    return held.join(rows, "_row").select(*[F.col(f"`{c}`") for c in pieces.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096) -> DataFrame:
