@@ -3,11 +3,14 @@
 A document's five statistics are transformed, fixed to 1/256ths (so that sums don't depend on their order) and held
 against its group's minimum-covariance-determinant estimate by Mahalanobis distance. The estimate comes from
 concentration steps over all rows: a step bins each group's distances, keeps the bins that hold its nearest `share`
-of rows and takes their mean and covariance. Each step is one grouped sum; only one small matrix a group meets Python.
+of rows (the last bin whole, which is 1.6 % wide) and takes their mean and covariance. Several starts take two steps
+each, the one of the least determinant goes on until that no longer falls. Each step is one grouped sum; only small
+matrices, one a group and start, meet Python.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -25,6 +28,16 @@ UNIT = 256
 FLOORS = (0.35, 0.10, 0.50, 0.10, 0.10)
 #: Covariance of the nearest 75 % of a normal sample in five dimensions, times this, is that of all.
 CONSISTENCY = 1.41
+#: Starts of the concentration steps: the medians and quartile spreads, and this many means and covariances of about
+#: START_ROWS rows each, chosen by a hash of their statistics.
+RANDOM_STARTS, START_ROWS = 2, 16
+#: Steps that all starts take, steps that the best one takes at most, and the fall of the logarithm of the determinant
+#: at which it has settled.
+FIRST_STEPS, MOST_STEPS, SETTLED = 2, 12, 1e-3
+#: Distances are binned by this many bins a factor of e.
+BINS = 64
+#: The share of clean documents, were they normal, that may be rejected: one in 10**9.
+TAIL = 1e-9
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -80,32 +93,75 @@ def _distance(mean: str = "mean", inverse: str = "inverse") -> Column:
     return total
 
 
+def chi_square(tail: float, degrees: int = DIMENSIONS) -> float:
+    """The value that a chi-square variable exceeds with a probability of `tail`, by bisection."""
+
+    def exceeds(x: float) -> float:
+        k, p = (1, math.erfc(math.sqrt(x / 2))) if degrees % 2 else (2, math.exp(-x / 2))
+        while k < degrees:
+            p, k = p + math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1)), k + 2
+        return p
+
+    low, high = 1e-9, 1e4
+    while high - low > 1e-9 * high:
+        middle = (low + high) / 2
+        low, high = (middle, high) if exceeds(middle) > tail else (low, middle)
+    return high
+
+
+def _sums() -> list[Column]:
+    """Exact sums of z and of products: a product is under 2**25, so a group may have 2**38 rows."""
+    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+    return [F.sum(f"z{i}").alias(f"s{i}") for i in range(DIMENSIONS)] + [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s{i}{j}") for i, j in pairs]
+
+
 def _estimates(sums: DataFrame) -> DataFrame:
-    """One row a group: n and sums of z and of products, as exact integers -> mean and inverse of the floored covariance."""
+    """One row a group and start: n and the sums of `_sums` -> mean, inverse of the floored covariance and its determinant."""
 
     def invert(batches):
         for b in batches:
             table = b.to_pydict()
-            means, inverses = [], []
+            means, inverses, dets = [], [], []
             for k in range(b.num_rows):
                 n = table["n"][k]
-                mean = np.array([int(table[f"s{i}"][k]) for i in range(DIMENSIONS)]) / n / UNIT
+                mean = np.array([table[f"s{i}"][k] for i in range(DIMENSIONS)]) / n / UNIT
                 cov = np.zeros((DIMENSIONS, DIMENSIONS))
                 for i in range(DIMENSIONS):
                     for j in range(i, DIMENSIONS):
-                        cov[i, j] = cov[j, i] = int(table[f"s{i}{j}"][k]) / n / UNIT**2 - mean[i] * mean[j]
+                        cov[i, j] = cov[j, i] = table[f"s{i}{j}"][k] / n / UNIT**2 - mean[i] * mean[j]
                 # variances below the floor are raised to it, which keeps the matrix positive
                 short = np.maximum(0, np.array(FLOORS) ** 2 - CONSISTENCY * np.diag(cov))
-                inverse = np.linalg.inv(CONSISTENCY * cov + np.diag(short + 1e-9))
+                cov = CONSISTENCY * cov + np.diag(short + 1e-9)
                 means.append(mean.tolist())
-                inverses.append(inverse.ravel().tolist())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("grp")), pa.array(means, pa.list_(pa.float64())), pa.array(inverses, pa.list_(pa.float64()))], names=["grp", "mean", "inverse"])
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                dets.append(float(np.linalg.slogdet(cov)[1]))
+            numbers = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), pa.array(means, numbers), pa.array(inverses, numbers), pa.array(dets, pa.float64())], names=["grp", "start", "mean", "inverse", "det"])
+
+    return sums.mapInArrow(invert, "grp string, start int, mean array<double>, inverse array<double>, det double")
+
 
-    return sums.mapInArrow(invert, "grp string, mean array<double>, inverse array<double>")
+def _starts(base: DataFrame) -> DataFrame:
+    """First estimates of every group of `base` (grp, n, z0 to z4)."""
+    zs = [F.col(f"z{i}") for i in range(DIMENSIONS)]
+    quartiles = base.groupBy("grp").agg(*[F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, z in enumerate(zs)])
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)]
+    medians = quartiles.select("grp", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] / UNIT for i in range(DIMENSIONS)]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]).alias("inverse"), F.lit(None).cast("double").alias("det"))
+    drawn = F.filter(F.array(*[F.when(F.pmod(F.xxhash64(*zs, F.lit(k)), F.lit(1 << 30)) * F.col("n") < START_ROWS * (1 << 30), F.lit(k)) for k in range(1, RANDOM_STARTS + 1)]), lambda k: k.isNotNull())
+    chosen = base.select("grp", *zs, F.explode(drawn).alias("start")).groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *_sums())
+    return medians.unionByName(_estimates(chosen))
+
+
+def _binned(near: DataFrame, *values: Column) -> DataFrame:
+    """m and `values` of each group's, start's and bin's rows, and `before`: how many rows lie nearer. At most some thousand
+    bins a group."""
+    bins = near.withColumn("bin", F.floor(F.log(_distance() + 1e-6) * BINS).cast("int")).groupBy("grp", "start", "bin", "n").agg(F.count(F.lit(1)).alias("m"), *values)
+    return running_offsets(bins, ["grp", "start"], ["bin"], "m", "before")
 
 
-def fit_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, least_rows: int = 100) -> tuple[DataFrame, DataFrame]:
-    """(stats with grp, estimates by grp). Rows that fail the base rules don't shape the estimates.
+def fit_outliers(stats: DataFrame, share: float = 0.75, least_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(stats with grp, estimates by grp: mean, inverse, scale). Rows that fail the base rules don't shape the estimates.
+    scale brings the median distance of a group that spreads wider than its nearest rows tell to that of a normal sample.
 
     A language and source with fewer than least_rows rows is judged by its whole language, and a language with fewer by
     all rows, however few they are: every row that passes the base rules has an estimate. Rows shape each estimate
@@ -130,37 +186,42 @@ def fit_outliers(stats: DataFrame, share: float = 0.75, steps: int = 3, least_ro
     base = in_groups(stats.where(~F.col("base_failed")), parts.select("_lang", "_source", "grp"), "inner")
     base = join_small(base, large, "grp", "inner", groups)
 
-    zs = [F.col(f"z{i}") for i in range(DIMENSIONS)]
-    # the start: coordinate-wise medians and quartiles
-    quartiles = base.groupBy("grp").agg(*[F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, z in enumerate(zs)])
-    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)]
-    start = quartiles.select("grp", F.array(*[F.col(f"q{i}")[1] / UNIT for i in range(DIMENSIONS)]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]).alias("inverse"))
-    estimates = materialize(start, "quality-start")
-    pairs = [(i, j) for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-    for _ in range(steps):
-        near = join_small(base, estimates, "grp", "inner", groups)
-        near = near.withColumn("bin", F.floor(F.log(_distance() + 1e-6) * 16).cast("int"))
-        wide = [F.sum(F.col(f"z{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in range(DIMENSIONS)] + [F.sum((F.col(f"z{i}") * F.col(f"z{j}")).cast("decimal(20,0)")).alias(f"s{i}{j}") for i, j in pairs]
-        bins = near.groupBy("grp", "bin", "n").agg(F.count(F.lit(1)).alias("m"), *wide)  # at most some hundred rows a group
-        kept = running_offsets(bins, ["grp"], ["bin"], "m", "before").where(F.col("before") < F.ceil(F.col("n") * share))
-        sums = kept.groupBy("grp").agg(F.sum("m").alias("n"), *[F.sum(f"s{i}").cast("string").alias(f"s{i}") for i in range(DIMENSIONS)], *[F.sum(f"s{i}{j}").cast("string").alias(f"s{i}{j}") for i, j in pairs])
-        estimates = materialize(_estimates(sums), "quality-step")
-    return known, estimates
-
-
-def judge_quality(docs: DataFrame, *keep: Column, cutoff: float = 60.0) -> DataFrame:
+    base = materialize(base.select("grp", "n", *[f"z{i}" for i in range(DIMENSIONS)]), "quality-base")
+
+    def step(estimates: DataFrame) -> DataFrame:
+        near = join_small(base, estimates, "grp", "inner", groups * (1 + RANDOM_STARTS))
+        kept = _binned(near, *_sums()).where(F.col("before") < F.ceil(F.col("n") * share))
+        names = [f"s{i}" for i in range(DIMENSIONS)] + [f"s{i}{j}" for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
+        return materialize(_estimates(kept.groupBy("grp", "start").agg(F.sum("m").alias("n"), *[F.sum(x).alias(x) for x in names])), "quality-step")
+
+    estimates = materialize(_starts(base), "quality-starts")
+    for _ in range(FIRST_STEPS):
+        estimates = step(estimates)
+    best = estimates.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("best")).select("grp", "best.start")
+    estimates = materialize(estimates.join(best, ["grp", "start"]), "quality-best")
+    for _ in range(MOST_STEPS):
+        before, estimates = estimates, step(estimates)
+        moved = estimates.select("grp", "det").join(before.select("grp", F.col("det").alias("old")), "grp").where(F.abs(F.col("det") - F.col("old")) > SETTLED)
+        if moved.isEmpty():
+            break
+    middle = _binned(join_small(base, estimates, "grp", "inner", groups)).where(2 * F.col("before") < F.col("n")).groupBy("grp").agg(F.max("bin").alias("bin"))
+    scale = F.greatest(F.exp((F.col("bin") + 0.5) / BINS) / chi_square(0.5), F.lit(1.0))
+    return known, materialize(estimates.join(middle, "grp").select("grp", "mean", "inverse", scale.alias("scale")), "quality-estimates")
+
+
+def judge_quality(docs: DataFrame, *keep: Column, tail: float = TAIL) -> DataFrame:
     """Columns `keep` (as _k0, _k1, ...), the statistics, base_failed, distance (null only where no row of a failed row's
     language and source passes the base rules) and kept of every row.
 
     A document is kept if it passes the base rules (50 words, at most half of them in repeated windows of three) and
-    its squared distance from its group is at most `cutoff`. Null texts count as empty and fail; null languages and
-    sources are groups of their own; repeated rows count each; an empty table gives an empty result. Columns of docs
-    other than text, lang, source and those in `keep` are ignored.
+    its squared distance from its group is at most the chi-square quantile that leaves `tail`. Null texts count as empty
+    and fail; null languages and sources are groups of their own; repeated rows count each; an empty table gives an empty
+    result. Columns of docs other than text, lang, source and those in `keep` are ignored.
     """
     names = [f"_k{i}" for i in range(len(keep))]
     stats = materialize(document_stats(docs, *keep), "quality-stats")
     known, estimates = fit_outliers(stats)
     groups = estimates.count()
-    judged = join_small(known, estimates, "grp", "left", groups).withColumn("distance", _distance())
-    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)
+    judged = join_small(known, estimates, "grp", "left", groups).withColumn("distance", _distance() / F.col("scale"))
+    kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= chi_square(tail))
     return judged.select(*names, *STATS, "base_failed", "distance", kept.alias("kept"))
