@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -111,27 +112,50 @@ def test_packing(spark, odd, docs):
     assert packing.pack_documents(odd.limit(0), path).count() == 0
 
 
-def test_best_fit_supersteps_are_best_fit_decreasing():
+def test_supersteps_over_many_ranges_are_one_stack(spark):
+    """A sweep that is dealt over ranges places each document where one stack over the whole order does."""
     rng = np.random.default_rng(5)
-    for capacity in (10, 64, 1000):
-        counts = Counter(rng.integers(1, capacity + 1, 300).tolist())
+    for n_docs, n_slots, top in ((700, 300, 40), (300, 700, 40), (500, 500, 3), (400, 0, 9), (0, 9, 9)):
+        docs = [(int(i), int(x)) for i, x in enumerate(rng.integers(1, top, n_docs))]
+        slots = [(int(i), int(x), int(x + rng.integers(0, 3))) for i, x in enumerate(rng.integers(1, top, n_slots))]
+        events = sorted([(-x, 0, -room, s) for s, x, room in slots] + [(-x, 1, 0, r) for r, x in docs])
+        free, want = [], {}
+        for _, is_doc, _, k in events:
+            if not is_doc:
+                free.append(k)
+            else:
+                want[k] = free.pop() if free else None
+        frames = spark.createDataFrame(docs, "row long, length long"), spark.createDataFrame(slots, "sequence long, size long, room long")
+        for range_rows in (10_000, 90):
+            got = {r["row"]: r["sequence"] for r in packing.superstep(*frames, n_docs + n_slots, range_rows).collect()}
+            assert got == want, (n_docs, n_slots, range_rows)
+
+
+def test_packing_against_best_fit_decreasing(spark):
+    rng = np.random.default_rng(7)
+    for capacity, lengths in ((64, rng.integers(1, 65, 600)), (100, np.minimum(100, rng.geometric(0.05, 800))), (64, np.full(300, 23)), (10, np.array([6, 4] * 50 + [1]))):
         rooms: list[int] = []
-        for length in sorted(counts.elements(), reverse=True):
+        for length in sorted(lengths.tolist(), reverse=True):
             fits = [k for k, room in enumerate(rooms) if room >= length]
             k = min(fits, key=lambda k: rooms[k]) if fits else len(rooms)
             if not fits:
                 rooms.append(capacity)
             rooms[k] -= length
-        moves = packing.best_fit_moves(counts, capacity)
-        place = [(first + (r - a) // each, offset + (r - a) % each * length, length) for length, a, b, each, first, offset in moves for r in range(a, b)]
-        assert Counter(x for _, _, x in place) == counts
-        assert len({s for s, _, _ in place}) == len(rooms)
-        for s in {s for s, _, _ in place}:
+        pieces = spark.createDataFrame([(i, int(x)) for i, x in enumerate(lengths)], "piece long, length int")
+        rows = packing.pack(pieces, capacity, range_rows=200).collect()
+        assert sorted((r["piece"], r["length"]) for r in rows) == sorted((i, int(x)) for i, x in enumerate(lengths))
+        at = defaultdict(list)
+        for r in rows:
+            at[r["sequence_id"]].append((r["offset"], r["length"]))
+        for parts in at.values():
             end = 0
-            for _, offset, length in sorted(x for x in place if x[0] == s):
+            for offset, length in sorted(parts):
                 assert offset == end
                 end += length
             assert end <= capacity
+        assert len(at) <= 1.01 * len(rooms) + 1, (capacity, len(at), len(rooms))
+    with pytest.raises(ValueError):
+        packing.pack(spark.createDataFrame([(11,)], "length int"), 10)
 
 
 def test_media(spark, odd, docs):
@@ -147,6 +171,23 @@ def test_media(spark, odd, docs):
     assert {hashlib.sha256(r["media"]).hexdigest() for r in stored} == {r["media_sha256"] for r in rows}
     assert {bytes(r["media"][:2]) for r in stored} == {b"P6", b"BM"}
     assert media.media_features(media.text_media(odd.limit(0))).count() == 0
+
+    def mean_areas(grid, height, width):
+        """By repeating each sample so that areas hold whole numbers of them."""
+        fine = np.repeat(np.repeat(grid, height, 0), width, 1)
+        return fine.reshape(height, grid.shape[0], width, grid.shape[1], -1).mean((1, 3))
+
+    features = {r["doc_id"]: r for r in result(spark, "op4_media_columns")}
+    for i, t, _, _ in docs:
+        data = (t or "").encode()
+        grid = np.frombuffer(data.ljust(max(1, -(-len(data) // 192)) * 192), np.uint8).reshape(-1, 64, 3).astype(float)
+        if len(grid) <= 200:
+            grey = np.round(mean_areas(grid, 8, 9).mean(2), 6)
+            assert features[i]["feature"] == f"{int(''.join('01'[int(b > a)] for row in grey for a, b in zip(row, row[1:])), 2):016x}", i
+            out = io.BytesIO()
+            np.save(out, np.rint(mean_areas(grid, 16, 16)).astype(np.uint8))
+            near = np.abs(mean_areas(grid, 16, 16) % 1 - 0.5).min() < 1e-6  # a mean that rounds either way
+            assert near or (features[i]["tile_sha256"], features[i]["tile_bytes"]) == (hashlib.sha256(out.getvalue()).hexdigest(), len(out.getvalue())), i
     pixels = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
     assert (media.decode(media.encode_bmp(pixels)) == pixels).all() and (media.decode(media.encode_ppm(pixels)) == pixels).all()
     assert (media.decode(b"P2 # c\n2 2\n255\n1 2 # x\n3 4") == np.array([[[1], [2]], [[3], [4]]])).all()
@@ -169,6 +210,37 @@ def test_shards(spark, odd, docs):
     assert sorted(parts) == [0, 1, 2, 3, 4] and max(parts.values()) < 1.1 * min(parts.values())
 
 
+def test_shards_are_boxes_of_whole_values(spark):
+    """Strings count whole, however long their common beginning, and null lies apart from '': two shards split eight names
+    into the first four and the last four, and three values of a number into null, below and above."""
+    names = [None, "", *(f"common-crawl-{c}" for c in "abcdef")]
+    frame = spark.createDataFrame([(i, "text", names[i % 8], float("nan") if i % 50 == 0 else float(i % 8)) for i in range(4000)], "doc_id long, text string, name string, x double")
+    at = defaultdict(Counter)
+    for r in sharding.kd_shards(frame, ["name"], shards=4).join(frame.select("doc_id", "name"), "doc_id").collect():
+        at[r["shard"]][r["name"] or repr(r["name"])] += 1
+    for k, pair in enumerate((("''", "None"), ("common-crawl-a", "common-crawl-b"), ("common-crawl-c", "common-crawl-d"), ("common-crawl-e", "common-crawl-f"))):
+        assert sum(at[k][x] for x in pair) > 0.99 * sum(at[k].values()), at  # a row at the cut may go either way
+    parts = sharding.kd_shards(frame, ["x", "name"], shards=7).collect()
+    assert sorted(Counter(r["shard"] for r in parts)) == list(range(7)) and len(parts) == 4000
+
+
+def test_shards_against_plain_splits(spark):
+    """Along one dimension of distinct values the shards are runs whose ends are nearest, from below, to the halves of the bytes."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 60, 900)
+    frame = spark.createDataFrame([(int(i), "x" * (int(s) - 1)) for i, s in enumerate(sizes)], "doc_id long, text string")
+    got = [s for _, s in sorted((r["doc_id"], r["shard"]) for r in sharding.kd_shards(frame, ["doc_id"], shards=8).collect())]
+
+    def split(a, b, shards):
+        if shards == 1 or a == b:
+            return [b - a] if shards == 1 else [0] * shards
+        before, wanted = np.cumsum([0, *sizes[a:b]]), int(sizes[a:b].sum()) * (shards // 2) // shards
+        cut = a + int(np.searchsorted(before, wanted, side="right"))
+        return split(a, cut, shards // 2) + split(cut, b, shards - shards // 2)
+
+    assert got == sorted(got) and list(Counter(got).values()) == split(0, 900, 8)
+
+
 def check_shards(rows, docs):
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _, _ in docs)
     slots = defaultdict(list)
@@ -211,9 +283,34 @@ def test_outliers_against_plain_concentration(spark):
     x = z / quality.UNIT
     inverse = np.array(est[0]["inverse"]).reshape(5, 5)
     d = np.einsum("ni,ij,nj->n", x - est[0]["mean"], inverse, x - est[0]["mean"])
-    assert d[:200].min() > 60 and np.mean(d[200:] > 60) == 0 and 3.0 < np.median(d[200:]) < 6.0
+    cut = quality.chi_square(quality.TAIL)
+    assert d[:200].min() > cut * est[0]["scale"] and np.mean(d[200:] > cut) == 0 and 3.0 < np.median(d[200:]) < 6.0 and est[0]["scale"] < 1.3
     near = x[np.argsort(d)[:1500]]  # a further plain step changes next to nothing
     assert np.allclose(near.mean(0), est[0]["mean"], atol=0.05)
+    best = np.inf  # and no other start of plain steps finds a smaller determinant
+    for start in range(20):
+        some = x[rng.choice(len(x), 12, replace=False)]
+        mean, cov = some.mean(0), np.cov(some.T) + 1e-3 * np.eye(5)
+        for _ in range(20):
+            near = x[np.argsort(np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean))[:1500]]
+            mean, cov = near.mean(0), np.cov(near.T, bias=True)
+        best = min(best, np.linalg.slogdet(quality.CONSISTENCY * cov)[1])
+    assert -np.linalg.slogdet(inverse)[1] < best + 0.1
+
+
+def test_chi_square():
+    assert abs(quality.chi_square(0.5) - 4.3515) < 0.001 and abs(quality.chi_square(0.001) - 20.515) < 0.001 and abs(quality.chi_square(0.05, 3) - 7.815) < 0.001 and abs(quality.chi_square(0.05, 4) - 9.488) < 0.001
+
+
+def test_two_clusters_settle_on_the_larger(spark):
+    """Medians lie between two clusters; the estimate is of the larger one, and all of the smaller one goes."""
+    rng = np.random.default_rng(9)
+    z = np.rint(rng.normal([5, 1.6, 1, 0.4, 0.4], [0.4, 0.1, 0.5, 0.1, 0.1], (1000, 5)) * quality.UNIT).astype(int)
+    z[:240] += np.array([4, 2, 5, 2, 2]) * quality.UNIT
+    stats = spark.createDataFrame([("en", "s", False, *map(int, v)) for v in z], "_lang string, _source string, base_failed boolean, z0 long, z1 long, z2 long, z3 long, z4 long")
+    known, estimates = quality.fit_outliers(stats)
+    far = known.join(estimates, "grp").where(quality._distance() / F.col("scale") > quality.chi_square(quality.TAIL)).collect()
+    assert Counter(tuple(r[f"z{i}"] for i in range(5)) for r in far) == Counter(tuple(map(int, v)) for v in z[:240])
 
 
 def test_small_sources_and_rare_languages_are_judged(spark):
@@ -230,9 +327,9 @@ def test_small_sources_and_rare_languages_are_judged(spark):
     table = rows("en", "hot", 1500) + rows("en", "small", 20, 6) + rows("en", None, 20, 6) + rows("fi", "hot", 20, 6) + rows(None, None, 20, 6) + [("xx", "failed", True, 0, 0, 0, 0, 0)]
     for cases, junk in ((table, 24), (rows("en", "only", 20, 3), 3)):
         known, estimates = quality.fit_outliers(spark.createDataFrame(cases, kinds))
-        judged = known.join(estimates, "grp", "left").withColumn("distance", quality._distance()).where("not base_failed").collect()
+        judged = known.join(estimates, "grp", "left").withColumn("distance", quality._distance() / F.col("scale")).where("not base_failed").collect()
         assert len(judged) == sum(not r[2] for r in cases) and all(r["distance"] is not None for r in judged)
-        assert sum(r["distance"] > 60 for r in judged) == junk
+        assert sum(r["distance"] > quality.chi_square(quality.TAIL) for r in judged) == junk
 
 
 def plain_fingerprint(text):
