@@ -137,8 +137,10 @@ def encoding_fingerprint(before: Column, after: Column) -> Column:
 
 
 def filter_losses(before: Column, after: Column) -> Column:
-    """map of element -> how many a filter took out, for the elements that filters take out; empty if the texts differ in
-    nothing but the space before `/>`."""
+    """map of element -> how many a filter took out, for the elements that filters take out, or {"attributes": 1} where it
+    changed anything else; empty if the texts differ in nothing but the space before `/>`."""
     same = F.regexp_replace(before, r"\s*/>", "/>") == F.regexp_replace(after, r"\s*/>", "/>")
     lost = [F.struct(F.lit(e).alias("key"), F.greatest(F.regexp_count(before, F.lit(rf"(?i)<{e}\b")) - F.regexp_count(after, F.lit(rf"(?i)<{e}\b")), F.lit(0)).alias("value")) for e in FILTERED_ELEMENTS]
-    return F.map_from_entries(F.filter(F.array(*lost), lambda x: ~same & (x["value"] > 0)))
+    named = F.filter(F.array(*lost), lambda x: ~same & (x["value"] > 0))
+    other = F.array(F.struct(F.lit("attributes").alias("key"), F.lit(1).alias("value")))
+    return F.map_from_entries(F.when(~same & (F.size(named) == 0), other).otherwise(named))

@@ -14,6 +14,7 @@ from typing import NamedTuple
 MAX_DEPTH = 32
 TEXT = "__text__"
 COLUMN_TAGS = ("et_pb_column", "et_pb_column_inner")
+MAP_TAGS = ("et_pb_map", "et_pb_fullwidth_map")
 BLANKS = " \t\n\r\0\x0b"
 _QUOTE = "&(?:quot|#0?34);"
 _TAG = re.compile(
@@ -37,7 +38,8 @@ class Span(NamedTuple):
 class Node(NamedTuple):
     """One row of a document's tree, in document order. parent_id is None at the top; ordinal counts siblings from 0;
     last_id is the last node of the subtree, the node itself if it has no children. own_text is a module's content without
-    its modules: all of it if it has none, else its own text parts, joined by line feeds. columns counts child columns."""
+    its modules: all of it if it has none, else its own text parts, joined by line feeds. columns counts the children that a
+    parent is drawn from: a row's columns, a map's pins with a title, a form's fields."""
 
     node_id: int
     parent_id: int | None
@@ -49,6 +51,15 @@ class Node(NamedTuple):
     last_id: int
     own_text: str
     columns: int
+    parent_tag: str | None
+
+
+def _drawn(parent: str, child: Node) -> bool:
+    if child.tag in COLUMN_TAGS:
+        return True
+    if parent in MAP_TAGS:
+        return child.tag == "et_pb_map_pin" and dict(child.attrs).get("title", "") not in ("", "0")
+    return parent == "et_pb_contact_form" and child.tag == "et_pb_contact_field"
 
 
 def tag_spans(content: str) -> list[Span]:
@@ -97,7 +108,7 @@ def nodes(content: str) -> list[Node]:
         return None
 
     def add(parent: int | None, ordinal: int, depth: int, tag: str, attrs, text: str) -> int:
-        out.append(Node(len(out), parent, ordinal, depth, tag, attrs, text, len(out), text.strip(BLANKS), 0))
+        out.append(Node(len(out), parent, ordinal, depth, tag, attrs, text, len(out), text.strip(BLANKS), 0, None if parent is None else out[parent].tag))
         return len(out) - 1
 
     def settle(me: int) -> None:
@@ -105,7 +116,7 @@ def nodes(content: str) -> list[Node]:
         children = [n for n in out[me + 1 :] if n.parent_id == me]
         modules = [n.tag for n in children if n.tag != TEXT]
         own = "\n".join(n.content for n in children if n.tag == TEXT) if modules else out[me].own_text
-        out[me] = out[me]._replace(last_id=len(out) - 1, own_text=own, columns=sum(t in COLUMN_TAGS for t in modules))
+        out[me] = out[me]._replace(last_id=len(out) - 1, own_text=own, columns=sum(_drawn(out[me].tag, n) for n in children))
 
     def walk(lo: int, hi: int, k: int, parent: int | None, depth: int) -> int:
         """Adds the nodes of content[lo:hi], whose first span is k or later; returns how many there are at this level."""

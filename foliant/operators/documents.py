@@ -15,7 +15,9 @@ from foliant.functions.shortcodes import TEXT
 from foliant.operators.inventory import SHORTCODE
 
 SPANS = "id long, ordinal int, tag string, start int, end int, attrs_str string, closing boolean, self_closing boolean"
-NODES = "id long, node_id int, parent_id int, ordinal int, depth int, tag string, attrs array<struct<name:string,value:string>>, content string, last_id int, own_text string, columns int"
+NODES = "id long, node_id int, parent_id int, ordinal int, depth int, tag string, attrs array<struct<name:string,value:string>>, content string, last_id int, own_text string, columns int, parent_tag string"
+#: Two more columns for rendering: the attributes that style a text node, and the text as blocks of HTML.
+LOOSE = "around array<struct<name:string,value:string>>, blocks array<struct<kind:string,level:int,html:string>>"
 
 #: Every module tag that the source format defines, without its prefix (fixed values).
 MODULES = (
@@ -26,6 +28,8 @@ MODULES = (
 PREFIX = "et_pb_"
 #: Tags that their parents consume (fixed values).
 CONSUMED = ("contact_field", "map_pin", "video_slider_item")
+#: Modules whose settings style the loose text inside them.
+STYLING = ("text", "blurb", "cta", "fullwidth_header", "testimonial", "team_member", "social_media_follow", "toggle", "tabs", "tab", "slide", "counters", "pricing_tables", "pricing_table", "video_slider")
 #: What a design attribute is, by the first pattern that its name fits (fixed values).
 STYLE_LABELS = (
     (r"_(tablet|phone)$", "tablet and phone overrides"),
@@ -62,21 +66,33 @@ def tag_spans(docs: DataFrame) -> DataFrame:
     return _bodies(docs).mapInArrow(each, SPANS)
 
 
-def node_table(docs: DataFrame) -> DataFrame:
-    """One row for each node of the trees of `docs` (id, post_content) that hold a tag, numbered in document order."""
+def node_table(docs: DataFrame, loose: bool = False) -> DataFrame:
+    """One row for each node of the trees of `docs` (id, post_content) that hold a tag, numbered in document order; with the
+    columns of LOOSE, if asked for, empty for all but text nodes."""
+    styling = {PREFIX + m for m in STYLING}
 
     def each(batches):
-        from foliant.functions import shortcodes
+        from foliant.functions import loose_html, shortcodes
 
         pair = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
+        piece = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("html", pa.string())]))
+        kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pair, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+        names = [x.split()[0] for x in NODES.split(", ")]
+        rows_of = lambda pairs: [{"name": k, "value": v} for k, v in pairs]
         for b in batches:
-            rows = [(i, *n) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for n in shortcodes.nodes(text)]
-            columns = list(zip(*rows, strict=True)) or [()] * 11
-            columns[6] = [[{"name": k, "value": v} for k, v in attrs] for attrs in columns[6]]
-            kinds = (pa.int64(), *[pa.int32()] * 4, pa.string(), pair, pa.string(), pa.int32(), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["id", "node_id", "parent_id", "ordinal", "depth", "tag", "attrs", "content", "last_id", "own_text", "columns"])
-
-    return _bodies(docs).mapInArrow(each, NODES)
+            found = [(i, shortcodes.nodes(text)) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            columns = list(zip(*[(i, *n) for i, tree in found for n in tree], strict=True)) or [()] * len(names)
+            columns[6] = [rows_of(attrs) for attrs in columns[6]]
+            arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+            if loose:
+                centred = {"et_pb_fullwidth_header": [("text_orientation", "center")]}
+                texts = [(n.tag == shortcodes.TEXT, n, tree) for _, tree in found for n in tree]
+                around = [rows_of(dict([*tree[n.parent_id].attrs, *centred.get(n.parent_tag, [])]).items()) if is_text and n.parent_tag in styling else [] for is_text, n, tree in texts]
+                cut = [[{"kind": k, "level": v, "html": h} for k, v, h in loose_html.blocks(n.content)] if is_text else [] for is_text, n, _ in texts]
+                arrays += [pa.array(around, pair), pa.array(cut, piece)]
+            yield pa.RecordBatch.from_arrays(arrays, names=names + ["around", "blocks"] * loose)
+
+    return _bodies(docs).mapInArrow(each, NODES + (", " + LOOSE) * loose)
 
 
 def _bodies(docs: DataFrame) -> DataFrame:

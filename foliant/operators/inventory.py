@@ -94,11 +94,11 @@ def run_counters(posts: DataFrame, meta: DataFrame, builder_key: str) -> DataFra
     return left.join(facts)  # one row each
 
 
-def resolve_attachments(ids: DataFrame, attachments: DataFrame, base_url: str) -> DataFrame:
+def resolve_attachments(ids: DataFrame, attachments: DataFrame, base_url: str, *also: str) -> DataFrame:
     """id, url of every wanted id: the attachment's own URL, else its file under `base_url`, else its guid; null if it is
-    gone. One join for all ids, in place of a look-up each."""
+    gone. One join for all ids, in place of a look-up each. `also` are further columns of the attachments."""
     url = F.coalesce("url", F.concat(F.lit(base_url + "/"), "file"), "guid")
-    known = attachments.select(F.col("id").alias("_id"), url.alias("resolved_url"))
+    known = attachments.select(F.col("id").alias("_id"), url.alias("resolved_url"), *also)
     return ids.join(known, F.col("id") == F.col("_id"), "left").drop("_id")
 
 

@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.sanitize import filter_losses
+from foliant.functions.shortcodes import TEXT
+from foliant.operators.documents import holds_converted_blocks
 from foliant.operators.inventory import NEWER, SHORTCODE, STATUSES, TYPES
 from foliant.sources.corpus import BACKUP_DATE_KEY, BACKUP_KEY, BUILDER_KEYS, BUILDER_SNAPSHOT_KEY
 
@@ -36,18 +39,30 @@ def retries(checked: DataFrame) -> DataFrame:
     return checked.where("verdict = 'stale'").select("post_id", F.col("current_hash").alias("source_hash"), F.col("source_hash").alias("superseded_hash"), F.lit(True).alias("superseded"))
 
 
-def holds_converted(content: Column) -> Column:
-    """Cheap test for block delimiters other than the newer builder format's; the exact one asks for top-level nodes."""
-    return content.rlike(r"<!--\s+wp:(?!divi/)")
+def _facts(posts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """post, convertible (has a complete opening tag), converted (holds blocks outside its modules) of every post that is
+    either; both by the parsed documents, as a tag or delimiter in the wrong place counts for neither."""
+    tagged = nodes.where(F.col("tag") != TEXT).select(F.col("id").alias("post"), F.lit(True).alias("convertible")).distinct()
+    blocks = holds_converted_blocks(posts, nodes).select(F.col("id").alias("post"), F.lit(True).alias("converted")).distinct()
+    known = tagged.join(blocks, "post", "full")
+    return known.select("post", F.coalesce("convertible", F.lit(False)).alias("convertible"), F.coalesce("converted", F.lit(False)).alias("converted"))
 
 
-def backup_plan(posts: DataFrame, meta: DataFrame) -> DataFrame:
+def _refused(texts: DataFrame, filtered: DataFrame | None) -> DataFrame:
+    """_filtered_id of the texts (id, text) from which the host's filter (id, filtered: what it makes of them) would take."""
+    if filtered is None:
+        return texts.sparkSession.createDataFrame([], "_filtered_id long, _loses boolean")
+    both = texts.join(filtered.select("id", "filtered"), "id")
+    return both.where(F.size(filter_losses(F.col("text"), F.col("filtered"))) > 0).select(F.col("id").alias("_filtered_id"), F.lit(True).alias("_loses"))
+
+
+def backup_plan(posts: DataFrame, meta: DataFrame, nodes: DataFrame) -> DataFrame:
     """post_id, action (keep, create or refresh), backup: the first snapshot stays unless it is stale, that is, differs from
-    a body that still holds shortcodes and no converted blocks."""
+    a body that still holds shortcodes and no converted blocks (by `nodes`, the posts' node table)."""
     existing = meta.where(F.col("meta_key") == BACKUP_KEY).groupBy("post_id").agg(F.min_by("meta_value", "meta_id").alias("existing"))
-    joined = posts.select("id", "post_content").join(existing, F.col("id") == F.col("post_id"), "left")
+    joined = posts.select("id", "post_content").join(existing, F.col("id") == F.col("post_id"), "left").join(_facts(posts, nodes), F.col("id") == F.col("post"), "left")
     absent = F.coalesce("existing", F.lit("")) == ""
-    stale = (F.col("existing") != F.col("post_content")) & ~holds_converted(F.col("post_content")) & F.contains("post_content", F.lit(SHORTCODE))
+    stale = (F.col("existing") != F.col("post_content")) & F.coalesce("convertible", F.lit(False)) & ~F.coalesce("converted", F.lit(False))
     action = F.when(absent, "create").when(stale, "refresh").otherwise("keep")
     return joined.select(F.col("id").alias("post_id"), action.alias("action"), F.when(action == "keep", F.col("existing")).otherwise(F.col("post_content")).alias("backup"))
 
@@ -73,21 +88,25 @@ def restore_builder_meta(meta: DataFrame, snapshot: DataFrame) -> DataFrame:
     return kept.select("meta_id", "post_id", "meta_key", "meta_value").unionByName(added).unionByName(guessed)
 
 
-def restore_plan(requests: DataFrame, posts: DataFrame, meta: DataFrame) -> DataFrame:
-    """post_id, verdict, restored_hash: no_backup, or the token check's verdict; the hash of what a restore puts back."""
-    backups = meta.where(F.col("meta_key") == BACKUP_KEY).groupBy(F.col("post_id").alias("_post")).agg(F.md5(F.min_by("meta_value", "meta_id")).alias("restored_hash"))
-    joined = check_tokens(requests, posts).join(backups, F.col("post_id") == F.col("_post"), "left")
-    verdict = F.when((F.col("verdict") == "ok") & F.col("restored_hash").isNull(), "no_backup").otherwise(F.col("verdict"))
+def restore_plan(requests: DataFrame, posts: DataFrame, meta: DataFrame, filtered: DataFrame | None = None) -> DataFrame:
+    """post_id, verdict, restored_hash: no_backup, filter_loss (where `filtered`, id and what the host's filter makes of a
+    backup, has less), or the token check's verdict; the hash of what a restore puts back."""
+    texts = meta.where(F.col("meta_key") == BACKUP_KEY).groupBy("post_id").agg(F.min_by("meta_value", "meta_id").alias("text"))
+    backups = texts.select(F.col("post_id").alias("_post"), F.md5("text").alias("restored_hash"))
+    joined = check_tokens(requests, posts).join(backups, F.col("post_id") == F.col("_post"), "left").join(_refused(texts.withColumnRenamed("post_id", "id"), filtered), F.col("post_id") == F.col("_filtered_id"), "left")
+    ok = F.col("verdict") == "ok"
+    verdict = F.when(ok & F.col("restored_hash").isNull(), "no_backup").when(ok & F.col("_loses"), "filter_loss").otherwise(F.col("verdict"))
     return joined.select("post_id", verdict.alias("verdict"), F.when(verdict == "ok", F.col("restored_hash")).alias("restored_hash"))
 
 
-def change_plan(requests: DataFrame, posts: DataFrame, converted: DataFrame) -> DataFrame:
-    """post_id, status, reason, markup, source_hash, new_hash for each request. `converted` is (id, markup). Reasons, in
-    order: those of `actionable`, of the token check, not_convertible, already_converted, empty_output."""
-    facts = posts.select("id", F.contains("post_content", F.lit(SHORTCODE)).alias("_convertible"), (holds_converted(F.col("post_content"))).alias("_blocks"))
+def change_plan(requests: DataFrame, posts: DataFrame, converted: DataFrame, nodes: DataFrame, filtered: DataFrame | None = None) -> DataFrame:
+    """post_id, status, reason, markup, source_hash, new_hash for each request. `converted` is (id, markup), `nodes` the posts'
+    node table, `filtered` (id, filtered) what the host's filter makes of the markup. Reasons, in order: those of
+    `actionable`, of the token check, not_convertible, already_converted, empty_output, filter_loss."""
     checked = check_tokens(requests, posts).join(actionable(requests.select("post_id").distinct(), posts), "post_id")
-    joined = checked.join(facts, F.col("post_id") == F.col("id"), "left").drop("id").join(converted.select(F.col("id").alias("_id"), "markup"), F.col("post_id") == F.col("_id"), "left")
-    reason = F.coalesce("reason", F.when(F.col("verdict") != "ok", F.col("verdict")), F.when(~F.col("_convertible"), "not_convertible"), F.when(F.col("_blocks"), "already_converted"), F.when(blank(F.col("markup")), "empty_output"))
+    joined = checked.join(_facts(posts, nodes), F.col("post_id") == F.col("post"), "left").join(converted.select(F.col("id").alias("_id"), "markup"), F.col("post_id") == F.col("_id"), "left")
+    joined = joined.join(_refused(converted.select("id", F.col("markup").alias("text")), filtered), F.col("post_id") == F.col("_filtered_id"), "left")
+    reason = F.coalesce("reason", F.when(F.col("verdict") != "ok", F.col("verdict")), F.when(~F.coalesce("convertible", F.lit(False)), "not_convertible"), F.when(F.coalesce("converted", F.lit(False)), "already_converted"), F.when(blank(F.col("markup")), "empty_output"), F.when(F.col("_loses"), "filter_loss"))
     return joined.select("post_id", F.when(reason.isNull(), "write").otherwise("refuse").alias("status"), reason.alias("reason"), F.when(reason.isNull(), F.col("markup")).alias("markup"), "source_hash", F.when(reason.isNull(), F.md5("markup")).alias("new_hash"))
 
 

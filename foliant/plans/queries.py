@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from foliant.functions import census, sanitize
 from foliant.operators import anonymize, documents, inventory, render, reports, validate, writeplan
 from foliant.operators.inventory import ScanRequest
-
+from foliant.plans import shapes
 from foliant.sources.corpus import BUILDER_KEYS, postmeta, posts, requests, table, with_views
 
 QUERIES: dict = {}
@@ -27,6 +28,31 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
+_PARSED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def parsed(spark: SparkSession, sf_dir: str, docs: DataFrame, name: str) -> DataFrame:
+    """The documents' node table, parsed once a session and kept on disk, as rendering, warnings, census and plans all ask for
+    it; a partition that is lost with its executor is parsed again."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PARSED:
+        _PARSED[key] = documents.node_table(docs, loose=True).persist(StorageLevel.DISK_ONLY)
+    return _PARSED[key]
+
+
+def post_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir, posts(spark, sf_dir), "posts")
+
+
+def module_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that use every module; see `shapes`."""
+    return spark.sql(shapes.SOURCE_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+
+
+def module_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir, module_posts(spark, sf_dir), "modules")
+
+
 _BACKUPS = ", bk AS (SELECT post_id, max(meta_id) AS m FROM postmeta WHERE meta_key = '_d2g_divi_backup' GROUP BY post_id), bd AS (SELECT post_id, max(meta_value) AS backup_date FROM postmeta WHERE meta_key = '_d2g_backup_date' GROUP BY post_id), listed AS (SELECT id, post_title, post_type, post_status, post_date, contains(post_content, '[et_pb_') AS has_shortcodes, md5(post_content) AS source_hash, m IS NOT NULL AS has_backup, backup_date FROM posts LEFT JOIN bk ON bk.post_id = id LEFT JOIN bd ON bd.post_id = id WHERE (contains(post_content, '[et_pb_') OR m IS NOT NULL) AND post_status IN ('publish', 'draft', 'private', 'pending') AND post_type IN ('page', 'post')) "
 _LISTED = "SELECT id, post_title, post_type, post_status, post_date, coalesce(has_shortcodes, false) AS has_shortcodes, source_hash, has_backup, backup_date FROM listed "
 
@@ -97,7 +123,7 @@ def attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f", att AS ({_ATTACHMENTS}), g AS (SELECT id AS post_id, unnest([id, 999]) AS image FROM posts WHERE id % 5 = 1 AND post_content IS NOT NULL AND id <> 0) SELECT post_id, image, coalesce(att.url, 'https://cdn.example.com/' || att.file, att.guid) AS url FROM g LEFT JOIN att ON att.id = image", "posts")
 def attachment_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The galleries' images, from the parsed documents, with the fallbacks of their addresses."""
-    urls = render.gallery_urls(documents.node_table(posts(spark, sf_dir)), attachments(spark, sf_dir), "https://cdn.example.com")
+    urls = render.gallery_urls(post_nodes(spark, sf_dir), attachments(spark, sf_dir), "https://cdn.example.com")
     return urls.select(F.col("id").alias("post_id"), F.explode("gallery").alias("g")).select("post_id", "g.image", "g.url")
 
 
@@ -169,11 +195,11 @@ def census_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", census.block_census(F.col("html")).alias("c")).select("page_id", "c.*")
 
 
-@query(f""", c AS (SELECT id, {_straight_sql("post_content")} AS c FROM posts WHERE id % 5 <> 4), w AS (SELECT id, {_words_sql(f"regexp_replace(c, '{_TAG_SQL}', ' ', 'g')")} AS before FROM c)
+@query(f""", c AS (SELECT id, {_straight_sql("post_content")} AS c FROM posts), w AS (SELECT id, {_words_sql(f"regexp_replace(c, '{_TAG_SQL}', ' ', 'g')")} AS before FROM c)
 SELECT id, 'words' AS kind, before AS lost, before FROM w WHERE before > 0 UNION ALL SELECT id, 'links', 1, 1 FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL UNION ALL SELECT id, 'buttons', 1, 1 FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL UNION ALL SELECT id, 'images', 2, 2 FROM posts WHERE id % 5 = 1 AND post_content IS NOT NULL""", "posts")
 def census_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What would be lost if the shortcode documents came out empty: every kind that they hold."""
-    facts = posts(spark, sf_dir).where("id % 5 <> 4").select("id", census.source_census(F.col("post_content")).alias("before"), census.block_census(F.lit("")).alias("after"), F.lit(None).cast("struct<words:long,links:long,images:long,buttons:long>").alias("acknowledged"))
+    """What would be lost if all documents came out empty: every kind that they hold."""
+    facts = posts(spark, sf_dir).select("id", census.source_census(F.col("post_content")).alias("before"), census.block_census(F.lit("")).alias("after"), F.lit(None).cast("struct<words:long,links:long,images:long,buttons:long>").alias("acknowledged"))
     return census.unexplained(facts)
 
 
@@ -263,7 +289,7 @@ def actionable_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r""", e AS (SELECT post_id, min_by(meta_value, meta_id) AS existing FROM postmeta WHERE meta_key = '_d2g_divi_backup' GROUP BY post_id), j AS (SELECT id, post_content, existing, CASE WHEN coalesce(existing, '') = '' THEN 'create' WHEN existing <> post_content AND contains(post_content, '[et_pb_') THEN 'refresh' ELSE 'keep' END AS action FROM posts LEFT JOIN e ON e.post_id = id)
 SELECT id AS post_id, action, CASE WHEN action = 'keep' THEN existing ELSE post_content END AS backup FROM j""", "posts", "postmeta")
 def backup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writeplan.backup_plan(posts(spark, sf_dir), postmeta(spark, sf_dir))
+    return writeplan.backup_plan(posts(spark, sf_dir), postmeta(spark, sf_dir), post_nodes(spark, sf_dir))
 
 
 @query(", k AS (SELECT '_et_pb_use_builder' AS meta_key UNION ALL SELECT '_et_pb_old_content'), m AS (SELECT post_id, meta_key, string_agg(meta_value, ',' ORDER BY meta_id) AS v FROM postmeta GROUP BY ALL) SELECT posts.id AS post_id, k.meta_key, m.v IS NOT NULL AS exists, coalesce(m.v, '') AS vals FROM posts, k LEFT JOIN m ON m.post_id = posts.id AND m.meta_key = k.meta_key", "posts", "postmeta")
@@ -304,7 +330,7 @@ def tag_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def node_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = documents.node_table(posts(spark, sf_dir))
+    nodes = post_nodes(spark, sf_dir).drop("around", "blocks")
     return nodes.withColumn("attrs", F.array_join(F.transform("attrs", lambda x: F.concat_ws("=", x["name"], x["value"])), ";"))
 
 
@@ -345,50 +371,114 @@ def dispatch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(" SELECT id, 'et_pb_text' AS tag, 'spacing (padding or margin)' AS labels FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL", "posts")
 def style_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.style_losses(documents.node_table(posts(spark, sf_dir)))
+    return documents.style_losses(post_nodes(spark, sf_dir))
 
 
-@query(r""" SELECT id, node_id, text FROM (SELECT id, 1 AS node_id, trim(regexp_extract(post_content, '(?s)"\]\[et_pb_text custom_padding="10px\|\|20px\|"\](.*)\[/et_pb_text\]', 1), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS text FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL)""", "posts")
+@query(r"""WITH d AS (SELECT doc_id AS id, doc_id % 5 AS k, trim(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ' ' || chr(9) || chr(10) || chr(13) || chr(11)) AS body FROM documents WHERE text IS NOT NULL AND (doc_id % 5 <> 0 OR source IS NOT NULL AND lang IS NOT NULL))
+SELECT id, 0 AS node_id, CASE k WHEN 0 THEN '' ELSE body END AS text FROM d WHERE k IN (0, 1) UNION ALL SELECT id, 1, body FROM d WHERE k IN (0, 3)
+UNION ALL SELECT id, (CASE k WHEN 0 THEN 2 ELSE 1 END) + (CASE WHEN body = '' THEN 0 ELSE 1 END), '' FROM d WHERE k IN (0, 1)""")
 def own_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text modules' own content in the sections."""
-    nodes = documents.node_table(posts(spark, sf_dir).where("id % 5 = 0"))
-    return documents.inner_content(nodes).where("node_id = 1")
+    """Every module's own content."""
+    return documents.inner_content(post_nodes(spark, sf_dir))
 
 
 @query(" SELECT id, CAST(NULL AS INT) AS parent_id, 0 AS first_ordinal, 2 AS members FROM posts WHERE id % 5 = 1 AND post_content IS NOT NULL UNION ALL SELECT id, 0, 0, 2 FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL UNION ALL SELECT id, NULL, 0, 1 FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL UNION ALL SELECT id, NULL, 1, 1 FROM posts WHERE id % 5 = 3 AND post_content IS NOT NULL", "posts")
 def sibling_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = documents.node_table(posts(spark, sf_dir))
+    nodes = post_nodes(spark, sf_dir)
     return documents.sibling_runs(nodes, F.col("tag") != "__text__").select("id", "parent_id", "first_ordinal", F.col("members").cast("int"))
 
 
-@query()
+_CV = shapes.posts_views(_ATTACHMENTS)
+_AFTER = r"regexp_replace(c, '(?s)<!--\s*/?wp:.*?-->', ' ', 'g')"
+_BOTH = rf""", src AS (SELECT id, {_straight_sql("post_content")} AS c FROM cv WHERE tagged), su AS (SELECT id, c, {_ATTRIBUTE_URLS_SQL} || {_html_urls_sql("c")} AS urls FROM src),
+before AS (SELECT id, {_words_sql(f"regexp_replace(c, '{_TAG_SQL}', ' ', 'g')")} AS words, {_distinct_sql("urls", False)} AS links, CASE WHEN id % 5 = 1 THEN 2 ELSE 0 END AS images, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS buttons FROM su),
+dst AS (SELECT id, {_straight_sql("markup")} AS c FROM cv WHERE tagged), du AS (SELECT id, c, {_html_urls_sql("c")} AS urls FROM dst),
+after AS (SELECT id, {_words_sql(_AFTER)} AS words, {_distinct_sql("urls", False)} AS links, CAST(len(regexp_extract_all(c, '<!--\s+wp:image')) AS BIGINT) AS images, CAST(len(regexp_extract_all(c, '<!--\s+wp:button[\s/]')) AS BIGINT) AS buttons FROM du),
+ack AS (SELECT id, CASE WHEN id % 5 = 1 THEN 1 + (found IS NULL)::INT ELSE 0 END AS images FROM cv WHERE tagged) """
+
+
+@query(_CV + "SELECT id, markup FROM cv", "posts")
 def convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.convert(posts(spark, sf_dir), attachments(spark, sf_dir), "https://cdn.example.com")
+    return render.convert(posts(spark, sf_dir), attachments(spark, sf_dir), "https://cdn.example.com", nodes=post_nodes(spark, sf_dir))
 
 
-@query()
+@query(_CV + """SELECT id, 'et_pb_gallery' AS module, CASE WHEN found IS NULL THEN 'None of the 2 images of a gallery are in the media library.' ELSE '1 of the 2 images of a gallery are not in the media library.' END AS message FROM cv WHERE tagged AND id % 5 = 1
+UNION ALL SELECT id, 'html-comment', 'A block delimiter inside the content was removed.' FROM cv WHERE tagged AND id % 5 = 3""", "posts")
 def conversion_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.warnings(documents.node_table(posts(spark, sf_dir)))
+    """What rendering and the census have to say of each post."""
+    said = render.warnings(post_nodes(spark, sf_dir), attachments(spark, sf_dir), base_url="https://cdn.example.com")
+    return said.unionByName(census.census_warnings(conversion_losses(spark, sf_dir)))
 
 
-@query()
+@query(_CV + _BOTH + "SELECT b.id, " + ", ".join(f"b.{k} AS {k}_before, a.{k} AS {k}_after, {'ack.images' if k == 'images' else '0'} AS {k}_acknowledged" for k in census.KINDS) + " FROM before b JOIN after a ON a.id = b.id JOIN ack ON ack.id = b.id", "posts")
 def conversion_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both sides' census of every converted document, with what rendering acknowledges to have dropped."""
-    docs = posts(spark, sf_dir)
-    known = render.acknowledged_losses(documents.node_table(docs), attachments(spark, sf_dir), "https://cdn.example.com")
+    """Both sides' census of every post that holds a tag, with what rendering acknowledges to have dropped."""
+    docs, nodes = posts(spark, sf_dir), post_nodes(spark, sf_dir)
+    known = render.acknowledged_losses(nodes, attachments(spark, sf_dir), "https://cdn.example.com")
     both = docs.join(convert(spark, sf_dir), "id").join(known, "id", "left").where(F.contains("post_content", F.lit("[et_pb_")))
     facts = both.select("id", census.source_census(F.col("post_content")).alias("before"), census.block_census(F.col("markup")).alias("after"), "acknowledged")
     return facts.select("id", *[F.col(f"before.{k}").alias(f"{k}_before") for k in census.KINDS], *[F.col(f"after.{k}").alias(f"{k}_after") for k in census.KINDS], *[F.coalesce(f"acknowledged.{k}", F.lit(0)).alias(f"{k}_acknowledged") for k in census.KINDS])
 
 
-@query(" SELECT id, kind, lost, before FROM (SELECT 0 AS id, '' AS kind, 0 AS lost, 0 AS before) WHERE id < 0", "posts")
+@query(_CV + _BOTH + " UNION ALL ".join(f"SELECT b.id, '{k}' AS kind, b.{k} - a.{k}{' - ack.images' if k == 'images' else ''} AS lost, b.{k} AS before FROM before b JOIN after a ON a.id = b.id JOIN ack ON ack.id = b.id WHERE b.{k} - a.{k}{' - ack.images' if k == 'images' else ''} > 0" for k in census.KINDS), "posts")
 def conversion_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Losses that nothing explains: none."""
+    """Losses that nothing explains."""
     facts = conversion_census(spark, sf_dir)
     side = lambda s: F.struct(*[F.col(f"{k}_{s}").alias(k) for k in census.KINDS]).alias(s)
     return census.unexplained(facts.select("id", side("before"), side("after"), side("acknowledged")))
 
 
+# Documents that use every module.
+
+
+@query(shapes.markup_sql(_ATTACHMENTS))
+def convert_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return render.convert(module_posts(spark, sf_dir), attachments(spark, sf_dir), "https://cdn.example.com", nodes=module_nodes(spark, sf_dir))
+
+
+@query(shapes.warnings_sql(_ATTACHMENTS))
+def module_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    menus = spark.createDataFrame([(99, "Main")], "id long, name string")
+    return render.warnings(module_nodes(spark, sf_dir), attachments(spark, sf_dir), menus, "https://cdn.example.com")
+
+
+@query(shapes.TREES_SQL)
+def module_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's nodes in order, with their depth."""
+    node = F.concat(F.col("depth").cast("string"), F.when(F.col("tag") == "__text__", "_").otherwise(F.regexp_replace("tag", "^et_pb_", "")))
+    rows = module_nodes(spark, sf_dir).select("id", F.struct("node_id", node.alias("node")).alias("n"))
+    return rows.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("n")), lambda x: x["node"]), " ").alias("tree"))
+
+
+_MODULES = f"WITH m AS ({shapes.SOURCE_SQL})"
+
+
+@query(_MODULES + r""", f AS (SELECT id, regexp_extract_all(post_content, '\[(et_pb_[a-z0-9_]+)', 1) AS found FROM m), u AS (SELECT id, unnest(found) AS tag, generate_subscripts(found, 1) AS k FROM f), o AS (SELECT id, tag, min(k) AS k FROM u GROUP BY ALL) SELECT id, string_agg(tag, ',' ORDER BY k) AS tags FROM o GROUP BY id""")
+def module_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.found_tags(documents.tag_spans(module_posts(spark, sf_dir))).select("id", F.array_join("tags", ",").alias("tags"))
+
+
+@query(_MODULES + r""", q AS (SELECT id, replace(replace(replace(replace(replace(post_content, '&quot;', '"'), '&#34;', '"'), '&#8221;', '"'), chr(39) || '3' || chr(39), '"3"'), 'a[0]', 'a(0)') AS c FROM m), t AS (SELECT id, regexp_extract_all(c, '\[et_pb_[a-z0-9_]+[^\]]*\]') AS tags FROM q),
+u AS (SELECT id, unnest(tags) AS tag, generate_subscripts(tags, 1) AS place FROM t), a AS (SELECT id, place, unnest(regexp_extract_all(tag, '[\w-]+="[^"]*"')) AS a FROM u) SELECT id, CAST(place AS INT) AS place, split_part(a, '="', 1) AS name, replace(regexp_extract(a, '="([^"]*)"$', 1), 'a(0)', 'a[0]') AS value FROM a""")
+def module_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and values of all modules, by the modules' places."""
+    rows = module_nodes(spark, sf_dir).where(F.col("tag") != "__text__").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("node_id")))
+    return rows.select("id", "place", F.explode("attrs").alias("x")).select("id", "place", "x.name", "x.value")
+
+
+@query(_MODULES + r""" SELECT id, regexp_replace(replace(post_content, 'a[0]', 'a'), '\[/?et_pb_[a-z0-9_]+[^\]]*\]', '', 'g') AS stripped FROM m""")
+def module_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All modules' documents without their tags."""
+    docs = module_posts(spark, sf_dir)
+    return documents.strip_shortcodes(docs, documents.tag_spans(docs))
+
+
+@query()
+def module_markup_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that the rendered documents break."""
+    return validate.problems(convert_modules(spark, sf_dir).where("markup is not null"))
+
+
 @query(_CHECK + "SELECT post_id, source_hash, current_hash = source_hash AND post_id % 2 = 0 AS current FROM checked WHERE verdict = 'ok'", "posts", "requests")
 def still_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A plan against a later snapshot, in which odd posts were edited."""
@@ -398,9 +488,14 @@ def still_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writeplan.still_current(plan, later)
 
 
-@query()
+_PLAN = """, checked AS (SELECT r.post_id, r.source_hash, CASE WHEN coalesce(r.source_hash, '') = '' THEN 'missing_token' WHEN p.id IS NULL THEN 'gone' WHEN r.source_hash = md5(p.post_content) THEN 'ok' ELSE 'stale' END AS verdict, p.* FROM requests r LEFT JOIN posts p ON p.id = r.post_id),
+reasoned AS (SELECT post_id, source_hash, markup, CASE WHEN checked.id IS NULL THEN 'no_post' WHEN post_type NOT IN ('page', 'post') THEN 'bad_type' WHEN post_status NOT IN ('publish', 'draft', 'private', 'pending') THEN 'bad_status' WHEN verdict <> 'ok' THEN verdict WHEN NOT tagged THEN 'not_convertible' WHEN markup = '' THEN 'empty_output' END AS reason FROM checked LEFT JOIN cv ON cv.id = post_id)
+SELECT post_id, CASE WHEN reason IS NULL THEN 'write' ELSE 'refuse' END AS status, reason, CASE WHEN reason IS NULL THEN markup END AS markup, source_hash, CASE WHEN reason IS NULL THEN md5(markup) END AS new_hash FROM reasoned"""
+
+
+@query(_CV + _PLAN, "posts", "requests")
 def change_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writeplan.change_plan(requests(spark, sf_dir), posts(spark, sf_dir), convert(spark, sf_dir))
+    return writeplan.change_plan(requests(spark, sf_dir), posts(spark, sf_dir), convert(spark, sf_dir), post_nodes(spark, sf_dir))
 
 
 @query(" SELECT id, 'residual shortcode' AS problem FROM posts WHERE contains(post_content, '[et_pb_')", "posts")
