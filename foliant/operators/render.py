@@ -128,7 +128,8 @@ def _prepared(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns({"urls": cleaned(S.safe_url), "texts": cleaned(S.escape_text), "r": F.map_from_entries("around")})
     rows = rows.withColumn("escaped_urls", F.transform_values("urls", lambda _, v: S.escape_text(v)))
     rows = rows.withColumns({"margin": S.spacing_box(_a("custom_margin")), "padding": S.spacing_box(_a("custom_padding")), "back": S.css_color(_a("background_color")), "radius": S.border_radius(_a("border_radii"))["radius"], "border_color": S.css_color(_a("border_color_all")), "border_style": S.css_border_style(_a("border_style_all")), "border_width": S.css_length(_a("border_width_all"))})
-    rows = rows.withColumn("host", S.video_provider(F.col("video_src")))
+    justified = S.allowed_value(F.coalesce(_a("button_alignment"), _a("text_orientation")), ("left", "center", "right", "space-between"))
+    rows = rows.withColumns({"host": S.video_provider(F.col("video_src")), "color": S.css_color(_a("color")), "width": S.column_width(_a("type")), "button_align": justified, "button_back": S.css_color(_a("button_bg_color")), "button_ink": S.css_color(_a("button_text_color")), "label": _label(F.col("own_text"))})
     spacing, css = _spacing_of()
     rows = rows.withColumns({"spacing": spacing, "spacing_css": css, "align": S.text_align_class(F.element_at("r", "text_orientation"))})
     for kind, prefix, name in (("p", "body_", "align"), ("h", "header_", "textAlign")):
@@ -300,7 +301,7 @@ def _row(_: Target) -> Pieces:
 
 def _column(_: Target) -> Pieces:
     style, classes, css = _wrapper()
-    width = S.column_width(_a("type"))
+    width = F.col("width")
     css = F.concat_ws(";", F.nullif(css, F.lit("")), F.when(width != "", _cat("flex-basis:", width)))
     return _cat(_open("column", F.struct(F.nullif(width, F.lit("")).alias("width"), style.alias("style"))), '<div class="wp-block-column', classes, '"', _style_attr(css), ">\n"), _cat("\n</div>", _close("column"))
 
@@ -361,10 +362,14 @@ def _audio(_: Target) -> Pieces:
     artist = F.when(_given(_a("artist_name")), block("paragraph", _cat("<p>", _t("artist_name"), "</p>"))).otherwise("")
     about = F.concat(F.when(_u("image_url") != "", _image("image_url", "title")).otherwise(""), _heading(4, "title"), artist)
     spacing, css = _spacing()
-    style = F.when((about == "") & spacing.isNotNull(), F.struct(spacing.alias("spacing")))
-    sound = block("audio", _cat("<figure", F.when(about == "", _style_attr(css)).otherwise(""), ' class="wp-block-audio"><audio controls src="', _e("audio"), '"></audio></figure>'), F.struct(src.alias("src"), style.alias("style")))
-    opening, closing = _spaced_group(_cat(about, sound))
-    return _leaf(F.when(src == "", "").when(about == "", sound).otherwise(_cat(opening, closing)))
+
+    def made(about: Column) -> Column:
+        style = F.when((about == "") & spacing.isNotNull(), F.struct(spacing.alias("spacing")))
+        sound = block("audio", _cat("<figure", F.when(about == "", _style_attr(css)).otherwise(""), ' class="wp-block-audio"><audio controls src="', _e("audio"), '"></audio></figure>'), F.struct(src.alias("src"), style.alias("style")))
+        opening, closing = _spaced_group()
+        return _cat(F.when(about == "", "").otherwise(opening), about, sound, F.when(about == "", "").otherwise(closing))
+
+    return _leaf(F.when(src == "", "").otherwise(once(about, made)))
 
 
 def _slider_gallery() -> Column:
@@ -392,8 +397,7 @@ def _gallery(_: Target) -> Pieces:
 
 
 def _button_module(_: Target) -> Pieces:
-    align = S.allowed_value(F.coalesce(_a("button_alignment"), _a("text_orientation")), ("left", "center", "right", "space-between"))
-    back, ink = S.css_color(_a("button_bg_color")), S.css_color(_a("button_text_color"))
+    align, back, ink = F.col("button_align"), F.col("button_back"), F.col("button_ink")
     color = F.when((back != "") | (ink != ""), F.struct(F.struct(F.nullif(back, F.lit("")).alias("background"), F.nullif(ink, F.lit("")).alias("text")).alias("color")))
     classes = F.concat(F.when(back != "", " has-background").otherwise(""), F.when(ink != "", " has-text-color").otherwise(""))
     link = _cat('<div class="wp-block-button"><a class="wp-block-button__link wp-element-button', classes, '"', _style_attr(_declarations(("background-color", back), ("color", ink))), ' href="', _href("button_url"), '"', _target(), ">", _t("button_text", "Click Here"), "</a></div>")
@@ -420,7 +424,7 @@ def _cta(_: Target) -> Pieces:
 
 
 def _divider(_: Target) -> Pieces:
-    color = S.css_color(_a("color"))
+    color = F.col("color")
     spacing, css = _spacing()
     css = F.concat_ws(";", F.nullif(css, F.lit("")), F.when(color != "", _cat("background-color:", color, ";color:", color)))
     style = F.when((color != "") | spacing.isNotNull(), F.struct(F.when(color != "", F.struct(color.alias("background"))).alias("color"), spacing.alias("spacing")))
@@ -469,8 +473,13 @@ _SOCIAL_OPEN, _SOCIAL_CLOSE = '<ul class="wp-block-social-links">\n', "</ul>"
 
 def _team_member(_: Target) -> Pieces:
     position = F.when(_given(_a("position")), block("paragraph", _cat('<p class="has-small-font-size"><em>', _t("position"), "</em></p>"), F.struct(F.lit("small").alias("fontSize")))).otherwise("")
-    links = F.concat(*[F.when(_given(_a(f"{n}_url")), _social_link(_u(f"{n}_url"), F.lit(n))).otherwise("") for n in S.SOCIAL_NETWORKS])
-    social = F.when(links != "", block("social-links", _cat(_SOCIAL_OPEN, links, _SOCIAL_CLOSE))).otherwise("")
+
+    def link(n: Column) -> Column:
+        name = F.concat(n, F.lit("_url"))
+        return F.when(_given(F.element_at("a", name)), _social_link(F.coalesce(F.element_at("urls", name), F.lit("")), n)).otherwise("")
+
+    links = F.array_join(F.transform(F.array(*[F.lit(n) for n in S.SOCIAL_NETWORKS]), link), "")
+    social = once(links, lambda x: F.when(x != "", block("social-links", _cat(_SOCIAL_OPEN, x, _SOCIAL_CLOSE))).otherwise(""))
     return _group(F.concat(_image("image_url", "name"), _heading(3, "name"), position), social)
 
 
@@ -489,7 +498,7 @@ def _tab(_: Target) -> Pieces:
 
 
 def _counter(_: Target) -> Pieces:
-    label = F.coalesce(F.nullif(_label(F.col("own_text")), F.lit("")), _a("title"), F.lit(""))
+    label = F.coalesce(F.nullif("label", F.lit("")), _a("title"), F.lit(""))
     return _leaf(block("paragraph", _cat("<p><strong>", S.escape_text(label), "</strong>: ", _t("percent", "0"), "%</p>")))
 
 
@@ -514,8 +523,8 @@ def _ends() -> Column:
 
 def _pricing_item(_: Target) -> Pieces:
     """A run of items is one list: its first opens it, its last closes it."""
-    text = _label(F.col("own_text"))
-    label = F.when(_a("available") == "off", _cat("<s>", S.escape_text(text), "</s>")).otherwise(S.escape_text(text))
+    text, off = F.col("label"), F.coalesce(_a("available") == "off", F.lit(False))
+    label = _cat(F.when(off, "<s>").otherwise(""), S.escape_text(text), F.when(off, "</s>").otherwise(""))
     item = F.when(text != "", block("list-item", _cat("<li>", label, "</li>"))).otherwise("")
     return _if(F.col("run_shows"), (_cat(F.when(_starts(), _cat(_open("list"), '<ul class="wp-block-list">\n')).otherwise(""), item), F.when(_ends(), _cat("</ul>", _close("list"))).otherwise("")))
 
@@ -697,12 +706,15 @@ def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str
     rows = _prepared(rows)
     opening = F.when(F.col("tag") == TEXT, text_blocks())
     closing = F.when(F.col("tag") == TEXT, "")
+    # one branch a function: modules that look alike share theirs
+    alike: dict[Callable[[Target], Pieces], Column] = {}
     for module, render in DISPATCH.items():
-        first, last = render(target)
-        opening, closing = opening.when(_is(module), first), closing.when(_is(module), last)
+        alike[render] = alike[render] | _is(module) if render in alike else _is(module)
     for module, (parents, render) in PARTS.items():
-        first, last = render(target)
         here = _is(module) & _in(*parents)
+        alike[render] = alike[render] | here if render in alike else here
+    for render, here in alike.items():
+        first, last = render(target)
         opening, closing = opening.when(here, first), closing.when(here, last)
     opening = opening.when(~_has_children() & (F.col("own_text") != ""), block("html", F.col("own_text"))).otherwise("")
     sides = F.array(

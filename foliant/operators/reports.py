@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,4 +35,9 @@ def run_totals(outcomes: DataFrame) -> DataFrame:
 def substitution_log(substitutions: DataFrame, shown: int = 10) -> DataFrame:
     """kind, uses, samples: for each kind of substitution its count and the first `shown` originals in order."""
     one = substitutions.groupBy("kind", "before", "after").agg(F.count(F.lit(1)).alias("n"))
-    return one.groupBy("kind").agg(F.sum("n").alias("uses"), F.slice(F.array_sort(F.collect_set(F.concat_ws(" -> ", "before", "after"))), 1, shown).alias("samples"))
+    text = F.concat_ws(" -> ", "before", "after")
+    # only the first ones of a kind are ever gathered
+    first = one.select("kind", text.alias("text")).distinct().withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("text"))).where(F.col("place") <= shown)
+    samples = first.groupBy(F.col("kind").alias("_kind")).agg(F.array_sort(F.collect_list("text")).alias("samples"))
+    uses = one.groupBy("kind").agg(F.sum("n").alias("uses"))
+    return uses.join(samples, F.col("kind").eqNullSafe(F.col("_kind"))).select("kind", "uses", "samples")
