@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliant.functions.places import once
+
 BLANKS = " \t\n\r\0\x0b"
 #: Units, keywords, widths, hosts and networks.
 UNITS = "px|em|rem|%|vw|vh|pt|ch"
@@ -105,24 +107,26 @@ def carries_no_value(name: Column, value: Column) -> Column:
 
 def video_provider(c: Column) -> Column:
     """struct<provider,id,watch,is_embed> of a URL on a known host or a subdomain of one; provider is '' otherwise."""
-    url = trimmed(c)
-    rest = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", 0)
-    part = lambda i: F.regexp_extract(rest, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
+    part = lambda i: F.regexp_extract(trimmed(c), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)([^?#]*)(?:\?([^#]*))?", i)
     host = F.regexp_replace(F.regexp_replace(F.lower(part(1)), r":[0-9]*$", ""), r"\.+$", "")
-    path, query = part(2), part(3)
-    on = lambda known: (host == known) | host.endswith("." + known)
-    provider = F.lit("")
-    for known, name in reversed(VIDEO_HOSTS.items()):
-        provider = F.when(on(known), name).otherwise(provider)
-    embedded = F.regexp_extract(path, r"^/(?:embed|v|shorts)/([a-zA-Z0-9_-]+)", 1)
-    short = F.regexp_extract(path, r"^/([a-zA-Z0-9_-]+)", 1)
-    asked = F.regexp_extract(query, r"(?:^|&)v=([a-zA-Z0-9_-]+)(?:&|$)", 1)
-    number = F.regexp_extract(path, r"^/(?:video/)?([0-9]+)", 1)
-    youtube = F.when(on("youtu.be"), short).when(embedded != "", embedded).otherwise(asked)
-    id_ = F.when(provider == "youtube", youtube).when(provider == "vimeo", number).otherwise("")
-    watch = F.when(id_ == "", "").when(provider == "youtube", F.concat(F.lit("https://www.youtube.com/watch?v="), id_)).otherwise(F.concat(F.lit("https://vimeo.com/"), id_))
-    embed = F.when(provider == "youtube", ~on("youtu.be") & (embedded != "")).when(provider == "vimeo", (number != "") & (path.startswith("/video/") | host.startswith("player."))).otherwise(False)
-    return F.struct(provider.alias("provider"), id_.alias("id"), watch.alias("watch"), embed.alias("is_embed"))
+
+    def named(u: Column) -> Column:
+        on = lambda known: (u["host"] == known) | u["host"].endswith("." + known)
+        provider = F.lit("")
+        for known, name in reversed(VIDEO_HOSTS.items()):
+            provider = F.when(on(known), name).otherwise(provider)
+        embedded = F.regexp_extract(u["path"], r"^/(?:embed|v|shorts)/([a-zA-Z0-9_-]+)", 1)
+        youtube = F.when(on("youtu.be"), F.regexp_extract(u["path"], r"^/([a-zA-Z0-9_-]+)", 1)).when(embedded != "", embedded).otherwise(F.regexp_extract(u["query"], r"(?:^|&)v=([a-zA-Z0-9_-]+)(?:&|$)", 1))
+        number = F.regexp_extract(u["path"], r"^/(?:video/)?([0-9]+)", 1)
+        return once(provider, lambda p: F.struct(p.alias("provider"), F.when(p == "youtube", youtube).when(p == "vimeo", number).otherwise("").alias("id"), (~on("youtu.be") & (embedded != "")).alias("framed"), u["host"].alias("host"), u["path"].alias("path")))
+
+    def told(v: Column) -> Column:
+        youtube = v["provider"] == "youtube"
+        watch = F.when(v["id"] == "", "").when(youtube, F.concat(F.lit("https://www.youtube.com/watch?v="), v["id"])).otherwise(F.concat(F.lit("https://vimeo.com/"), v["id"]))
+        embed = F.when(youtube, v["framed"]).when(v["provider"] == "vimeo", (v["id"] != "") & (v["path"].startswith("/video/") | v["host"].startswith("player."))).otherwise(False)
+        return F.struct(v["provider"].alias("provider"), v["id"].alias("id"), watch.alias("watch"), embed.alias("is_embed"))
+
+    return once(once(F.struct(host.alias("host"), part(2).alias("path"), part(3).alias("query")), named), told)
 
 
 def strip_tags(c: Column) -> Column:
