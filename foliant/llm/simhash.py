@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_text
+from .common import materialize, maybe_in, whole_text, without
 from .graph import components
 
 SEED = 42
@@ -40,11 +40,14 @@ FIVE_BITS = 2_048
 ROWS, WAYS = 5, 30
 #: Two texts are near at a Jaccard similarity of NEAR[0] / NEAR[1].
 NEAR = (4, 5)
-#: Pairs with more differing bits of 2,048 aren't confirmed: at 0.8 the mean is 310 at most and this is seven deviations
-#: more. Sets of under SIFTED shingles, for which the bits follow the angle less well, are never sifted.
-FAR, SIFTED = 424, 100
+#: Hamming distances of 2,048 bits tell similarities apart to about 0.02 a standard deviation: pairs that DEVIATIONS of them
+#: put below NEAR are dropped, pairs that they put above it are linked, and sets are compared for those between. Sets of
+#: under SIFTED shingles, for which the bits follow the angle less well, are always compared.
+DEVIATIONS, SIFTED = 7, 100
 #: Members of a bucket that are compared in one task; of larger buckets, every two chunks meet in a task of their own.
 MEMBERS = 512
+#: Rounds in which a text is held against one other before the members of a bucket that stay apart are paired.
+STAR_ROUNDS = 3
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -190,38 +193,91 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, blocks array<long>")
 
 
+def verdicts(distance: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(surely near, surely not) of pairs with so many differing bits and sets of so many shingles: the similarity that the
+    angle tells, DEVIATIONS below and above the distance."""
+    root = np.sqrt(one.astype(float) * two)
+
+    def similarity(bits: np.ndarray) -> np.ndarray:
+        both = root * np.cos(np.pi * np.clip(bits, 0, FIVE_BITS / 2) / FIVE_BITS)
+        return both / np.maximum(one + two - both, 1e-9)
+
+    share = np.clip(distance / FIVE_BITS, 0.01, 0.5)
+    off = DEVIATIONS * np.sqrt(FIVE_BITS * share * (1 - share))
+    large = np.minimum(one, two) >= SIFTED
+    return large & (similarity(distance + off) >= NEAR[0] / NEAR[1]), large & (similarity(distance - off) < NEAR[0] / NEAR[1])
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, shingles (8 bytes each) of the classes `wanted` (cid, content)."""
+    """cid, shingles (the upper four bytes of each, in order) of the classes `wanted` (cid, doc_id, content): one text of each
+    moves, but for repeated rows."""
 
     def each(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((shingle_set(x.as_py()).tobytes() for x in b.column(1)), pa.binary())], names=["cid", "shingles"])
+            sets = ((shingle_set(x.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 
-    texts = docs.select(F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text")).join(wanted, "content")
-    return texts.groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, shingles binary")
+    def keyed(rows: DataFrame, content) -> DataFrame:
+        return rows.withColumn("_key", F.sha2(F.concat_ws(":", content, F.col("doc_id").cast("string")), 256))
+
+    wanted = keyed(wanted, F.col("content")).select("cid", "_key")
+    texts = maybe_in(keyed(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), F.sha2("text", 256)), wanted, "_key")
+    return texts.join(wanted, "_key").groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, shingles binary")
+
+
+def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, sure of the pairs a, b that aren't surely apart by their Hamming distance; sure ones needn't be confirmed."""
+
+    def each(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(b.num_rows, FIVE_BITS // 64) for k in (2, 3))
+            near, far = verdicts(np.bitwise_count(one ^ two).sum(axis=1), *(b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(near)], names=["a", "b", "sure"]).filter(pa.array(~far))
+
+    side = lambda k: classes.select(F.col("cid").alias(k), F.col("fives").alias(f"{k}_fives"), F.col("size").alias(f"{k}_size"))
+    held = pairs.join(side("a"), "a").join(side("b"), "b")
+    return held.select("a", "b", "a_fives", "b_fives", "a_size", "b_size").mapInArrow(each, "a long, b long, sure boolean")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs a, b whose sets are near, by counting."""
+    """The pairs a, b (with sure) whose sets are near, by counting where that isn't sure."""
 
     def each(batches):
         for b in batches:
             near = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                one, two = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
                 small, large = (one, two) if len(one) <= len(two) else (two, one)
                 at = np.searchsorted(large, small)
                 both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
                 near.append(NEAR[1] * both >= NEAR[0] * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    held = pairs.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
-    return held.select("a", "b", "one", "two").mapInArrow(each, "a long, b long")
+    held = pairs.where("not sure").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
+    return pairs.where("sure").select("a", "b").unionByName(held.select("a", "b", "one", "two").mapInArrow(each, "a long, b long"))
+
+
+def _in_parts(held: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """block, cid, part of the members of buckets (block, cid): the component of `parts`, or the member itself."""
+    if parts is None:
+        return held.select("block", "cid", F.col("cid").alias("part"))
+    return held.join(parts, held["cid"] == parts["node"], "left").select("block", "cid", F.coalesce("component", "cid").alias("part"))
+
+
+def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """At most one new pair a < b of each member (block, cid, part): with the least member of the least part of one of its
+    buckets, which is another part."""
+    least = members.groupBy("block").agg(F.min(F.struct("part", "cid")).alias("least"), F.max("part").alias("last")).where("least.part <> last")
+    met = members.join(least.select("block", "least"), "block").where("part <> least.part")
+    met = met.select("cid", "least.part", F.least("cid", "least.cid").alias("a"), F.greatest("cid", "least.cid").alias("b")).distinct()
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    return met.groupBy("cid").agg(F.min(F.struct("part", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs a < b of different parts among the members of each row's list (cid, part, chunk, size, fives) that aren't far
-    by their Hamming distance; for a row that pairs two chunks, only those between them."""
+    """Pairs a < b, with sure, of different parts among the members of each row's list (cid, part, chunk, size, fives) that
+    aren't surely apart by their Hamming distance; for a row that pairs two chunks, only those between them."""
 
     def each(batches):
         for b in batches:
@@ -229,27 +285,27 @@ def _bucket_pairs(buckets: DataFrame) -> DataFrame:
                 cids, parts, chunks, sizes = (np.array([m[k] for m in members], np.int64) for k in ("cid", "part", "chunk", "size"))
                 bits = np.frombuffer(b"".join(m["fives"] for m in members), np.uint64).reshape(len(members), -1)
                 across = len(set(chunks.tolist())) > 1
-                found = [np.zeros((0, 2), np.int64)]
+                found, sure = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
                 for i in range(len(members) - 1):
                     open_ = parts[i + 1 :] != parts[i]
                     if across:
                         open_ &= chunks[i + 1 :] != chunks[i]
                     other = np.flatnonzero(open_) + i + 1
-                    near = (np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1) <= FAR) | (np.minimum(sizes[other], sizes[i]) < SIFTED)
-                    other = other[near]
+                    near, far = verdicts(np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1), sizes[other], np.full(len(other), sizes[i]))
+                    other, near = other[~far], near[~far]
                     found.append(np.stack([np.minimum(cids[other], cids[i]), np.maximum(cids[other], cids[i])], axis=1))
+                    sure.append(near)
                 pairs = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(sure))], names=["a", "b", "sure"])
 
-    return buckets.select("members").mapInArrow(each, "a long, b long").distinct()
+    return buckets.select("members").mapInArrow(each, "a long, b long, sure boolean").distinct()
 
 
-def _open_pairs(held: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members of a bucket (block, cid) that the components `parts` leave apart."""
-    held = held.join(parts, held["cid"] == parts["node"], "left").select("block", "cid", F.coalesce("component", "cid").alias("part"))
-    mixed = held.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
+def _open_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of members (block, cid, part) of a bucket that are in different parts."""
+    mixed = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
     chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rest = held.join(mixed.select("block", "n"), "block").withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
+    rest = members.join(mixed.select("block", "n"), "block").withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
     # a chunk meets itself and every other chunk of its bucket once
     met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
     dealt = rest.select("cid", "part", "block", "chunk", F.explode(met).alias("ij"))
@@ -260,21 +316,31 @@ def _open_pairs(held: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFr
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, content, root of every row of `docs`: rows with one root are one group of near-duplicates.
 
-    First each member of a bucket is held against the bucket's least one; only members that the components of these
-    links leave apart are then paired with each other, so a group of near copies costs as many pairs as members.
+    In each of STAR_ROUNDS rounds a text is held against one other, the least of one of its buckets, and the components of
+    the links so far are one part from then on; so a group of near copies costs as many pairs as members. Only members of
+    a bucket that stay in different parts are then paired with each other.
     """
     prints = materialize(wide_fingerprints(docs), "wide-prints")
-    classes = prints.groupBy("fives").agg(F.min("content").alias("content"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
-    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
+    classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
+    classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "blocks").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
     keyed = classes.select("cid", F.explode("blocks").alias("block"))
-    sizes = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("low")).where("n > 1")
-    held = materialize(keyed.join(sizes, "block").select("block", "cid", "low"), "near-buckets")
-    sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "content")), "shingle-sets")
-    stars = materialize(held.where("cid <> low").select(F.col("low").alias("a"), F.col("cid").alias("b")).distinct(), "star-pairs")
-    links = materialize(_confirmed(stars, sets), "star-links")
-    rest = _open_pairs(held, components(links), classes).join(stars, ["a", "b"], "left_anti")
-    found = components(links.unionByName(_confirmed(rest, sets)))
-    roots = classes.join(found, classes["cid"] == found["node"], "left").select("fives", F.coalesce("component", "cid").alias("root"))
+    shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = materialize(keyed.join(shared, "block").select("block", "cid"), "near-buckets")
+    sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "doc_id", "content")), "shingle-sets")
+    links = tried = parts = None
+    for _ in range(STAR_ROUNDS):
+        pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "star-pairs")
+        if pairs.isEmpty():
+            break
+        found = materialize(_confirmed(materialize(_sifted(pairs, classes), "star-sifted"), sets), "star-links")
+        links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
+        parts = components(links)
+    if links is not None:
+        rest = materialize(_open_pairs(_in_parts(held, parts), classes).join(tried, ["a", "b"], "left_anti"), "open-pairs")
+        parts = components(links.unionByName(_confirmed(rest, sets)))
+        roots = classes.join(parts, classes["cid"] == parts["node"], "left").select("fives", F.coalesce("component", "cid").alias("root"))
+    else:
+        roots = classes.select("fives", F.col("cid").alias("root"))
     return prints.join(roots, "fives").select("doc_id", "content", "root")
 
 
@@ -285,9 +351,13 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     Null texts count as empty, and all texts without a word are one group; texts of fewer than five words are compared
     whole. All columns of docs are returned as they are; an empty table gives an empty result.
     """
-    classes = near_duplicate_classes(docs)
+    classes = materialize(near_duplicate_classes(docs), "near-classes")
     first = classes.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("stays"))
-    stays = first.select(F.col("stays.doc_id").alias("_stays"), F.col("stays.content").alias("_content"))
-    kept = docs.withColumn("_sha", F.sha2(whole_text(), 256))
-    kept = kept.join(stays, F.col("doc_id").cast("long").eqNullSafe(F.col("_stays")) & (F.col("_sha") == F.col("_content")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    stays = first.select("stays.doc_id", "stays.content")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("content") == F.col("_content"))
+    key = lambda content: F.sha2(F.concat_ws(":", content, F.col("doc_id").cast("long").cast("string")), 256).alias("_key")
+    goes = classes.join(stays.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")), same, "left_anti").select(key("content")).distinct()
+    kept = without(docs.withColumn("_key", key(F.sha2(whole_text(), 256))), materialize(goes, "near-gone"), "_key")
+    # a row that stays may stand there more than once
+    repeated = not classes.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    return (kept.dropDuplicates(["_key"]) if repeated else kept).drop("_key")
