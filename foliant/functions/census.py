@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.functions.places import once
 from foliant.functions.sanitize import BLANKS, decode_entities
 
 KINDS = ("words", "links", "images", "buttons")
@@ -23,15 +24,24 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TAG = r"""(?s)\[/?[a-zA-Z0-9_]++(?:[^\]"']++|"[^"]*+"|'[^']*+')*+\]"""
 
 
+def _where(c: Column, mark: str, change: Callable[[Column], Column]) -> Column:
+    """change(c) where c holds `mark`, without which it would change nothing."""
+    return once(c, lambda t: F.when(F.contains(t, F.lit(mark)), change(t)).otherwise(t))
+
+
 def straight_quotes(content: Column) -> Column:
-    for entity in ("&quot;", "&#34;", "&#034;"):
-        content = F.replace(content, F.lit(entity), F.lit('"'))
-    return content
+    def straight(t: Column) -> Column:
+        for entity in ("&quot;", "&#34;", "&#034;"):
+            t = F.replace(t, F.lit(entity), F.lit('"'))
+        return t
+
+    return _where(content, "&", straight)
 
 
 def visible_text(content: Column) -> Column:
-    content = F.regexp_replace(content, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " ")
-    return decode_entities(F.regexp_replace(content, r"(?s)<[^>]+>", " "))
+    """What a reader sees of HTML (patterns are fixed values: both sides' counts depend on them)."""
+    plain = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?is)<(script|style)\b[^>]*>.*?</\1>", " "), r"(?s)<[^>]+>", " ")
+    return _where(_where(content, "<", plain), "&", decode_entities)
 
 
 def word_count(text: Column) -> Column:
@@ -75,14 +85,9 @@ def source_census(content: Column) -> Column:
     urls = F.when(F.contains(c, F.lit("=")) | F.contains(c, F.lit(":")), F.concat(attribute_urls(c), html_urls(c))).otherwise(F.array().cast("array<string>"))
     lists = _all(c, r"""(?i)\bgallery_ids\s*=\s*["']([^"']*)["']""")
     listed = F.size(F.filter(F.flatten(F.transform(lists, lambda x: F.split(x, ","))), lambda i: F.btrim(i, F.lit(BLANKS)) != "")).cast("long")
-    words = word_count(visible_text(F.regexp_replace(c, TAG, " ")))
+    words = word_count(visible_text(_where(c, "[", lambda t: F.regexp_replace(t, TAG, " "))))
     buttons = F.regexp_count(c, F.lit(r"(?i)\[et_pb_(?:fullwidth_)?button\b")).cast("long")
-    return _once(urls, lambda u: F.struct(words.alias("words"), _distinct(u, False).alias("links"), (_distinct(u, True) + listed).alias("images"), buttons.alias("buttons")))
-
-
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with the value computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+    return once(urls, lambda u: F.struct(words.alias("words"), _distinct(u, False).alias("links"), (_distinct(u, True) + listed).alias("images"), buttons.alias("buttons")))
 
 
 def block_census(content: Column) -> Column:

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -688,6 +689,32 @@ def _shows() -> Column:
     return F.exists("blocks", lambda b: ~b["kind"].isin(*HTML_NOTES))
 
 
+_WRITTEN: dict[tuple[object, Target], tuple[Column, Column]] = {}
+
+
+def _written(target: Target) -> Pieces:
+    """Every node's opening and closing piece, by its tag. The expressions are large and always the same, so they are built
+    once a session and target."""
+    key = (SparkContext._gateway, target)
+    if key in _WRITTEN:
+        return _WRITTEN[key]
+    opening = F.when(F.col("tag") == TEXT, text_blocks())
+    closing = F.when(F.col("tag") == TEXT, "")
+    # one branch a function: modules that look alike share theirs
+    alike: dict[Callable[[Target], Pieces], Column] = {}
+    for module, render in DISPATCH.items():
+        alike[render] = alike[render] | _is(module) if render in alike else _is(module)
+    for module, (parents, render) in PARTS.items():
+        here = _is(module) & _in(*parents)
+        alike[render] = alike[render] | here if render in alike else here
+    for render, here in alike.items():
+        first, last = render(target)
+        opening, closing = opening.when(here, first), closing.when(here, last)
+    opening = opening.when(~_has_children() & (F.col("own_text") != ""), block("html", F.col("own_text"))).otherwise("")
+    _WRITTEN[key] = opening, closing.otherwise("")
+    return _WRITTEN[key]
+
+
 def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target()) -> DataFrame:
     """id, module, at, side, inner, piece: the opening (side 0) and closing (side 1) markup of every node (of a node table with
     LOOSE columns), with its place, and whether the node is a module."""
@@ -704,22 +731,10 @@ def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str
     else:
         rows = rows.withColumns({"gallery": F.lit(None).cast(_GALLERY), "image_id": F.lit(None).cast("long")})
     rows = _prepared(rows)
-    opening = F.when(F.col("tag") == TEXT, text_blocks())
-    closing = F.when(F.col("tag") == TEXT, "")
-    # one branch a function: modules that look alike share theirs
-    alike: dict[Callable[[Target], Pieces], Column] = {}
-    for module, render in DISPATCH.items():
-        alike[render] = alike[render] | _is(module) if render in alike else _is(module)
-    for module, (parents, render) in PARTS.items():
-        here = _is(module) & _in(*parents)
-        alike[render] = alike[render] | here if render in alike else here
-    for render, here in alike.items():
-        first, last = render(target)
-        opening, closing = opening.when(here, first), closing.when(here, last)
-    opening = opening.when(~_has_children() & (F.col("own_text") != ""), block("html", F.col("own_text"))).otherwise("")
+    opening, closing = _written(target)
     sides = F.array(
         F.struct(F.col("node_id").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("inner"), opening.alias("piece")),
-        F.struct(F.col("last_id").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("inner"), closing.otherwise("").alias("piece")),
+        F.struct(F.col("last_id").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("inner"), closing.alias("piece")),
     )
     return rows.select("id", (F.col("tag") != TEXT).alias("module"), F.explode(sides).alias("s")).select("id", "module", "s.*")
 

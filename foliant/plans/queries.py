@@ -138,14 +138,20 @@ def menu_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.menu_names(wanted, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("name"))).select("doc_id", "menu_id", "menu_name")
 
 
-# Census.
-
+# Census. What the SQL holds texts against is written out here a second time, so that a wrong constant shows.
+
+_ENTITIES = (
+    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#034;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&hellip;", "…"), ("&mdash;", "—"), ("&ndash;", "–"), ("&lsquo;", "‘"), ("&rsquo;", "’"), ("&ldquo;", "“"), ("&rdquo;", "”"), ("&#038;", "&"), ("&#38;", "&"), ("&amp;", "&"),
+)
+_URL_NAMES, _JSON_NAMES, _PICTURE = "src|url|button_url|button_link|image_url|background_image|audio|logo|src_webm", "url|href|src|mediaLink", r"(?i)\.(?:jpe?g|png|gif|webp|svg|avif)(?:$|\?)"
+_ABC, _abc = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WIDTHS = {"4_4": "100%", "1_2": "50%", "1_3": "33.33%", "2_3": "66.66%", "1_4": "25%", "3_4": "75%", "1_5": "20%", "2_5": "40%", "3_5": "60%", "4_5": "80%", "1_6": "16.66%", "5_6": "83.33%"}
 _BLANKS_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _SPACE_SQL = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def _decoded_sql(x: str) -> str:
-    for entity, char in sanitize.ENTITIES.items():
+    for entity, char in _ENTITIES:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     return x
 
@@ -156,16 +162,16 @@ def _straight_sql(x: str) -> str:
 
 def _url_sql(u: str) -> str:
     v = f"trim({_decoded_sql(u)}, {_BLANKS_SQL})"
-    return rf"CASE WHEN {v} IN ('', '#') OR regexp_matches({v}, '(?i)^\s*(?:javascript|data|vbscript)\s*:') THEN '' ELSE translate(regexp_replace(regexp_replace(url_decode({v}), '(?i)^https?://', ''), '/+$', ''), '{census.UPPER}', '{census.LOWER}') END"
+    return rf"CASE WHEN {v} IN ('', '#') OR regexp_matches({v}, '(?i)^\s*(?:javascript|data|vbscript)\s*:') THEN '' ELSE translate(regexp_replace(regexp_replace(url_decode({v}), '(?i)^https?://', ''), '/+$', ''), '{_ABC}', '{_abc}') END"
 
 
 def _html_urls_sql(c: str) -> str:
-    found = " || ".join(f"regexp_extract_all({c}, '{p}', 1)" for p in (r'(?i)\bhref\s*=\s*"([^"]*)"', r'(?i)\bsrc\s*=\s*"([^"]*)"', rf'(?i)"(?:{census.JSON_KEYS})"\s*:\s*"([^"]*)"'))
+    found = " || ".join(f"regexp_extract_all({c}, '{p}', 1)" for p in (r'(?i)\bhref\s*=\s*"([^"]*)"', r'(?i)\bsrc\s*=\s*"([^"]*)"', rf'(?i)"(?:{_JSON_NAMES})"\s*:\s*"([^"]*)"'))
     return f"list_filter(list_transform({found}, lambda u: {_url_sql('u')}), lambda u: u <> '')"
 
 
 def _distinct_sql(urls: str, images: bool) -> str:
-    return f"CAST(len(list_distinct(list_filter({urls}, lambda u: {'' if images else 'NOT '}regexp_matches(u, '{census.IMAGE}')))) AS BIGINT)"
+    return f"CAST(len(list_distinct(list_filter({urls}, lambda u: {'' if images else 'NOT '}regexp_matches(u, '{_PICTURE}')))) AS BIGINT)"
 
 
 def _words_sql(body: str) -> str:
@@ -173,8 +179,8 @@ def _words_sql(body: str) -> str:
     return rf"CAST(len(list_filter(regexp_split_to_array({_decoded_sql(seen)}, '{_SPACE_SQL}'), lambda t: regexp_matches(t, '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(t, '(?i)(?:^\w+://|^www\.)'))) AS BIGINT)"
 
 
-_TAG_SQL = census.TAG.replace("++", "+").replace("*+", "*").replace("'", "''")
-_ATTRIBUTE_URLS_SQL = rf"""list_filter(list_transform(regexp_extract_all(c, '(?i)\b(?:{census.URL_ATTRIBUTES})\s*=\s*["'']([^"'']*)["'']', 1), lambda u: {_url_sql("u")}), lambda u: u <> '')"""
+_TAG_SQL = r"""(?s)\[/?[a-zA-Z0-9_]+(?:[^\]"\']+|"[^"]*"|\'[^\']*\')*\]""".replace(r"\'", "'").replace("'", "''")
+_ATTRIBUTE_URLS_SQL = rf"""list_filter(list_transform(regexp_extract_all(c, '(?i)\b(?:{_URL_NAMES})\s*=\s*["'']([^"'']*)["'']', 1), lambda u: {_url_sql("u")}), lambda u: u <> '')"""
 _SOURCE_CENSUS = rf""", c AS (SELECT id, {_straight_sql("post_content")} AS c FROM posts),
 u AS (SELECT id, c, {_ATTRIBUTE_URLS_SQL} || {_html_urls_sql("c")} AS urls FROM c)
 SELECT id, {_words_sql(f"regexp_replace(c, '{_TAG_SQL}', ' ', 'g')")} AS words, {_distinct_sql("urls", False)} AS links,
@@ -214,11 +220,11 @@ def _values(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 
 _T = "trim(coalesce(v, ''))"
-_LENGTH_SQL = lambda x: rf"CASE WHEN lower(trim(coalesce({x}, ''))) = '0' THEN '0px' WHEN regexp_matches(lower(trim(coalesce({x}, ''))), '^-?[0-9]+(?:\.[0-9]+)?(?:{sanitize.UNITS})$') THEN lower(trim(coalesce({x}, ''))) ELSE '' END"
+_LENGTH_SQL = lambda x: rf"CASE WHEN lower(trim(coalesce({x}, ''))) = '0' THEN '0px' WHEN regexp_matches(lower(trim(coalesce({x}, ''))), '^-?[0-9]+(?:\.[0-9]+)?(?:px|em|rem|%|vw|vh|pt|ch)$') THEN lower(trim(coalesce({x}, ''))) ELSE '' END"
 
 
 @query(rf"""WITH d AS ({_VALUES}) SELECT id, CASE WHEN regexp_matches({_T}, '(?i)^#(?:[0-9a-f]{{3,4}}|[0-9a-f]{{6}}|[0-9a-f]{{8}})$') OR regexp_matches({_T}, '(?i)^(?:rgba?|hsla?)\(\s*[0-9a-z.,%\s/-]*\)$') THEN {_T} WHEN regexp_matches({_T}, '^[a-zA-Z]+$') THEN lower({_T}) ELSE '' END AS color, {_LENGTH_SQL("v")} AS length,
-  CASE WHEN regexp_matches(lower({_T}), '^[0-9]+(?:\.[0-9]+)?$') THEN lower({_T}) ELSE {_LENGTH_SQL("v")} END AS line_height, CASE WHEN lower({_T}) IN {sanitize.BORDER_STYLES} THEN lower({_T}) ELSE '' END AS border_style, CASE WHEN lower({_T}) IN ('en', 'de') THEN lower({_T}) ELSE 'other' END AS allowed FROM d""")
+  CASE WHEN regexp_matches(lower({_T}), '^[0-9]+(?:\.[0-9]+)?$') THEN lower({_T}) ELSE {_LENGTH_SQL("v")} END AS line_height, CASE WHEN lower({_T}) IN ('solid', 'dashed', 'dotted', 'double', 'groove', 'ridge', 'inset', 'outset', 'none') THEN lower({_T}) ELSE '' END AS border_style, CASE WHEN lower({_T}) IN ('en', 'de') THEN lower({_T}) ELSE 'other' END AS allowed FROM d""")
 def css_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     return _values(spark, sf_dir, _VALUES).select("id", sanitize.css_color(v).alias("color"), sanitize.css_length(v).alias("length"), sanitize.css_line_height(v).alias("line_height"), sanitize.css_border_style(v).alias("border_style"), sanitize.allowed_value(v, ("en", "de"), "other").alias("allowed"))
@@ -226,11 +232,11 @@ def css_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _BOXES = "SELECT doc_id AS id, CASE doc_id % 6 WHEN 0 THEN CAST(doc_id % 90 AS STRING) || 'px||2em|' WHEN 1 THEN '|||' WHEN 2 THEN '1px|x|3px|4px|true|false' WHEN 3 THEN '5%' WHEN 4 THEN '' END AS box, CASE doc_id % 5 WHEN 0 THEN 'on|5px|5px|5px|5px' WHEN 1 THEN 'on|5px|6px|5px|5px' WHEN 2 THEN 'off|5px|5px|5px|5px' WHEN 3 THEN 'On|2px|2px|2px|' ELSE 'on||||' END AS radii, CASE doc_id % 4 WHEN 0 THEN '1_2' WHEN 1 THEN '4_4' WHEN 2 THEN '5_6' ELSE lang END AS kind, CASE doc_id % 3 WHEN 0 THEN 'center' WHEN 1 THEN 'justified' ELSE 'left' END AS align FROM documents"
 _PART = lambda column, i: _LENGTH_SQL(f"string_split(coalesce({column}, ''), '|')[{i}]")
-_WIDTHS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in sanitize.COLUMN_WIDTHS.items())
+_WIDTHS_SQL = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _WIDTHS.items())
 
 
 @query(rf"""WITH d AS ({_BOXES}), c AS (SELECT *, list_filter([{", ".join(_PART("radii", i) for i in range(2, 6))}], lambda x: x <> '') AS corners, lower(string_split(radii, '|')[1]) = 'on' AS is_on FROM d)
-SELECT id, {", ".join(f"{_PART('box', i + 1)} AS {s}" for i, s in enumerate(sanitize.SIDES))}, CASE WHEN is_on AND len(corners) = 4 AND len(list_distinct(corners)) = 1 THEN corners[1] ELSE '' END AS radius, is_on AND len(corners) > 0 AND NOT (len(corners) = 4 AND len(list_distinct(corners)) = 1) AS mixed,
+SELECT id, {", ".join(f"{_PART('box', i + 1)} AS {s}" for i, s in enumerate(('top', 'right', 'bottom', 'left')))}, CASE WHEN is_on AND len(corners) = 4 AND len(list_distinct(corners)) = 1 THEN corners[1] ELSE '' END AS radius, is_on AND len(corners) > 0 AND NOT (len(corners) = 4 AND len(list_distinct(corners)) = 1) AS mixed,
   CASE kind {_WIDTHS_SQL} ELSE '' END AS width, CASE WHEN align IN ('left', 'center', 'right', 'justify') THEN 'has-text-align-' || align ELSE '' END AS align_class, regexp_matches('custom_padding', '^custom_(?:padding|margin)') AND len(list_filter(string_split(coalesce(box, ''), '|'), lambda x: trim(x) NOT IN ('', 'true', 'false'))) = 0 AS no_value FROM c""")
 def css_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _values(spark, sf_dir, _BOXES)
