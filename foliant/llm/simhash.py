@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, whole_text, without
@@ -41,13 +41,14 @@ ROWS, WAYS = 5, 30
 #: Two texts are near at a Jaccard similarity of NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 #: Hamming distances of 2,048 bits tell similarities apart to about 0.02 a standard deviation: pairs that DEVIATIONS of them
-#: put below NEAR are dropped, pairs that they put above it are linked, and sets are compared for those between. Sets of
-#: under SIFTED shingles, for which the bits follow the angle less well, are always compared.
-DEVIATIONS, SIFTED = 7, 100
+#: put below NEAR are dropped (three in a million of those at NEAR), pairs that they put above it are linked, and sets are
+#: compared for those between. Sets of under SIFTED shingles, for which the bits follow the angle less well, are always
+#: compared.
+DEVIATIONS, SIFTED = 4.5, 100
 #: Members of a bucket that are compared in one task; of larger buckets, every two chunks meet in a task of their own.
 MEMBERS = 512
-#: Rounds in which a text is held against one other before the members of a bucket that stay apart are paired.
-STAR_ROUNDS = 3
+#: Rounds in which a text is held against PROPOSALS others before the members of a bucket that stay apart are paired.
+STAR_ROUNDS, PROPOSALS = 4, 3
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -264,15 +265,16 @@ def _in_parts(held: DataFrame, parts: DataFrame | None) -> DataFrame:
     return held.join(parts, held["cid"] == parts["node"], "left").select("block", "cid", F.coalesce("component", "cid").alias("part"))
 
 
-def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """At most one new pair a < b of each member (block, cid, part): with the least member of the least part of one of its
-    buckets, which is another part."""
-    least = members.groupBy("block").agg(F.min(F.struct("part", "cid")).alias("least"), F.max("part").alias("last")).where("least.part <> last")
-    met = members.join(least.select("block", "least"), "block").where("part <> least.part")
-    met = met.select("cid", "least.part", F.least("cid", "least.cid").alias("a"), F.greatest("cid", "least.cid").alias("b")).distinct()
+def _star_pairs(members: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """At most PROPOSALS new pairs a < b of each member (block, cid, part): with members of other parts that some of its
+    buckets have for this turn's centres, chosen by a hash, so that each turn tries others."""
+    centres = members.groupBy("block").agg(F.min_by(F.struct("part", "cid"), F.struct(F.xxhash64("cid", F.lit(turn)), "cid")).alias("centre"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
+    met = members.join(centres.select("block", "centre"), "block").where("part <> centre.part")
+    met = met.select("cid", F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b")).distinct()
     if tried is not None:
         met = met.join(tried, ["a", "b"], "left_anti")
-    return met.groupBy("cid").agg(F.min(F.struct("part", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+    order = Window.partitionBy("cid").orderBy(F.xxhash64("a", "b", F.lit(turn)), "a", "b")  # at most WAYS rows a member
+    return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= PROPOSALS).select("a", "b").distinct()
 
 
 def _bucket_pairs(buckets: DataFrame) -> DataFrame:
@@ -316,9 +318,9 @@ def _open_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, content, root of every row of `docs`: rows with one root are one group of near-duplicates.
 
-    In each of STAR_ROUNDS rounds a text is held against one other, the least of one of its buckets, and the components of
-    the links so far are one part from then on; so a group of near copies costs as many pairs as members. Only members of
-    a bucket that stay in different parts are then paired with each other.
+    In each of STAR_ROUNDS rounds a text is held against a few others, the centres of its buckets, and the components of the
+    links so far are one part from then on; so a group of near copies costs some pairs a member. Only members of a bucket
+    that stay in different parts are then paired with each other.
     """
     prints = materialize(wide_fingerprints(docs), "wide-prints")
     classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
@@ -328,8 +330,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     held = materialize(keyed.join(shared, "block").select("block", "cid"), "near-buckets")
     sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "doc_id", "content")), "shingle-sets")
     links = tried = parts = None
-    for _ in range(STAR_ROUNDS):
-        pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "star-pairs")
+    for turn in range(STAR_ROUNDS):
+        pairs = materialize(_star_pairs(_in_parts(held, parts), tried, turn), "star-pairs")
         if pairs.isEmpty():
             break
         found = materialize(_confirmed(materialize(_sifted(pairs, classes), "star-sifted"), sets), "star-links")
