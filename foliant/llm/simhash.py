@@ -5,7 +5,7 @@ differing bits, exactly. `near_duplicate_classes`, for the pipeline, groups text
 a Jaccard similarity of 0.8 or more. Such texts differ in up to 15 bits of a hundred, so that blocks of SimHash bits that
 miss few of them (355 of 24 bits for one in a thousand) would bring together too many others; the blocks are minima of
 the same shingles instead, which agree as often as the sets do, whatever the edit. SimHash distances sift the pairs of
-a bucket, and every link is confirmed on the sets themselves.
+a bucket, and links are confirmed on the sets themselves where the distance leaves a doubt.
 Documents with one fingerprint are one class throughout, so copies are never paired.
 """
 
@@ -45,9 +45,9 @@ NEAR = (4, 5)
 #: compared for those between. Sets of under SIFTED shingles, for which the bits follow the angle less well, are always
 #: compared.
 DEVIATIONS, SIFTED = 4.5, 100
-#: Members of a bucket that are compared in one task; of larger buckets, every two chunks meet in a task of their own.
-MEMBERS = 512
-#: Rounds in which a text is held against one other before the members of a bucket that stay apart are paired.
+#: Members of a bucket, and shingles of their sets, that one chunk holds; members of large buckets meet chunk by chunk.
+MEMBERS, SHINGLES = 512, 1 << 20
+#: Rounds in which a text is held against one other before the members of a bucket that stay apart are compared.
 STAR_ROUNDS = 3
 
 
@@ -181,17 +181,19 @@ def min_blocks(shingles: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, content (SHA-256 of the text), and of its five-word shingles: how many, their SimHash and their blocks."""
+    """doc_id, content (SHA-256 of the text), and of its five-word shingles: how many, their SimHash, their blocks, and the
+    lower four bytes of each block in one string, `keys`."""
 
     def each(batches):
         for b in batches:
             sets = [shingle_set(x.as_py()) for x in b.column(2)]
             fives = pa.array(map(wide_fingerprint, sets), pa.binary())
-            keys = pa.array([min_blocks(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), fives, keys], names=["doc_id", "content", "size", "fives", "blocks"])
+            found = [min_blocks(x) for x in sets]
+            blocks, keys = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), fives, blocks, keys], names=["doc_id", "content", "size", "fives", "blocks", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text"))
-    return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, blocks array<long>")
+    return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, blocks array<long>, keys binary")
 
 
 def verdicts(distance: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,18 +242,22 @@ def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return held.select("a", "b", "a_fives", "b_fives", "a_size", "b_size").mapInArrow(each, "a long, b long, sure boolean")
 
 
+def _near(one: np.ndarray, two: np.ndarray) -> bool:
+    """Whether two sets, in order, have a similarity of NEAR or more."""
+    small, large = (one, two) if len(one) <= len(two) else (two, one)
+    if not len(large):
+        return True
+    at = np.searchsorted(large, small)
+    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return NEAR[1] * both >= NEAR[0] * (len(one) + len(two) - both)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs a, b (with sure) whose sets are near, by counting where that isn't sure."""
 
     def each(batches):
         for b in batches:
-            near = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                one, two = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
-                small, large = (one, two) if len(one) <= len(two) else (two, one)
-                at = np.searchsorted(large, small)
-                both = int((large[np.minimum(at, len(large) - 1)] == small).sum()) if len(large) else 0
-                near.append(NEAR[1] * both >= NEAR[0] * (len(one) + len(two) - both))
+            near = [_near(*(np.frombuffer(v.as_buffer(), np.uint32) for v in xy)) for xy in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     held = pairs.where("not sure").join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("two")), "b")
@@ -259,74 +265,106 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _in_parts(held: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """block, cid, part of the members of buckets (block, cid): the component of `parts`, or the member itself."""
+    """The members of buckets (cid and more) with part: the component of `parts`, or the member itself."""
     if parts is None:
-        return held.select("block", "cid", F.col("cid").alias("part"))
-    return held.join(parts, held["cid"] == parts["node"], "left").select("block", "cid", F.coalesce("component", "cid").alias("part"))
+        return held.withColumn("part", F.col("cid"))
+    return held.join(parts, held["cid"] == parts["node"], "left").withColumn("part", F.coalesce("component", "cid")).drop("node", "component")
 
 
 def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """At most one new pair a < b of each member (block, cid, part): with the least member of the least part of one of its
-    buckets, which is another part."""
-    least = members.groupBy("block").agg(F.min(F.struct("part", "cid")).alias("least"), F.max("part").alias("last")).where("least.part <> last")
-    met = members.join(least.select("block", "least"), "block").where("part <> least.part")
-    met = met.select("cid", "least.part", F.least("cid", "least.cid").alias("a"), F.greatest("cid", "least.cid").alias("b")).distinct()
+    """At most one new pair a < b of each member (block, cid, weight, part): with the centre of one of its buckets, which is
+    another part. The centre of a bucket has the most company over all its buckets: of edited copies, the least edited."""
+    centres = members.groupBy("block").agg(F.min(F.struct((-F.col("weight")).alias("order"), "cid", "part")).alias("centre"), F.min("part").alias("first"), F.max("part").alias("last"))
+    met = members.join(centres.where("first <> last").select("block", "centre"), "block").where("part <> centre.part")
+    met = met.select("cid", "centre.order", F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b")).distinct()
     if tried is not None:
         met = met.join(tried, ["a", "b"], "left_anti")
-    return met.groupBy("cid").agg(F.min(F.struct("part", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
-
-
-def _bucket_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs a < b, with sure, of different parts among the members of each row's list (cid, part, chunk, size, fives) that
-    aren't surely apart by their Hamming distance; for a row that pairs two chunks, only those between them."""
+    return met.groupBy("cid").agg(F.min(F.struct("order", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """block, way, i, j, side, cid, part of the members (block, way, cid, size, part) of buckets of several parts: those with
+    one block, i and j are to be compared, where i < j only between the two sides. A small bucket is one chunk. In a large
+    one the part with the most members is cut into chunks apart from the rest: its chunks meet those of the rest, not each
+    other, so that a large group and the few texts that did not join it cost no more than their sizes."""
+    need = lambda n, held: F.greatest(F.ceil(n / MEMBERS), F.ceil(held / SHINGLES), F.lit(1)).cast("int")
+    by_part = members.groupBy("block", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("held"))
+    mixed = by_part.groupBy("block").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("held").alias("held"), F.max(F.struct("n", "held", "part")).alias("main")).where("parts > 1")
+    mixed = mixed.select("block", F.col("main.part").alias("most"), (need(F.col("n"), F.col("held")) == 1).alias("small"), need(F.col("main.n"), F.col("main.held")).alias("mains"), need(F.col("n") - F.col("main.n"), F.col("held") - F.col("main.held")).alias("rests"))
+    drawn, within = F.xxhash64("cid"), F.col("part") == F.col("most")
+    side = F.when(F.col("small"), 0).when(within, F.pmod(drawn, "mains")).otherwise(F.col("mains") + F.pmod(drawn, "rests")).cast("int")
+    rows = members.join(mixed, "block").withColumn("side", side)
+    first = F.when(within & ~F.col("small"), F.col("mains")).otherwise(F.lit(0))
+    last = F.when(F.col("small"), F.lit(0)).otherwise(F.col("mains") + F.col("rests") - 1)
+    met = F.transform(F.sequence(first, last), lambda k: F.struct(F.least(k, "side").alias("i"), F.greatest(k, "side").alias("j")))
+    return rows.select("block", "way", "side", "cid", "part", F.explode(met).alias("ij")).select("block", "way", "ij.i", "ij.j", "side", "cid", "part")
+
+
+def _within_buckets(dealt: DataFrame, classes: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """Of the members `dealt`, without `sets` (as dealt): those with a member of another part that isn't surely apart from
+    them by its Hamming distance. With sets (a, b): links that join what is near, confirmed by counting where the distance
+    doesn't tell; members that links of the same task have joined are not compared again, so links are no more than members.
+    A pair is looked at only in the first way in which it shares a block."""
+    exact = sets is not None
 
     def each(batches):
-        for b in batches:
-            for members in b.column(0).to_pylist():
-                cids, parts, chunks, sizes = (np.array([m[k] for m in members], np.int64) for k in ("cid", "part", "chunk", "size"))
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                members = row["members"]
+                cids, parts, sides, sizes = (np.array([m[k] for m in members], np.int64) for k in ("cid", "part", "side", "size"))
                 bits = np.frombuffer(b"".join(m["fives"] for m in members), np.uint64).reshape(len(members), -1)
-                across = len(set(chunks.tolist())) > 1
-                found, sure = [np.zeros((0, 2), np.int64)], [np.zeros(0, bool)]
-                for i in range(len(members) - 1):
-                    open_ = parts[i + 1 :] != parts[i]
-                    if across:
-                        open_ &= chunks[i + 1 :] != chunks[i]
-                    other = np.flatnonzero(open_) + i + 1
-                    near, far = verdicts(np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1), sizes[other], np.full(len(other), sizes[i]))
-                    other, near = other[~far], near[~far]
-                    found.append(np.stack([np.minimum(cids[other], cids[i]), np.maximum(cids[other], cids[i])], axis=1))
-                    sure.append(near)
-                pairs = np.concatenate(found)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.concatenate(sure))], names=["a", "b", "sure"])
-
-    return buckets.select("members").mapInArrow(each, "a long, b long, sure boolean").distinct()
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of members (block, cid, part) of a bucket that are in different parts."""
-    mixed = members.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last")
-    chunks = F.ceil(F.col("n") / MEMBERS).cast("int")
-    rest = members.join(mixed.select("block", "n"), "block").withColumn("chunk", F.pmod(F.xxhash64("cid"), chunks).cast("int"))
-    # a chunk meets itself and every other chunk of its bucket once
-    met = F.transform(F.sequence(F.lit(0), chunks - 1), lambda k: F.struct(F.least(k, "chunk").alias("i"), F.greatest(k, "chunk").alias("j")))
-    dealt = rest.select("cid", "part", "block", "chunk", F.explode(met).alias("ij"))
-    dealt = dealt.join(classes.select("cid", "size", "fives"), "cid").select("block", "ij", F.struct("cid", "part", "chunk", "size", "fives").alias("member"))
-    return _bucket_pairs(dealt.groupBy("block", "ij").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1))
+                before = np.frombuffer(b"".join(m["keys"] for m in members), np.uint32).reshape(len(members), row["way"])
+                shingles = [np.frombuffer(m["shingles"], np.uint32) for m in members] if exact else []
+                root = np.unique(parts, return_inverse=True)[1]
+                open_, links = np.zeros(len(members), bool), []
+                for k in range(len(members) - 1):
+                    others = root[k + 1 :] != root[k]
+                    if row["i"] != row["j"]:
+                        others &= sides[k + 1 :] != sides[k]
+                    others = np.flatnonzero(others) + k + 1
+                    others = others[~(before[others] == before[k]).any(axis=1)]
+                    if not len(others):
+                        continue
+                    distance = np.bitwise_count(bits[others] ^ bits[k]).sum(axis=1)
+                    near, far = verdicts(distance, sizes[others], np.full(len(others), sizes[k]))
+                    if not exact:
+                        open_[others[~far]] = True
+                        open_[k] |= not far.all()
+                        continue
+                    for at in np.argsort(distance, kind="stable"):
+                        o = others[at]
+                        if not far[at] and root[o] != root[k] and (near[at] or _near(shingles[o], shingles[k])):
+                            links.append((int(cids[k]), int(cids[o])))
+                            root[root == root[o]] = root[k]
+                if exact:
+                    yield pa.RecordBatch.from_pylist([{"a": min(x), "b": max(x)} for x in links], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+                else:
+                    kept = np.flatnonzero(open_)
+                    same = {k: np.full(len(kept), row[k], t) for k, t in (("block", np.int64), ("way", np.int32), ("i", np.int32), ("j", np.int32))}
+                    yield pa.RecordBatch.from_pydict({**same, "side": sides[kept].astype(np.int32), "cid": cids[kept], "part": parts[kept]})
+
+    rows = dealt.join(classes.select("cid", "size", "fives", "keys"), "cid").withColumn("keys", F.expr("substring(keys, 1, 4 * way)"))
+    fields = ["cid", "part", "side", "size", "fives", "keys"]
+    if exact:
+        rows, fields = rows.join(sets, "cid"), [*fields, "shingles"]
+    lists = rows.groupBy("block", "way", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members")).where(F.size("members") > 1)
+    return lists.mapInArrow(each, "block long, way int, i int, j int, side int, cid long, part long" if not exact else "a long, b long")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, content, root of every row of `docs`: rows with one root are one group of near-duplicates.
 
-    In each of STAR_ROUNDS rounds a text is held against one other, the least of one of its buckets, and the components of
+    In each of STAR_ROUNDS rounds a text is held against one other, the centre of one of its buckets, and the components of
     the links so far are one part from then on; so a group of near copies costs as many pairs as members. Only members of
-    a bucket that stay in different parts are then paired with each other.
+    a bucket that stay in different parts are then compared with each other, within tasks that return links, not pairs.
     """
     prints = materialize(wide_fingerprints(docs), "wide-prints")
-    classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"))
-    classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "blocks").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    keyed = classes.select("cid", F.explode("blocks").alias("block"))
+    classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("keys").alias("keys"))
+    classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "blocks", "keys").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
+    keyed = classes.select("cid", "size", F.posexplode("blocks").alias("way", "block"))
     shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = materialize(keyed.join(shared, "block").select("block", "cid"), "near-buckets")
+    held = materialize(keyed.join(shared, "block").select("block", "way", "cid", "size", "n"), "near-buckets")
+    held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n")
     sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "doc_id", "content")), "shingle-sets")
     links = tried = parts = None
     for _ in range(STAR_ROUNDS):
@@ -337,8 +375,8 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         parts = components(links)
     if links is not None:
-        rest = materialize(_open_pairs(_in_parts(held, parts), classes).join(tried, ["a", "b"], "left_anti"), "open-pairs")
-        parts = components(links.unionByName(_confirmed(rest, sets)))
+        doubtful = materialize(_within_buckets(_dealt(_in_parts(held, parts)), classes, None), "doubtful-members")
+        parts = components(links.unionByName(_within_buckets(doubtful, classes, sets)))
         roots = classes.join(parts, classes["cid"] == parts["node"], "left").select("fives", F.coalesce("component", "cid").alias("root"))
     else:
         roots = classes.select("fives", F.col("cid").alias("root"))
