@@ -44,6 +44,13 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(batches, rows: int = 500):
+    """The batches in slices of so many rows: what Python holds of a batch at once stays small."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and what was
     not deterministic (row ids, ties) is the same for every later reader, whatever executors are lost."""

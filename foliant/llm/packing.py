@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, new_path, running_offsets, whole_text
+from .common import join_small, materialize, new_path, running_offsets, slices, whole_text
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: What a superstep leaves: a document with the sequence that it goes to, or null if it found none.
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     def cut(batches):
         tokenizer, end = word_tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), tokenizer.ids(b.column(1).to_pylist()), strict=True):
                 data = ids + end

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, whole_text, without
+from .common import materialize, maybe_in, slices, whole_text, without
 from .graph import components
 
 SEED = 42
@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp (long, the same bits) of every row of `docs` (doc_id, text); null text counts as empty."""
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(x.as_py(), words) for x in b.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
@@ -185,7 +185,7 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     lower four bytes of each block in one string, `keys`."""
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(x.as_py()) for x in b.column(2)]
             fives = pa.array(map(wide_fingerprint, sets), pa.binary())
             found = [min_blocks(x) for x in sets]
@@ -216,7 +216,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     moves, but for repeated rows."""
 
     def each(batches):
-        for b in batches:
+        for b in slices(batches):
             sets = ((shingle_set(x.as_py()) >> np.uint64(32)).astype(np.uint32).tobytes() for x in b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["cid", "shingles"])
 

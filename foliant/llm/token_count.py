@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, utf8_size, whole_text
+from .common import materialize, maybe_in, slices, utf8_size, whole_text
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens long"
 def read_cache(spark, path: str) -> DataFrame:
@@ -35,7 +35,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str) -> DataF
 
     def encode(batches):
         tokenizer = word_tokenizer(tokenizer_path)
-        for b in batches:
+        for b in slices(batches):
             sizes = [len(x) // 4 for x in tokenizer.ids(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([version] * len(sizes), pa.string()), pa.array(sizes, pa.int64())], names=["content", "tokenizer", "n_tokens"])
 
