@@ -119,8 +119,8 @@ SHAPES: tuple[Shape, ...] = (
         (("=html-comment", "A block delimiter inside the content was removed."), ("text", _LOST + "hover styling, custom CSS, custom IDs and classes.")),
     ),
     Shape(
-        '[et_pb_code]<script>1</script>[/et_pb_code][et_pb_fullwidth_code]About {t}[/et_pb_fullwidth_code][et_pb_button button_text="Fish &amp; Chips" button_url="https://e.com/?a=1&b={i}" button_alignment="center" button_bg_color="#fff" button_text_color="Red" url_new_window="on" custom_margin="1px|||" /][et_pb_button /]',
-        _b("html", "<script>1</script>") + _b("html", "About {t}") + _b("buttons", '<div class="wp-block-buttons is-content-justification-center" style="margin-top:1px">\n' + _button("https://e.com/?a=1&amp;b={i}", "Fish &amp; Chips", '{"style":{"color":{"background":"#fff","text":"red"}}}', " has-background has-text-color", more=' target="_blank" rel="noopener noreferrer"', style=' style="background-color:#fff;color:red"') + "\n</div>", '{"layout":{"type":"flex","justifyContent":"center"},"style":{"spacing":{"margin":{"top":"1px"}}}}')
+        '[et_pb_code]<script>1</script>[/et_pb_code][et_pb_fullwidth_code]About {t}[/et_pb_fullwidth_code][et_pb_button button_text="Salt &amp; Pepper" button_url="https://e.com/?a=1&b={i}" button_alignment="center" button_bg_color="#fff" button_text_color="Red" url_new_window="on" custom_margin="1px|||" /][et_pb_button /]',
+        _b("html", "<script>1</script>") + _b("html", "About {t}") + _b("buttons", '<div class="wp-block-buttons is-content-justification-center" style="margin-top:1px">\n' + _button("https://e.com/?a=1&amp;b={i}", "Salt &amp; Pepper", '{"style":{"color":{"background":"#fff","text":"red"}}}', " has-background has-text-color", more=' target="_blank" rel="noopener noreferrer"', style=' style="background-color:#fff;color:red"') + "\n</div>", '{"layout":{"type":"flex","justifyContent":"center"},"style":{"spacing":{"margin":{"top":"1px"}}}}')
         + _row(_button("#", "Click Here")),
     ),
     Shape(
@@ -230,6 +230,15 @@ SHAPES: tuple[Shape, ...] = (
         _p("First") + _p("About {t}"),
         (("text", _LOST + "positioning and transforms, animation and filter effects."),),
     ),
+    Shape(  # implied ends, closers without an opener, lists in lists, elements that hold no tags, depth
+        '[et_pb_text]<p>About {t}<div>b</section></div>c</p><ul><li>one<li>two<ul><li>three</ul><li>four</ul><ul><ul><li>alone</ul></ul><script>if (a<b) "</p>"</script><table><tr><td>p<td>q<tr><td>r</table>' + "<div>" * 12 + "<i>deep</i>" + "</div>" * 12 + "<b>x<i>y</b>z[/et_pb_text]",
+        _p("About {t}") + _p("b") + _p("c") + _b("list", '<ul class="wp-block-list">\n' + _items("one") + _b("list-item", "<li>two\n" + _list("three") + "</li>") + _items("four") + "</ul>") + _b("list", '<ul class="wp-block-list">\n' + _b("list-item", "<li>\n" + _list("alone") + "</li>") + "</ul>")
+        + _b("html", '<script>if (a<b) "</p>"</script>') + _b("table", '<figure class="wp-block-table"><table><tbody><tr><td>p<td>q<tr><td>r</tbody></table></figure>', '{"hasFixedLayout":false}') + _b("html", "<div><i>deep</i></div>") + _p("<b>x<i>y</b>z"),
+    ),
+    Shape(  # media between and in text, an element that a closer of a lower rank doesn't leave, one that takes the rest
+        '[et_pb_text]About {t}<iframe src="https://e.com/f">in</iframe><div>one <object data="o"><b>two</b></object> three</div><video src="https://e.com/v.mp4"></video>four<embed src="x"/><section>five</section><b>six<div>seven</b>eight</div>nine[/et_pb_text]',
+        _p("About {t}") + _b("html", '<iframe src="https://e.com/f">in</iframe>') + _p("one") + _b("html", '<object data="o"><b>two</b></object>') + _p("three") + _film("https://e.com/v.mp4") + _p("four") + _b("html", '<embed src="x"/>') + _p("five") + _p("<b>six<div>seven</b>eight</div>nine"),
+    ),
 )
 
 
@@ -277,7 +286,7 @@ TREES = (
     "0video_slider 1video_slider_item 1video_slider_item 2_ 0video_slider_item 1_ 0text 1_", "0audio 0audio 0audio", "0gallery 0gallery 0gallery", "0map 1_ 1map_pin 2_ 1map_pin 2_ 0fullwidth_map 0map 0map_pin 1_", "0blurb 1_ 0blurb 0cta 1_", "0divider 0divider 0fullwidth_header 1_ 0fullwidth_header",
     "0testimonial 1_ 0testimonial 0testimonial", "0team_member 1_ 0social_media_follow 1social_media_follow_network 1social_media_follow_network 1social_media_follow_network 1_ 1social_media_follow_network 0social_media_follow_network", "0accordion 1toggle 2_ 1toggle", "0tabs 1_ 1tab 2_ 1tab 2_ 1button",
     "0slider 1slide 2_ 0fullwidth_slider 1slide 0post_slider 0fullwidth_post_slider 1slide 2_", "0counters 1counter 2_ 1counter 1counter 2_ 2button 0number_counter 0circle_counter 0_", "0pricing_tables 1pricing_table 2pricing_item 3_ 2pricing_item 3_ 2_ 2pricing_item 3_ 1pricing_table 2_ 0pricing_item 1_",
-    "0blog 0blog 0portfolio 0filterable_portfolio 0fullwidth_portfolio 0_", "0menu 0fullwidth_menu 0menu 0search 0search 0post_title 0comments 0login 0sidebar 0sidebar 0shop 0_", "0contact_form 1_ 1contact_field 1contact_field 1contact_field 0contact_form 0contact_field 1_", "0signup 1_ 0weird 1_ 0weird 1button 0_", "", "0text 1_ 0text 1_",
+    "0blog 0blog 0portfolio 0filterable_portfolio 0fullwidth_portfolio 0_", "0menu 0fullwidth_menu 0menu 0search 0search 0post_title 0comments 0login 0sidebar 0sidebar 0shop 0_", "0contact_form 1_ 1contact_field 1contact_field 1contact_field 0contact_form 0contact_field 1_", "0signup 1_ 0weird 1_ 0weird 1button 0_", "", "0text 1_ 0text 1_", "0text 1_", "0text 1_",
 )
 TREES_SQL = f"SELECT doc_id AS id, CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TREES)) + f" END AS tree FROM documents WHERE text IS NOT NULL AND doc_id % {len(SHAPES)} <> {TREES.index('')}"
 

@@ -46,7 +46,7 @@ def test_query_runs(spark, name):
 
 
 DOCS = {
-    1: '[et_pb_section background_color="#fff"][et_pb_row][et_pb_column type="1_2"][et_pb_text custom_padding="1px|||"]Hello <b>x</b>[/et_pb_text][et_pb_button button_url="https://e.com/?a=1&b=2" button_text="Fish &amp; Chips" /][/et_pb_column][/et_pb_row][/et_pb_section]',
+    1: '[et_pb_section background_color="#fff"][et_pb_row][et_pb_column type="1_2"][et_pb_text custom_padding="1px|||"]Hello <b>x</b>[/et_pb_text][et_pb_button button_url="https://e.com/?a=1&b=2" button_text="Salt &amp; Pepper" /][/et_pb_column][/et_pb_row][/et_pb_section]',
     2: '[et_pb_video src="https://www.youtube.com/embed/abc" /][et_pb_pricing_tables][et_pb_pricing_table title="T" sum="9"][et_pb_pricing_item]a[/et_pb_pricing_item][et_pb_pricing_item available="off"]b[/et_pb_pricing_item][/et_pb_pricing_table][/et_pb_pricing_tables][et_pb_weird]keep[/et_pb_weird]',
     3: "plain text",
     4: '[et_pb_toggle title="Q" open="on"]<p>A</p><h2>B</h2>[/et_pb_toggle][et_pb_image src="javascript:x" /][et_pb_image src="https://e.com/a.png" alt="A"]cap[/et_pb_image][et_pb_gallery gallery_ids="7,8" /]',
@@ -65,7 +65,7 @@ def converted(spark):
 def test_rendering(spark, converted):
     docs, markup = converted
     assert markup[3] == "plain text" and markup[6] is None
-    assert '<!-- wp:column {"width":"50%"} -->' in markup[1] and 'style="padding-top:1px"' in markup[1] and "Fish &amp; Chips</a>" in markup[1] and 'href="https://e.com/?a=1&amp;b=2"' in markup[1]
+    assert '<!-- wp:column {"width":"50%"} -->' in markup[1] and 'style="padding-top:1px"' in markup[1] and "Salt &amp; Pepper</a>" in markup[1] and 'href="https://e.com/?a=1&amp;b=2"' in markup[1]
     assert '{"url":"https://www.youtube.com/watch?v=abc","type":"video","providerNameSlug":"youtube"}' in markup[2]
     assert markup[2].count("<!-- wp:list -->") == 1 and "<s>b</s>" in markup[2] and "<p>keep</p>" in markup[2]
     assert "javascript" not in markup[4] and '<figcaption class="wp-element-caption">cap</figcaption>' in markup[4] and markup[4].count("wp-image-7") == 1 and "wp-image-8" not in markup[4] and '{"showContent":true}' in markup[4]
