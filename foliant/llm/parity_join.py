@@ -48,7 +48,7 @@ _lows = [1]
 def band(size: int) -> int:
     """The band of a set of this size (1 or more); a band's sizes are from _lows[band] to _lows[band + 1] - 1."""
     while _lows[-1] <= size:
-        _lows.append(max(_lows[-1] + 1, _lows[-1] * 3 // 2))
+        _lows.append(max(_lows[-1] + 1, _lows[-1] * 6 // 5))
     return bisect_right(_lows, size) - 1
 
 
@@ -133,31 +133,25 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "_key").groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, size long, shingles binary")
 
 
-def _sketches(sets: DataFrame) -> DataFrame:
-    """cid, size, scope, bits of the sets: a row for each band of `scopes`."""
-
-    def each(batches):
-        for b in slices(batches):
-            rows = []
-            for cid, size, data in zip(b.column("cid").to_pylist(), b.column("size").to_pylist(), b.column("shingles"), strict=True):
-                s = np.frombuffer(data.as_buffer(), np.uint64)
-                rows += [(cid, size, k, sketch(s, k).tobytes()) for k in scopes(size)]
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["cid", "size", "scope", "bits"])
-
-    return sets.mapInArrow(each, "cid long, size long, scope int, bits binary")
+def _sketches(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, size, scope, bits (words) of the classes `wanted` (cid): a row for each band of `scopes`."""
+    key = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("_key")
+    held = maybe_in(prints.select("rid", "n_shingles", "scope", "own", "below", key("rid")), wanted.select(key("cid")), "_key")
+    held = held.join(wanted, F.col("rid") == F.col("cid"))
+    both = F.array(F.struct("scope", F.col("own").alias("bits")), F.struct((F.col("scope") - 1).alias("scope"), F.col("below").alias("bits")))
+    return held.select("cid", F.col("n_shingles").alias("size"), F.explode(both).alias("w")).select("cid", "size", "w.scope", "w.bits").where("bits is not null")
 
 
 def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     """The pairs a, b whose sketches of some common band differ in no more bits than near sets may."""
 
     def each(batches):
-        for b in batches:
-            kept = []
-            for one, two, m, n in zip(b.column(2), b.column(3), b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True):
-                apart = np.bitwise_count(np.frombuffer(one.as_buffer(), np.uint64) ^ np.frombuffer(two.as_buffer(), np.uint64)).sum()
-                kept.append(int(apart) <= allowed(m, n))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
+        for b in slices(batches, 2_000):
+            one, two = (b.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3))
+            starts = b.column(2).offsets.to_numpy()[:-1]
+            apart = np.add.reduceat(np.bitwise_count(one ^ two), starts - starts[0], dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+            sizes = [b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(apart <= allowed(*sizes)))
 
     side = lambda k: sketches.select(F.col("cid").alias(k), "scope", F.col("bits").alias(f"{k}_bits"), F.col("size").alias(f"{k}_size"))
     held = pairs.join(side("a"), "a").join(side("b"), ["b", "scope"])
@@ -189,7 +183,7 @@ def _apart(dealt: DataFrame, sketches: DataFrame, sets: DataFrame | None) -> Dat
                 way, i, j = (row.column(k)[0].as_py() for k in ("way", "i", "j"))
                 held = row.column("members").flatten()
                 cids, parts, sides, sizes = (held.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "part", "side", "size"))
-                bits = np.stack([np.frombuffer(x.as_buffer(), np.uint64) for x in held.field("bits")])
+                bits = held.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(cids), -1)
                 shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.field("shingles")] if exact else []
                 root, doubtful, links = np.unique(parts, return_inverse=True)[1], np.zeros(len(cids), bool), []
                 word = way & 0xFFFFFFFF
@@ -227,26 +221,35 @@ def _apart(dealt: DataFrame, sketches: DataFrame, sets: DataFrame | None) -> Dat
     return lists.mapInArrow(each, "block long, way long, i int, j int, side int, cid long, part long" if not exact else "a long, b long")
 
 
-def _components(docs: DataFrame, held: DataFrame, named: DataFrame) -> DataFrame | None:
+def _with_sets(docs: DataFrame, named: DataFrame, members: DataFrame, sets: DataFrame | None) -> DataFrame:
+    """`sets` and those of the members (cid) that it lacks."""
+    new = members.distinct() if sets is None else members.distinct().join(sets.select("cid"), "cid", "left_anti")
+    more = materialize(_sets(docs, named.join(new, "cid", "left_semi")), "gram-sets")
+    return more if sets is None else sets.unionByName(more)
+
+
+def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, named: DataFrame) -> DataFrame | None:
     """node, component of the classes that are linked; `held` are members of shared buckets, `named` (cid, doc_id, content) the
-    classes."""
+    classes. Only texts of classes that sketches don't tell apart from another are read again and moved."""
     if held.isEmpty():
         return None
-    held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n")
-    sets = materialize(_sets(docs, named.join(held, "cid", "left_semi")), "gram-sets")
-    sketches = materialize(_sketches(sets), "gram-sketches")
-    links = tried = parts = None
+    weights = materialize(held.groupBy("cid").agg(F.sum("n").alias("weight")), "gram-weights")
+    held = held.join(weights, "cid").drop("n")
+    sketches = materialize(_sketches(prints, weights.select("cid")), "gram-sketches")
+    links = tried = parts = sets = None
     for _ in range(STAR_ROUNDS):
         pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "gram-stars")
         if pairs.isEmpty():
             break
-        found = materialize(_verified(materialize(_sifted(pairs, sketches), "gram-sifted"), sets), "gram-links")
+        sifted = materialize(_sifted(pairs, sketches), "gram-sifted")
+        sets = _with_sets(docs, named, sifted.select(F.explode(F.array("a", "b")).alias("cid")), sets)
+        found = materialize(_verified(sifted, sets), "gram-links")
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         parts = components(links)
     doubtful = materialize(_apart(_dealt(_in_parts(held, parts)), sketches, None), "gram-doubtful")
     if doubtful.isEmpty():
         return parts
-    more = _apart(doubtful, sketches, sets)
+    more = _apart(doubtful, sketches, _with_sets(docs, named, doubtful.select("cid"), sets))
     return components(more if links is None else links.unionByName(more))
 
 
@@ -268,7 +271,7 @@ def join_near(docs: DataFrame) -> DataFrame:
     keyed = _keyed(without(full.select("rid", "n_shingles", "scope", "own", "below", key), copies, "_key"))
     shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialize(keyed.join(shared, "block").select("block", "way", "cid", "size", "n"), "gram-buckets")
-    parts = _components(docs, held, classes.select("cid", "doc_id", "content"))
+    parts = _components(docs, full, held, classes.select("cid", "doc_id", "content"))
     root = classes.select("digest", "least", F.col("cid").alias("root"))
     if parts is not None:
         root = classes.join(parts, classes["cid"] == parts["node"], "left").select("digest", "least", F.coalesce("component", "cid").alias("root"))
