@@ -18,6 +18,8 @@ SHORTCODE, NEWER = "[et_pb_", "<!-- wp:divi/"
 STATUSES, TYPES = ("publish", "draft", "private", "pending"), ("page", "post")
 SORTABLE = {"title": "post_title", "date": "post_date", "type": "post_type", "status": "post_status"}
 PAGE_SIZES, DEFAULT_SIZE, HARD_CAP = (20, 50, 100), 20, 500
+#: Text is sorted without regard to case or accents.
+COLLATION = "UNICODE_CI_AI"
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,8 @@ class ScanRequest:
         return (self.post_type,) if self.post_type in TYPES else TYPES
 
     def sort(self) -> list[Column]:
-        column = F.col(SORTABLE.get(self.orderby, "post_title"))
+        name = SORTABLE.get(self.orderby, "post_title")
+        column = F.col(name) if name == "post_date" else F.collate(F.col(name), COLLATION)
         return [column.desc_nulls_last() if self.order.lower() == "desc" else column.asc_nulls_first(), F.col("id").asc()]
 
 

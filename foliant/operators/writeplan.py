@@ -75,6 +75,23 @@ def builder_snapshot(posts: DataFrame, meta: DataFrame) -> DataFrame:
     return joined.select("post_id", "meta_key", F.col("values").isNotNull().alias("exists"), F.coalesce("values", F.array().cast("array<string>")).alias("values"))
 
 
+def stored_snapshots(meta: DataFrame) -> DataFrame:
+    """post_id, meta_key, exists, values of the builder snapshots that stand in the metadata as JSON, for `restore_builder_meta`. A
+    key's record is an object with values (a list or one), a list, or one value, as different versions wrote them; null or
+    absent: the key didn't exist. A snapshot that is no object or holds nothing counts as none: its post has no row."""
+    kept = meta.where(F.col("meta_key") == BUILDER_SNAPSHOT_KEY).groupBy("post_id").agg(F.min_by("meta_value", "meta_id").alias("text"))
+    whole = kept.select("post_id", F.try_parse_json("text").alias("v"))
+    whole = whole.where(F.schema_of_variant("v").startswith("OBJECT<") & (F.schema_of_variant("v") != "OBJECT<>"))
+    records = whole.select("post_id", F.inline(F.array(*[F.struct(F.lit(k).alias("meta_key"), F.try_variant_get("v", f"$.{k}", "variant").alias("record")) for k in BUILDER_KEYS])))
+    of = lambda path, kind: F.try_variant_get("record", path, kind)
+    one = F.array_compact(F.array(of("$", "string")))
+    shape = F.schema_of_variant("record")
+    listed = F.coalesce(of("$.values", "array<string>"), F.array_compact(F.array(of("$.values", "string"))))
+    values = F.when(shape.startswith("OBJECT"), listed).when(shape.startswith("ARRAY"), of("$", "array<string>")).otherwise(one)
+    values = F.coalesce(values, F.array().cast("array<string>"))
+    return records.select("post_id", "meta_key", (F.size(values) > 0).alias("exists"), values.alias("values"))
+
+
 def restore_builder_meta(meta: DataFrame, snapshot: DataFrame) -> DataFrame:
     """The metadata after a restore: managed keys of restored posts are cleared, then each recorded value is added. A post
     that has a backup and no snapshot gets the builder switched on. meta_id is null for added rows."""
