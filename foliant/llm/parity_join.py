@@ -4,8 +4,8 @@ A set's sketch has a bit for each of its places that an odd number of its shingl
 turns one bit: two sketches differ in no more bits than their sets differ in shingles. Sets of sizes a and b that are near
 differ in at most `allowed(a, b)` shingles. Sizes are cut into bands; a sketch of a band has one 64-bit word more than the
 shingles that a near pair of the band may differ in, so such a pair agrees in a whole word (pigeonholes), and the join
-is on words. It misses no pair. What shares a word is sifted by the Hamming distance of the whole sketches, and
-verified by counting on the sets.
+is on words. It misses no pair. What shares a word is sifted by the Hamming distance of a second, short sketch of the same
+kind (GIST words, whatever the size), and verified by counting on the sets.
 
 Documents of one set are one class throughout. In each of STAR_ROUNDS rounds a class is held against one other, the
 centre of one of its buckets; what is linked becomes one part, and members of a bucket that stay in different parts are
@@ -30,6 +30,9 @@ WORDS = 3
 #: Near: NEAR[1] * intersection >= NEAR[0] * union.
 NEAR = (90, 100)
 STAR_ROUNDS = 2
+#: Words of the short sketch. Its distance between sets that have little in common is about 32 a word, so it tells apart sets
+#: of up to some 4,000 shingles; larger ones are compared by counting wherever they share a word.
+GIST = 16
 _TURN = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -60,15 +63,23 @@ def sketch_words(scope: int) -> int:
     return allowed(top, largest_partner(top)) + 1
 
 
-def sketch(shingles: np.ndarray, scope: int) -> np.ndarray:
-    """The words of a set's sketch: parities of how many shingles fall on each bit."""
-    n, low = np.uint64(sketch_words(scope)), np.uint64(32)
-    mixed = _mix(shingles ^ _TURN)
+def parities(shingles: np.ndarray, words: int, salt: int = 0) -> np.ndarray:
+    """For each bit of so many words, whether an odd number of shingles falls on it."""
+    n, low = np.uint64(words), np.uint64(32)
+    mixed = _mix(shingles ^ (_TURN + np.uint64(salt)))
     place = (((mixed >> low) * n) >> low) * np.uint64(64) + (mixed & np.uint64(63))
-    odd = np.bincount(place.astype(np.int64), minlength=64 * int(n)) & 1
+    odd = np.bincount(place.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def sketch(shingles: np.ndarray, scope: int) -> np.ndarray:
+    return parities(shingles, sketch_words(scope))
+
+
+def gist(shingles: np.ndarray) -> np.ndarray:
+    return parities(shingles, GIST, 1)
+
+
 def scopes(size: int) -> list[int]:
     """The bands whose pairs a set of this size may belong to: its own, and the one below where it is near enough to it."""
     own = band(size)
@@ -84,26 +95,27 @@ def near(one: np.ndarray, two: np.ndarray) -> bool:
 
 
 def set_prints(docs: DataFrame) -> DataFrame:
-    """doc_id, content (SHA-256 of the text), n_shingles, digest (of the set; null if empty), and the words of its sketches: own, of
-    its band (scope), and below, of the band below (null where no pair of that can hold it)."""
+    """doc_id, content (SHA-256 of the text), n_shingles, digest (of the set; null if empty), its gist, and the words of its sketches:
+    own, of its band (scope), and below, of the band below (null where no pair of that can hold it)."""
+    kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["doc_id", "content", "n_shingles", "digest", "gist", "scope", "own", "below"]
 
     def each(batches):
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
         for b in slices(batches):
             rows = []
             for x in b.column(2):
                 s = shingle_set(x.as_py(), WORDS)
                 if not len(s):
-                    rows.append((0, None, None, None, None))
+                    rows.append((0, *[None] * 5))
                     continue
                 where = scopes(len(s))
                 made = [sketch(s, k).view(np.int64) for k in where]
-                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), where[0], made[0], made[1] if len(made) > 1 else None))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "content", "n_shingles", "digest", "scope", "own", "below"])
+                rows.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), gist(s).view(np.int64), where[0], made[0], made[1] if len(made) > 1 else None))
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text"))
-    return rows.mapInArrow(each, "doc_id long, content string, n_shingles long, digest binary, scope int, own array<bigint>, below array<bigint>")
+    return rows.mapInArrow(each, "doc_id long, content string, n_shingles long, digest binary, gist array<bigint>, scope int, own array<bigint>, below array<bigint>")
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -118,44 +130,34 @@ def _keyed(rows: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, size, shingles (in order, 8 bytes each) of the classes `wanted` (cid, doc_id, content): one text of each moves."""
+    """cid, shingles (in order, 8 bytes each) of the classes `wanted` (cid, doc_id, content): one text of each moves."""
 
     def each(batches):
         for b in slices(batches):
             found = [shingle_set(x.as_py(), WORDS) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, found), pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["cid", "size", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in found], pa.binary())], names=["cid", "shingles"])
 
     def keyed(rows: DataFrame, content) -> DataFrame:
         return rows.withColumn("_key", F.sha2(F.concat_ws(":", content, F.col("doc_id").cast("string")), 256))
 
     wanted = keyed(wanted, F.col("content")).select("cid", "_key")
     texts = maybe_in(keyed(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")), F.sha2("text", 256)), wanted, "_key")
-    return texts.join(wanted, "_key").groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, size long, shingles binary")
+    return texts.join(wanted, "_key").groupBy("cid").agg(F.first("text").alias("text")).mapInArrow(each, "cid long, shingles binary")
 
 
-def _sketches(prints: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cid, size, scope, bits (words) of the classes `wanted` (cid): a row for each band of `scopes`."""
-    key = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("_key")
-    held = maybe_in(prints.select("rid", "n_shingles", "scope", "own", "below", key("rid")), wanted.select(key("cid")), "_key")
-    held = held.join(wanted, F.col("rid") == F.col("cid"))
-    both = F.array(F.struct("scope", F.col("own").alias("bits")), F.struct((F.col("scope") - 1).alias("scope"), F.col("below").alias("bits")))
-    return held.select("cid", F.col("n_shingles").alias("size"), F.explode(both).alias("w")).select("cid", "size", "w.scope", "w.bits").where("bits is not null")
-
-
-def _sifted(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs a, b whose sketches of some common band differ in no more bits than near sets may."""
+def _sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs a, b whose gists differ in no more bits than near sets may."""
 
     def each(batches):
-        for b in slices(batches, 2_000):
-            one, two = (b.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64) for k in (2, 3))
-            starts = b.column(2).offsets.to_numpy()[:-1]
-            apart = np.add.reduceat(np.bitwise_count(one ^ two), starts - starts[0], dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
+        for b in batches:
+            one, two = (b.column(k).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, GIST) for k in (2, 3))
+            apart = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int64)
             sizes = [b.column(k).to_numpy(zero_copy_only=False) for k in (4, 5)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(apart <= allowed(*sizes)))
 
-    side = lambda k: sketches.select(F.col("cid").alias(k), "scope", F.col("bits").alias(f"{k}_bits"), F.col("size").alias(f"{k}_size"))
-    held = pairs.join(side("a"), "a").join(side("b"), ["b", "scope"])
-    return held.select("a", "b", "a_bits", "b_bits", "a_size", "b_size").mapInArrow(each, "a long, b long").distinct()
+    side = lambda k: classes.select(F.col("cid").alias(k), F.col("gist").alias(f"{k}_gist"), F.col("size").alias(f"{k}_size"))
+    held = pairs.join(side("a"), "a").join(side("b"), "b")
+    return held.select("a", "b", "a_gist", "b_gist", "a_size", "b_size").mapInArrow(each, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -170,38 +172,46 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(side("a", "one"), "a").join(side("b", "two"), "b").select("a", "b", "one", "two").mapInArrow(each, "a long, b long")
 
 
-def _apart(dealt: DataFrame, sketches: DataFrame, sets: DataFrame | None) -> DataFrame:
-    """Of the members `dealt` (block, way, i, j, side, cid, part), without `sets`: those with a member of another part whose
-    sketch doesn't tell them apart. With sets: links (a, b) that join what is near, no more than members. A pair is
-    looked at only at the first word that its sketches agree in."""
-    exact = sets is not None
+def _sketches(prints: DataFrame, wanted: DataFrame) -> DataFrame:
+    """cid, size, scope, bits (words) of the classes `wanted` (cid): a row for each band of `scopes`."""
+    key = lambda c: F.sha2(F.col(c).cast("string"), 256).alias("_key")
+    held = maybe_in(prints.select("rid", "n_shingles", "scope", "own", "below", key("rid")), wanted.select(key("cid")), "_key")
+    both = F.array(F.struct("scope", F.col("own").alias("bits")), F.struct((F.col("scope") - 1).alias("scope"), F.col("below").alias("bits")))
+    rows = held.join(wanted, F.col("rid") == F.col("cid")).select("cid", F.col("n_shingles").alias("size"), F.explode(both).alias("w"))
+    return rows.select("cid", "size", "w.scope", "w.bits").where("bits is not null")
+
+
+def _apart(dealt: DataFrame, prints: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Of the members `dealt` (block, way, i, j, side, cid, part): those with a member of another part whose print doesn't tell
+    them apart; with `sets`, links (a, b) that join what is near, fewer than the members. Prints (cid, size, bits) are gists, or
+    sketches, with scope; a pair of sketches is looked at only where they first agree in a word."""
+    exact, words = sets is not None, "scope" in prints.columns
 
     def each(batches):
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                way, i, j = (row.column(k)[0].as_py() for k in ("way", "i", "j"))
+                block, way, i, j = (row.column(k)[0].as_py() for k in ("block", "way", "i", "j"))
                 held = row.column("members").flatten()
                 cids, parts, sides, sizes = (held.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "part", "side", "size"))
                 bits = held.field("bits").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(cids), -1)
                 shingles = [np.frombuffer(x.as_buffer(), np.uint64) for x in held.field("shingles")] if exact else []
                 root, doubtful, links = np.unique(parts, return_inverse=True)[1], np.zeros(len(cids), bool), []
-                word = way & 0xFFFFFFFF
                 for k in range(len(cids) - 1):
                     others = root[k + 1 :] != root[k]
                     if i != j:
                         others &= sides[k + 1 :] != sides[k]
                     others = np.flatnonzero(others) + k + 1
-                    if not len(others):
-                        continue
                     changed = bits[others] ^ bits[k]
-                    distance = np.bitwise_count(changed).sum(axis=1, dtype=np.int64)
-                    fits = (distance <= allowed(sizes[others], sizes[k])) & ((changed == 0).argmax(axis=1) == word)
+                    fits = np.bitwise_count(changed).sum(axis=1, dtype=np.int64) <= allowed(sizes[others], sizes[k])
+                    if words and len(others):
+                        fits &= (changed == 0).argmax(axis=1) == way & 0xFFFFFFFF
+                    others = others[fits]
                     if not exact:
-                        doubtful[others[fits]] = True
-                        doubtful[k] |= fits.any()
+                        doubtful[others] = True
+                        doubtful[k] |= len(others) > 0
                         continue
-                    for o in others[fits]:
+                    for o in others:
                         if root[o] != root[k] and near(shingles[o], shingles[k]):
                             links.append((min(cids[k], cids[o]), max(cids[k], cids[o])))
                             root[root == root[o]] = root[k]
@@ -210,46 +220,47 @@ def _apart(dealt: DataFrame, sketches: DataFrame, sets: DataFrame | None) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 else:
                     kept = np.flatnonzero(doubtful)
-                    same = {k: np.full(len(kept), v, t) for k, v, t in (("way", way, np.int64), ("i", i, np.int32), ("j", j, np.int32))}
-                    yield pa.RecordBatch.from_pydict({"block": np.full(len(kept), row.column("block")[0].as_py(), np.int64), **same, "side": sides[kept].astype(np.int32), "cid": cids[kept], "part": parts[kept]})
+                    same = {k: np.full(len(kept), v, t) for k, v, t in (("block", block, np.int64), ("way", way, np.int64), ("i", i, np.int32), ("j", j, np.int32))}
+                    yield pa.RecordBatch.from_pydict({**same, "side": sides[kept].astype(np.int32), "cid": cids[kept], "part": parts[kept]})
 
-    rows = dealt.withColumn("scope", F.shiftright("way", 32).cast("int")).join(sketches, ["cid", "scope"])
-    fields = ["cid", "part", "side", "size", "bits"]
+    rows, fields = dealt.withColumn("scope", F.shiftright("way", 32).cast("int")) if words else dealt, ["cid", "part", "side", "size", "bits"]
+    rows = rows.join(prints, ["cid", "scope"] if words else "cid")
     if exact:
-        rows, fields = rows.join(sets.select("cid", "shingles"), "cid"), [*fields, "shingles"]
+        rows, fields = rows.join(sets, "cid"), [*fields, "shingles"]
     lists = rows.groupBy("block", "way", "i", "j").agg(F.collect_list(F.struct(*fields)).alias("members")).where(F.size("members") > 1)
     return lists.mapInArrow(each, "block long, way long, i int, j int, side int, cid long, part long" if not exact else "a long, b long")
 
 
-def _with_sets(docs: DataFrame, named: DataFrame, members: DataFrame, sets: DataFrame | None) -> DataFrame:
+def _with_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, sets: DataFrame | None) -> DataFrame:
     """`sets` and those of the members (cid) that it lacks."""
     new = members.distinct() if sets is None else members.distinct().join(sets.select("cid"), "cid", "left_anti")
-    more = materialize(_sets(docs, named.join(new, "cid", "left_semi")), "gram-sets")
+    more = materialize(_sets(docs, classes.select("cid", "doc_id", "content").join(new, "cid", "left_semi")), "gram-sets")
     return more if sets is None else sets.unionByName(more)
 
 
-def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, named: DataFrame) -> DataFrame | None:
-    """node, component of the classes that are linked; `held` are members of shared buckets, `named` (cid, doc_id, content) the
-    classes. Only texts of classes that sketches don't tell apart from another are read again and moved."""
+def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """node, component of the classes (cid, doc_id, content, size, gist) that are linked; `held` are members of shared buckets. Only
+    texts of classes that gists don't tell apart from another are read again and moved."""
     if held.isEmpty():
         return None
-    weights = materialize(held.groupBy("cid").agg(F.sum("n").alias("weight")), "gram-weights")
-    held = held.join(weights, "cid").drop("n")
-    sketches = materialize(_sketches(prints, weights.select("cid")), "gram-sketches")
+    held = held.join(materialize(held.groupBy("cid").agg(F.sum("n").alias("weight")), "gram-weights"), "cid").drop("n")
     links = tried = parts = sets = None
     for _ in range(STAR_ROUNDS):
         pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "gram-stars")
         if pairs.isEmpty():
             break
-        sifted = materialize(_sifted(pairs, sketches), "gram-sifted")
-        sets = _with_sets(docs, named, sifted.select(F.explode(F.array("a", "b")).alias("cid")), sets)
+        sifted = materialize(_sifted(pairs, classes), "gram-sifted")
+        sets = _with_sets(docs, classes, sifted.select(F.explode(F.array("a", "b")).alias("cid")), sets)
         found = materialize(_verified(sifted, sets), "gram-links")
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         parts = components(links)
-    doubtful = materialize(_apart(_dealt(_in_parts(held, parts)), sketches, None), "gram-doubtful")
+    # members that stay apart: most by their gists, of the others most by their sketches, the rest by counting
+    doubtful = materialize(_apart(_dealt(_in_parts(held, parts)), classes.select("cid", "size", F.col("gist").alias("bits"))), "gram-doubtful")
     if doubtful.isEmpty():
         return parts
-    more = _apart(doubtful, sketches, _with_sets(docs, named, doubtful.select("cid"), sets))
+    sketches = materialize(_sketches(prints, doubtful.select("cid").distinct()), "gram-sketches")
+    doubtful = materialize(_apart(doubtful, sketches), "gram-doubtful")
+    more = _apart(doubtful, sketches, _with_sets(docs, classes, doubtful.select("cid"), sets))
     return components(more if links is None else links.unionByName(more))
 
 
@@ -264,14 +275,14 @@ def join_near(docs: DataFrame) -> DataFrame:
     """
     prints = materialize(set_prints(docs).withColumn("rid", F.monotonically_increasing_id()), "gram-prints")
     full = prints.where("digest is not null")
-    classes = full.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "content")).alias("first"), F.min("doc_id").alias("least"))
-    classes = materialize(classes.select("digest", F.col("first.rid").alias("cid"), "first.doc_id", "first.content", "least"), "gram-classes")
+    classes = full.groupBy("digest").agg(F.min(F.struct("rid", "doc_id", "content", "n_shingles", "gist")).alias("first"), F.min("doc_id").alias("least"))
+    classes = materialize(classes.select("digest", F.col("first.rid").alias("cid"), "first.doc_id", "first.content", F.col("first.n_shingles").alias("size"), "first.gist", "least"), "gram-classes")
     key = F.sha2(F.col("rid").cast("string"), 256).alias("_key")
     copies = materialize(full.select("rid").join(classes.select(F.col("cid").alias("rid")), "rid", "left_anti").select(key), "gram-copies")
     keyed = _keyed(without(full.select("rid", "n_shingles", "scope", "own", "below", key), copies, "_key"))
     shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     held = materialize(keyed.join(shared, "block").select("block", "way", "cid", "size", "n"), "gram-buckets")
-    parts = _components(docs, full, held, classes.select("cid", "doc_id", "content"))
+    parts = _components(docs, full, held, classes)
     root = classes.select("digest", "least", F.col("cid").alias("root"))
     if parts is not None:
         root = classes.join(parts, classes["cid"] == parts["node"], "left").select("digest", "least", F.coalesce("component", "cid").alias("root"))
