@@ -1,5 +1,9 @@
 """License scans by patience alignment: anchors on words unique to both sides, their longest increasing subsequence,
-and the same again in the gaps between; the share of a template's words that are aligned is its coverage."""
+and the same again in the gaps between; the share of a template's words that are aligned is its coverage.
+
+Licenses differ from each other in few words: their names, versions and conditions (TELLING). All of a template's must be
+aligned, and no other may stand in the stretch of text that a short template spans, however well the rest is covered.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import slices, whole_text
 
 #: The notices and short texts that are looked for (public license texts: fixed values).
 TEMPLATES = {
@@ -37,6 +41,32 @@ TEMPLATES = {
     "CC-BY-SA-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC0-1.0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
+#: Further short notices, by the rule (name, text); versions and conditions are filled in.
+_NAMED = {
+    "MIT": ("MIT License", "MIT"), "Apache-1.1": ("Apache License, Version 1.1", "Apache Software License, Version 1.1"), "Apache-2.0": ("Apache License 2.0", "Apache 2.0"), "BSD": ("BSD License",), "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL version 2", "GPL v2"), "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL version 3", "GPL v3"), "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU LGPL version 2.1", "LGPL v2.1"), "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU LGPL version 3", "LGPL v3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU AGPL version 3", "AGPL v3"), "MPL-1.1": ("Mozilla Public License, version 1.1", "MPL 1.1"), "MPL-2.0": ("Mozilla Public License, version 2.0", "MPL 2.0"), "EPL-1.0": ("Eclipse Public License, version 1.0",), "EPL-2.0": ("Eclipse Public License, version 2.0",), "ISC": ("ISC License",), "Zlib": ("zlib License",), "BSL-1.0": ("Boost Software License, Version 1.0",), "CC0-1.0": ("CC0 1.0",),
+}
+_CONDITIONS = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+
+
+def short_notices() -> dict[str, str]:
+    """Templates by rule: of each name above "Licensed under the ...", and of each Creative Commons license and version its short
+    and its long name."""
+    out = {f"{name}-short-{k}": f"Licensed under the {text}." for name, texts in _NAMED.items() for k, text in enumerate(texts)}
+    for kinds in (("BY",), ("BY", "SA"), ("BY", "NC"), ("BY", "ND"), ("BY", "NC", "SA"), ("BY", "NC", "ND")):
+        for version in ("1.0", "2.0", "2.5", "3.0", "4.0"):
+            name = f"CC-{'-'.join(kinds)}-{version}"
+            out[f"{name}-short"] = f"Licensed under CC {'-'.join(kinds)} {version}."
+            out[f"{name}-long"] = f"Licensed under a Creative Commons {'-'.join(_CONDITIONS[k] for k in kinds)} {version} License."
+    return out
+
+
+#: Words that tell licenses apart, beside numbers: fixed values of their names.
+TELLING = frozenset("mit apache gpl lgpl agpl gnu lesser library affero general bsd clause simplified new isc mozilla mpl eclipse zlib boost cc cc0 by nc sa nd creative commons attribution sharealike noncommercial noderivatives".split())
+#: Templates of fewer words may have no telling word but their own in the stretch that they span.
+SHORT = 60
+_SPDX = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.+-]+(?:[ \t]+(?:AND|OR|WITH)[ \t]+[A-Za-z0-9.+-]+)*)", re.I)
 FOUND = "license string, coverage double, aligned long, first_word long, last_word long"
 RESULT = f"doc_id long, n_words long, {FOUND}, licenses array<struct<{', '.join(x.replace(' ', ':') for x in FOUND.split(', '))}>>"
 #: Words of the longest n-grams that are tried where no single word is unique to both sides.
@@ -51,6 +81,23 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def telling(word: str) -> str:
+    """What a word says of a license: a name, or a number without v and .0; '' for any other word."""
+    if word in TELLING:
+        return word
+    number = word.removeprefix("v")
+    return number.removesuffix(".0") if number[:1].isdigit() and (len(number) < 4 or "." in number) else ""
+
+
+def tells(text: list[str], template: list[str], part: list[tuple[int, int]]) -> bool:
+    """Whether an alignment holds all telling words of the template and, where that is short, no other in its stretch of text."""
+    own = {j for j, w in enumerate(template) if telling(w)}
+    if not own <= {j for _, j in part}:
+        return False
+    there = {i for i, _ in part}
+    return len(template) >= SHORT or not any(telling(text[i]) for i in range(part[0][0], part[-1][0] + 1) if i not in there)
+
+
 def _anchors(text: list[str], a: int, b: int, template: list[str], c: int, d: int, n: int = 1) -> list[tuple[int, int]]:
     """Places (in text, in template) of words (n-grams) that stand once in text[a:b] and once in template[c:d], thinned to
     the longest sequence that increases in both."""
@@ -139,9 +186,9 @@ def occurrences(text: list[str], template: list[str], least: float) -> list[list
             k += 1
         if len(seen) >= need and low + width + n > end:
             start = max(low, end)
-            part = dense(align(text[start : low + width + n], template, GRAMS))
-            if len(part) >= need:
-                found.append([(i + start, j) for i, j in part])
+            part = [(i + start, j) for i, j in dense(align(text[start : low + width + n], template, GRAMS))]
+            if len(part) >= need and tells(text, template, part):
+                found.append(part)
                 end = found[-1][-1][0] + 1
         j = hits[first][2]
         seen[j] -= 1
@@ -149,19 +196,43 @@ def occurrences(text: list[str], template: list[str], least: float) -> list[list
             del seen[j]
     cuts = [(0, 0), *((x[0][0], x[-1][0] + 1) for x in found), (len(text), 0)]
     for (_, a), (b, _) in zip(cuts, cuts[1:]):
-        part = dense(align(text[a:b], template, GRAMS)) if b - a >= need else []
-        if len(part) >= need:
-            found.append([(i + a, j) for i, j in part])
+        part = [(i + a, j) for i, j in dense(align(text[a:b], template, GRAMS))] if b - a >= need else []
+        if len(part) >= need and tells(text, template, part):
+            found.append(part)
     return sorted(found)
 
 
+def same_numbers(words: list[str]) -> list[str]:
+    """Words with the numbers of versions in one form: v2 and 2.0 are 2."""
+    return [telling(w) or w if w[0] in "v0123456789" else w for w in words]
+
+
+def identifiers(text: str) -> list[tuple[str, float, int, int, int]]:
+    """(license, 1.0, words, first word, last word) of each license named in an SPDX-License-Identifier line."""
+    out: list[tuple[str, float, int, int, int]] = []
+    lowered = text.lower()
+    lines = list(_SPDX.finditer(text if len(text) == len(lowered) else lowered))
+    if lines:
+        starts = [m.start() for m in _WORD.finditer(lowered)]
+    for line in lines:
+        for m in re.finditer(r"[A-Za-z0-9.+-]+", line[1]):
+            if m[0].upper() not in ("AND", "OR", "WITH") and (words := len(words_of(m[0]))):
+                first = bisect_left(starts, line.start(1) + m.start())
+                out.append((m[0], 1.0, words, first, first + words - 1))
+    return out
+
+
 def find_licenses(text: str, templates: dict[str, list[str]], least: float) -> tuple:
     """(n_words, license, coverage, aligned, first_word, last_word, licenses): every place that covers a template to
-    `least`, by place, and before them the one with the most coverage, then the most words, then the later name, then the
-    earlier place; nulls without any."""
-    words = words_of(text)
+    `least` and is told to be it, and every license of an SPDX line, by place; before them the one with the most coverage, then
+    the most words, then the later name, then the earlier place; nulls without any."""
+    return _found(text, {k: same_numbers(v) for k, v in templates.items()}, least)
+
+
+def _found(text: str, templates: dict[str, list[str]], least: float) -> tuple:
+    words = same_numbers(words_of(text))
     there = set(words)
-    found = []
+    found = identifiers(text) if "spdx" in there else []
     for name, template in templates.items():
         if sum(w in there for w in template) < least * len(template):  # no alignment could reach it
             continue
@@ -176,15 +247,16 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     last place in the text for the template covered best, nulls where none is covered to `least`; licenses has the same of
     every place of every template that is, so repeated notices and further licenses too.
 
-    Aligned words must be at least DENSITY of the stretch that they span. Words are runs of a-z and 0-9 after lower-casing. Null and empty texts have no license; repeated rows and null ids
+    Without `templates`, those of TEMPLATES and `short_notices`. Aligned words must be at least DENSITY of the stretch that they
+    span. Words are runs of a-z and 0-9 after lower-casing. Null and empty texts have no license; repeated rows and null ids
     are kept; other columns are ignored; an empty table gives an empty result. Whole texts are aligned.
     """
-    wanted = {k: words_of(v) for k, v in (templates or TEMPLATES).items()}
+    wanted = {k: same_numbers(words_of(v)) for k, v in (templates or {**TEMPLATES, **short_notices()}).items()}
 
     def each(batches):
         kinds = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("aligned", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())])))
-        for b in batches:
-            columns = list(zip(*[find_licenses(x.as_py(), wanted, least) for x in b.column(1)], strict=True)) or [()] * 7
+        for b in slices(batches):
+            columns = list(zip(*[_found(x.as_py(), wanted, least) for x in b.column(1)], strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", *(x.split()[0] for x in FOUND.split(", ")), "licenses"])
 
     return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(each, RESULT)

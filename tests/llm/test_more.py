@@ -79,3 +79,41 @@ def test_a_cluster_must_name_its_shared_folder():
 
     with pytest.raises(ValueError):
         common.shared_dir(Session())
+
+
+SIX = {  # sentences that differ from another license's in a word
+    "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0": "CC-BY-4.0", "Released under the BSD License.": "BSD", "Apache License, Version 1.1": "Apache-1.1", "GNU General Public License, version 2": "GPL-2.0", "GNU Lesser General Public License, version 2.1": "LGPL-2.1",
+}
+
+
+def license_of(name):
+    return name.split("-short")[0].removesuffix("-long").removesuffix("-line").removesuffix("-notice")
+
+
+@pytest.mark.parametrize("text", SIX)
+def test_the_word_that_matters(text):
+    wanted = {k: license_scan.words_of(v) for k, v in {**license_scan.TEMPLATES, **license_scan.short_notices()}.items()}
+    for whole in (text, f"This file is licensed under the {text.removeprefix('Licensed under ').removeprefix('Released under the ')} {'and more words ' * 30}"):
+        found = {license_of(x["license"]) for x in license_scan.find_licenses(whole, wanted, 0.8)[6]}
+        assert found <= {SIX[text]}, (whole, found)
+        assert found or whole == text
+
+
+def test_every_short_notice_is_told_from_every_other():
+    templates = {**license_scan.TEMPLATES, **license_scan.short_notices()}
+    wanted = {k: license_scan.words_of(v) for k, v in templates.items()}
+    same = [{"BSD", "BSD-2-Clause", "BSD-3-Clause"}, {"MIT", "MIT-warranty"}, {"LGPL", "LGPL-2.1"}]
+    for name, text in templates.items():
+        found = {license_of(x["license"]) for x in license_scan.find_licenses(f"{'filler ' * 20}{text} {'filler ' * 20}", wanted, 0.8)[6]}
+        alike = next((s for s in same if license_of(name) in s), set()) | {license_of(name)}
+        assert license_of(name) in found and found <= alike, (name, found)
+
+
+def test_identifier_lines():
+    wanted = {k: license_scan.words_of(v) for k, v in license_scan.TEMPLATES.items()}
+    text = "a b SPDX-License-Identifier: MIT OR Apache-2.0\nx SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 y"
+    found = license_scan.find_licenses(text, wanted, 0.8)
+    assert [(x["license"], x["first_word"], x["last_word"]) for x in found[6]] == [("MIT", 5, 5), ("Apache-2.0", 7, 8), ("GPL-2.0-only", 13, 15), ("Classpath-exception-2.0", 17, 19)]
+    words = license_scan.words_of(text)
+    assert all(words[x["first_word"] : x["last_word"] + 1] == license_scan.words_of(x["license"]) for x in found[6])
+    assert license_scan.find_licenses("SPDX-License-Identifier: ", wanted, 0.8)[1:6] == (None,) * 5
