@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, slices, whole_text, without
 from .graph import components
-from .simhash import _dealt, _in_parts, _mix, _star_pairs, shingle_set
+from .simhash import _dealt, _in_parts, _mix, shingle_set
 
 WORDS = 3
 #: Near: NEAR[1] * intersection >= NEAR[0] * union.
@@ -238,15 +238,35 @@ def _with_sets(docs: DataFrame, classes: DataFrame, members: DataFrame, sets: Da
     return more if sets is None else sets.unionByName(more)
 
 
+def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
+    """At most one new pair a < b of each member (block, cid, weight, part): with the centre of one of its buckets, the member with
+    the most company over all its buckets, where that is of another part."""
+    centres = members.groupBy("block").agg(F.min(F.struct((-F.col("weight")).alias("order"), "cid", "part")).alias("centre"))
+    met = members.select("block", "cid", "part").join(centres, "block").where("part <> centre.part")
+    met = met.select("cid", "centre.order", F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b"))
+    if tried is not None:
+        met = met.join(tried, ["a", "b"], "left_anti")
+    return met.groupBy("cid").agg(F.min(F.struct("order", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _apart_still(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of buckets that hold several parts, with their part."""
+    now = _in_parts(members.drop("part"), parts)
+    several = now.groupBy("block").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("block")
+    return now.join(several, "block", "left_semi")
+
+
 def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: DataFrame) -> DataFrame | None:
     """node, component of the classes (cid, doc_id, content, size, gist) that are linked; `held` are members of shared buckets. Only
-    texts of classes that gists don't tell apart from another are read again and moved."""
+    texts of classes that gists don't tell apart from another are read again and moved; buckets that have become one part
+    are left behind."""
     if held.isEmpty():
         return None
-    held = held.join(materialize(held.groupBy("cid").agg(F.sum("n").alias("weight")), "gram-weights"), "cid").drop("n")
+    held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n").withColumn("part", F.col("cid"))
+    held = materialize(held, "gram-members")
     links = tried = parts = sets = None
     for _ in range(STAR_ROUNDS):
-        pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "gram-stars")
+        pairs = materialize(_star_pairs(held, tried), "gram-stars")
         if pairs.isEmpty():
             break
         sifted = materialize(_sifted(pairs, classes), "gram-sifted")
@@ -254,8 +274,9 @@ def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: Da
         found = materialize(_verified(sifted, sets), "gram-links")
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
         parts = components(links)
+        held = materialize(_apart_still(held, parts), "gram-members")
     # members that stay apart: most by their gists, of the others most by their sketches, the rest by counting
-    doubtful = materialize(_apart(_dealt(_in_parts(held, parts)), classes.select("cid", "size", F.col("gist").alias("bits"))), "gram-doubtful")
+    doubtful = materialize(_apart(_dealt(held), classes.select("cid", "size", F.col("gist").alias("bits"))), "gram-doubtful")
     if doubtful.isEmpty():
         return parts
     sketches = materialize(_sketches(prints, doubtful.select("cid").distinct()), "gram-sketches")

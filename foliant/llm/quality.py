@@ -6,6 +6,10 @@ concentration steps over all rows: a step bins each group's distances, keeps the
 of rows (the last bin whole, which is 1.6 % wide) and takes their mean and covariance. Several starts take two steps
 each, the one of the least determinant goes on until that no longer falls. Each step is one grouped sum; only small
 matrices, one a group and start, meet Python.
+
+Small groups say little of themselves: a group is judged by the mean and covariance of a mixture of itself and its language, and a
+language by one of itself and all rows. A group's weight grows with its rows, n / (n + PRIOR_ROWS); there is no size at which
+it begins to be judged by itself.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, running_offsets, whole_text
+from .common import join_small, materialize, running_offsets, slices, whole_text
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 DIMENSIONS = 5
@@ -38,6 +42,9 @@ FIRST_STEPS, MOST_STEPS, SETTLED = 2, 12, 1e-3
 BINS = 64
 #: The share of clean documents, were they normal, that may be rejected: one in 10**9.
 TAIL = 1e-9
+#: Rows of a group at which its own estimate and its parent's weigh alike. A group of 20 weighs 2 %, so that junk among so few
+#: rows doesn't hide behind an estimate of its own.
+PRIOR_ROWS = 1_000
 _SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -74,7 +81,7 @@ def document_stats(docs: DataFrame, *keep: Column) -> DataFrame:
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             found = list(zip(*[text_stats(x.as_py()) for x in b.column(b.num_columns - 1)], strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, pa.int64()) for c in found)], names=[*b.schema.names[:-1], *STATS])
 
@@ -116,12 +123,12 @@ def _sums() -> list[Column]:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """One row a group and start: n and the sums of `_sums` -> mean, inverse of the floored covariance and its determinant."""
+    """One row a group and start: n and the sums of `_sums` -> mean, floored covariance, its inverse and its determinant."""
 
     def invert(batches):
         for b in batches:
             table = b.to_pydict()
-            means, inverses, dets = [], [], []
+            means, covs, inverses, dets = [], [], [], []
             for k in range(b.num_rows):
                 n = table["n"][k]
                 mean = np.array([table[f"s{i}"][k] for i in range(DIMENSIONS)]) / n / UNIT
@@ -133,12 +140,37 @@ def _estimates(sums: DataFrame) -> DataFrame:
                 short = np.maximum(0, np.array(FLOORS) ** 2 - CONSISTENCY * np.diag(cov))
                 cov = CONSISTENCY * cov + np.diag(short + 1e-9)
                 means.append(mean.tolist())
+                covs.append(cov.ravel().tolist())
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
                 dets.append(float(np.linalg.slogdet(cov)[1]))
             numbers = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), pa.array(means, numbers), pa.array(inverses, numbers), pa.array(dets, pa.float64())], names=["grp", "start", "mean", "inverse", "det"])
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), pa.array(means, numbers), pa.array(covs, numbers), pa.array(inverses, numbers), pa.array(dets, pa.float64())], names=["grp", "start", "mean", "cov", "inverse", "det"])
+
+    return sums.mapInArrow(invert, "grp string, start int, mean array<double>, cov array<double>, inverse array<double>, det double")
+
+
+def _inverted(rows: DataFrame) -> DataFrame:
+    """grp, mean, cov with inverse."""
+
+    def each(batches):
+        for b in batches:
+            inverses = [np.linalg.inv(np.array(c).reshape(DIMENSIONS, DIMENSIONS)).ravel().tolist() for c in b.column("cov").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("mean"), pa.array(inverses, pa.list_(pa.float64()))], names=["grp", "mean", "inverse"])
 
-    return sums.mapInArrow(invert, "grp string, start int, mean array<double>, inverse array<double>, det double")
+    return rows.select("grp", "mean", "cov").mapInArrow(each, "grp string, mean array<double>, inverse array<double>")
+
+
+def shrunk(own: Column, parent: Column, rows: Column) -> Column:
+    """Between a group's own numbers and its parent's (arrays), by the group's rows."""
+    weight = rows / (rows + PRIOR_ROWS)
+    return F.zip_with(own, parent, lambda x, y: weight * x + (1 - weight) * y)
+
+
+def mixed_covariance(own: Column, parent: Column, own_mean: Column, parent_mean: Column, rows: Column) -> Column:
+    """The covariance of the mixture: between the two, and as far as the means lie apart."""
+    weight = rows / (rows + PRIOR_ROWS)
+    apart = lambda i: own_mean[i] - parent_mean[i]
+    return F.array(*[weight * own[k] + (1 - weight) * parent[k] + weight * (1 - weight) * apart(k // DIMENSIONS) * apart(k % DIMENSIONS) for k in range(DIMENSIONS * DIMENSIONS)])
 
 
 def _starts(base: DataFrame) -> DataFrame:
@@ -147,6 +179,7 @@ def _starts(base: DataFrame) -> DataFrame:
     quartiles = base.groupBy("grp").agg(*[F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, z in enumerate(zs)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)]
     medians = quartiles.select("grp", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] / UNIT for i in range(DIMENSIONS)]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]).alias("inverse"), F.lit(None).cast("double").alias("det"))
+    medians = medians.select("grp", "start", "mean", F.lit(None).cast("array<double>").alias("cov"), "inverse", "det")
     drawn = F.filter(F.array(*[F.when(F.pmod(F.xxhash64(*zs, F.lit(k)), F.lit(1 << 30)) * F.col("n") < START_ROWS * (1 << 30), F.lit(k)) for k in range(1, RANDOM_STARTS + 1)]), lambda k: k.isNotNull())
     chosen = base.select("grp", *zs, F.explode(drawn).alias("start")).groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *_sums())
     return medians.unionByName(_estimates(chosen))
@@ -159,23 +192,18 @@ def _binned(near: DataFrame, *values: Column) -> DataFrame:
     return running_offsets(bins, ["grp", "start"], ["bin"], "m", "before")
 
 
-def fit_outliers(stats: DataFrame, share: float = 0.75, least_rows: int = 100) -> tuple[DataFrame, DataFrame]:
+def fit_outliers(stats: DataFrame, share: float = 0.75) -> tuple[DataFrame, DataFrame]:
     """(stats with grp, estimates by grp: mean, inverse, scale). Rows that fail the base rules don't shape the estimates.
     scale brings the median distance of a group that spreads wider than its nearest rows tell to that of a normal sample.
 
-    A language and source with fewer than least_rows rows is judged by its whole language, and a language with fewer by
-    all rows, however few they are: every row that passes the base rules has an estimate. Rows shape each estimate
-    that they belong to.
+    A group is a language and source. Its own estimate, its language's and all rows' come from the rows of each; means,
+    covariances and the scale's logarithm are mixed from level to level. An empty table has no estimates.
     """
     fine, coarse, whole = F.concat(F.lit("1"), F.to_json(F.struct("_lang", "_source"), {"ignoreNullFields": "false"})), F.concat(F.lit("2"), F.to_json(F.struct("_lang"), {"ignoreNullFields": "false"})), F.lit("3")
     sizes = stats.where(~F.col("base_failed")).groupBy("_lang", "_source").agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.withColumn("in_lang", F.sum("n").over(Window.partitionBy("_lang")))
-    sizes = sizes.withColumn("grp", F.when(F.col("n") >= least_rows, fine).when(F.col("in_lang") >= least_rows, coarse).otherwise(whole)).withColumn("levels", F.array(fine, coarse, whole))
-    sizes = materialize(sizes.select("_lang", "_source", "grp", "levels", "n"), "quality-groups")
+    sizes = materialize(sizes.select("_lang", "_source", fine.alias("grp"), F.array(fine, coarse, whole).alias("levels"), "n"), "quality-groups")
     groups = sizes.count()
-    needed = sizes.select("grp").distinct()
     parts = sizes.select("_lang", "_source", "n", F.explode("levels").alias("grp"))
-    parts = join_small(parts, needed, "grp", "left_semi", groups)
     large = parts.groupBy("grp").agg(F.sum("n").alias("n"))
 
     def in_groups(rows: DataFrame, named: DataFrame, how: str) -> DataFrame:
@@ -197,16 +225,32 @@ def fit_outliers(stats: DataFrame, share: float = 0.75, least_rows: int = 100) -
     estimates = materialize(_starts(base), "quality-starts")
     for _ in range(FIRST_STEPS):
         estimates = step(estimates)
-    best = estimates.groupBy("grp").agg(F.min(F.struct("det", "start")).alias("best")).select("grp", "best.start")
-    estimates = materialize(estimates.join(best, ["grp", "start"]), "quality-best")
+    best = estimates.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "cov", "inverse", "det"), F.struct("det", "start")).alias("best"))
+    estimates = best.select("grp", "best.*")
     for _ in range(MOST_STEPS):
         before, estimates = estimates, step(estimates)
         moved = estimates.select("grp", "det").join(before.select("grp", F.col("det").alias("old")), "grp").where(F.abs(F.col("det") - F.col("old")) > SETTLED)
         if moved.isEmpty():
             break
+
+    def by_level(rows: DataFrame, values: list[str]) -> DataFrame:
+        """The groups (grp, n of each level as n0 to n2), with `values` of `rows` (grp) at each level."""
+        out = sizes.select("grp", *[F.col("levels")[k].alias(f"level{k}") for k in range(3)])
+        for k in range(3):
+            at = rows.join(large, "grp").select(F.col("grp").alias(f"level{k}"), F.col("n").alias(f"n{k}"), *[F.col(v).alias(f"{v}{k}") for v in values])
+            out = join_small(out, at, f"level{k}", "inner", groups)
+        return out
+
     middle = _binned(join_small(base, estimates, "grp", "inner", groups)).where(2 * F.col("before") < F.col("n")).groupBy("grp").agg(F.max("bin").alias("bin"))
-    scale = F.greatest(F.exp((F.col("bin") + 0.5) / BINS) / chi_square(0.5), F.lit(1.0))
-    return known, materialize(estimates.join(middle, "grp").select("grp", "mean", "inverse", scale.alias("scale")), "quality-estimates")
+    spread = middle.select("grp", F.array(F.greatest((F.col("bin") + 0.5) / BINS - F.log(F.lit(chi_square(0.5))), F.lit(0.0))).alias("spread"))
+    wide = by_level(estimates.join(spread, "grp"), ["mean", "cov", "spread"])
+    for k in (1, 0):  # the language toward all rows, then the group toward the language
+        mean, cov, spread, n = (F.col(f"{v}{k}") for v in ("mean", "cov", "spread", "n"))
+        up = lambda v: F.col(f"{v}{k + 1}")  # noqa: B023, E731
+        wide = wide.withColumns({f"mean{k}": shrunk(mean, up("mean"), n), f"cov{k}": mixed_covariance(cov, up("cov"), mean, up("mean"), n), f"spread{k}": shrunk(spread, up("spread"), n)})
+    wide = wide.select("grp", F.col("mean0").alias("mean"), F.col("cov0").alias("cov"), F.exp(F.col("spread0")[0]).alias("scale"))
+    wide = materialize(wide, "quality-shrunk")
+    return known, materialize(_inverted(wide).join(wide.select("grp", "scale"), "grp").select("grp", "mean", "inverse", "scale"), "quality-estimates")
 
 
 def judge_quality(docs: DataFrame, *keep: Column, tail: float = TAIL) -> DataFrame:
