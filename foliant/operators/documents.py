@@ -6,6 +6,8 @@ everything above it - detection, coverage, losses, rendering - is joins, windows
 
 from __future__ import annotations
 
+import time
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,24 +32,24 @@ PREFIX = "et_pb_"
 CONSUMED = ("contact_field", "map_pin", "video_slider_item")
 #: Modules whose settings style the loose text inside them.
 STYLING = ("text", "blurb", "cta", "fullwidth_header", "testimonial", "team_member", "social_media_follow", "toggle", "tabs", "tab", "slide", "counters", "pricing_tables", "pricing_table", "video_slider")
-#: What a design attribute is, by the first pattern that its name fits (fixed values).
+#: What a design attribute is, by the first pattern that its name fits (the patterns are fixed values of the format).
 STYLE_LABELS = (
-    (r"_(tablet|phone)$", "tablet and phone overrides"),
-    (r"(^hover_enabled$|__hover$)", "hover styling"),
-    (r"^custom_(padding|margin)", "spacing (padding or margin)"),
-    (r"^(max_width|min_height|width|height)($|_)", "explicit sizing"),
-    (r"^border_", "borders"),
-    (r"^box_shadow_", "box shadows"),
-    (r"^text_shadow_", "text shadows"),
-    (r"_(font|font_size|line_height|letter_spacing)($|_)", "typography"),
-    (r"^background_(gradient|blend|size|position|repeat)", "background treatment"),
-    (r"^parallax", "parallax backgrounds"),
-    (r"^(animation|filter_)", "animation and filter effects"),
-    (r"^custom_css", "custom CSS"),
-    (r"^module_(id|class)$", "custom IDs and classes"),
-    (r"^(transform_|sticky_|z_index|positioning)", "positioning and transforms"),
-    (r"^disabled_on$", "per-device visibility"),
-    (r"^(header_|body_)?text_color$", "text colour"),
+    (r"_(tablet|phone)$", "settings for smaller screens"),
+    (r"(^hover_enabled$|__hover$)", "changes on hover"),
+    (r"^custom_(padding|margin)", "inner and outer spacing"),
+    (r"^(max_width|min_height|width|height)($|_)", "fixed sizes"),
+    (r"^border_", "border lines"),
+    (r"^box_shadow_", "shadows of boxes"),
+    (r"^text_shadow_", "shadows of text"),
+    (r"_(font|font_size|line_height|letter_spacing)($|_)", "font settings"),
+    (r"^background_(gradient|blend|size|position|repeat)", "background details"),
+    (r"^parallax", "moving backgrounds"),
+    (r"^(animation|filter_)", "animations and filters"),
+    (r"^custom_css", "own CSS"),
+    (r"^module_(id|class)$", "own ids and classes"),
+    (r"^(transform_|sticky_|z_index|positioning)", "placement and transforms"),
+    (r"^disabled_on$", "visibility by device"),
+    (r"^(header_|body_)?text_color$", "colour of text"),
 )
 
 
@@ -66,9 +68,9 @@ def tag_spans(docs: DataFrame) -> DataFrame:
     return _bodies(docs).mapInArrow(each, SPANS)
 
 
-def node_table(docs: DataFrame, loose: bool = False) -> DataFrame:
+def node_table(docs: DataFrame, loose: bool = False, timed: bool = False) -> DataFrame:
     """One row for each node of the trees of `docs` (id, post_content) that hold a tag, numbered in document order; with the
-    columns of LOOSE, if asked for, empty for all but text nodes."""
+    columns of LOOSE, if asked for, empty for all but text nodes; and with ms, the time that the document took."""
     styling = {PREFIX + m for m in STYLING}
 
     def each(batches):
@@ -80,7 +82,11 @@ def node_table(docs: DataFrame, loose: bool = False) -> DataFrame:
         names = [x.split()[0] for x in NODES.split(", ")]
         rows_of = lambda pairs: [{"name": k, "value": v} for k, v in pairs]
         for b in batches:
-            found = [(i, shortcodes.nodes(text)) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            found, taken = [], []
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                began = time.perf_counter()
+                found.append((i, shortcodes.nodes(text)))
+                taken.append(1000 * (time.perf_counter() - began))
             columns = list(zip(*[(i, *n) for i, tree in found for n in tree], strict=True)) or [()] * len(names)
             columns[6] = [rows_of(attrs) for attrs in columns[6]]
             arrays = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
@@ -88,22 +94,23 @@ def node_table(docs: DataFrame, loose: bool = False) -> DataFrame:
                 centred = {"et_pb_fullwidth_header": [("text_orientation", "center")]}
                 texts = [(n.tag == shortcodes.TEXT, n, tree) for _, tree in found for n in tree]
                 around = [rows_of(dict([*tree[n.parent_id].attrs, *centred.get(n.parent_tag, [])]).items()) if is_text and n.parent_tag in styling else [] for is_text, n, tree in texts]
-                cut = [[{"kind": k, "level": v, "html": h} for k, v, h in loose_html.blocks(n.content)] if is_text else [] for is_text, n, _ in texts]
+                cut = []
+                for k, (_, tree) in enumerate(found):
+                    began = time.perf_counter()
+                    cut += [[{"kind": k, "level": v, "html": h} for k, v, h in loose_html.blocks(n.content)] if n.tag == shortcodes.TEXT else [] for n in tree]
+                    taken[k] += 1000 * (time.perf_counter() - began)
                 arrays += [pa.array(around, pair), pa.array(cut, piece)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names + ["around", "blocks"] * loose)
+            if timed:
+                arrays.append(pa.array([ms for ms, (_, tree) in zip(taken, found, strict=True) for _ in tree], pa.float64()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names + ["around", "blocks"] * loose + ["ms"] * timed)
 
-    return _bodies(docs).mapInArrow(each, NODES + (", " + LOOSE) * loose)
+    return _bodies(docs).mapInArrow(each, NODES + (", " + LOOSE) * loose + ", ms double" * timed)
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("id").cast("long"), "post_content").where(F.contains("post_content", F.lit("[")) & F.col("post_content").rlike(r"\[/?et_pb_"))
 
 
-def has_shortcodes(spans: DataFrame) -> DataFrame:
-    """id of the documents with a complete opening tag, known or not."""
-    return spans.where("not closing").select("id").distinct()
-
-
 def found_tags(spans: DataFrame) -> DataFrame:
     """id, tags: the distinct opening tags of each document in the order of first mention."""
     first = spans.where("not closing").groupBy("id", "tag").agg(F.min("ordinal").alias("first"))

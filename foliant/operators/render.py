@@ -32,9 +32,42 @@ class Target:
     portfolio_type: str = "project"
     portfolio_taxonomy: str = "project_category"
 
-    @property
-    def details(self) -> bool:
-        return "core/details" not in self.lacks
+    def at_least(self, major: int, minor: int) -> Column:
+        return F.lit(self.version >= (major, minor))
+
+    def has(self, block: str) -> Column:
+        return F.lit(f"core/{block}" not in self.lacks)
+
+    def portfolio(self) -> tuple[Column, Column]:
+        """Post type and taxonomy."""
+        return F.lit(self.portfolio_type), F.lit(self.portfolio_taxonomy)
+
+    def row(self) -> Column:
+        """As a value of the column that `OwnTarget` reads."""
+        return F.struct(F.lit(self.version[0]).alias("major"), F.lit(self.version[1]).alias("minor"), F.array(*[F.lit(x) for x in sorted(self.lacks)]).cast("array<string>").alias("lacks"), F.lit(self.portfolio_type).alias("portfolio_type"), F.lit(self.portfolio_taxonomy).alias("portfolio_taxonomy"))
+
+
+@dataclass(frozen=True)
+class OwnTarget:
+    """Each document's own target, in the column `target`: one run writes for as many hosts as there are."""
+
+    def at_least(self, major: int, minor: int) -> Column:
+        return (F.col("target.major") > major) | (F.col("target.major") == major) & (F.col("target.minor") >= minor)
+
+    def has(self, block: str) -> Column:
+        return ~F.array_contains("target.lacks", f"core/{block}")
+
+    def portfolio(self) -> tuple[Column, Column]:
+        return F.col("target.portfolio_type"), F.col("target.portfolio_taxonomy")
+
+
+def targets_of(docs: DataFrame, sites: DataFrame) -> DataFrame:
+    """id, target of the documents (id, site_id) by their site's row in `sites` (site_id, major, minor, lacks, portfolio_type,
+    portfolio_taxonomy); what is null there, or a site without a row, is as in `Target`."""
+    usual = Target().row()
+    known = sites.select("site_id", *[F.coalesce(k, usual[k]).alias(k) for k in ("major", "minor", "lacks", "portfolio_type", "portfolio_taxonomy")])
+    held = F.struct(*known.columns[1:])
+    return docs.select("id", "site_id").join(known, "site_id", "left").select("id", F.when(F.col("major").isNotNull(), held).otherwise(usual).alias("target"))
 
 
 #: Modules whose text is a label or verbatim code: nodes inside them aren't rendered on their own.
@@ -442,7 +475,7 @@ def _cover_or_group(before: Column, after: Column, target: Target, *images: str)
     attrs = F.struct(url.alias("url"), F.nullif(overlay, F.lit("")).alias("customOverlayColor"))
     image = _cat('<img class="wp-block-cover__image-background" alt="" src="', escaped, '" data-object-fit="cover"/>')
     dim = _cat('<span aria-hidden="true" class="wp-block-cover__background has-background-dim-100 has-background-dim"', _style_attr(_declarations(("background-color", overlay))), "></span>")
-    first = _cat(_open("cover", attrs), '<div class="wp-block-cover">', *([image, dim] if target.version >= (6, 8) else [dim, image]), '<div class="wp-block-cover__inner-container">\n')
+    first = _cat(_open("cover", attrs), '<div class="wp-block-cover">', F.when(target.at_least(6, 8), _cat(image, dim)).otherwise(_cat(dim, image)), '<div class="wp-block-cover__inner-container">\n')
     plain = _group()
     return _cat(F.when(_given(raw), first).otherwise(plain[0]), before), _cat(after, F.when(_given(raw), _cat("\n</div></div>", _close("cover"))).otherwise(plain[1]))
 
@@ -487,11 +520,12 @@ def _team_member(_: Target) -> Pieces:
 def _toggle(target: Target) -> Pieces:
     """Details, whose title is an attribute as well on the first hosts that had it; where there are none, a headed group."""
     title = _t("title", "Toggle")
-    if not target.details:
-        return _group(block("heading", _cat("<h3>", title, "</h3>"), F.struct(F.lit(3).alias("level"))))
+    headed = _group(block("heading", _cat("<h3>", title, "</h3>"), F.struct(F.lit(3).alias("level"))))
     is_open = _a("open") == "on"
-    attrs = F.struct(F.when(is_open, F.lit(True)).alias("showContent"), *([title.alias("summary")] if target.version < (6, 4) else []))
-    return _cat(_open("details", attrs), '<details class="wp-block-details"', F.when(is_open, " open").otherwise(""), "><summary>", title, "</summary>", F.when(_has_children(), "\n").otherwise("")), _cat("</details>", _close("details"))
+    attrs = F.struct(F.when(is_open, F.lit(True)).alias("showContent"), F.when(~target.at_least(6, 4), title).alias("summary"))
+    opening = _cat(_open("details", attrs), '<details class="wp-block-details"', F.when(is_open, " open").otherwise(""), "><summary>", title, "</summary>", F.when(_has_children(), "\n").otherwise(""))
+    here = target.has("details")
+    return F.when(here, opening).otherwise(headed[0]), F.when(here, _cat("</details>", _close("details"))).otherwise(headed[1])
 
 
 def _tab(_: Target) -> Pieces:
@@ -553,7 +587,8 @@ def _blog(_: Target) -> Pieces:
 
 def _portfolio(target: Target) -> Pieces:
     listed = _categories(lambda i: i)
-    query = F.struct(F.lit(target.portfolio_type).alias("postType"), _int(_a("posts_number"), "4").alias("perPage"), F.lit("desc").alias("order"), F.lit("date").alias("orderBy"), F.when(listed.isNotNull(), F.struct(listed.alias(target.portfolio_taxonomy))).alias("taxQuery"))
+    kind, taxonomy = target.portfolio()
+    query = F.struct(kind.alias("postType"), _int(_a("posts_number"), "4").alias("perPage"), F.lit("desc").alias("order"), F.lit("date").alias("orderBy"), F.when(listed.isNotNull(), F.create_map(taxonomy, listed)).alias("taxQuery"))
     inner = F.concat(void_block("post-featured-image"), void_block("post-title"), F.when(_a("fullwidth") == "on", "").otherwise(void_block("post-excerpt")))
     return _leaf(block("query", _cat('<div class="wp-block-query">\n', block("post-template", inner), "</div>"), F.struct(query.alias("query"))))
 
@@ -689,10 +724,10 @@ def _shows() -> Column:
     return F.exists("blocks", lambda b: ~b["kind"].isin(*HTML_NOTES))
 
 
-_WRITTEN: dict[tuple[object, Target], tuple[Column, Column]] = {}
+_WRITTEN: dict[tuple[object, Target | OwnTarget], tuple[Column, Column]] = {}
 
 
-def _written(target: Target) -> Pieces:
+def _written(target: Target | OwnTarget) -> Pieces:
     """Every node's opening and closing piece, by its tag. The expressions are large and always the same, so they are built
     once a session and target."""
     key = (SparkContext._gateway, target)
@@ -715,9 +750,9 @@ def _written(target: Target) -> Pieces:
     return _WRITTEN[key]
 
 
-def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target()) -> DataFrame:
+def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target(), targets: DataFrame | None = None) -> DataFrame:
     """id, module, at, side, inner, piece: the opening (side 0) and closing (side 1) markup of every node (of a node table with
-    LOOSE columns), with its place, and whether the node is a module."""
+    LOOSE columns), with its place, and whether the node is a module. `targets` (id, target) gives each document its own."""
     rows = visible(nodes).where((F.col("tag") != TEXT) | _shows())
     siblings = Window.partitionBy("id", "parent_id").orderBy("ordinal")
     rows = rows.withColumns({"previous_tag": F.lag("tag").over(siblings), "next_tag": F.lead("tag").over(siblings)})
@@ -731,7 +766,9 @@ def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str
     else:
         rows = rows.withColumns({"gallery": F.lit(None).cast(_GALLERY), "image_id": F.lit(None).cast("long")})
     rows = _prepared(rows)
-    opening, closing = _written(target)
+    opening, closing = _written(target if targets is None else OwnTarget())
+    if targets is not None:
+        rows = rows.join(targets.select("id", "target"), "id", "left").withColumn("target", F.coalesce("target", target.row()))
     sides = F.array(
         F.struct(F.col("node_id").alias("at"), F.lit(0).alias("side"), F.lit(0).alias("inner"), opening.alias("piece")),
         F.struct(F.col("last_id").alias("at"), F.lit(1).alias("side"), (-F.col("depth")).alias("inner"), closing.alias("piece")),
@@ -784,7 +821,7 @@ def warnings(nodes: DataFrame, attachments: DataFrame | None = None, menus: Data
         F.when((_is("video") | _is("video_slider_item") & _in("video_slider")) & (S.safe_url(_a("src")) != "") & (webm != "") & (webm != S.safe_url(_a("src"))), "A second video source was not carried over; check whether it was another video."),
         F.when(_is("gallery") & (F.coalesce(_a("gallery_ids"), F.lit("")) != "") & _slider_gallery(), "A gallery slider became a grid, with a class to tell it by."),
         F.when(_is("counter") & _has_children() & F.contains("content", F.lit("[" + PREFIX)), "Modules inside a counter's label were reduced to their words."),
-        F.when(_is("toggle"), alone if target.details else F.lit("A toggle became a heading and text, as the host has no details block.")),
+        F.when(_is("toggle"), F.when(target.has("details"), alone).otherwise("A toggle became a heading and text, as the host has no details block.")),
     )
     own = rows.where(F.col("tag") != TEXT).select("id", F.col("tag").alias("module"), F.explode(messages).alias("message")).where("message is not null")
     unexpected = F.lit(False)
@@ -845,10 +882,11 @@ def acknowledged_losses(nodes: DataFrame, attachments: DataFrame | None = None,
     return rows.groupBy("id").agg(*[F.sum(k).alias(k) for k in KINDS]).select("id", F.struct(*KINDS).alias("acknowledged"))
 
 
-def convert(docs: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target(), nodes: DataFrame | None = None) -> DataFrame:
+def convert(docs: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target(), nodes: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """id, markup of every row of `docs` (id, post_content): documents without a complete opening tag are passed through.
-    `nodes` is the documents' node table with LOOSE columns, where it is there already."""
-    parts = pieces(node_table(docs, loose=True) if nodes is None else nodes, attachments, base_url, target)
+    `nodes` is the documents' node table with LOOSE columns, where it is there already; `targets` (id, target; see
+    `targets_of`) what each document is written for, in place of one `target` for all."""
+    parts = pieces(node_table(docs, loose=True) if nodes is None else nodes, attachments, base_url, target, targets)
     said = F.when(F.col("piece") != "", F.struct("at", "side", "inner", "piece"))  # a list leaves nulls out
     joined = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["piece"]), "").alias("markup"), F.max("module").alias("_opened"))
     tidy = F.btrim(F.regexp_replace(F.coalesce("markup", F.lit("")), r"\n{3,}", "\n\n"), F.lit(S.BLANKS))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from foliant.functions.shortcodes import TEXT
+
 
 def distinct_warnings(warnings: DataFrame) -> DataFrame:
     """One row for each (id, module, message)."""
@@ -32,6 +34,22 @@ def run_totals(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if(ok).alias("converted"), F.count_if(~ok).alias("failed"), F.count_if("retried").alias("retried"), F.avg(F.when(ok, F.col("ms"))).alias("mean_ms"))
 
 
+def run_outcomes(nodes: DataFrame, converted: DataFrame) -> DataFrame:
+    """id, status, retried, ms of every document with a tag, from a timed node table and what became of it (id, markup): failed where
+    nothing came out or a tag is left. ms is the time in the tokenizer's pass, which is where a document is read."""
+    asked = nodes.groupBy("id").agg(F.max("ms").alias("ms"), F.max(F.col("tag") != TEXT).alias("_opened")).where("_opened")
+    ok = (F.btrim(F.coalesce("markup", F.lit(""))) != "") & ~F.contains("markup", F.lit("[et_pb_"))
+    joined = asked.join(converted.select(F.col("id").alias("_id"), "markup"), F.col("id") == F.col("_id"), "left")
+    return joined.select("id", F.when(ok, "converted").otherwise("failed").alias("status"), F.lit(False).alias("retried"), "ms")
+
+
+def observed(outcomes: DataFrame) -> tuple[DataFrame, Observation]:
+    """The outcomes, and their totals (converted, failed, ms), which are there once the outcomes have been written: a run reports
+    on itself without a second pass."""
+    totals, ok = Observation(), F.col("status") == "converted"
+    return outcomes.observe(totals, F.count_if(ok).alias("converted"), F.count_if(~ok).alias("failed"), F.sum(F.when(ok, F.col("ms"))).alias("ms")), totals
+
+
 def substitution_log(substitutions: DataFrame, shown: int = 10) -> DataFrame:
     """kind, uses, samples: for each kind of substitution its count and the first `shown` originals in order."""
     one = substitutions.groupBy("kind", "before", "after").agg(F.count(F.lit(1)).alias("n"))

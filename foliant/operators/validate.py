@@ -49,15 +49,19 @@ def problems(docs: DataFrame, column: str = "markup") -> DataFrame:
     align = F.coalesce(F.get_json_object("attrs", "$.align"), F.get_json_object("attrs", "$.textAlign"), F.lit(""))
     classed = F.regexp_extract(F.regexp_extract("body", r"<(?:p|h[1-6])\b[^>]*>", 0), r"has-text-align-(left|center|right)", 1)
     level = F.coalesce(F.get_json_object("attrs", "$.level"), F.lit("2"))
-    rule = (
-        F.when((F.col("name") == "paragraph") & ~body.rlike(r"(?s)^<p\b[^>]*>.*</p>$"), "paragraph is no p element")
-        .when((F.col("name") == "heading") & ~body.rlike(r"(?s)^<(h[1-6])\b[^>]*>.*</\1>$"), "heading is no h element")
-        .when((F.col("name") == "heading") & (F.regexp_extract(body, r"^<h([1-6])", 1) != level), "heading level differs")
-        .when(F.col("name").isin("paragraph", "heading") & (align != classed), "alignment class and attribute differ")
-        .when((F.col("name") == "details") & ~body.rlike(r"(?s)^<details\b[^>]*><summary>.*</summary>.*</details>$"), "details without a summary")
-        .when((F.col("name") == "list") & ~body.rlike(r"(?s)^<([uo]l)\b.*</\1>$"), "list is no ul or ol element")
-        .when((F.col("name") == "table") & ~body.rlike(r"(?s)<table\b.*</table>"), "table without a table element")
-        .when((F.col("name") == "quote") & ~body.rlike(r"(?s)^<blockquote\b.*</blockquote>$"), "quote is no blockquote element")
-    )
-    rules = bodies.select("id", rule.alias("problem"))
-    return balance.unionByName(bad_json).unionByName(left).unionByName(rules).where("problem is not null")
+    attr = lambda name: F.get_json_object("attrs", f"$.{name}")
+    set_ = lambda name: F.coalesce(attr(name) == "true", F.lit(False))
+    rule = {
+        "paragraph": F.when(body.rlike(r"(?is)<p[\s>].*<p[\s>]"), "paragraph holds several p elements").when((body != "") & ~body.rlike(r"(?s)^<p\b[^>]*>.*</p>$"), "paragraph is no p element").when(align != classed, "alignment class and attribute differ"),
+        "heading": F.when(~body.rlike(r"(?s)^<(h[1-6])\b[^>]*>.*</\1>$"), "heading is no h element").when(F.regexp_extract(body, r"^<h([1-6])", 1) != level, "heading level differs").when(align != classed, "alignment class and attribute differ"),
+        "details": F.when(~body.rlike(r"(?s)^<details\b[^>]*><summary>.*</summary>.*</details>$"), "details without a summary").when(body.rlike(r"^<details\b[^>]*\sopen[\s>]") != set_("showContent"), "details are open in one place only"),
+        "list": F.when(~body.rlike(r"(?s)^<([uo]l)\b.*</\1>$"), "list is no ul or ol element").when(body.startswith("<ol") != set_("ordered"), "list element and order differ").when(body.rlike(r"<li[\s>]") & ~body.contains("<!-- wp:list-item"), "list items are no blocks"),
+        "table": F.when(~body.rlike(r"(?s)<table\b.*</table>"), "table without a table element").when(body.rlike(r"<tr[\s>]") & ~body.rlike(r"<t(?:body|head|foot)[\s>]"), "table rows outside of a group"),
+        "quote": F.when(~body.rlike(r"(?s)^<blockquote\b.*</blockquote>$"), "quote is no blockquote element").when(body.rlike(r"^<blockquote[^>]*>\s*<p"), "quote holds loose markup"),
+    }
+    ruled = F.lit(None).cast("string")
+    for name, broken_rule in rule.items():
+        ruled = F.when(F.col("name") == name, broken_rule).otherwise(ruled)
+    rules = bodies.select("id", ruled.alias("problem"))
+    foreign = F.when(F.col("name").isin("form", "form-input", "form-submit-button"), F.concat("name", F.lit(" is no block of the host"))).when((F.col("name") == "navigation") & attr("menuId").isNotNull(), "navigation has no menuId")
+    return balance.unionByName(bad_json).unionByName(left).unionByName(rules).unionByName(comments.where("not closing").select("id", foreign.alias("problem"))).where("problem is not null")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from foliant.operators import inventory, listing, writeplan
+from foliant.operators import anonymize, documents, inventory, listing, render, reports, writeplan
 from foliant.operators.inventory import ScanRequest
-from foliant.plans.queries import _CHECK, query
+from foliant.plans import shapes
+from foliant.plans.queries import _ATTACHMENTS, _CHECK, attachments, query
 from foliant.sources import sites, snapshots
 from foliant.sources.corpus import BUILDER_SNAPSHOT_KEY, postmeta, posts, requests, table
 from foliant.sources.scratch import new_path
@@ -135,3 +137,44 @@ def restore_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = good.select((F.col("doc_id") * 10 + 5).alias("meta_id"), F.col("doc_id").alias("post_id"), F.lit(BUILDER_SNAPSHOT_KEY).alias("meta_key"), F.expr(_SHAPE).alias("meta_value"))
     meta = postmeta(spark, sf_dir).unionByName(stored)
     return writeplan.restore_builder_meta(meta, writeplan.stored_snapshots(meta))
+
+
+# What survived the scrubbing.
+
+
+@query(r""", w AS (SELECT id, lower(regexp_extract(regexp_replace(post_content, '\[et_pb_[^\]]*\]|<!-- wp:divi/[a-z]+ /?-->|&quot;', ' ', 'g'), '\p{L}{4,}')) AS token FROM posts)
+SELECT id, 'word' AS kind, token FROM w WHERE token <> '' AND token NOT IN ('amber', 'birch', 'cedar', 'delta', 'ember', 'fjord', 'grove', 'heath', 'inlet', 'jetty', 'knoll', 'larch', 'maple', 'north', 'ocean', 'pines', 'quarry', 'river', 'slate', 'tidal', 'upland', 'valley', 'example')""", "posts")
+def scrubbing_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts after scrubbing, with one word of each put back: those words are found, and nothing else."""
+    docs = posts(spark, sf_dir)
+    bare = F.regexp_replace("post_content", r"\[et_pb_[^\]]*\]|<!-- wp:divi/[a-z]+ /?-->|&quot;", " ")
+    planted = docs.select(F.col("id").alias("_id"), F.regexp_extract(bare, r"\p{L}{4,}", 0).alias("_word"))
+    scrubbed = anonymize.anonymize(docs.select("id", "post_content")).join(planted, F.col("id") == F.col("_id"))
+    return anonymize.leaks(docs, scrubbed.select("id", F.concat("post_content", F.lit(" "), "_word").alias("post_content")))
+
+
+# Hosts that differ.
+
+
+@query(shapes.hosted_markup_sql())
+def convert_for_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run over the documents of all sites, each written for its site's host."""
+    docs = spark.sql(shapes.HOSTED_SQL.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    sites = spark.createDataFrame([(site, *host) for site, (host, _) in shapes.HOSTS.items()], "site_id string, major int, minor int, lacks array<string>, portfolio_type string, portfolio_taxonomy string")
+    return render.convert(docs.select("id", "post_content"), targets=render.targets_of(docs, sites))
+
+
+# Measured runs.
+
+
+@query(shapes.posts_views(_ATTACHMENTS) + "SELECT count(*) FILTER (WHERE markup <> '') AS converted, count(*) FILTER (WHERE markup = '') AS failed, count(*) FILTER (WHERE false) AS retried, true AS timed, count(*) FILTER (WHERE markup <> '') AS observed FROM cv WHERE tagged", "posts")
+def measured_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a conversion of all posts: from its outcomes as they were written, and as the run itself reported them."""
+    docs, path = posts(spark, sf_dir), new_path(spark, "outcomes")
+    nodes = documents.node_table(docs, loose=True, timed=True).persist(StorageLevel.DISK_ONLY)  # its clock ticks once
+    made = render.convert(docs, attachments(spark, sf_dir), "https://cdn.example.com", nodes=nodes)
+    outcomes, totals = reports.observed(reports.run_outcomes(nodes, made))
+    outcomes.write.parquet(path)
+    nodes.unpersist()
+    rows = reports.run_totals(spark.read.parquet(path))
+    return rows.select("converted", "failed", "retried", (F.col("mean_ms") > 0).alias("timed"), F.lit(totals.get["converted"]).alias("observed"))

@@ -375,7 +375,7 @@ def dispatch_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.dispatch_problems(used, documents.module_catalog(spark))
 
 
-@query(" SELECT id, 'et_pb_text' AS tag, 'spacing (padding or margin)' AS labels FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL", "posts")
+@query(" SELECT id, 'et_pb_text' AS tag, 'inner and outer spacing' AS labels FROM posts WHERE id % 5 = 0 AND post_content IS NOT NULL", "posts")
 def style_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.style_losses(post_nodes(spark, sf_dir))
 

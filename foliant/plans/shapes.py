@@ -116,7 +116,7 @@ SHAPES: tuple[Shape, ...] = (
         _p("intro <b>b</b>") + _b("heading", '<h3 class="has-text-color" style="color:red;font-size:2em">Head</h3>', '{"level":3,"style":{"color":{"text":"red"},"typography":{"fontSize":"2em"}}}') + _b("list", '<ul class="wp-block-list">\n' + _b("list-item", "<li>one\n" + _b("list", '<ol class="wp-block-list">\n' + _items("two") + "</ol>", '{"ordered":true}') + "</li>") + "</ul>")
         + _b("quote", '<blockquote class="wp-block-quote">\n' + _p("said") + "<cite>Ann</cite></blockquote>") + _b("table", '<figure class="wp-block-table"><table><tbody><tr><td>c</td></tr></tbody></table></figure>', '{"hasFixedLayout":false}') + _b("html", '<table border="1"><tr><td>d</td></tr></table>')
         + _b("preformatted", '<pre class="wp-block-preformatted">x  y</pre>') + _b("separator", '<hr class="wp-block-separator has-alpha-channel-opacity"/>') + _b("html", "<!-- note -->") + _p("About {t}"),
-        (("=html-comment", "A block delimiter inside the content was removed."), ("text", _LOST + "hover styling, custom CSS, custom IDs and classes.")),
+        (("=html-comment", "A block delimiter inside the content was removed."), ("text", _LOST + "changes on hover, own CSS, own ids and classes.")),
     ),
     Shape(
         '[et_pb_code]<script>1</script>[/et_pb_code][et_pb_fullwidth_code]About {t}[/et_pb_fullwidth_code][et_pb_button button_text="Salt &amp; Pepper" button_url="https://e.com/?a=1&b={i}" button_alignment="center" button_bg_color="#fff" button_text_color="Red" url_new_window="on" custom_margin="1px|||" /][et_pb_button /]',
@@ -228,13 +228,18 @@ SHAPES: tuple[Shape, ...] = (
     Shape(
         "[et_pb_text title=&quot;a[0]&quot; background_color=&#34;red&quot; z_index='3']First[/et_pb_text][et_pb_text animation_style=&#8221;fade&#8221;]About {t}",
         _p("First") + _p("About {t}"),
-        (("text", _LOST + "positioning and transforms, animation and filter effects."),),
+        (("text", _LOST + "placement and transforms, animations and filters."),),
     ),
     Shape(  # implied ends, closers without an opener, lists in lists, elements that hold no tags, depth
         '[et_pb_text]<p>About {t}<div>b</section></div>c</p><ul><li>one<li>two<ul><li>three</ul><li>four</ul><ul><ul><li>alone</ul></ul><script>if (a<b) "</p>"</script><table><tr><td>p<td>q<tr><td>r</table>' + "<div>" * 12 + "<i>deep</i>" + "</div>" * 12 + "<b>x<i>y</b>z[/et_pb_text]",
         _p("About {t}") + _p("b") + _p("c") + _b("list", '<ul class="wp-block-list">\n' + _items("one") + _b("list-item", "<li>two\n" + _list("three") + "</li>") + _items("four") + "</ul>") + _b("list", '<ul class="wp-block-list">\n' + _b("list-item", "<li>\n" + _list("alone") + "</li>") + "</ul>")
         + _b("html", '<script>if (a<b) "</p>"</script>') + _b("table", '<figure class="wp-block-table"><table><tbody><tr><td>p<td>q<tr><td>r</tbody></table></figure>', '{"hasFixedLayout":false}') + _b("html", "<div><i>deep</i></div>") + _p("<b>x<i>y</b>z"),
     ),
+    Shape(  # every kind of design setting
+        '[et_pb_code custom_margin="1px|||" max_width="5px" border_color_all="red" box_shadow_style="preset1" text_shadow_style="preset2" body_font_size="3px" background_blend="x" parallax="on" animation_style="fade" custom_css_main="x" module_id="a" z_index="3" disabled_on="on|off|off" body_text_color="red" a_tablet="1" b__hover="1" unknown="1" min_height=""]About {t}[/et_pb_code]',
+        _b("html", "About {t}"),
+        (("code", _LOST + "inner and outer spacing, fixed sizes, border lines, shadows of boxes, shadows of text, font settings, background details, moving backgrounds, animations and filters, own CSS, own ids and classes, placement and transforms, visibility by device, colour of text, settings for smaller screens, changes on hover."),),
+    ),
     Shape(  # media between and in text, an element that a closer of a lower rank doesn't leave, one that takes the rest
         '[et_pb_text]About {t}<iframe src="https://e.com/f">in</iframe><div>one <object data="o"><b>two</b></object> three</div><video src="https://e.com/v.mp4"></video>four<embed src="x"/><section>five</section><b>six<div>seven</b>eight</div>nine[/et_pb_text]',
         _p("About {t}") + _b("html", '<iframe src="https://e.com/f">in</iframe>') + _p("one") + _b("html", '<object data="o"><b>two</b></object>') + _p("three") + _film("https://e.com/v.mp4") + _p("four") + _b("html", '<embed src="x"/>') + _p("five") + _p("<b>six<div>seven</b>eight</div>nine"),
@@ -286,7 +291,7 @@ TREES = (
     "0video_slider 1video_slider_item 1video_slider_item 2_ 0video_slider_item 1_ 0text 1_", "0audio 0audio 0audio", "0gallery 0gallery 0gallery", "0map 1_ 1map_pin 2_ 1map_pin 2_ 0fullwidth_map 0map 0map_pin 1_", "0blurb 1_ 0blurb 0cta 1_", "0divider 0divider 0fullwidth_header 1_ 0fullwidth_header",
     "0testimonial 1_ 0testimonial 0testimonial", "0team_member 1_ 0social_media_follow 1social_media_follow_network 1social_media_follow_network 1social_media_follow_network 1_ 1social_media_follow_network 0social_media_follow_network", "0accordion 1toggle 2_ 1toggle", "0tabs 1_ 1tab 2_ 1tab 2_ 1button",
     "0slider 1slide 2_ 0fullwidth_slider 1slide 0post_slider 0fullwidth_post_slider 1slide 2_", "0counters 1counter 2_ 1counter 1counter 2_ 2button 0number_counter 0circle_counter 0_", "0pricing_tables 1pricing_table 2pricing_item 3_ 2pricing_item 3_ 2_ 2pricing_item 3_ 1pricing_table 2_ 0pricing_item 1_",
-    "0blog 0blog 0portfolio 0filterable_portfolio 0fullwidth_portfolio 0_", "0menu 0fullwidth_menu 0menu 0search 0search 0post_title 0comments 0login 0sidebar 0sidebar 0shop 0_", "0contact_form 1_ 1contact_field 1contact_field 1contact_field 0contact_form 0contact_field 1_", "0signup 1_ 0weird 1_ 0weird 1button 0_", "", "0text 1_ 0text 1_", "0text 1_", "0text 1_",
+    "0blog 0blog 0portfolio 0filterable_portfolio 0fullwidth_portfolio 0_", "0menu 0fullwidth_menu 0menu 0search 0search 0post_title 0comments 0login 0sidebar 0sidebar 0shop 0_", "0contact_form 1_ 1contact_field 1contact_field 1contact_field 0contact_form 0contact_field 1_", "0signup 1_ 0weird 1_ 0weird 1button 0_", "", "0text 1_ 0text 1_", "0text 1_", "0code 1_", "0text 1_",
 )
 TREES_SQL = f"SELECT doc_id AS id, CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TREES)) + f" END AS tree FROM documents WHERE text IS NOT NULL AND doc_id % {len(SHAPES)} <> {TREES.index('')}"
 
@@ -305,3 +310,24 @@ def posts_views(attachments: str) -> str:
     cases = " ".join(f"WHEN id % 5 = {k} THEN trim(regexp_replace({_literal(m, padded=_PADDED, para=_PARA, source='source', lang='lang', i=_ID, image=_IMAGE.replace('{link}', 'media'))}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANKS})" for k, m in _POSTS.items())
     return f""", att AS ({attachments}), pd AS (SELECT posts.id, posts.post_content, documents.*, {_FOUND} AS found FROM posts JOIN documents ON doc_id = posts.id LEFT JOIN att ON att.id = posts.id),
 cv AS (SELECT id, post_content, found, coalesce(post_content IS NOT NULL AND id % 5 IN (0, 1, 3), false) AS tagged, CASE WHEN post_content IS NULL THEN NULL {cases} ELSE post_content END AS markup FROM pd) """
+
+
+#: A document for hosts that differ, its site by language, and what it becomes for each.
+HOSTED = '[et_pb_toggle title="T"]About {t}[/et_pb_toggle][et_pb_slide background_image="https://e.com/i.png"]x[/et_pb_slide][et_pb_portfolio include_categories="1" /]'
+_HOSTED_QUERY = lambda kind, taxonomy: _QUERY(_THREE, f'{{"query":{{"postType":"{kind}","perPage":4,"order":"desc","orderBy":"date","taxQuery":{{"{taxonomy}":[1]}}}}}}')
+_DIM, _IMG = '<span aria-hidden="true" class="wp-block-cover__background has-background-dim-100 has-background-dim"></span>', '<img class="wp-block-cover__image-background" alt="" src="https://e.com/i.png" data-object-fit="cover"/>'
+_HOSTED_COVER = _cover("https://e.com/i.png", _p("x"))
+#: site -> (major, minor, blocks that it lacks, type and taxonomy of portfolios), markup
+HOSTS = {
+    "en": ((6, 8, [], "project", "project_category"), _details("T", _p("About {t}")) + _HOSTED_COVER + _HOSTED_QUERY("project", "project_category")),
+    "de": ((6, 3, [], "work", "kind"), _details("T", _p("About {t}"), '{"summary":"T"}') + _HOSTED_COVER.replace(_IMG + _DIM, _DIM + _IMG) + _HOSTED_QUERY("work", "kind")),
+    "fr": ((6, 4, ["core/details"], None, None), _g(_h(3, "T") + _p("About {t}")) + _HOSTED_COVER.replace(_IMG + _DIM, _DIM + _IMG) + _HOSTED_QUERY("project", "project_category")),
+}
+HOSTED_SQL = f"SELECT doc_id AS id, lang AS site_id, {_literal(HOSTED, t='text')} AS post_content FROM documents"
+
+
+def hosted_markup_sql() -> str:
+    """SQL of DuckDB: id, markup of every document of HOSTED_SQL."""
+    tidy = lambda m: f"trim(regexp_replace({_literal(m, t=_BODY)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANKS})"
+    cases = " ".join(f"WHEN '{site}' THEN {tidy(m)}" for site, (_, m) in HOSTS.items())
+    return f"SELECT doc_id AS id, CASE WHEN text IS NULL THEN NULL ELSE CASE lang {cases} ELSE {tidy(HOSTS['en'][1])} END END AS markup FROM documents"
