@@ -9,11 +9,14 @@ from pyspark.storagelevel import StorageLevel
 from foliant.operators import anonymize, documents, inventory, listing, render, reports, writeplan
 from foliant.operators.inventory import ScanRequest
 from foliant.plans import shapes
-from foliant.plans.queries import _ATTACHMENTS, _CHECK, attachments, query
+from foliant.plans.queries import _ATTACHMENTS, _CHECK, attachments, post_nodes, query
+from foliant.sources import attachments as library
 from foliant.sources import sites, snapshots
 from foliant.sources.corpus import BUILDER_SNAPSHOT_KEY, postmeta, posts, requests, table
 from foliant.sources.scratch import new_path
 
+BUCKETS = 16
+
 # Publishing.
 
 
@@ -178,3 +181,24 @@ def measured_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes.unpersist()
     rows = reports.run_totals(spark.read.parquet(path))
     return rows.select("converted", "failed", "retried", (F.col("mean_ms") > 0).alias("timed"), F.lit(totals.get["converted"]).alias("observed"))
+
+
+# Attachments in buckets.
+
+
+def _library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "attachments")
+    return library.keep_attachments(attachments(spark, sf_dir), path.rsplit("/", 1)[1].replace("-", "_"), path, BUCKETS)
+
+
+@query(f", att AS ({_ATTACHMENTS}), g AS (SELECT id AS post_id, unnest([id, 999]) AS image FROM posts WHERE id % 5 = 1 AND post_content IS NOT NULL AND id <> 0) SELECT post_id, image, coalesce(att.url, 'https://cdn.example.com/' || att.file, att.guid) AS url FROM g LEFT JOIN att ON att.id = image", "posts")
+def attachment_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The galleries' images, from attachments that are kept in buckets and don't move."""
+    urls = render.gallery_urls(post_nodes(spark, sf_dir), _library(spark, sf_dir), "https://cdn.example.com")
+    return urls.select(F.col("id").alias("post_id"), F.explode("gallery").alias("g")).select("post_id", "g.image", "g.url")
+
+
+@query(f", att AS ({_ATTACHMENTS}), g AS (SELECT DISTINCT unnest([id, 999]) AS id FROM posts WHERE id % 5 = 1 AND post_content IS NOT NULL) SELECT id FROM g WHERE id > 0 AND id NOT IN (SELECT id FROM att)", "posts")
+def dead_attachments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What galleries list and the library no longer has."""
+    return library.missing(post_nodes(spark, sf_dir), _library(spark, sf_dir))

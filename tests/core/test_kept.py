@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant.operators import inventory, listing, writeplan
 from foliant.operators.inventory import ScanRequest
-from foliant.sources import sites, snapshots
+from foliant.sources import attachments, sites, snapshots
 
 POST = "id long, post_title string, post_type string, post_status string, post_date date, post_content string"
 PLAN = "post_id long, status string, source_hash string, markup string"
@@ -153,3 +153,25 @@ def test_shapes_of_stored_snapshots(spark, text, want):
     after = sorted((r["post_id"], r["meta_key"], r["meta_value"] or "") for r in writeplan.restore_builder_meta(meta, stored).collect() if r["meta_key"] in ("_et_pb_use_builder", "_et_pb_old_content"))
     restored = [(7, k, v) for k, vs in want.items() for v in vs] if want else [(7, "_et_pb_use_builder", "on")]
     assert after == sorted([*restored, (8, "_et_pb_use_builder", "other")])
+
+
+def test_kept_attachments_do_not_move(spark, tmp_path):
+    from foliant.operators import documents, render
+
+    docs = spark.createDataFrame([(i, f'[et_pb_gallery gallery_ids="{i % 7},{i}, 5000,x" /]') for i in range(1, 200)], "id long, post_content string")
+    files = spark.createDataFrame([(i, f"https://e.com/{i}.png", None, None) for i in range(1, 150)], "id int, url string, file string, guid string")
+    kept = attachments.keep_attachments(files, f"kept_{tmp_path.name}", f"file://{tmp_path}/kept", 4)
+    assert kept.schema["id"].dataType.simpleString() == "bigint" and len(kept.inputFiles()) == 4
+    nodes = documents.node_table(docs)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        urls, plain = (render.gallery_urls(nodes, x, "https://c.example") for x in (kept, files))
+        rows = lambda df: sorted((r["id"], tuple((g["image"], g["url"]) for g in r["gallery"])) for r in df.collect())
+        assert rows(urls) == rows(plain)
+        exchanges = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") for df in (urls, plain)]
+        assert exchanges[0] == exchanges[1] - 1
+        assert sorted(r["id"] for r in attachments.missing(nodes, kept).collect()) == [*range(150, 200), 5000]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE kept_{tmp_path.name}")
