@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bits of the filters of `maybe_in` and `without`: 8 MB in all, whatever the corpus.
 FILTER_BITS, SEGMENT_BITS = 1 << 26, 1 << 15
+#: Bytes of rows that go to Python at once. Whole texts differ in size, so batches are bounded by it and not only by rows.
+BATCH_BYTES = 4 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,16 +49,23 @@ def drop_intermediates(spark: SparkSession) -> None:
 
 
 def slices(batches, rows: int = 500):
-    """The batches in slices of so many rows: what Python holds of a batch at once stays small."""
+    """The batches in slices of so many rows: what Python holds of a batch at once stays small. After the last one the memory that
+    the task has freed goes back, as the worker lives on for tasks of other stages."""
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim is not None:
+        trim(0)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, and what was
-    not deterministic (row ids, ties) is the same for every later reader, whatever executors are lost."""
+    not deterministic (row ids, ties) is the same for every later reader, whatever executors are lost. From then on the
+    session hands rows to Python in batches of BATCH_BYTES."""
     path = new_path(df.sparkSession, label)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

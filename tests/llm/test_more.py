@@ -117,3 +117,27 @@ def test_identifier_lines():
     words = license_scan.words_of(text)
     assert all(words[x["first_word"] : x["last_word"] + 1] == license_scan.words_of(x["license"]) for x in found[6])
     assert license_scan.find_licenses("SPDX-License-Identifier: ", wanted, 0.8)[1:6] == (None,) * 5
+
+
+def test_near_duplicates_of_the_tables(spark):
+    """Over all texts of sf0.01, against brute force on their five-word sets: near texts are one group (0.9 of them at least, and
+    here all), and no group holds a text that isn't near to another of it."""
+    import numpy as np
+
+    from foliant.llm import simhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    roots = {r["doc_id"]: r["root"] for r in simhash.near_duplicate_classes(docs).collect()}
+    sets = {r["doc_id"]: set(simhash.shingle_set(r["text"] or "").tolist()) for r in docs.collect()}
+    at: dict = {}
+    for i, s in sets.items():
+        for x in s:
+            at.setdefault(x, []).append(i)
+    both = Counter((a, b) for ids in at.values() for k, a in enumerate(ids) for b in ids[k + 1 :])
+    share = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in both.items()}
+    near = [p for p, j in share.items() if j >= 0.8]
+    found = np.mean([roots[a] == roots[b] for a, b in near])
+    assert len(near) > 50 and found >= 0.9, (len(near), found)
+    members = Counter(roots.values())
+    close = {i for p, j in share.items() if j >= 0.78 and roots[p[0]] == roots[p[1]] for i in p}
+    assert all(members[r] == 1 or i in close or not sets[i] for i, r in roots.items())
