@@ -33,7 +33,10 @@ def decode_entities(c: Column) -> Column:
 
 def escape_text(c: Column) -> Column:
     """Decoded once, then escaped: `&amp;` and `&` both come out as `&amp;`."""
-    c = decode_entities(F.coalesce(c, F.lit("")))
+    return escape_decoded(decode_entities(F.coalesce(c, F.lit(""))))
+
+
+def escape_decoded(c: Column) -> Column:
     for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#039;")):
         c = F.replace(c, F.lit(char), F.lit(entity))
     return c
@@ -94,7 +97,10 @@ def text_align_class(c: Column) -> Column:
 
 def safe_url(c: Column) -> Column:
     """Decoded, '' for nothing or for a scheme that runs code; otherwise with what a URL can't hold taken out."""
-    v = decode_entities(F.coalesce(c, F.lit("")))
+    return safe_decoded(decode_entities(F.coalesce(c, F.lit(""))))
+
+
+def safe_decoded(v: Column) -> Column:
     clean = F.regexp_replace(F.replace(F.btrim(v, F.lit(BLANKS)), F.lit(" "), F.lit("%20")), r"[\x00-\x1f\x7f<>\"\\^`{|}]", "")
     return F.when(v.rlike(r"(?i)^\s*(?:javascript|data|vbscript)\s*:"), "").otherwise(clean)
 

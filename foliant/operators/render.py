@@ -156,11 +156,17 @@ def _label(c: Column) -> Column:
 def _prepared(rows: DataFrame) -> DataFrame:
     """`rows` with what many modules share: each attribute cleaned once as a URL and once as text, boxes and styles."""
 
-    def cleaned(clean: Callable[[Column], Column]) -> Column:
-        return F.map_from_entries(F.transform("attrs", lambda x: F.struct(x["name"].alias("key"), clean(x["value"]).alias("value"))))
+    def where(holds: str, clean: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        """`clean`, where a value holds a character that it changes: most hold none."""
+        return lambda v: F.when(v.rlike(holds), clean(v)).otherwise(v)
 
-    rows = rows.withColumns({"urls": cleaned(S.safe_url), "texts": cleaned(S.escape_text), "r": F.map_from_entries("around")})
-    rows = rows.withColumn("escaped_urls", F.transform_values("urls", lambda _, v: S.escape_text(v)))
+    def cleaned(source: str, clean: Callable[[Column], Column]) -> Column:
+        return F.transform(source, lambda x: F.struct(x["name"].alias("key"), clean(x["value"]).alias("value")))
+
+    rows = rows.withColumn("decoded", F.transform("attrs", lambda x: F.struct(x["name"].alias("name"), where("&", S.decode_entities)(F.coalesce(x["value"], F.lit(""))).alias("value"))))
+    special = "[&<>\"']"
+    rows = rows.withColumns({"urls": F.map_from_entries(cleaned("decoded", where(r"[\x00-\x20\x7f<>\"\\^`{|}:]", S.safe_decoded))), "texts": F.map_from_entries(cleaned("decoded", where(special, S.escape_decoded))), "r": F.map_from_entries("around")})
+    rows = rows.withColumn("escaped_urls", F.transform_values("urls", lambda _, v: where(special, S.escape_text)(v)))
     rows = rows.withColumns({"margin": S.spacing_box(_a("custom_margin")), "padding": S.spacing_box(_a("custom_padding")), "back": S.css_color(_a("background_color")), "radius": S.border_radius(_a("border_radii"))["radius"], "border_color": S.css_color(_a("border_color_all")), "border_style": S.css_border_style(_a("border_style_all")), "border_width": S.css_length(_a("border_width_all"))})
     justified = S.allowed_value(F.coalesce(_a("button_alignment"), _a("text_orientation")), ("left", "center", "right", "space-between"))
     rows = rows.withColumns({"host": S.video_provider(F.col("video_src")), "color": S.css_color(_a("color")), "width": S.column_width(_a("type")), "button_align": justified, "button_back": S.css_color(_a("button_bg_color")), "button_ink": S.css_color(_a("button_text_color")), "label": _label(F.col("own_text"))})
