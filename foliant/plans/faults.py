@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import census
 from foliant.operators import documents, render, validate, writeplan
-from foliant.plans.queries import query
+from foliant.plans.queries import _ATTACHMENTS, _CATALOG_SQL, attachments, query
 from foliant.plans.shapes import _literal
 from foliant.sources.corpus import BACKUP_KEY, table
 
@@ -121,3 +121,29 @@ def loss_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = F.when(F.col("lang") == "de", F.struct(*[F.lit(int(k == "images")).cast("long").alias(k) for k in census.KINDS]))
     facts = rows.select("id", census.source_census(F.col("post_content")).alias("before"), census.block_census(F.col("markup")).alias("after"), known.alias("acknowledged"))
     return census.census_warnings(census.unexplained(facts))
+
+
+_CLAIMS = "SELECT DISTINCT 'et_pb_' || lang AS tag FROM documents WHERE lang IS NOT NULL UNION ALL SELECT 'et_pb_text' FROM (SELECT DISTINCT source FROM documents) s"
+
+
+@query(f"""WITH cat AS ({_CATALOG_SQL}), claims AS ({_CLAIMS}) SELECT tag, 'duplicate' AS problem FROM claims GROUP BY tag HAVING count(*) > 1 UNION ALL SELECT DISTINCT tag, 'unknown' FROM claims WHERE tag NOT IN (SELECT tag FROM cat)
+UNION ALL SELECT tag, 'unowned' FROM cat WHERE tag NOT IN (SELECT tag FROM claims) AND tag NOT IN ('et_pb_contact_field', 'et_pb_map_pin', 'et_pb_video_slider_item')""")
+def dispatch_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """If languages were modules, and every source claimed the text module."""
+    claims = spark.sql(_CLAIMS.replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    return documents.dispatch_problems(claims, documents.module_catalog(spark))
+
+
+_FOUND = "coalesce(att.url, 'https://cdn.example.com/' || att.file, att.guid)"
+_IMAGE = _literal(
+    '<!-- wp:gallery {"columns":3,"linkTo":"media","imageCrop":true} -->\n<figure class="wp-block-gallery has-nested-images columns-3 is-cropped">\n<!-- wp:image {"id":{i},"sizeSlug":"large","linkDestination":"media","url":"{json}","alt":"A \\u0022{i}\\u0022"} -->\n<figure class="wp-block-image size-large"><img src="{url}" alt="A &quot;{i}&quot;" class="wp-image-{i}"/><figcaption class="wp-element-caption">C &amp; {i}</figcaption></figure>\n<!-- /wp:image -->\n\n</figure>\n<!-- /wp:gallery -->',
+    i="CAST(att.id AS STRING)", url=f"replace({_FOUND}, '&', '&amp;')", json=f"replace(replace({_FOUND}, '--', '\\u002d\\u002d'), '&', '\\u0026')",
+)
+
+
+@query(f"WITH att AS ({_ATTACHMENTS}) SELECT att.id, {_IMAGE} AS markup FROM att WHERE att.id > 0 AND {_FOUND} IS NOT NULL")
+def gallery_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gallery of each attachment that has an address, with the library's alternative text and caption."""
+    files = attachments(spark, sf_dir).withColumns({"alt": F.concat(F.lit('A "'), F.col("id").cast("string"), F.lit('"')), "caption": F.concat(F.lit("C & "), F.col("id").cast("string"))})
+    docs = files.where("id > 0 AND coalesce(url, file, guid) IS NOT NULL").select("id", F.concat(F.lit('[et_pb_gallery gallery_ids="'), F.col("id").cast("string"), F.lit('" /]')).alias("post_content"))
+    return render.convert(docs, files, "https://cdn.example.com")

@@ -28,16 +28,19 @@ def query(sql: str | None = None, *views: str):
     return add
 
 
-_PARSED: dict[tuple[str, str, str], DataFrame] = {}
+_PARSED: dict[tuple[str, str], tuple[frozenset, DataFrame]] = {}
 
 
 def parsed(spark: SparkSession, sf_dir: str, docs: DataFrame, name: str) -> DataFrame:
-    """The documents' node table, parsed once a session and kept on disk, as rendering, warnings, census and plans all ask for
-    it; a partition that is lost with its executor is parsed again."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """The documents' node table, parsed once and kept on disk, as rendering, warnings, census and plans all ask for it; a
+    partition that is lost with its executor is parsed again. It is let go when the files are others than they were."""
+    files = table(spark, sf_dir, "documents").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    seen, key = frozenset(tuple(r) for r in files.collect()), (spark.sparkContext.applicationId, name)
+    if key in _PARSED and _PARSED[key][0] != seen:
+        _PARSED.pop(key)[1].unpersist()
     if key not in _PARSED:
-        _PARSED[key] = documents.node_table(docs, loose=True).persist(StorageLevel.DISK_ONLY)
-    return _PARSED[key]
+        _PARSED[key] = seen, documents.node_table(docs, loose=True).persist(StorageLevel.DISK_ONLY)
+    return _PARSED[key][1]
 
 
 def post_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
