@@ -65,14 +65,20 @@ def _all(content: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(content, F.lit(pattern), F.lit(group))
 
 
+def _after(name: str, mark: str, quotes: str) -> str:
+    """A pattern whose group is the quoted value after a name and a mark."""
+    return rf"(?i){name}\s*{mark}\s*[{quotes}]([^{quotes}]*)[{quotes}]"
+
+
 def html_urls(content: Column) -> Column:
-    found = F.concat(*[_all(content, p) for p in (r'(?i)\bhref\s*=\s*"([^"]*)"', r'(?i)\bsrc\s*=\s*"([^"]*)"', rf'(?i)"(?:{JSON_KEYS})"\s*:\s*"([^"]*)"')])
+    """Addresses of links and sources, and those of blocks' JSON (names are fixed values: both sides' counts depend on them)."""
+    found = F.concat(_all(content, _after(r"\b(?:href|src)", "=", '"')), _all(content, _after(f'"(?:{JSON_KEYS})"', ":", '"')))
     return F.filter(F.transform(found, normal_url), lambda u: u != "")
 
 
 def attribute_urls(content: Column) -> Column:
-    found = _all(content, rf"""(?i)\b(?:{URL_ATTRIBUTES})\s*=\s*["']([^"']*)["']""")
-    return F.filter(F.transform(found, normal_url), lambda u: u != "")
+    """Addresses of modules' attributes (names are fixed values)."""
+    return F.filter(F.transform(_all(content, _after(rf"\b(?:{URL_ATTRIBUTES})", "=", "\"'")), normal_url), lambda u: u != "")
 
 
 def _distinct(urls: Column, images: bool) -> Column:
