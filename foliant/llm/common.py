@@ -48,6 +48,22 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Paths of the tables that `materialize` wrote, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def tables_made(spark: SparkSession) -> list[str]:
+    """Paths of the tables that operators of this application have written to cut lineage, in order."""
+    return list(_MADE.get(spark.sparkContext.applicationId, ()))
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables of `tables_made` that no result to come depends on."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches, rows: int = 500):
     """The batches in slices of so many rows: what Python holds of a batch at once stays small. After the last one the memory that
     the task has freed goes back, as the worker lives on for tasks of other stages."""
@@ -67,6 +83,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.write.parquet(path)
+    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
