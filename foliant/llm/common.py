@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import tempfile
+import threading
 import uuid
 
 import pyarrow as pa
@@ -48,13 +49,17 @@ def drop_intermediates(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Paths of the tables that `materialize` wrote, by application.
-_MADE: dict[str, list[str]] = {}
+#: Paths of the tables that `materialize` wrote, by application and the driver's thread.
+_MADE: dict[tuple[str, int], list[str]] = {}
+
+
+def _mine(spark: SparkSession) -> list[str]:
+    return _MADE.setdefault((spark.sparkContext.applicationId, threading.get_ident()), [])
 
 
 def tables_made(spark: SparkSession) -> list[str]:
-    """Paths of the tables that operators of this application have written to cut lineage, in order."""
-    return list(_MADE.get(spark.sparkContext.applicationId, ()))
+    """Paths of the tables that operators have written to cut lineage, in order; jobs of other threads not among them."""
+    return list(_mine(spark))
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -83,7 +88,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(df.sparkSession, label)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     df.write.parquet(path)
-    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    _mine(df.sparkSession).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
