@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, materialize, new_path, running_offsets, slices, whole_text
+from .common import drop_tables, join_small, materialize, new_path, running_offsets, slices, tables_made, whole_text
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: What a superstep leaves: a document with the sequence that it goes to, or null if it found none.
@@ -147,6 +147,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS)
     gaps = spark.createDataFrame([], "sequence long, room long")
     rooms: dict[int, int] = {}
     opened, step, bound = 0, 0, capacity
+    last: list[str] = []  # where the gaps are kept
     while bound:
         mine = {x: n for x, n in lengths.items() if bound < 2 * x and x <= bound and x < capacity}
         docs = held.where((F.col("length") * 2 > bound) & (F.col("length") <= bound) & (F.col("length") < capacity)).select(F.col("_row").alias("row"), F.col("length").cast("long"))
@@ -156,7 +157,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS)
                 gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
                 rooms[capacity] = rooms.get(capacity, 0) + new
                 opened += new
-            step += 1
+            step, before = step + 1, len(tables_made(spark))
             slots, offered = _offers(gaps, rooms, bound, left, stuck)
             superstep(docs, slots, left + offered, range_rows).write.parquet(f"{base}/step={step}")
             placed = spark.read.schema(PLACED).parquet(f"{base}/step={step}")
@@ -165,6 +166,9 @@ def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS)
             gaps = materialize(gaps.unionByName(taken).groupBy("sequence").agg(F.sum("room").alias("room")).where("room > 0"), "gaps")
             known = gaps.groupBy("room").agg(F.count(F.lit(1)).alias("n")).unionByName(docs.agg((-F.coalesce(F.sum("length"), F.lit(0)) - 1).alias("room"), F.count(F.lit(1)).alias("n"))).collect()
             rooms = {r["room"]: r["n"] for r in known if r["room"] > 0}
+            *done, gaps_path = tables_made(spark)[before:]
+            drop_tables(spark, [*last, *done])  # this step's sweeps and the gaps before it: what they led to is written
+            last = [gaps_path]
             before, (tokens, left) = left, next((-r["room"] - 1, r["n"]) for r in known if r["room"] < 0)
             stuck = left == before
         bound //= 2
