@@ -1,16 +1,19 @@
 """Checks of block markup: delimiters, their balance, bodies at every depth, and house rules of the blocks.
 
-Delimiters are rows; nesting is a running sum; an opener's closer is the next delimiter of its level. No stack is kept.
+Delimiters are rows, or for the rules arrays of their document; nesting is a running sum; an opener's closer is the next delimiter
+of its level. No stack is kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.functions.places import match_places
+from foliant.functions.places import match_places, once, running_totals
 
 DELIMITER = r"(?s)<!--\s+/?wp:[a-z][a-z0-9_/-]*(?:\s+\{(?:(?!-->).)*+)?\s*/?-->"
+#: Blocks with house rules.
+RULED = ("paragraph", "heading", "details", "list", "table", "quote")
 _PARTS = r"(?s)^<!--\s+(/?)wp:([a-z][a-z0-9_/-]*)(?:\s+(\{(?:(?!-->).)*?\}))?\s*(/?)-->$"
 
 
@@ -35,22 +38,25 @@ def block_bodies(docs: DataFrame, comments: DataFrame, column: str = "markup") -
     return matched.join(docs.select("id", F.col(column).alias("_markup")), "id").select("id", "name", "attrs", "level", F.expr("substring(_markup, end + 1, next_start - end)").alias("body"))
 
 
-def problems(docs: DataFrame, column: str = "markup") -> DataFrame:
-    """id, problem: one row for each broken rule of each document; none for a valid one."""
-    comments = block_comments(docs, column)
-    levels = _levels(comments)
-    opener = F.col("closing") == F.lit(False)
-    broken = F.when(opener & F.coalesce(~F.col("next_closing"), F.lit(True)), F.concat(F.lit("unclosed "), "name")).when(opener & (F.col("name") != F.col("next_name")), F.concat(F.lit("crossed "), "name")).when(F.col("closing") & F.coalesce("before", F.lit(True)), F.concat(F.lit("unopened "), "name"))
-    balance = levels.select("id", broken.alias("problem"))
-    bad_json = comments.where((F.col("attrs") != "") & F.try_parse_json("attrs").isNull()).select("id", F.concat(F.lit("bad JSON in "), "name").alias("problem"))
-    left = docs.where(F.col(column).rlike(r"\[/?et_pb_[a-z0-9_]+[\]/\s]")).select("id", F.lit("residual shortcode").alias("problem"))
-    bodies = block_bodies(docs, comments, column)
-    body = F.trim(F.regexp_replace("body", r"^\s+|\s+$", ""))
-    align = F.coalesce(F.get_json_object("attrs", "$.align"), F.get_json_object("attrs", "$.textAlign"), F.lit(""))
-    classed = F.regexp_extract(F.regexp_extract("body", r"<(?:p|h[1-6])\b[^>]*>", 0), r"has-text-align-(left|center|right)", 1)
-    level = F.coalesce(F.get_json_object("attrs", "$.level"), F.lit("2"))
-    attr = lambda name: F.get_json_object("attrs", f"$.{name}")
+def _paired(comments: Column) -> Column:
+    """Of a document's delimiters those that open or close, with their level, in the order of level and place: what follows one in
+    the array is the next of its level, if it has the same."""
+
+    def levelled(ends: Column) -> Column:
+        totals = running_totals(F.transform(ends, lambda c: F.when(c["closing"], -1).otherwise(1)))
+        return F.array_sort(F.zip_with(ends, totals, lambda c, n: F.struct((n + c["closing"].cast("int")).alias("level"), c["start"].alias("at"), c.alias("c"))))
+
+    return once(F.filter(comments, lambda c: ~c["self_closing"]), levelled)
+
+
+def _rule(c: Column, body: Column) -> Column:
+    """The house rule that a block breaks whose opener is c, or null."""
+    attr = lambda name: F.get_json_object(c["attrs"], f"$.{name}")
     set_ = lambda name: F.coalesce(attr(name) == "true", F.lit(False))
+    align = F.coalesce(attr("align"), attr("textAlign"), F.lit(""))
+    classed = F.regexp_extract(F.regexp_extract(body, r"<(?:p|h[1-6])\b[^>]*>", 0), r"has-text-align-(left|center|right)", 1)
+    level = F.coalesce(attr("level"), F.lit("2"))
+    body = F.trim(F.regexp_replace(body, r"^\s+|\s+$", ""))
     rule = {
         "paragraph": F.when(body.rlike(r"(?is)<p[\s>].*<p[\s>]"), "paragraph holds several p elements").when((body != "") & ~body.rlike(r"(?s)^<p\b[^>]*>.*</p>$"), "paragraph is no p element").when(align != classed, "alignment class and attribute differ"),
         "heading": F.when(~body.rlike(r"(?s)^<(h[1-6])\b[^>]*>.*</\1>$"), "heading is no h element").when(F.regexp_extract(body, r"^<h([1-6])", 1) != level, "heading level differs").when(align != classed, "alignment class and attribute differ"),
@@ -61,7 +67,36 @@ def problems(docs: DataFrame, column: str = "markup") -> DataFrame:
     }
     ruled = F.lit(None).cast("string")
     for name, broken_rule in rule.items():
-        ruled = F.when(F.col("name") == name, broken_rule).otherwise(ruled)
-    rules = bodies.select("id", ruled.alias("problem"))
-    foreign = F.when(F.col("name").isin("form", "form-input", "form-submit-button"), F.concat("name", F.lit(" is no block of the host"))).when((F.col("name") == "navigation") & attr("menuId").isNotNull(), "navigation has no menuId")
-    return balance.unionByName(bad_json).unionByName(left).unionByName(rules).unionByName(comments.where("not closing").select("id", foreign.alias("problem"))).where("problem is not null")
+        ruled = F.when(c["name"] == name, broken_rule).otherwise(ruled)
+    return ruled
+
+
+def _foreign(c: Column) -> Column:
+    ours = F.when(c["name"].isin("form", "form-input", "form-submit-button"), F.concat(c["name"], F.lit(" is no block of the host")))
+    return F.when(~c["closing"], ours.when((c["name"] == "navigation") & F.get_json_object(c["attrs"], "$.menuId").isNotNull(), "navigation has no menuId"))
+
+
+def problems(docs: DataFrame, column: str = "markup") -> DataFrame:
+    """id, problem: one row for each broken rule of each document; none for a valid one. Delimiters, levels and bodies are arrays of
+    the document's own row, so `docs` is read once and nothing is moved."""
+    part = lambda m, i: F.regexp_extract(m["found"], _PARTS, i)
+    text = F.coalesce(column, F.lit(""))
+    comments = F.transform(match_places(text, DELIMITER), lambda m: F.struct(part(m, 2).alias("name"), part(m, 3).alias("attrs"), (part(m, 1) == "/").alias("closing"), (part(m, 4) == "/").alias("self_closing"), m["start"].alias("start"), m["end"].alias("end")))
+
+    def of_pair(x: Column, before: Column, after: Column) -> Column:
+        c, following = x["c"], F.when(after["level"] == x["level"], after["c"])
+        unopened = c["closing"] & F.coalesce(F.when(before["level"] == x["level"], before["c"]["closing"]), F.lit(True))
+        unclosed, name = F.coalesce(~following["closing"], F.lit(True)), lambda said: F.concat(F.lit(said), c["name"])
+        balance = F.when(c["closing"], F.when(unopened, name("unopened "))).when(unclosed, name("unclosed ")).when(c["name"] != following["name"], name("crossed "))
+        closed = ~c["closing"] & following["closing"] & (c["name"] == following["name"]) & c["name"].isin(*RULED)
+        rule = F.when(closed, once(F.substring(text, c["end"] + 1, following["start"] - c["end"]), lambda body: _rule(c, body)))
+        return F.array(balance, rule)
+
+    def of_all(found: Column) -> Column:
+        pairs = once(_paired(found), lambda p: F.flatten(F.transform(p, lambda x, i: of_pair(x, F.get(p, i - 1), F.get(p, i + 1)))))
+        bad_json = F.transform(found, lambda c: F.when((c["attrs"] != "") & F.try_parse_json(c["attrs"]).isNull(), F.concat(F.lit("bad JSON in "), c["name"])))
+        return F.concat(pairs, bad_json, F.transform(found, _foreign))
+
+    residual = F.when(F.col(column).rlike(r"\[/?et_pb_[a-z0-9_]+[\]/\s]"), "residual shortcode")
+    rows = docs.select("id", F.explode(F.concat(once(comments, of_all), F.array(residual))).alias("problem"))
+    return rows.where("problem is not null")

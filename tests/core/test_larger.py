@@ -7,7 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from foliant.operators import anonymize
+from foliant.operators import anonymize, validate
 from foliant.plans.registry import ORACLE_SQL, QUERIES
 
 from .test_queries import plain
@@ -39,3 +39,12 @@ def test_query_is_its_sql_with_many_pages(spark, many_pages, name):
 def test_names_before_values_in_text_are_words(spark):
     docs = spark.createDataFrame([(1, 'token = "abc" x'), (2, '[et_pb_text token="abc"]x[/et_pb_text]')], "id long, post_content string")
     assert [tuple(r) for r in anonymize.personal_tokens(docs).collect()] == [(1, "word", "token")]
+
+
+def test_rules_of_markup_move_nothing(spark):
+    """Delimiters, levels and bodies are found in their document's own row: once, without a shuffle."""
+    rows = spark.createDataFrame([(1, "<!-- wp:group --><!-- wp:quote --><p>x</p><!-- /wp:quote --><!-- wp:list -->"), (2, None)], "id long, markup string")
+    found = validate.problems(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Scan") == 1
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "quote is no blockquote element"), (1, "unclosed group"), (1, "unclosed list")]
