@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import batches as small
 from foliant.functions import places, sanitize
 from foliant.functions.shortcodes import TEXT
 from foliant.operators.inventory import SHORTCODE
@@ -59,7 +60,7 @@ def tag_spans(docs: DataFrame) -> DataFrame:
     def each(batches):
         from foliant.functions import shortcodes
 
-        for b in batches:
+        for b in small.parts(batches, 1):
             rows = [(i, k, *s) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, s in enumerate(shortcodes.tag_spans(text))]
             columns = list(zip(*rows, strict=True)) or [()] * 8
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_(), pa.bool_())
@@ -81,7 +82,7 @@ def node_table(docs: DataFrame, loose: bool = False, timed: bool = False) -> Dat
         kinds = [pa.int64(), *[pa.int32()] * 4, pa.string(), pair, pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
         names = [x.split()[0] for x in NODES.split(", ")]
         rows_of = lambda pairs: [{"name": k, "value": v} for k, v in pairs]
-        for b in batches:
+        for b in small.parts(batches, 1):
             found, taken = [], []
             for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 began = time.perf_counter()
@@ -108,6 +109,7 @@ def node_table(docs: DataFrame, loose: bool = False, timed: bool = False) -> Dat
 
 
 def _bodies(docs: DataFrame) -> DataFrame:
+    small.bound(docs.sparkSession)
     return docs.select(F.col("id").cast("long"), "post_content").where(F.contains("post_content", F.lit("[")) & F.col("post_content").rlike(r"\[/?et_pb_"))
 
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pathlib import Path
 
 import duckdb
+import pyarrow as pa
 import pytest
 
+from foliant.functions import batches
 from foliant.operators import anonymize, validate
 from foliant.plans.registry import ORACLE_SQL, QUERIES
 
@@ -48,3 +50,13 @@ def test_rules_of_markup_move_nothing(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("Scan") == 1
     assert sorted(tuple(r) for r in found.collect()) == [(1, "quote is no blockquote element"), (1, "unclosed group"), (1, "unclosed list")]
+
+
+def test_python_gets_bounded_parts_of_a_batch():
+    """However many rows a batch has: parts of few characters and rows, a long text alone, every row once and in order."""
+    texts = ["x" * (1000 + 37 * (k % 50)) for k in range(4000)] + [None] * 1200 + ["y" * (batches.PART_BYTES + 1), "", "z"]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    found = list(batches.parts(iter([rows, rows.slice(0, 0)]), 1))
+    assert [i for b in found for i in b.column(0).to_pylist()] == list(range(len(texts)))
+    sizes = [sum(len(x or "") for x in b.column(1).to_pylist()) for b in found]
+    assert all(b.num_rows <= batches.PART_ROWS and (n <= batches.PART_BYTES or b.num_rows == 1) for b, n in zip(found, sizes, strict=True))
