@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
 
     def cut(batches):
         tokenizer, end = word_tokenizer(tokenizer_path), end_id.to_bytes(4, "little")
-        for b in slices(batches):
+        for b in slices(batches, 2_000):  # the tokenizer bounds what it cuts at once
             rows: list[tuple] = []
             for doc, ids in zip(b.column(0).to_pylist(), tokenizer.ids(b.column(1).to_pylist()), strict=True):
                 data = ids + end

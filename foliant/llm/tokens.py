@@ -21,10 +21,10 @@ import pyarrow.compute as pc
 
 #: Characters below this have their lower case below 0x2B0, up to where the classes go.
 LIMIT = 0x230
-#: Words kept in a worker's memo; beyond, it starts anew.
-MEMO_WORDS = 200_000
+#: Words of a generation of a worker's memo: with so many, a new one begins, and the last but one is dropped.
+MEMO_WORDS = 300_000
 #: Characters of text that are cut and looked up together.
-TOGETHER = 1_000_000
+TOGETHER = 4_000_000
 _LETTERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"
@@ -50,6 +50,7 @@ class WordTokenizer:
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.words, self.lower = self._cutter(spec)
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         if self.lower:
             vocabulary = self.library.get_vocab(with_added_tokens=True)
             self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -70,10 +71,16 @@ class WordTokenizer:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _memorize(self, words: set[str]) -> None:
-        """Puts the words that the memo lacks through the library."""
+        """Puts the words that the memo lacks through the library, but for those of the generation before, which move on: words that
+        are met again and again are never encoded again."""
         if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        new = list(words.difference(self.memo))
+            self.memo, self.older = {}, self.memo
+        new = words.difference(self.memo)
+        if self.older:
+            met = new.intersection(self.older)
+            self.memo.update((w, self.older.pop(w)) for w in met)
+            new -= met
+        new = list(new)
         if not self.lower:
             self.memo.update(zip(new, self._whole(new), strict=True))
             return

@@ -141,3 +141,23 @@ def test_near_duplicates_of_the_tables(spark):
     members = Counter(roots.values())
     close = {i for p, j in share.items() if j >= 0.78 and roots[p[0]] == roots[p[1]] for i in p}
     assert all(members[r] == 1 or i in close or not sets[i] for i, r in roots.items())
+
+
+def test_words_that_are_met_again_are_not_encoded_again(monkeypatch):
+    """However many other words come between: a generation of the memo hands on what the next one meets. The ids are the library's."""
+    import numpy as np
+    import public_tokenizers
+
+    from foliant.llm import tokens
+
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 50)
+    tokenizer, sent = tokens.WordTokenizer(public_tokenizers.path("word_bpe_49k.json")), []
+    whole = tokenizer._whole
+    monkeypatch.setattr(tokenizer, "_whole", lambda texts: sent.extend(texts) or whole(texts))
+    texts = [" ".join(["always", *(f"{k}{a}{b}" for a in "abcdefg" for b in "hijklm")]) for k in "pqrstuvw"]
+    got = [tokenizer.ids([x])[0] for x in texts[:1]]
+    assert any("always" in x for x in sent)
+    sent.clear()
+    got += [tokenizer.ids([x])[0] for x in texts[1:]]
+    assert len(sent) >= 7 and not any("always" in x for x in sent)
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tokenizer.library.encode_batch_fast(texts, add_special_tokens=False)]
