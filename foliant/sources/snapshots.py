@@ -7,8 +7,8 @@ publisher can create.
     root/versions/<number>    names the commit; created without overwriting, which is the compare-and-swap
 
 A publisher joins its plan to the version that it reads (so what was edited meanwhile is refused row by row), rewrites only the
-files that hold a row to be written, and creates the next version's pointer. If another was faster, its own files go and
-`Lost` is raised; it may read again and retry. Readers hold a version's files, whatever is published meanwhile. The folder's
+files that hold a row to be written, and creates the next version's pointer. If another was faster, its own files go (none are
+rewritten where that shows before) and `Lost` is raised; it may read again and retry. Readers hold a version's files, whatever is published meanwhile. The folder's
 file system must refuse to create a file that is there (HDFS does; of object stores, those with conditional puts).
 """
 
@@ -109,8 +109,10 @@ def publish(plan: DataFrame, root: str, version: int | None = None) -> DataFrame
         made = checked.where("outcome = 'written'").select(F.col("post_id").alias("_post"), F.col("markup").alias("_markup"))
         body = F.when(F.col("_post").isNotNull(), F.col("_markup")).otherwise(F.col("post_content"))
         new = old.join(made, F.col("id") == F.col("_post"), "left").withColumn("post_content", body).select(*[F.col(f"`{c}`") for c in old.columns])
-        new.write.parquet(f"{root}/data/{commit}")
         try:
+            if latest(spark, root) > version:  # lost already: no file is rewritten for nothing
+                raise Lost(f"version {version + 1} is there already")
+            new.write.parquet(f"{root}/data/{commit}")
             _commit(spark, root, version + 1, commit, sorted(set(names) - set(touched)))
         except Lost:
             for part in ("data", "manifests", "commits"):

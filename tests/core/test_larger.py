@@ -11,6 +11,7 @@ import pytest
 from foliant.functions import batches
 from foliant.operators import anonymize, validate
 from foliant.plans.registry import ORACLE_SQL, QUERIES
+from foliant.sources import snapshots
 
 from .test_queries import plain
 
@@ -65,3 +66,14 @@ def test_python_gets_bounded_parts_of_a_batch():
 def test_the_node_table_is_no_part_of_a_kept_one(spark):
     plan = QUERIES["node_table"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in plan and "blocks" not in plan and "MapInArrow" in plan
+
+
+def test_who_has_lost_already_rewrites_no_file(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/posts"
+    snapshots.create(spark.createDataFrame([(k, f"body {k}") for k in range(20)], "id long, post_content string"), root)
+    plan = snapshots.read(spark, root).selectExpr("id AS post_id", "'write' AS status", "md5(post_content) AS source_hash", "'new ' || post_content AS markup")
+    snapshots.publish(plan, root, 1)
+    monkeypatch.setattr(snapshots, "_commit", lambda *_: pytest.fail("its files were written"))
+    with pytest.raises(snapshots.Lost):
+        snapshots.publish(plan, root, 1)
+    assert len(list((tmp_path / "posts" / "data").iterdir())) == 2 == len(list((tmp_path / "posts" / "commits").iterdir())) + 1
