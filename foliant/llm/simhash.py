@@ -2,10 +2,10 @@
 
 Two uses share the parts. `link_fingerprints` links 64-bit fingerprints of three-word shingles at two or fewer
 differing bits, exactly. `near_duplicate_classes`, for the pipeline, groups texts whose sets of five-word shingles have
-a Jaccard similarity of 0.8 or more. Such texts differ in up to 15 bits of a hundred, so that blocks of SimHash bits that
-miss few of them (355 of 24 bits for one in a thousand) would bring together too many others; the blocks are minima of
-the same shingles instead, which agree as often as the sets do, whatever the edit. SimHash distances sift the pairs of
-a bucket, and links are confirmed on the sets themselves where the distance leaves a doubt.
+a Jaccard similarity of 0.8 or more. Such texts differ in up to 15 bits of a hundred, so that blocks of 24 fixed bits
+would have to be 355 to miss one in a thousand. Of many SimHash bits those with the largest majorities seldom differ,
+so a block is the surest bit of 512 and that of 512 others: which they are, and whether they are set. Hamming distances
+sift the members of a bucket and the pairs, and links are confirmed on the sets themselves where the distance leaves a doubt.
 Documents with one fingerprint are one class throughout, so copies are never paired.
 """
 
@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, slices, whole_text, without
@@ -35,9 +35,13 @@ BLOCKS, CHOSEN, BLOCK_BITS, DISTANCE = 4, 2, 16, 2
 BUCKET = 48
 
 FIVE_BITS = 2_048
-#: A block is ROWS minima, each equal with a probability of the Jaccard similarity: a pair at 0.8 shares none of the
-#: WAYS blocks with (1 - 0.8 ** 5) ** 30 = 7e-6, one at 0.85 with 5e-8.
-ROWS, WAYS = 5, 30
+#: A block is the surest of GROUP SimHash bits, twice. A simulation of normal sums has sets of one size at 0.8 (a cosine of
+#: 8 / 9) agree in one with a probability of 0.349, in the block with 0.122: such a pair shares none of the WAYS blocks with
+#: (1 - 0.122) ** 80 = 3e-5, one at 0.85 with 2e-7. Sets without a shingle in common share a block of 20 bits by chance.
+GROUP, WAYS = 512, 80
+#: Members of a bucket of up to SIEVED stay if another's first 128 bits differ from theirs in at most SIEVE: at 0.8 some 19
+#: do, with a deviation of 4.1; of texts that have nothing in common 64, with one of 5.7.
+SIEVE, SIEVED = 40, 128
 #: Two texts are near at a Jaccard similarity of NEAR[0] / NEAR[1].
 NEAR = (4, 5)
 #: Hamming distances of 2,048 bits tell similarities apart to about 0.02 a standard deviation: pairs that DEVIATIONS of them
@@ -141,8 +145,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_TURNS = (_mix(np.arange(1, ROWS * WAYS + 1, dtype=np.uint64) * _GAMMA) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_WAYS = np.arange(1, WAYS + 1, dtype=np.uint64) * _GAMMA
+#: A Hadamard matrix: with signs before it, it turns the sums of SIDE * SIDE hyperplanes into those of as many others.
+SIDE = 32
+_TURN = np.array([[(-1) ** (i & j).bit_count() for j in range(SIDE)] for i in range(SIDE)], np.float32)
+
+
+def _signs(turns: int, width: int) -> np.ndarray:
+    """Fixed signs, the same in every process."""
+    drawn = _mix(np.arange(1, turns * width // 64 + 1, dtype=np.uint64) * _GAMMA)
+    return (1 - 2.0 * np.unpackbits(drawn.view(np.uint8), bitorder="little")).astype(np.float32).reshape(turns, width)
+
+
+_WAY_SIGNS = _signs(FIVE_BITS // SIDE**2 + WAYS, SIDE**2)
 
 
 def shingle_set(text: str, words: int = 5) -> np.ndarray:
@@ -159,41 +173,60 @@ def shingle_set(text: str, words: int = 5) -> np.ndarray:
     return np.unique(shingles)
 
 
-def wide_fingerprint(shingles: np.ndarray, bits: int = FIVE_BITS) -> bytes:
-    """SimHash of a set, each shingle once."""
+def _turned(sums: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Rows of SIDE * SIDE sums in other hyperplanes. All numbers are integers below 2^24, so the result is exact."""
+    for _ in range(2):
+        sums = (sums * signs).reshape(-1, SIDE) @ _TURN
+        sums, signs = sums.reshape(-1, SIDE, SIDE).transpose(0, 2, 1).reshape(-1, SIDE**2), np.float32(1)
+    return sums
+
+
+def plane_sums(shingles: np.ndarray, bits: int = FIVE_BITS) -> np.ndarray:
+    """What SimHash takes the signs of: for each of `bits` hyperplanes the sum of the set's shingles, each +1 or -1; in rows."""
     lanes = np.arange(1, bits // 64 + 1, dtype=np.uint64) * _GAMMA
     counts = np.zeros(bits, np.int64)
     for i in range(0, len(shingles), 2 * 255):
         counts += bit_counts(_mix(shingles[i : i + 2 * 255, None] + lanes))
-    return majority(counts, len(shingles))
+    sums = 2.0 * counts - len(shingles)
+    most = np.abs(sums).max()
+    return (np.rint(sums * (2**14 / most)) if most > 2**14 else sums).astype(np.float32).reshape(-1, SIDE**2)
+
+
+def wide_fingerprint(sums: np.ndarray) -> bytes:
+    """SimHash of a set, each shingle once, by its sums. They are turned first: sums of a few shingles are often zero, turned
+    ones are not, so that the bits of small sets follow the angle too."""
+    return np.packbits(_turned(sums, _WAY_SIGNS[: len(sums)]) > 0, bitorder="little").tobytes()
 
 
-def min_blocks(shingles: np.ndarray) -> np.ndarray:
-    """WAYS block keys of a set: a hash of the way and of its ROWS minima."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    least = np.full(ROWS * WAYS, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), CHUNK // 16):
-        np.minimum(least, (low[i : i + CHUNK // 16, None] * _TURNS).min(axis=0), out=least)
-    keys = _WAYS
-    for row in least.reshape(ROWS, WAYS).astype(np.uint64):
-        keys = _mix(keys + row)
-    return keys
+def bit_blocks(sums: np.ndarray) -> np.ndarray:
+    """WAYS block keys of a set by its SimHash sums: the way, and of each of two groups of GROUP bits the one with the largest
+    majority and its value."""
+    signs = _WAY_SIGNS[len(sums) :]
+    turned = _turned(sums[np.arange(WAYS) % len(sums)], signs).reshape(2 * WAYS, GROUP)
+    surest = np.abs(turned).argmax(axis=1)
+    found = (2 * surest + (turned[np.arange(2 * WAYS), surest] > 0)).reshape(WAYS, 2)
+    return (np.arange(WAYS) * 2 * GROUP + found[:, 0]) * 2 * GROUP + found[:, 1]
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, content (SHA-256 of the text), and of its five-word shingles: how many, their SimHash, their blocks, and the
-    lower four bytes of each block in one string, `keys`."""
+    """doc_id, content (SHA-256 of the text), and of its five-word shingles: how many, their SimHash, its first 128 bits as low
+    and high, and their blocks, four bytes each, in one string, `keys`."""
 
     def each(batches):
         for b in slices(batches):
             sets = [shingle_set(x.as_py()) for x in b.column(2)]
-            fives = pa.array(map(wide_fingerprint, sets), pa.binary())
-            found = [min_blocks(x) for x in sets]
-            blocks, keys = pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, sets), pa.int64()), fives, blocks, keys], names=["doc_id", "content", "size", "fives", "blocks", "keys"])
+            prints, found = [], []
+            for x in sets:
+                sums = plane_sums(x)
+                prints.append(wide_fingerprint(sums))
+                found.append(bit_blocks(sums))
+            low, high = (pa.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in prints], pa.int64()) for k in (0, 8))
+            keys = pa.array([x.astype(np.uint32).tobytes() for x in found], pa.binary())
+            columns = {"doc_id": b.column(0), "content": b.column(1), "size": pa.array(map(len, sets), pa.int64()), "fives": pa.array(prints, pa.binary())}
+            yield pa.RecordBatch.from_pydict({**columns, "low": low, "high": high, "keys": keys})
 
     rows = docs.select(F.col("doc_id").cast("long"), F.sha2(whole_text(), 256).alias("content"), whole_text().alias("text"))
-    return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, blocks array<long>, keys binary")
+    return rows.mapInArrow(each, "doc_id long, content string, size long, fives binary, low long, high long, keys binary")
 
 
 def verdicts(distance: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,6 +297,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where("sure").select("a", "b").unionByName(held.select("a", "b", "one", "two").mapInArrow(each, "a long, b long"))
 
 
+def _buckets(classes: DataFrame) -> DataFrame:
+    """block, way, cid, size, n of the members of buckets that are to be looked at: n members of a block that more than one has.
+    Of small buckets only those stay that another member is close to by the first bits of the fingerprint, so what meets by
+    chance goes no further; large ones stay whole."""
+    keyed = classes.select("cid", "size", "low", "high", "keys", F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way"))
+    keyed = keyed.select("cid", "size", "low", "high", "way", F.xxhash64(F.expr("substring(keys, 4 * way + 1, 4)")).alias("block"))
+    met = materialize(keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("block"))).where("n > 1"), "near-blocks")
+    lists = met.where(F.col("n") <= SIEVED).groupBy("block", "way").agg(F.collect_list(F.struct("cid", "size", "low", "high")).alias("members"))
+    apart = lambda a, b: F.bit_count(a["low"].bitwiseXOR(b["low"])) + F.bit_count(a["high"].bitwiseXOR(b["high"]))
+    close = lists.withColumn("members", F.filter("members", lambda a: F.exists("members", lambda b: (a["cid"] != b["cid"]) & (apart(a, b) <= SIEVE))))
+    close = close.select("block", "way", F.explode("members").alias("m"), F.size("members").cast("long").alias("n"))
+    columns = ["block", "way", "cid", "size", "n"]
+    return materialize(close.select("block", "way", "m.cid", "m.size", "n").unionByName(met.where(F.col("n") > SIEVED).select(*columns)), "near-buckets")
+
+
 def _in_parts(held: DataFrame, parts: DataFrame | None) -> DataFrame:
     """The members of buckets (cid and more) with part: the component of `parts`, or the member itself."""
     if parts is None:
@@ -359,11 +407,9 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     a bucket that stay in different parts are then compared with each other, within tasks that return links, not pairs.
     """
     prints = materialize(wide_fingerprints(docs), "wide-prints")
-    classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), F.first("size").alias("size"), F.first("blocks").alias("blocks"), F.first("keys").alias("keys"))
-    classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "blocks", "keys").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
-    keyed = classes.select("cid", "size", F.posexplode("blocks").alias("way", "block"))
-    shared = keyed.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    held = materialize(keyed.join(shared, "block").select("block", "way", "cid", "size", "n"), "near-buckets")
+    classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), *[F.first(k).alias(k) for k in ("size", "low", "high", "keys")])
+    classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "low", "high", "keys").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
+    held = _buckets(classes)
     held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n")
     sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "doc_id", "content")), "shingle-sets")
     links = tried = parts = None

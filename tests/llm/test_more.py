@@ -161,3 +161,47 @@ def test_words_that_are_met_again_are_not_encoded_again(monkeypatch):
     got += [tokenizer.ids([x])[0] for x in texts[1:]]
     assert len(sent) >= 7 and not any("always" in x for x in sent)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tokenizer.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_near_duplicates_are_found_by_blocks_of_simhash_bits():
+    """A block is the surest bit, with its value, of two groups of SimHash bits; near sets share one, others none."""
+    import numpy as np
+
+    from foliant.llm import simhash
+
+    rng = np.random.default_rng(5)
+    matrix = np.kron(simhash._TURN, simhash._TURN).astype(np.int64)
+    assert (matrix @ matrix.T == simhash.SIDE**2 * np.eye(simhash.SIDE**2)).all()
+
+    def blocks(sums):
+        planes = [matrix @ (sums[k % len(sums)] * s).astype(np.int64) for k, s in enumerate(simhash._WAY_SIGNS[len(sums) :])]
+        halves = [(v[: simhash.GROUP], v[simhash.GROUP :]) for v in planes]
+        return [tuple((int(np.abs(h).argmax()), bool(h[np.abs(h).argmax()] > 0)) for h in pair) for pair in halves]
+
+    shared, chance = [], []
+    for n in (5, 6, 9, 18, 90, 900):
+        for _ in range(60):
+            drawn = rng.integers(0, 1 << 63, 2 * n).astype(np.uint64)
+            one, two = drawn[:n], np.concatenate([drawn[: -(-8 * n // 9)], drawn[n : n + n // 9]])
+            assert 10 * len(np.intersect1d(one, two)) >= 8 * len(np.union1d(one, two))
+            a, b, other = (simhash.plane_sums(x) for x in (one, two, drawn[n:]))
+            shared.append(int((simhash.bit_blocks(a) == simhash.bit_blocks(b)).sum()))
+            chance.append(int((simhash.bit_blocks(a) == simhash.bit_blocks(other)).sum()))
+        exact = [((k * 1024 + 2 * x + p) * 1024) + 2 * y + q for k, ((x, p), (y, q)) in enumerate(blocks(a))]
+        assert simhash.bit_blocks(a).tolist() == exact
+        signs = np.concatenate([matrix @ (v * s).astype(np.int64) > 0 for v, s in zip(a, simhash._WAY_SIGNS, strict=False)])
+        assert simhash.wide_fingerprint(a) == np.packbits(signs, bitorder="little").tobytes()
+    assert min(shared) > 0 and np.mean(chance) < 0.01
+
+
+def test_members_that_meet_by_chance_are_sifted_by_their_first_bits(spark, monkeypatch):
+    from foliant.llm import simhash
+
+    near, far = (1 << 20) - 1, -1  # 20 and 64 bits from zero
+    monkeypatch.setattr(simhash, "WAYS", 2)
+    key = lambda *blocks: b"".join(x.to_bytes(4, "little") for x in blocks)
+    rows = [(1, 9, 0, 0, key(5, 6)), (2, 9, near, near, key(5, 7)), (3, 9, far, far, key(5, 6)), (4, 9, far, far, key(8, 7))]
+    classes = spark.createDataFrame(rows, "cid long, size long, low long, high long, keys binary")
+    assert sorted((r["way"], r["cid"], r["n"]) for r in simhash._buckets(classes).collect()) == [(0, 1, 2), (0, 2, 2)]
+    monkeypatch.setattr(simhash, "SIEVED", 2)
+    assert sorted((r["way"], r["cid"], r["n"]) for r in simhash._buckets(classes).collect()) == [(0, 1, 3), (0, 2, 3), (0, 3, 3)]
