@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, maybe_in, slices, whole_text, without
-from .graph import components
-from .simhash import _dealt, _in_parts, _mix, shingle_set
+from .graph import stars
+from .simhash import _apart_still, _dealt, _mix, shingle_set
 
 WORDS = 3
 #: Near: NEAR[1] * intersection >= NEAR[0] * union.
@@ -249,17 +249,10 @@ def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
     return met.groupBy("cid").agg(F.min(F.struct("order", "a", "b")).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
-def _apart_still(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets that hold several parts, with their part."""
-    now = _in_parts(members.drop("part"), parts)
-    several = now.groupBy("block").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("block")
-    return now.join(several, "block", "left_semi")
-
-
 def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """node, component of the classes (cid, doc_id, content, size, gist) that are linked; `held` are members of shared buckets. Only
-    texts of classes that gists don't tell apart from another are read again and moved; buckets that have become one part
-    are left behind."""
+    """node, component of the classes (cid, doc_id, content, size, gist) that are linked to one with a smaller cid; `held` are
+    members of shared buckets. Only texts of classes that gists don't tell apart from another are read again and moved;
+    buckets that have become one part are left behind."""
     if held.isEmpty():
         return None
     held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n").withColumn("part", F.col("cid"))
@@ -273,7 +266,7 @@ def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: Da
         sets = _with_sets(docs, classes, sifted.select(F.explode(F.array("a", "b")).alias("cid")), sets)
         found = materialize(_verified(sifted, sets), "gram-links")
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
-        parts = components(links)
+        parts = stars(links)
         held = materialize(_apart_still(held, parts), "gram-members")
     # members that stay apart: most by their gists, of the others most by their sketches, the rest by counting
     doubtful = materialize(_apart(_dealt(held), classes.select("cid", "size", F.col("gist").alias("bits"))), "gram-doubtful")
@@ -282,7 +275,7 @@ def _components(docs: DataFrame, prints: DataFrame, held: DataFrame, classes: Da
     sketches = materialize(_sketches(prints, doubtful.select("cid").distinct()), "gram-sketches")
     doubtful = materialize(_apart(doubtful, sketches), "gram-doubtful")
     more = _apart(doubtful, sketches, _with_sets(docs, classes, doubtful.select("cid"), sets))
-    return components(more if links is None else links.unionByName(more))
+    return stars(more if links is None else links.unionByName(more))
 
 
 def join_near(docs: DataFrame) -> DataFrame:

@@ -236,8 +236,9 @@ def fit_outliers(stats: DataFrame, share: float = 0.75) -> tuple[DataFrame, Data
     def by_level(rows: DataFrame, values: list[str]) -> DataFrame:
         """The groups (grp, n of each level as n0 to n2), with `values` of `rows` (grp) at each level."""
         out = sizes.select("grp", *[F.col("levels")[k].alias(f"level{k}") for k in range(3)])
+        rows = materialize(rows.join(large, "grp"), "quality-levels")  # read three times
         for k in range(3):
-            at = rows.join(large, "grp").select(F.col("grp").alias(f"level{k}"), F.col("n").alias(f"n{k}"), *[F.col(v).alias(f"{v}{k}") for v in values])
+            at = rows.select(F.col("grp").alias(f"level{k}"), F.col("n").alias(f"n{k}"), *[F.col(v).alias(f"{v}{k}") for v in values])
             out = join_small(out, at, f"level{k}", "inner", groups)
         return out
 

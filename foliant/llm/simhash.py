@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_in, slices, whole_text, without
-from .graph import components
+from .common import drop_tables, materialize, maybe_in, slices, tables_made, whole_text, without
+from .graph import stars
 
 SEED = 42
 #: For each byte value, its bits as eight counters of eight bits each.
@@ -129,7 +129,7 @@ def link_fingerprints(prints: DataFrame) -> DataFrame:
     prints = materialize(prints.select("doc_id", "fp"), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     links, crowded = _by_blocks(classes)
-    found = components(links.unionByName(_by_midpoints(crowded)))
+    found = stars(links.unionByName(_by_midpoints(crowded)))
     named = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(roots, "root").select("fp", "component_id")
@@ -312,18 +312,23 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return materialize(close.select("block", "way", "m.cid", "m.size", "n").unionByName(met.where(F.col("n") > SIEVED).select(*columns)), "near-buckets")
 
 
-def _in_parts(held: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _in_parts(held: DataFrame, parts: DataFrame) -> DataFrame:
     """The members of buckets (cid and more) with part: the component of `parts`, or the member itself."""
-    if parts is None:
-        return held.withColumn("part", F.col("cid"))
     return held.join(parts, held["cid"] == parts["node"], "left").withColumn("part", F.coalesce("component", "cid")).drop("node", "component")
 
 
+def _apart_still(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of buckets that hold several parts, with their part."""
+    now = _in_parts(members.drop("part"), parts)
+    several = now.groupBy("block").agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first <> last").select("block")
+    return now.join(several, "block", "left_semi")
+
+
 def _star_pairs(members: DataFrame, tried: DataFrame | None) -> DataFrame:
-    """At most one new pair a < b of each member (block, cid, weight, part): with the centre of one of its buckets, which is
-    another part. The centre of a bucket has the most company over all its buckets: of edited copies, the least edited."""
-    centres = members.groupBy("block").agg(F.min(F.struct((-F.col("weight")).alias("order"), "cid", "part")).alias("centre"), F.min("part").alias("first"), F.max("part").alias("last"))
-    met = members.join(centres.where("first <> last").select("block", "centre"), "block").where("part <> centre.part")
+    """At most one new pair a < b of each member (block, cid, weight, part): with the centre of one of its buckets, where
+    that is of another part. The centre of a bucket has the most company over all its buckets: of edited copies, the least edited."""
+    centres = members.groupBy("block").agg(F.min(F.struct((-F.col("weight")).alias("order"), "cid", "part")).alias("centre"))
+    met = members.select("block", "cid", "part").join(centres, "block").where("part <> centre.part")
     met = met.select("cid", "centre.order", F.least("cid", "centre.cid").alias("a"), F.greatest("cid", "centre.cid").alias("b")).distinct()
     if tried is not None:
         met = met.join(tried, ["a", "b"], "left_anti")
@@ -409,20 +414,27 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     prints = materialize(wide_fingerprints(docs), "wide-prints")
     classes = prints.groupBy("fives").agg(F.min(F.struct("content", "doc_id")).alias("first"), *[F.first(k).alias(k) for k in ("size", "low", "high", "keys")])
     classes = materialize(classes.select("fives", "first.content", "first.doc_id", "size", "low", "high", "keys").withColumn("cid", F.monotonically_increasing_id()), "wide-classes")
+    spark, before = docs.sparkSession, len(tables_made(docs.sparkSession))
     held = _buckets(classes)
-    held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n")
+    held = held.join(held.groupBy("cid").agg(F.sum("n").alias("weight")), "cid").drop("n").withColumn("part", F.col("cid"))
+    held = materialize(held, "near-members")
+    *done, members = tables_made(spark)[before:]
+    drop_tables(spark, done)
     sets = materialize(_shingle_sets(docs, classes.join(held, "cid", "left_semi").select("cid", "doc_id", "content")), "shingle-sets")
-    links = tried = parts = None
+    links = tried = None
     for _ in range(STAR_ROUNDS):
-        pairs = materialize(_star_pairs(_in_parts(held, parts), tried), "star-pairs")
+        pairs = materialize(_star_pairs(held, tried), "star-pairs")
         if pairs.isEmpty():
             break
         found = materialize(_confirmed(materialize(_sifted(pairs, classes), "star-sifted"), sets), "star-links")
         links, tried = (found, pairs) if links is None else (links.unionByName(found), tried.unionByName(pairs))
-        parts = components(links)
+        # written once, so that no plan to come holds these joins; those before it have served
+        held = materialize(_apart_still(held, stars(links)), "near-members")
+        drop_tables(spark, [members])
+        members = tables_made(spark)[-1]
     if links is not None:
-        doubtful = materialize(_within_buckets(_dealt(_in_parts(held, parts)), classes, None), "doubtful-members")
-        parts = components(links.unionByName(_within_buckets(doubtful, classes, sets)))
+        doubtful = materialize(_within_buckets(_dealt(held), classes, None), "doubtful-members")
+        parts = stars(links.unionByName(_within_buckets(doubtful, classes, sets)))
         roots = classes.join(parts, classes["cid"] == parts["node"], "left").select("fives", F.coalesce("component", "cid").alias("root"))
     else:
         roots = classes.select("fives", F.col("cid").alias("root"))

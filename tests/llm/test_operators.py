@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from foliant.llm import license_scan, media, mixing, packing, pii, quality, sharding, simhash, token_count, tokens, url_filter
+from foliant.llm import common, graph, license_scan, media, mixing, packing, pii, quality, sharding, simhash, token_count, tokens, url_filter
 from foliant.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -451,6 +451,34 @@ def test_near_duplicates_across_stars(spark, monkeypatch):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(table).collect()} == set(root)
 
 
+def test_stars_settle_in_one_round(spark):
+    """Links of one star are settled as they are: what the driver plans and keeps grows with the rounds."""
+    links = spark.createDataFrame([(k, 0) for k in range(1, 50)] + [(7, 7), (0, 3)], "a long, b long")
+    before = len(common.tables_made(spark))
+    assert {tuple(r) for r in graph.stars(links).collect()} == {(k, 0) for k in range(1, 50)}
+    assert len(common.tables_made(spark)) == before + 1
+    chain = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(102, 101), (100, 101)], "a long, b long")
+    assert {tuple(r) for r in graph.components(chain).collect()} == {(k, 0) for k in range(61)} | {(k, 100) for k in (100, 101, 102)}
+    assert graph.stars(links.where("a = b")).count() == 0
+
+
+def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
+    """The driver keeps each plan, again at each of its steps: none reads more than eight tables, in whatever round."""
+    read, write = {}, simhash.materialize
+
+    def counted(df, label):
+        read[label] = max(read.get(label, 0), len(re.findall(r"Relation |LogicalRDD", df._jdf.queryExecution().optimizedPlan().toString())))
+        return write(df, label)
+
+    for module in (simhash, graph):
+        monkeypatch.setattr(module, "materialize", counted)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(10 * g + i, " ".join([*words[20 * g : 20 * g + 120], *[f"x{g}y{i}z{k}" for k in range(4 * i)]])) for g in range(6) for i in range(6)]
+    simhash.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert "doubtful-members" in read
+    assert max(read.values()) <= 8, read
+
+
 def plain_pii(text):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
