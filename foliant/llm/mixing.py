@@ -61,18 +61,17 @@ def _cuts(rows: DataFrame, weights: list[int], most_epochs: int) -> tuple[DataFr
     same = F.col("source").eqNullSafe(F.col("_source"))
     # the last row of an epoch lies in the bucket before whose end the budget is spent, or in the last bucket
     starts = running_offsets(light.groupBy("source", "_bucket").agg(F.sum("_size").alias("sum")), ["source"], ["_bucket"], "sum", "_before")
-    last = join_small(starts, targets, same, "inner", sources).where(F.col("_before") <= F.col("_budget")).groupBy("_source").agg(F.max(F.struct("_bucket", "_before")).alias("at"))
-    last = last.select("_source", F.col("at._bucket").alias("_b"), F.col("at._before").alias("_before"))
+    last = join_small(starts, targets, same, "inner", sources).where(F.col("_before") <= F.col("_budget")).groupBy("_source", "_budget").agg(F.max(F.struct("_bucket", "_before")).alias("at"))
+    last = materialize(last.select("_source", "_budget", F.col("at._bucket").alias("_b"), F.col("at._before").alias("_before")), "mix-ends")
     there = join_small(light, last, same & (F.col("_bucket") == F.col("_b")), "inner", sources)
-    there = join_small(there.drop("_source", "_b"), targets, same, "inner", sources)
     order = Window.partitionBy("source").orderBy("_key")
     there = there.withColumn("_spent", F.col("_before") + F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
-    fits = there.where(2 * F.col("_spent") + F.col("_size") <= 2 * F.col("_budget"))
-    end = fits.groupBy("source", "_key").agg(F.count(F.lit(1)).alias("n")).groupBy("source").agg(F.max(F.struct("_key", "n")).alias("end"))
+    fits = 2 * F.col("_spent") + F.col("_size") <= 2 * F.col("_budget")
+    keys = there.groupBy("source", "_key").agg(F.count_if(fits).alias("n"))
+    end = keys.groupBy("source").agg(F.max(F.when(F.col("n") > 0, F.struct("_key", "n"))).alias("end"), F.min("_key").alias("_least"))
     # where no row of that bucket fits, all before it do: the cut lies at the bucket's least key, with none of its rows
-    least = there.groupBy("source").agg(F.min("_key").alias("_least")).join(end.withColumnRenamed("source", "_e"), F.col("source").eqNullSafe(F.col("_e")), "left")
-    cut = least.select(F.col("source").alias("_c"), F.coalesce(F.col("end._key"), F.col("_least")).alias("_cut_key"), F.coalesce(F.col("end.n"), F.lit(0)).alias("_equal_rows"))
-    return materialize(targets.join(cut, F.col("_source").eqNullSafe(F.col("_c")), "left").drop("_c", "_budget"), "mix-cuts"), sources
+    cut = end.select(F.col("source").alias("_c"), F.coalesce(F.col("end._key"), F.col("_least")).alias("_cut_key"), F.coalesce(F.col("end.n"), F.lit(0)).alias("_equal_rows"))
+    return materialize(join_small(targets, cut, F.col("_source").eqNullSafe(F.col("_c")), "left", sources).drop("_c", "_budget"), "mix-cuts"), sources
 
 
 def take(rows: DataFrame, weights: list[int], most_epochs: int = 3) -> DataFrame:

@@ -129,6 +129,16 @@ def _missing(rooms: dict[int, int], bound: int, docs: int, tokens: int, capacity
     return max(0, int(-(-(tokens - room) // capacity)))
 
 
+def _state(gaps: DataFrame, docs: DataFrame) -> tuple[dict[int, int], int, int]:
+    """How many `gaps` there are of each room, and how many `docs` and of how many tokens; in one grouped sum, as it is asked for
+    after every superstep."""
+    none = F.lit(0).cast("long")
+    counted = gaps.select("room", none.alias("length")).unionByName(docs.select(none.alias("room"), "length")).groupBy("room").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
+    found = {r["room"]: (r["n"], r["tokens"]) for r in counted.collect()}
+    left, tokens = found.pop(0, (0, 0))  # no gap has a room of 0
+    return {room: n for room, (n, _) in found.items()}, left, tokens
+
+
 def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`pieces` with sequence_id and offset. Needs the column length (1 to capacity); carries all others.
 
@@ -157,19 +167,17 @@ def pack(pieces: DataFrame, capacity: int = 4096, range_rows: int = RANGE_ROWS)
                 gaps = gaps.unionByName(spark.range(opened, opened + new).select(F.col("id").alias("sequence"), F.lit(capacity).cast("long").alias("room")))
                 rooms[capacity] = rooms.get(capacity, 0) + new
                 opened += new
-            step, before = step + 1, len(tables_made(spark))
+            step, made = step + 1, len(tables_made(spark))
             slots, offered = _offers(gaps, rooms, bound, left, stuck)
             superstep(docs, slots, left + offered, range_rows).write.parquet(f"{base}/step={step}")
             placed = spark.read.schema(PLACED).parquet(f"{base}/step={step}")
             docs = placed.where("sequence is null").select("row", "length")
             taken = placed.where("sequence is not null").select("sequence", (-F.col("length")).alias("room"))
             gaps = materialize(gaps.unionByName(taken).groupBy("sequence").agg(F.sum("room").alias("room")).where("room > 0"), "gaps")
-            known = gaps.groupBy("room").agg(F.count(F.lit(1)).alias("n")).unionByName(docs.agg((-F.coalesce(F.sum("length"), F.lit(0)) - 1).alias("room"), F.count(F.lit(1)).alias("n"))).collect()
-            rooms = {r["room"]: r["n"] for r in known if r["room"] > 0}
-            *done, gaps_path = tables_made(spark)[before:]
+            before, (rooms, left, tokens) = left, _state(gaps, docs)
+            *done, gaps_path = tables_made(spark)[made:]
             drop_tables(spark, [*last, *done])  # this step's sweeps and the gaps before it: what they led to is written
             last = [gaps_path]
-            before, (tokens, left) = left, next((-r["room"] - 1, r["n"]) for r in known if r["room"] < 0)
             stuck = left == before
         bound //= 2
     rows = spark.read.schema(PLACED + ", step int").parquet(base).where("sequence is not null")

@@ -123,7 +123,8 @@ def _sums() -> list[Column]:
 
 
 def _estimates(sums: DataFrame) -> DataFrame:
-    """One row a group and start: n and the sums of `_sums` -> mean, floored covariance, its inverse and its determinant."""
+    """One row a group and start: n and the sums of `_sums` -> mean, floored covariance, its inverse and its determinant; `old`, the
+    determinant before, is carried."""
 
     def invert(batches):
         for b in batches:
@@ -144,9 +145,9 @@ def _estimates(sums: DataFrame) -> DataFrame:
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
                 dets.append(float(np.linalg.slogdet(cov)[1]))
             numbers = pa.list_(pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), pa.array(means, numbers), pa.array(covs, numbers), pa.array(inverses, numbers), pa.array(dets, pa.float64())], names=["grp", "start", "mean", "cov", "inverse", "det"])
+            yield pa.RecordBatch.from_arrays([b.column("grp"), b.column("start"), pa.array(means, numbers), pa.array(covs, numbers), pa.array(inverses, numbers), pa.array(dets, pa.float64()), b.column("old")], names=["grp", "start", "mean", "cov", "inverse", "det", "old"])
 
-    return sums.mapInArrow(invert, "grp string, start int, mean array<double>, cov array<double>, inverse array<double>, det double")
+    return sums.mapInArrow(invert, "grp string, start int, mean array<double>, cov array<double>, inverse array<double>, det double, old double")
 
 
 def _inverted(rows: DataFrame) -> DataFrame:
@@ -179,9 +180,9 @@ def _starts(base: DataFrame) -> DataFrame:
     quartiles = base.groupBy("grp").agg(*[F.percentile_approx(z, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 1000).alias(f"q{i}") for i, z in enumerate(zs)])
     spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / UNIT / 1.349, F.lit(FLOORS[i])) for i in range(DIMENSIONS)]
     medians = quartiles.select("grp", F.lit(0).alias("start"), F.array(*[F.col(f"q{i}")[1] / UNIT for i in range(DIMENSIONS)]).alias("mean"), F.array(*[1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(DIMENSIONS) for j in range(DIMENSIONS)]).alias("inverse"), F.lit(None).cast("double").alias("det"))
-    medians = medians.select("grp", "start", "mean", F.lit(None).cast("array<double>").alias("cov"), "inverse", "det")
+    medians = medians.select("grp", "start", "mean", F.lit(None).cast("array<double>").alias("cov"), "inverse", "det", F.lit(None).cast("double").alias("old"))
     drawn = F.filter(F.array(*[F.when(F.pmod(F.xxhash64(*zs, F.lit(k)), F.lit(1 << 30)) * F.col("n") < START_ROWS * (1 << 30), F.lit(k)) for k in range(1, RANDOM_STARTS + 1)]), lambda k: k.isNotNull())
-    chosen = base.select("grp", *zs, F.explode(drawn).alias("start")).groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *_sums())
+    chosen = base.select("grp", *zs, F.explode(drawn).alias("start")).groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), F.lit(None).cast("double").alias("old"), *_sums())
     return medians.unionByName(_estimates(chosen))
 
 
@@ -218,9 +219,9 @@ def fit_outliers(stats: DataFrame, share: float = 0.75) -> tuple[DataFrame, Data
 
     def step(estimates: DataFrame) -> DataFrame:
         near = join_small(base, estimates, "grp", "inner", groups * (1 + RANDOM_STARTS))
-        kept = _binned(near, *_sums()).where(F.col("before") < F.ceil(F.col("n") * share))
+        kept = _binned(near, F.first("det").alias("old"), *_sums()).where(F.col("before") < F.ceil(F.col("n") * share))
         names = [f"s{i}" for i in range(DIMENSIONS)] + [f"s{i}{j}" for i in range(DIMENSIONS) for j in range(i, DIMENSIONS)]
-        return materialize(_estimates(kept.groupBy("grp", "start").agg(F.sum("m").alias("n"), *[F.sum(x).alias(x) for x in names])), "quality-step")
+        return materialize(_estimates(kept.groupBy("grp", "start").agg(F.sum("m").alias("n"), F.first("old").alias("old"), *[F.sum(x).alias(x) for x in names])), "quality-step")
 
     estimates = materialize(_starts(base), "quality-starts")
     for _ in range(FIRST_STEPS):
@@ -228,19 +229,16 @@ def fit_outliers(stats: DataFrame, share: float = 0.75) -> tuple[DataFrame, Data
     best = estimates.groupBy("grp").agg(F.min_by(F.struct("start", "mean", "cov", "inverse", "det"), F.struct("det", "start")).alias("best"))
     estimates = best.select("grp", "best.*")
     for _ in range(MOST_STEPS):
-        before, estimates = estimates, step(estimates)
-        moved = estimates.select("grp", "det").join(before.select("grp", F.col("det").alias("old")), "grp").where(F.abs(F.col("det") - F.col("old")) > SETTLED)
-        if moved.isEmpty():
+        estimates = step(estimates)
+        if estimates.where(F.abs(F.col("det") - F.col("old")) > SETTLED).isEmpty():
             break
 
     def by_level(rows: DataFrame, values: list[str]) -> DataFrame:
         """The groups (grp, n of each level as n0 to n2), with `values` of `rows` (grp) at each level."""
-        out = sizes.select("grp", *[F.col("levels")[k].alias(f"level{k}") for k in range(3)])
-        rows = materialize(rows.join(large, "grp"), "quality-levels")  # read three times
-        for k in range(3):
-            at = rows.select(F.col("grp").alias(f"level{k}"), F.col("n").alias(f"n{k}"), *[F.col(v).alias(f"{v}{k}") for v in values])
-            out = join_small(out, at, f"level{k}", "inner", groups)
-        return out
+        rows = materialize(rows.join(large, "grp").select(F.col("grp").alias("level"), "n", *values), "quality-levels")
+        at = join_small(sizes.select("grp", F.posexplode("levels").alias("k", "level")), rows, "level", "inner", groups)
+        out = at.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("k", "n", *values))).alias("at")).where(F.size("at") == 3)
+        return out.select("grp", *[F.col("at")[k][v].alias(f"{v}{k}") for k in range(3) for v in ("n", *values)])
 
     middle = _binned(join_small(base, estimates, "grp", "inner", groups)).where(2 * F.col("before") < F.col("n")).groupBy("grp").agg(F.max("bin").alias("bin"))
     spread = middle.select("grp", F.array(F.greatest((F.col("bin") + 0.5) / BINS - F.log(F.lit(chi_square(0.5))), F.lit(0.0))).alias("spread"))

@@ -479,6 +479,39 @@ def test_plans_of_near_duplicates_stay_small(spark, monkeypatch):
     assert max(read.values()) <= 8, read
 
 
+def test_plans_of_mixing_quality_and_packing_stay_small(spark, monkeypatch):
+    """The driver plans each query anew at each of its steps: a cut reads five tables at most and a quality level's join three; what a
+    superstep leaves, and whether the determinants have settled, is asked with one shuffle and none."""
+    read, asked = {}, []
+
+    def counted(df, label):
+        read[label] = max(read.get(label, 0), len(re.findall(r"Relation |LogicalRDD", df._jdf.queryExecution().optimizedPlan().toString())))
+        return common.materialize(df, label)
+
+    def noted(name, plain):
+        def call(df, *a, **b):
+            asked.append((name, len(re.findall(r"\n?[ :+-]*Exchange ", df._jdf.queryExecution().executedPlan().toString()))))
+            return plain(df, *a, **b)
+
+        return call
+
+    kind = type(spark.range(0))
+    for module in (mixing, quality, packing):
+        monkeypatch.setattr(module, "materialize", counted)
+    monkeypatch.setattr(kind, "isEmpty", noted("isEmpty", kind.isEmpty))
+    rows = [(k, " ".join(f"w{k % 7}x{i * k % 53}" for i in range(60 + k % 40)), "en" if k % 3 else None, f"s{k % 4}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixing.mix(docs, [5, 2, 1]).collect()
+    quality.judge_quality(docs).collect()
+    assert read["mix-cuts"] <= 5 and read["mix-ends"] <= 5 and read["quality-shrunk"] <= 3, read
+    assert asked and all(n == 0 for _, n in asked), asked
+    asked.clear()
+    monkeypatch.setattr(kind, "collect", noted("collect", kind.collect))
+    pieces = spark.createDataFrame([(k, 1 + k * k % 90) for k in range(300)], "doc_id long, length long")
+    packing.pack(pieces, 100)
+    assert len(asked) > 2 and all(n == 1 for _, n in asked), asked
+
+
 def plain_pii(text):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
