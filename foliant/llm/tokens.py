@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 #: Characters below this have their lower case below 0x2B0, up to where the classes go.
 LIMIT = 0x230
 #: Words of a generation of a worker's memo: with so many, a new one begins, and the last but one is dropped.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Characters of text that are cut and looked up together.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 _LETTERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "L")
 _NUMBERS = "".join(chr(c) for c in range(0x2B0) if unicodedata.category(chr(c))[0] == "N")
 _SPACES = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from foliant.llm import common, graph, license_scan, media, mixing, packing, pii, quality, sharding, simhash, token_count, tokens, url_filter
+from foliant.llm import queries as llm_queries
 from foliant.llm.common import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -512,6 +513,16 @@ def test_plans_of_mixing_quality_and_packing_stay_small(spark, monkeypatch):
     assert len(asked) > 2 and all(n == 1 for _, n in asked), asked
 
 
+def test_tokens_are_looked_up_in_small_parts():
+    """A worker lives beside another and the executor's heap: it cuts about a million characters at once."""
+    tokenizer, parts = tokens.WordTokenizer(llm_queries.tokenizer("word_bpe_49k.json")), []
+    plain = tokenizer._ids
+    tokenizer._ids = lambda texts: parts.append(sum(map(len, texts))) or plain(texts)
+    texts = [" ".join(f"w{i}q{k}" for k in range(13_000)) for i in range(30)]
+    assert tokenizer.ids(texts) == [plain([x])[0] for x in texts]
+    assert len(parts) > 1 and max(parts) <= 1_000_000 + max(map(len, texts))
+
+
 def plain_pii(text):
     found = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     found += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
