@@ -260,7 +260,11 @@ _UNIX = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _BODY = f"rtrim({_UNIX}, {_BLANKS})"
 _ID = "CAST(doc_id AS STRING)"
 #: As a query for both engines.
-SOURCE_SQL = f"SELECT doc_id AS id, CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN {_literal(s.source, t='text', i=_ID)}" for k, s in enumerate(SHAPES)) + " END AS post_content FROM documents"
+SOURCE = f"CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN {_literal(s.source, t='text', i=_ID)}" for k, s in enumerate(SHAPES)) + " END"
+SOURCE_SQL = f"SELECT doc_id AS id, {SOURCE} AS post_content FROM documents"
+#: Stands for a blank text in documents that are to be rendered, and is taken out of what they become: their SQL keeps the blank before
+#: the text, which the renderer trims.
+MARK = "\ue000"
 _ESCAPED = "replace(found, '&', '&amp;')"
 _JSON = "replace(replace(found, '--', '\\u002d\\u002d'), '&', '\\u0026')"
 _IMAGE = "CASE WHEN found IS NULL THEN '' ELSE " + _literal('<!-- wp:image {"id":{i},"sizeSlug":"large","linkDestination":"{link}","url":"{json}","alt":""} -->\n<figure class="wp-block-image size-large"><img src="{url}" alt="" class="wp-image-{i}"/></figure>\n<!-- /wp:image -->\n\n', i=_ID, json=_JSON, url=_ESCAPED) + " END"
@@ -323,11 +327,11 @@ HOSTS = {
     "de": ((6, 3, [], "work", "kind"), _details("T", _p("About {t}"), '{"summary":"T"}') + _HOSTED_COVER.replace(_IMG + _DIM, _DIM + _IMG) + _HOSTED_QUERY("work", "kind")),
     "fr": ((6, 4, ["core/details"], None, None), _g(_h(3, "T") + _p("About {t}")) + _HOSTED_COVER.replace(_IMG + _DIM, _DIM + _IMG) + _HOSTED_QUERY("project", "project_category")),
 }
-HOSTED_SQL = f"SELECT doc_id AS id, lang AS site_id, {_literal(HOSTED, t='text')} AS post_content FROM documents"
+HOSTED_SOURCE = _literal(HOSTED, t="text")
 
 
 def hosted_markup_sql() -> str:
-    """SQL of DuckDB: id, markup of every document of HOSTED_SQL."""
+    """SQL of DuckDB: id, markup of every document of HOSTED_SOURCE."""
     tidy = lambda m: f"trim(regexp_replace({_literal(m, t=_BODY)}, '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANKS})"
     cases = " ".join(f"WHEN '{site}' THEN {tidy(m)}" for site, (_, m) in HOSTS.items())
     return f"SELECT doc_id AS id, CASE WHEN text IS NULL THEN NULL ELSE CASE lang {cases} ELSE {tidy(HOSTS['en'][1])} END END AS markup FROM documents"

@@ -77,3 +77,19 @@ def test_who_has_lost_already_rewrites_no_file(spark, tmp_path, monkeypatch):
     with pytest.raises(snapshots.Lost):
         snapshots.publish(plan, root, 1)
     assert len(list((tmp_path / "posts" / "data").iterdir())) == 2 == len(list((tmp_path / "posts" / "commits").iterdir())) + 1
+
+
+@pytest.fixture(scope="module")
+def blank_texts(tmp_path_factory):
+    """The small tables with texts of nothing, of blanks, and null, for every shape of a document."""
+    at, con = tmp_path_factory.mktemp("blank"), duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE doc_id // 28 WHEN 1 THEN '' WHEN 2 THEN ' ' || chr(10) WHEN 3 THEN NULL ELSE text END AS text) FROM '{SF}/documents.parquet') TO '{at}/documents.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{SF}/pages.parquet') TO '{at}/pages.parquet'")
+    for name in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{at}/{name}.parquet'")
+    return str(at), con
+
+
+@pytest.mark.parametrize("name", ["convert_for_sites"])
+def test_query_is_its_sql_with_blank_texts(spark, blank_texts, name):
+    test_query_is_its_sql_with_many_pages(spark, blank_texts, name)
