@@ -889,12 +889,13 @@ def acknowledged_losses(nodes: DataFrame, attachments: DataFrame | None = None,
 
 
 def convert(docs: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target(), nodes: DataFrame | None = None, targets: DataFrame | None = None, also: tuple[str, ...] = ()) -> DataFrame:
-    """id, markup of every row of `docs` (id, post_content): documents without a complete opening tag are passed through.
-    `nodes` is the documents' node table with LOOSE columns, where it is there already; `targets` (id, target; see
-    `targets_of`) what each document is written for, in place of one `target` for all; `also` are further columns of `docs`."""
+    """id, markup of every row of `docs` (id, post_content): documents without a complete opening tag are passed through, those
+    without a body have none. `nodes` is the documents' node table with LOOSE columns, where it is there already; `targets` (id,
+    target; see `targets_of`) what each document is written for, in place of one `target` for all; `also` are further columns of
+    `docs`."""
     parts = pieces(node_table(docs, loose=True) if nodes is None else nodes, attachments, base_url, target, targets)
     said = F.when(F.col("piece") != "", F.struct("at", "side", "inner", "piece"))  # a list leaves nulls out
     joined = parts.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x["piece"]), "").alias("markup"), F.max("module").alias("_opened"))
     tidy = F.btrim(F.regexp_replace(F.coalesce("markup", F.lit("")), r"\n{3,}", "\n\n"), F.lit(S.BLANKS))
-    made = F.when(F.col("_opened"), tidy).otherwise(F.col("post_content"))
+    made = F.when(F.col("_opened") & F.col("post_content").isNotNull(), tidy).otherwise(F.col("post_content"))
     return docs.select("id", "post_content", *also).join(joined, "id", "left").select("id", made.alias("markup"), *also)

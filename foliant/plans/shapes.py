@@ -259,7 +259,7 @@ _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11)"
 _UNIX = "replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
 _BODY = f"rtrim({_UNIX}, {_BLANKS})"
 _ID = "CAST(doc_id AS STRING)"
-#: As a query for both engines.
+#: A document's body, and as a query for both engines.
 SOURCE = f"CASE doc_id % {len(SHAPES)} " + " ".join(f"WHEN {k} THEN {_literal(s.source, t='text', i=_ID)}" for k, s in enumerate(SHAPES)) + " END"
 SOURCE_SQL = f"SELECT doc_id AS id, {SOURCE} AS post_content FROM documents"
 #: Stands for a blank text in documents that are to be rendered, and is taken out of what they become: their SQL keeps the blank before

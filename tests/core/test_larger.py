@@ -90,6 +90,6 @@ def blank_texts(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["convert_for_sites"])
+@pytest.mark.parametrize("name", ["convert_for_sites", "convert_modules"])
 def test_query_is_its_sql_with_blank_texts(spark, blank_texts, name):
     test_query_is_its_sql_with_many_pages(spark, blank_texts, name)
