@@ -170,6 +170,11 @@ def style_losses(nodes: DataFrame, mapped: DataFrame | None = None) -> DataFrame
     """id, tag, labels: for each document and module the kinds of design that its attributes carry and that `mapped` (tag,
     name; a small table of pairs) doesn't, in the order of first mention. Empty values carry nothing."""
     named = nodes.where(F.size("attrs") > 0).select("id", "node_id", "tag", F.posexplode("attrs").alias("place", "attr")).select("id", "node_id", "place", "tag", "attr.name", "attr.value")
+    return lost_styles(named, mapped)
+
+
+def lost_styles(named: DataFrame, mapped: DataFrame | None = None) -> DataFrame:
+    """The same of attributes (id, node_id, place, tag, name, value)."""
     named = named.where(~sanitize.carries_no_value(F.col("name"), F.col("value")) & (F.btrim("value", F.lit(sanitize.BLANKS)) != ""))
     if mapped is not None:
         named = named.join(F.broadcast(mapped) if mapped.count() <= 10_000 else mapped, ["tag", "name"], "left_anti")

@@ -20,7 +20,7 @@ from foliant.functions import sanitize as S
 from foliant.functions.loose_html import PLAIN
 from foliant.functions.places import once
 from foliant.functions.shortcodes import TEXT
-from foliant.operators.documents import PREFIX, node_table, style_losses
+from foliant.operators.documents import PREFIX, lost_styles, node_table
 
 
 @dataclass(frozen=True)
@@ -790,14 +790,23 @@ def gallery_urls(nodes: DataFrame, attachments: DataFrame, base_url: str) -> Dat
     `attachments` has columns of these names), from one join for all."""
     from foliant.operators.inventory import resolve_attachments
 
-    listed = nodes.where(F.col("tag") == PREFIX + "gallery").select("id", "node_id", F.posexplode(F.split(F.coalesce(F.element_at(F.map_from_entries("attrs"), "gallery_ids"), F.lit("")), ",")).alias("place", "image"))
-    listed = listed.select(F.col("id").alias("doc"), "node_id", "place", _int(F.col("image"), "").alias("id")).where("id <> 0")
+    listed = nodes.where(F.col("tag") == PREFIX + "gallery").select(F.col("id").alias("doc"), "node_id", F.explode(_listed(F.element_at(F.map_from_entries("attrs"), "gallery_ids"))).alias("x")).select("doc", "node_id", "x.place", F.col("x.image").alias("id"))
     for name in ("alt", "caption"):
         if name not in attachments.columns:
             attachments = attachments.withColumn(name, F.lit(None).cast("string"))
     found = resolve_attachments(listed, attachments, base_url, "alt", "caption")
-    url = F.nullif(S.safe_url(F.col("resolved_url")), F.lit(""))
-    return found.groupBy(F.col("doc").alias("id"), "node_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("image"), url.alias("url"), "alt", "caption"))).alias("gallery"))
+    return found.groupBy(F.col("doc").alias("id"), "node_id").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("image"), _stored_url().alias("url"), "alt", "caption"))).alias("gallery"))
+
+
+def _listed(ids: Column) -> Column:
+    """array<struct<place,image>> of a gallery's list of images; what is no number is none of them."""
+    images = F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x, i: F.struct(i.alias("place"), _int(x, "").alias("image")))
+    return F.filter(images, lambda x: x["image"] != 0)
+
+
+def _stored_url() -> Column:
+    """The address that an attachment was found with, null if it is none that can be stored."""
+    return F.nullif(S.safe_url(F.col("resolved_url")), F.lit(""))
 
 
 def _media(nodes: DataFrame, attachments: DataFrame, base_url: str) -> DataFrame:
@@ -809,10 +818,33 @@ def _media(nodes: DataFrame, attachments: DataFrame, base_url: str) -> DataFrame
     return gallery_urls(nodes, attachments, base_url).withColumn("image_id", F.lit(None).cast("long")).unionByName(known)
 
 
+def _html_note(b: Column) -> Column:
+    """Module and message of a block of HTML that loses something, null of any other."""
+    src = lambda element: _element_src(b["html"], element)
+    unsafe = (b["kind"] == "embed") & (src("iframe") == "") & (src("video") != "") & (S.safe_url(src("video")) == "")
+    said = F.when(unsafe, F.struct(F.lit("video").alias("module"), F.lit("A video whose source is no URL that can be stored was kept as HTML.").alias("message")))
+    for kind, (module, text) in HTML_NOTES.items():
+        said = said.when(b["kind"] == kind, F.struct(F.lit(module).alias("module"), F.lit(text).alias("message")))
+    return said
+
+
+def _fact(kind: str, module: Column, text: Column | None = None, value: Column | None = None, place: Column | None = None, ref: Column | None = None) -> Column:
+    """What a node has to say: a message as it is (said), or what one is made from: an attribute (style), an image or a menu."""
+    none = F.lit(None)
+    parts = {"kind": (F.lit(kind), "string"), "module": (module, "string"), "text": (text, "string"), "value": (value, "string"), "node_id": (F.col("node_id"), "int"), "place": (place, "int"), "ref": (ref, "long")}
+    return F.struct(*[(none if c is None else c).cast(t).alias(k) for k, (c, t) in parts.items()])
+
+
 def warnings(nodes: DataFrame, attachments: DataFrame | None = None, menus: DataFrame | None = None, base_url: str = "", target: Target = Target()) -> DataFrame:
     """id, module, message, distinct: what each module loses as such, unknown tags, content in the wrong place, dropped media
-    and design settings. `nodes` with LOOSE columns; `menus` (id, name)."""
-    rows = visible(nodes)
+    and design settings. `nodes` with LOOSE columns; `menus` (id, name).
+
+    What counts of a node's texts is found where the node is read, so that no text is moved, and all that a node has to say is told
+    in one row a fact: what is made of the facts reads one and the same shuffle."""
+    noted = F.filter("blocks", lambda b: b["kind"].isin(*HTML_NOTES) | (b["kind"] == "embed"))
+    notes = F.array_distinct(F.filter(F.transform(noted, _html_note), lambda x: x.isNotNull()))
+    rows = visible(nodes.withColumns({"shows": _shows(), "nested": F.contains("content", F.lit("[" + PREFIX)), "html_notes": notes}))
+    rows = rows.select("id", "node_id", "tag", "parent_tag", "last_id", "columns", "a", "shows", "nested", "html_notes")
     note = F.when(_is(*MAPS) & (F.col("columns") == 0) & ~_given(_a("address")) & ~(_given(_a("address_lat")) & _given(_a("address_lng"))), F.lit(None).cast("string"))
     for module, text in NOTES.items():
         note = note.when(_is(module), text)
@@ -826,35 +858,48 @@ def warnings(nodes: DataFrame, attachments: DataFrame | None = None, menus: Data
         F.when(_is("section", "row", "row_inner", "column", "column_inner") & S.border_radius(_a("border_radii"))["mixed"], "A border radius that differs by corner was not carried over."),
         F.when((_is("video") | _is("video_slider_item") & _in("video_slider")) & (S.safe_url(_a("src")) != "") & (webm != "") & (webm != S.safe_url(_a("src"))), "A second video source was not carried over; check whether it was another video."),
         F.when(_is("gallery") & (F.coalesce(_a("gallery_ids"), F.lit("")) != "") & _slider_gallery(), "A gallery slider became a grid, with a class to tell it by."),
-        F.when(_is("counter") & _has_children() & F.contains("content", F.lit("[" + PREFIX)), "Modules inside a counter's label were reduced to their words."),
+        F.when(_is("counter") & _has_children() & F.col("nested"), "Modules inside a counter's label were reduced to their words."),
         F.when(_is("toggle"), F.when(target.has("details"), alone).otherwise("A toggle became a heading and text, as the host has no details block.")),
     )
-    own = rows.where(F.col("tag") != TEXT).select("id", F.col("tag").alias("module"), F.explode(messages).alias("message")).where("message is not null")
+    tag, parent, is_text = F.col("tag"), F.col("parent_tag"), F.col("tag") == TEXT
     unexpected = F.lit(False)
-    for parent, child in EXPECTS.items():
-        unexpected = unexpected | _in(parent) & ~_is(child)
-    strays = rows.where(unexpected & ((F.col("tag") != TEXT) | _shows())).select("id", F.col("parent_tag").alias("module"), F.lit(UNEXPECTED).alias("message"))
-    nameless = rows.where(_is("social_media_follow_network") & _in("social_media_follow") & ~_given(_a("social_network")) & (S.trimmed(_a("url")) != "")).select("id", F.col("parent_tag").alias("module"), F.lit("A link without a network was not carried over.").alias("message"))
-    notes = rows.where(F.col("tag") == TEXT).select("id", F.explode("blocks").alias("b")).where(F.col("b.kind").isin(*HTML_NOTES) | (F.col("b.kind") == "embed"))
-    unsafe = (F.col("b.kind") == "embed") & (_element_src(F.col("b.html"), "iframe") == "") & (_element_src(F.col("b.html"), "video") != "") & (S.safe_url(_element_src(F.col("b.html"), "video")) == "")
-    said = F.when(unsafe, F.struct(F.lit("video").alias("module"), F.lit("A video whose source is no URL that can be stored was kept as HTML.").alias("message")))
-    for kind, (module, text) in HTML_NOTES.items():
-        said = said.when(F.col("b.kind") == kind, F.struct(F.lit(module).alias("module"), F.lit(text).alias("message")))
-    html = notes.select("id", said.alias("s")).where("s is not null").select("id", "s.*")
-    mapped = nodes.sparkSession.createDataFrame([(PREFIX + m, n) for m, names in MAPPED.items() for n in names], "tag string, name string")
+    for module, child in EXPECTS.items():
+        unexpected = unexpected | _in(module) & ~_is(child)
+    nameless = _is("social_media_follow_network") & _in("social_media_follow") & ~_given(_a("social_network")) & (S.trimmed(_a("url")) != "")
     # parts that their parents draw by themselves aren't held against the catalogue
     drawn = _is("pricing_item") & _in("pricing_table") | _is("social_media_follow_network") & _in("social_media_follow") | _is(*PARTS) & _known()
-    styles = style_losses(rows.where((F.col("tag") != TEXT) & ~drawn), mapped).select("id", F.col("tag").alias("module"), F.concat(F.lit("Design settings were not carried over: "), "labels", F.lit(".")).alias("message"))
-    out = own.unionByName(strays).unionByName(nameless).unionByName(html).unionByName(styles).unionByName(_menu_warnings(rows, menus))
+    told = (
+        F.when(~is_text, F.transform(F.filter(messages, lambda m: m.isNotNull()), lambda m: _fact("said", tag, m))),
+        F.transform("html_notes", lambda x: _fact("said", x["module"], x["message"])),
+        F.when(unexpected & (~is_text | F.col("shows")), F.array(_fact("said", parent, F.lit(UNEXPECTED)))),
+        F.when(nameless, F.array(_fact("said", parent, F.lit("A link without a network was not carried over.")))),
+        F.when(~is_text & ~drawn, F.transform(F.map_entries("a"), lambda x, i: _fact("style", tag, x["key"], x["value"], place=i))),
+        F.when(_is("menu", "fullwidth_menu") & _given(_a("menu_id")), F.array(_fact("menu", tag, ref=_int(_a("menu_id"), "0")))),
+        F.when(_is("gallery"), F.transform(_listed(_a("gallery_ids")), lambda x: _fact("image", tag, place=x["place"], ref=x["image"]))),
+    )
+    facts = rows.select("id", F.explode(F.concat(*[F.coalesce(x, F.array()) for x in told])).alias("f")).select("id", "f.*")
+    of = lambda kind: facts.where(F.col("kind") == kind)
+    mapped = nodes.sparkSession.createDataFrame([(PREFIX + m, n) for m, names in MAPPED.items() for n in names], "tag string, name string")
+    named = of("style").select("id", "node_id", "place", F.col("module").alias("tag"), F.col("text").alias("name"), "value")
+    styles = lost_styles(named, mapped).select("id", F.col("tag").alias("module"), F.concat(F.lit("Design settings were not carried over: "), "labels", F.lit(".")).alias("message"))
+    out = of("said").select("id", "module", F.col("text").alias("message")).unionByName(styles).unionByName(_menu_warnings(of("menu").select("id", "module", F.col("ref").alias("menu_id")), menus))
     if attachments is not None:
-        gone = F.size(F.filter("gallery", lambda x: x["url"].isNull()))
-        text = F.when(gone == F.size("gallery"), F.format_string("None of the %d images of a gallery are in the media library.", gone)).otherwise(F.format_string("%d of the %d images of a gallery are not in the media library.", gone, F.size("gallery")))
-        out = out.unionByName(gallery_urls(rows, attachments, base_url).where(gone > 0).select("id", F.lit(PREFIX + "gallery").alias("module"), text.alias("message")))
+        out = out.unionByName(_gallery_warnings(of("image").select(F.col("id").alias("doc"), "node_id", "module", F.col("ref").alias("id")), attachments, base_url))
     return out.distinct()
 
 
-def _menu_warnings(rows: DataFrame, menus: DataFrame | None) -> DataFrame:
-    wanted = rows.where(_is("menu", "fullwidth_menu") & _given(_a("menu_id"))).select("id", F.col("tag").alias("module"), _int(_a("menu_id"), "0").alias("menu_id"))
+def _gallery_warnings(listed: DataFrame, attachments: DataFrame, base_url: str) -> DataFrame:
+    """Of galleries' images (doc, node_id, module, id) that are gone."""
+    from foliant.operators.inventory import resolve_attachments
+
+    found = resolve_attachments(listed, attachments, base_url)
+    counted = found.groupBy(F.col("doc").alias("id"), "node_id", "module").agg(F.count(F.lit(1)).alias("size"), F.count_if(_stored_url().isNull()).alias("gone")).where("gone > 0")
+    text = F.when(F.col("gone") == F.col("size"), F.format_string("None of the %d images of a gallery are in the media library.", "gone")).otherwise(F.format_string("%d of the %d images of a gallery are not in the media library.", "gone", "size"))
+    return counted.select("id", "module", text.alias("message"))
+
+
+def _menu_warnings(wanted: DataFrame, menus: DataFrame | None) -> DataFrame:
+    """Of menus (id, module, menu_id) that are to be made anew."""
     if menus is None:
         named = wanted.withColumn("menu_name", F.lit(None).cast("string"))
     else:
@@ -872,14 +917,14 @@ def acknowledged_losses(nodes: DataFrame, attachments: DataFrame | None = None,
     all but the words of modules inside a counter's label. `nodes` with LOOSE columns."""
     from foliant.functions.census import KINDS, source_census
 
-    nodes = visible(nodes)
+    # the only text that counts here, counted where the node is read, so that none is moved
+    nodes = visible(nodes.withColumn("lost_label", F.when(_is("counter") & _has_children(), source_census(F.col("content")))))
     webm, src = S.safe_url(_a("src_webm")), S.safe_url(_a("src"))
     second = (_is("video") | _is("video_slider_item") & _in("video_slider")) & (src != "") & (webm != "") & (webm != src)
     nameless = _is("social_media_follow_network") & _in("social_media_follow") & (S.trimmed(_a("url")) != "") & ~_given(_a("social_network"))
     links = F.when(second | nameless, 1).otherwise(0)
     images = F.when(_is("section") & _given(_a("background_image")), 1).otherwise(0)
-    label = F.when(_is("counter") & _has_children(), source_census(F.col("content")))
-    rows = nodes.select("id", links.alias("links"), images.alias("images"), label.alias("label"))
+    rows = nodes.select("id", links.alias("links"), images.alias("images"), F.col("lost_label").alias("label"))
     rows = rows.select("id", F.lit(0).cast("long").alias("words"), (F.col("links") + F.coalesce("label.links", F.lit(0))).alias("links"), (F.col("images") + F.coalesce("label.images", F.lit(0))).alias("images"), F.coalesce("label.buttons", F.lit(0)).alias("buttons"))
     if attachments is not None:
         gone = gallery_urls(nodes, attachments, base_url).select("id", F.size(F.filter("gallery", lambda x: x["url"].isNull())).cast("long").alias("images"))

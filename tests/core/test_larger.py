@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from pathlib import Path
 
 import duckdb
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from foliant.functions import batches
-from foliant.operators import anonymize, validate
+from foliant.operators import anonymize, documents, render, validate
 from foliant.plans.registry import ORACLE_SQL, QUERIES
 from foliant.sources import snapshots
 
@@ -90,6 +91,35 @@ def blank_texts(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["convert_for_sites", "convert_modules"])
+@pytest.mark.parametrize("name", ["convert_for_sites", "convert_modules", "module_warnings"])
 def test_query_is_its_sql_with_blank_texts(spark, blank_texts, name):
     test_query_is_its_sql_with_many_pages(spark, blank_texts, name)
+
+
+def shuffled_bytes(spark) -> int:
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_warnings_move_no_text(spark):
+    """Nor does what is acknowledged; the documents are parsed once for all that is said of them, and not kept."""
+    rng = random.Random(5)
+    rows = [(i, f'[et_pb_counters][et_pb_counter percent="5"]a{rng.randbytes(9000).hex()}[et_pb_button button_text="b" /][/et_pb_counter]<b>{rng.randbytes(9000).hex()}</b>[/et_pb_counters][et_pb_gallery gallery_ids="1,2,x" /][et_pb_menu menu_id="7" /]') for i in range(40)]
+    docs = spark.createDataFrame(rows, "id long, post_content string")
+    files = spark.createDataFrame([(1, "https://e.com/1.png", None, None)], "id long, url string, file string, guid string")
+    before, nodes = shuffled_bytes(spark), documents.node_table(docs, loose=True)
+    said = render.warnings(nodes, files)
+    found = {(r["module"], r["message"]) for r in said.collect()}
+    plan = said._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 1
+    assert {m for m, _ in found} == {"et_pb_counter", "et_pb_counters", "et_pb_gallery", "et_pb_menu"} and len(found) == 5
+    assert ("et_pb_gallery", "1 of the 2 images of a gallery are not in the media library.") in found
+    known = {tuple(r["acknowledged"]) for r in render.acknowledged_losses(nodes, files).collect()}
+    assert known == {(0, 0, 1, 1)}
+    assert 0 < shuffled_bytes(spark) - before < 200_000  # of 1.4 million characters of text
+
+
+def test_warnings_of_modules_keep_no_table(spark):
+    assert "InMemoryRelation" not in QUERIES["module_warnings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
