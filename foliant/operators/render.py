@@ -707,6 +707,13 @@ def text_blocks() -> Column:
     return F.array_join(F.transform("blocks", written), "")
 
 
+def drawn(nodes: DataFrame) -> DataFrame:
+    """The nodes with no more text than rendering writes out: the blocks of text nodes, and the own text of modules that draw it
+    themselves, as they swallow their subtree or have none. A text stands once, not again in all that it lies in."""
+    own = (F.col("tag") != TEXT) & (_is(*SWALLOWING, *PARTS) | ~_has_children())
+    return nodes.drop("content").withColumn("own_text", F.when(own, F.col("own_text")).otherwise(""))
+
+
 def visible(nodes: DataFrame) -> DataFrame:
     """The nodes (with LOOSE columns) that are rendered, with their attributes as a map and a video's source: none below a
     module that swallows its subtree, and in maps and forms only what they draw."""
@@ -759,7 +766,7 @@ def _written(target: Target | OwnTarget) -> Pieces:
 def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str = "", target: Target = Target(), targets: DataFrame | None = None) -> DataFrame:
     """id, module, at, side, inner, piece: the opening (side 0) and closing (side 1) markup of every node (of a node table with
     LOOSE columns), with its place, and whether the node is a module. `targets` (id, target) gives each document its own."""
-    rows = visible(nodes).where((F.col("tag") != TEXT) | _shows())
+    rows = visible(drawn(nodes)).where((F.col("tag") != TEXT) | _shows())
     siblings = Window.partitionBy("id", "parent_id").orderBy("ordinal")
     rows = rows.withColumns({"previous_tag": F.lag("tag").over(siblings), "next_tag": F.lead("tag").over(siblings)})
     rows = rows.withColumn("run", F.sum(_starts().cast("int")).over(siblings))

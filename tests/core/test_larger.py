@@ -91,7 +91,7 @@ def blank_texts(tmp_path_factory):
     return str(at), con
 
 
-@pytest.mark.parametrize("name", ["convert_for_sites", "convert_modules", "module_warnings"])
+@pytest.mark.parametrize("name", ["convert_for_sites", "convert_modules", "module_warnings", "module_trees"])
 def test_query_is_its_sql_with_blank_texts(spark, blank_texts, name):
     test_query_is_its_sql_with_many_pages(spark, blank_texts, name)
 
@@ -121,5 +121,14 @@ def test_warnings_move_no_text(spark):
     assert 0 < shuffled_bytes(spark) - before < 200_000  # of 1.4 million characters of text
 
 
-def test_warnings_of_modules_keep_no_table(spark):
-    assert "InMemoryRelation" not in QUERIES["module_warnings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+@pytest.mark.parametrize("name", ["module_warnings", "module_trees", "module_attributes"])
+def test_queries_without_texts_keep_no_table(spark, name):
+    assert "InMemoryRelation" not in QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rendering_moves_each_text_once(spark):
+    body = f"[et_pb_section][et_pb_row][et_pb_column][et_pb_text]{'x' * 1000}[/et_pb_text][/et_pb_column][/et_pb_row][/et_pb_section][et_pb_code]{'y' * 1000}[/et_pb_code][et_pb_weird /]"
+    nodes = documents.node_table(spark.createDataFrame([(1, body)], "id long, post_content string"), loose=True)
+    held = str(render.drawn(nodes).collect())
+    assert held.count("x" * 1000) == 1 and held.count("y" * 1000) == 2  # of code, and of the text in it, which is swallowed
+    assert render.drawn(render.drawn(nodes)).collect() == render.drawn(nodes).collect()
