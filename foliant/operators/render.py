@@ -775,7 +775,11 @@ def pieces(nodes: DataFrame, attachments: DataFrame | None = None, base_url: str
     shown = F.when(_is("pricing_item"), _label(F.col("own_text")) != "").when(_is("social_media_follow_network"), _given(_a("social_network")) & (S.safe_url(F.col("last_url")) != "")).otherwise(False)
     rows = rows.withColumn("run_shows", F.max(shown).over(Window.partitionBy("id", "parent_id", "run")))
     if attachments is not None:
-        rows = rows.join(_media(nodes, attachments, base_url), ["id", "node_id"], "left")
+        # by document, as the rows lie already: a join by node would move them all again
+        media = _media(nodes, attachments, base_url).groupBy("id", "node_id").agg(F.first("gallery", ignorenulls=True).alias("gallery"), F.max("image_id").alias("image_id"))
+        media = media.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("node_id", F.struct("gallery", "image_id")))).alias("media"))
+        rows = rows.join(media, "id", "left").withColumn("media", F.element_at("media", F.col("node_id")))
+        rows = rows.withColumns({"gallery": F.col("media.gallery"), "image_id": F.col("media.image_id")}).drop("media")
     else:
         rows = rows.withColumns({"gallery": F.lit(None).cast(_GALLERY), "image_id": F.lit(None).cast("long")})
     rows = _prepared(rows)

@@ -132,3 +132,14 @@ def test_rendering_moves_each_text_once(spark):
     held = str(render.drawn(nodes).collect())
     assert held.count("x" * 1000) == 1 and held.count("y" * 1000) == 2  # of code, and of the text in it, which is swallowed
     assert render.drawn(render.drawn(nodes)).collect() == render.drawn(nodes).collect()
+
+
+def test_media_join_moves_no_rows_again(spark):
+    """Nodes lie by document from their first shuffle on, and no join is by anything else."""
+    docs = spark.createDataFrame([(1, '[et_pb_gallery gallery_ids="7,8" /][et_pb_text]a[/et_pb_text][et_pb_image src="https://e.com/7.png" /][et_pb_gallery gallery_ids="8" /]'), (2, "[et_pb_text]b[/et_pb_text]")], "id long, post_content string")
+    files = spark.createDataFrame([(7, "https://e.com/7.png", None, None)], "id long, url string, file string, guid string")
+    made = render.convert(docs, files)
+    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert joins and not any("node_id" in x for x in joins)
+    markup = {r["id"]: r["markup"] for r in made.collect()}
+    assert markup[1].count("wp-image-7") == 2 and markup[1].count("wp:gallery") == 4 and "wp-image-8" not in markup[1] and "<p>b</p>" in markup[2]
